@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.llm.common import bounded_batches
+
 BLOCK = 576  # payload unit: one 24 x 24 tile of 8-bit samples
 SIDE = 24
 
@@ -167,7 +169,7 @@ def decode_tiles(df: DataFrame, column: str = "image", side: int = SIDE) -> Data
 
     names = ["height", "width", "channels", "tile", "dhash", "error"]
     kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
-    return df.select(*kept, tiles(F.col(f"`{column}`")).alias("__t")).select(*kept, *[F.col(f"__t.{n}").alias(n) for n in names])
+    return bounded_batches(df).select(*kept, tiles(F.col(f"`{column}`")).alias("__t")).select(*kept, *[F.col(f"__t.{n}").alias(n) for n in names])
 
 
 def write_tiles(df: DataFrame, path: str) -> None:
@@ -207,4 +209,4 @@ def text_media(text: Column) -> Column:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_media(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return bounded_batches(docs).select("doc_id", text_media(F.col("text")).alias("m")).select("doc_id", "m.*")
