@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import cut_lineage, without
+from spanwise.llm.common import bounded_batches, cut_lineage, without
 
 SHINGLE, SEED, BUDGET, LARGE = 3, 42, 2, 4000
 
@@ -152,7 +152,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
-    marked = cut_lineage(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    marked = cut_lineage(bounded_batches(docs).select("doc_id", fingerprint(F.col("text")).alias("fp")))
     return component_ids(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -172,7 +172,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat the doc_id of the one that stays count as that document and stay once; so do rows without doc_id,
     as far as their components have no other.
     """
-    marked = cut_lineage(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
+    marked = cut_lineage(bounded_batches(docs).select("doc_id", fingerprint(F.col("text")).alias("fp")))
     gone = component_ids(marked).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     kept = without(docs, gone, ["doc_id"])
     repeated = cut_lineage(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
