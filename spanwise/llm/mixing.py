@@ -36,14 +36,16 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")).cast("long")
 
 
-def quotas(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> dict:
+def quotas(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, whole: int | None = None) -> dict:
     """Target words of each source: by weight, no more than ``most`` times its size, the excess shared out again.
 
+    The targets share ``share`` times ``whole``, all documents' size (by default the sources', which then don't overlap).
+
     Sources are ordered by code point, null last, and weigh ``weights``, repeating.
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, target = share * sum(sizes.values()), list(order), {}
+    left, open_, target = share * (sum(sizes.values()) if whole is None else whole), list(order), {}
     while open_:
         total = sum(weight[s] for s in open_)
         over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
@@ -125,7 +127,7 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: tuple = WEIGHTS
     for p, n in patterns.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    targets = quotas(sizes, weights, share, most)
+    targets = quotas(sizes, weights, share, most, sum(patterns.values()))
     gives = route(patterns, targets, most)
 
     told = [
