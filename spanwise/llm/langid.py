@@ -20,7 +20,7 @@ give repeated results.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,23 +43,19 @@ SCRIPTS = [
     (0xAC00, "Hangul"), (0xD7B0, "other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"),
     (0xFE00, "other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "other"), (0x20000, "Han"),
 ]
-_STARTS = [s for s, _ in SCRIPTS]
+_STARTS = np.array([s for s, _ in SCRIPTS])
 
 
-def script_of(char: str) -> str:
-    return SCRIPTS[bisect_right(_STARTS, ord(char)) - 1][1]
-
-
-def _trigrams(word: str) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[i : i + 3] for i in range(max(1, len(padded) - 2))]
-
-
-def _slot(gram: str) -> int:
-    value = 2166136261
-    for c in gram:
-        value = (value ^ ord(c)) * 16777619 & 0xFFFFFFFF
-    return (value ^ value >> 15) & ((1 << TRIGRAM_BITS) - 1)
+def trigram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed trigrams of non-empty words with their ends marked: the slots of all words in a row, how many each word
+    has (as many as letters), and the script of each word's first letter as an index into ``SCRIPTS``."""
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(n + 2) - n - 2
+    at = np.arange(n.sum()) + np.repeat(2 * np.arange(len(words)), n)
+    value = (codes[at] * np.uint32(0x9E3779B1) ^ codes[at + 1] * np.uint32(0x85EBCA77)) + codes[at + 2] * np.uint32(0xC2B2AE3D)
+    value ^= value >> np.uint32(15)
+    return (value * np.uint32(0x27D4EB2F) >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64), n, np.searchsorted(_STARTS, codes[first + 1], side="right") - 1
 
 
 class Model:
@@ -67,53 +63,64 @@ class Model:
 
     def __init__(self, languages: list[str], scripts: dict[str, list[int]], words: dict[str, np.ndarray], trigrams: np.ndarray):
         self.languages, self.scripts, self.words, self.trigrams = languages, scripts, words, trigrams
-        self.seen: dict[str, np.ndarray] = {}
-
-    def __getstate__(self):
-        return (self.languages, self.scripts, self.words, self.trigrams)
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def of_word(self, word: str) -> np.ndarray:
-        if (known := self.seen.get(word)) is None:
-            value = self.words.get(word)
-            if value is None:
-                value = self.trigrams[[_slot(g) for g in _trigrams(word)]].sum(axis=0) * STRENGTH
-            value = np.clip(value - value.max(), -CLIP, 0)
-            if len(allowed := self.scripts.get(script_of(word[0]), ())) and len(allowed) < len(self.languages):
-                barred = np.full(len(self.languages), -4 * CLIP)
-                barred[allowed] = 0
-                value = value + barred
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            self.seen[word] = known = value.astype(np.float32)
-        return known
+        self.barred = np.zeros((len(SCRIPTS), len(languages)), np.float32)
+        for i, (_, name) in enumerate(SCRIPTS):
+            if name in scripts and 0 < len(scripts[name]) < len(languages):
+                self.barred[i] = -4 * CLIP
+                self.barred[i, scripts[name]] = 0
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood of each word under each language, relative to its best one."""
+        if not words:
+            return np.zeros((0, len(self.languages)), np.float32)
+        slots, n, script = trigram_slots(words)
+        table = np.add.reduceat(self.trigrams[slots], np.cumsum(n) - n, axis=0) * np.float32(STRENGTH)
+        known = [(i, v) for i, v in enumerate(map(self.words.get, words)) if v is not None]
+        if known:
+            table[[i for i, _ in known]] = np.array([v for _, v in known])
+        return np.clip(table - table.max(axis=1, keepdims=True), -CLIP, 0) + self.barred[script]
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """Words and the language index of each, for every text."""
         words = [WORD.findall((t or "").lower()) for t in texts]
         words = [w if any(map(str.isalpha, w)) or any(c.isalpha() for x in w for c in x) else [] for w in words]
-        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        labels = [np.zeros(0, np.int8)] * len(words)
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+        table = self.of_words(list(distinct))
+        labels: list[np.ndarray] = []
+        hard: list[tuple[int, np.ndarray]] = []
+        for i, d in enumerate(words):
+            ids = np.fromiter(map(distinct.__getitem__, d), np.int64, len(d))
+            labels.append(self._in_one(table[ids]))
+            if labels[-1] is None:
+                hard.append((i, ids))
+        hard.sort(key=lambda x: -len(x[1]))
         at = 0
-        while at < len(order) and words[order[at]]:
-            part = order[at : at + max(1, min(512, 8_000_000 // len(words[order[at]])))]  # bounds the paths' memory
+        while at < len(hard):
+            part = hard[at : at + max(1, min(512, 8_000_000 // len(hard[at][1])))]  # bounds the paths' memory
             at += len(part)
-            part = [d for d in part if words[d]]
-            for d, path in zip(part, self._paths([words[d] for d in part]), strict=True):
-                labels[d] = path
+            for (i, _), path in zip(part, self._paths([ids for _, ids in part], table), strict=True):
+                labels[i] = path
         return list(zip(words, labels, strict=True))
 
-    def _paths(self, documents: list[list[str]]) -> list[np.ndarray]:
+    def _in_one(self, scores: np.ndarray) -> np.ndarray | None:
+        """A path in a single language where that provably is the best one, else None.
+
+        A path that leaves the language for j spans of others pays for j changes at least. If no span, for no other
+        language, scores as much as one change above the language, no such path can be better.
+        """
+        best = int(scores.sum(axis=0).argmax()) if len(scores) else 0
+        ahead = np.zeros((len(scores) + 1, len(self.languages)))
+        np.cumsum(scores - scores[:, best : best + 1], axis=0, out=ahead[1:])
+        if len(scores) and (ahead[1:] - np.minimum.accumulate(ahead[:-1], axis=0)).max() >= SWITCH:
+            return None
+        return np.full(len(scores), best, np.int8)
+
+    def _paths(self, ids: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
         """Viterbi over documents sorted from long to short: at step t those with more than t words are a prefix."""
-        k, lengths = len(self.languages), np.array([len(d) for d in documents])
+        k, lengths = len(self.languages), np.array([len(d) for d in ids])
         active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(lengths[0])]
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for d in documents for w in d))}
-        table = np.array([self.of_word(w) for w in distinct])
-        ids = [np.fromiter((distinct[w] for w in d), np.int64, len(d)) for d in documents]
         by_step = np.concatenate(ids)[np.argsort(np.concatenate([np.arange(n) for n in lengths]), kind="stable")]
-        value, came, at = np.zeros((len(documents), k), np.float32), [], 0
+        value, came, at = np.zeros((len(ids), k), np.float32), [], 0
         for t, n in enumerate(active):
             best = value[:n].argmax(axis=1)
             leave = value[np.arange(n), best][:, None] - np.float32(SWITCH)
@@ -122,16 +129,13 @@ class Model:
             value[:n] = (np.where(stay, value[:n], leave) if t else value[:n]) + table[by_step[at : at + n]]
             at += n
         state = value.argmax(axis=1).astype(np.int8)
-        paths = [np.zeros(n, np.int8) for n in lengths]
-        trail = np.zeros((lengths[0], len(documents)), np.int8)
+        trail = np.zeros((lengths[0], len(ids)), np.int8)
         for t in range(lengths[0] - 1, -1, -1):
             n = active[t]
             trail[t, :n] = state[:n]
             if t:
                 state[:n] = came[t][np.arange(n), state[:n]]
-        for d, n in enumerate(lengths):
-            paths[d] = trail[:n, d]
-        return paths
+        return [trail[:n, d].copy() for d, n in enumerate(lengths)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
@@ -164,19 +168,21 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     found[lang, w] = found.get((lang, w), 0) + 1
             yield pd.DataFrame([(a, w, n) for (a, w), n in found.items()], columns=["lang", "word", "n"])
 
+    # of bounded size, and read twice below
     words = chosen.mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     wide = words.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
 
     def slots(batches):
         for batch in batches:
             total = np.zeros((1 << TRIGRAM_BITS, len(languages)), np.int64)
-            scripts: dict[str, np.ndarray] = {}
             values = batch[[f"n{i}" for i in range(len(languages))]].to_numpy(np.int64)
-            for w, v in zip(batch["word"], values, strict=True):
-                for g in _trigrams(w):
-                    total[_slot(g)] += v
-                s = script_of(w[0])
-                scripts[s] = scripts.get(s, 0) + v
+            scripts: dict[str, np.ndarray] = {}
+            if len(batch):
+                found, n, script = trigram_slots(batch["word"].tolist())
+                np.add.at(total, found, np.repeat(values, n, axis=0))
+                for s in np.unique(script):
+                    name = SCRIPTS[s][1]
+                    scripts[name] = scripts.get(name, 0) + values[script == s].sum(axis=0)
             rows = [(str(i), *total[i].tolist()) for i in np.nonzero(total.any(axis=1))[0]] + [(s, *v.tolist()) for s, v in scripts.items()]
             yield pd.DataFrame(rows, columns=["slot", *[f"n{i}" for i in range(len(languages))]])
 

@@ -28,7 +28,7 @@ def small_model(k, seed):
 def test_path_is_the_best_of_all(k, seed, documents):
     model = small_model(k, seed)
     for words, (_, path) in zip(documents, model.spans([" ".join(d) for d in documents]), strict=True):
-        scores = [model.of_word(w).astype(float) for w in words]
+        scores = model.of_words(words).astype(float)
         value = lambda p: sum(s[i] for s, i in zip(scores, p, strict=True)) - L.SWITCH * sum(a != b for a, b in itertools.pairwise(p))
         assert value(path) >= max(map(value, itertools.product(range(k), repeat=len(words)))) - 1e-3
 
@@ -56,3 +56,12 @@ def test_edges(spark):
     assert {r["lang_pred"] for r in rows(L.identify(unlabelled))} == {"und"}
     assert L.keep_identified(docs).columns == docs.columns
     assert not {1, 2, 3, 8} & {r["doc_id"] for r in rows(L.keep_identified(docs))}
+
+
+def test_trigrams_follow_the_words():
+    words = ["a", "abc", "été", "汉字", "abc"]
+    slots, n, script = L.trigram_slots(words)
+    assert n.tolist() == [1, 3, 3, 2, 3] and [L.SCRIPTS[i][1] for i in script] == ["Latin", "Latin", "Latin", "Han", "Latin"]
+    each = [L.trigram_slots([w])[0].tolist() for w in words]
+    assert slots.tolist() == sum(each, []) and each[1] == each[4]
+    assert len(set(each[1])) == 3 and max(slots) < 1 << L.TRIGRAM_BITS
