@@ -21,7 +21,7 @@ def ascii_lower(text: Column) -> Column:
 
 #: Bytes of an Arrow batch that goes to a Python worker. Rows vary from a few bytes to whole books, so the default bound
 #: by rows alone can mean gigabytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -62,3 +62,18 @@ def without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     renamed = F.broadcast(renamed) if keys.count() <= BROADCAST_KEYS else renamed
     same = [docs[c].eqNullSafe(renamed[f"__not_{c}"]) for c in on]
     return docs.join(renamed, same, "left_anti")
+
+
+def teaching_rows(docs: DataFrame, labelled: DataFrame, sample: int, shard_rows: int) -> tuple[DataFrame, int]:
+    """text, label, shard of about ``sample`` labelled documents (all, where there are fewer), and the number of labels.
+
+    Labels (doc_id, label) are thinned by a hash of the id before they meet the texts, so what is broadcast is bounded by
+    the sample and only texts that teach are moved. Repeated rows teach once; of rows with the same id and label the
+    least text teaches.
+    """
+    known = labelled.dropna().distinct()
+    n, grain = known.count(), 1 << 30
+    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < (min(grain, grain * sample // n) if n else 0))
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    shard = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(max(1, min(n, sample) // shard_rows)))
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label", shard.alias("shard")), n

@@ -158,7 +158,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], {}, {}, np.zeros((1 << TRIGRAM_BITS, 0), np.float32))
     grain = 1 << 30
     share = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(grain, grain * sample // counts[n]))) for n in languages])
-    chosen = spoken.where(F.pmod(F.xxhash64("text"), F.lit(grain)) < share).select("lang", "text")
+    chosen = spoken.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share).select("lang", "text")
 
     def counted(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ shapes' bigrams, and whether a word repeats the one before it; counts go in as t
 length, so long and short texts compare.
 
 Fitting is full-batch gradient descent with Adam steps, in Spark: the bounded sample of labelled rows (``SAMPLE``
-expected, chosen by a hash of the text) is turned into sparse rows once and dealt to ``SHARD_ROWS``-row shards; each
+expected, chosen by a hash of the id) is turned into sparse rows once and dealt to ``SHARD_ROWS``-row shards; each
 shard fits, and the shards' weights and thresholds are averaged. Scoring is one pass without a shuffle.
 
 The query's ratings have three grades: 0 for low quality, 1 for good but toxic, 2 for good and clean.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, id_bucket
+from spanwise.llm.common import bounded_batches, id_bucket, teaching_rows
 
 BITS, SAMPLE, SHARD_ROWS, STEPS, RATE, RIDGE = 16, 16_000, 4_000, 120, 0.25, 1e-4
 TOKEN = re.compile(r"\S+")
@@ -106,19 +106,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, k: int, s
 
 def learn(docs: DataFrame, ratings: DataFrame, grade: Column, sample: int = SAMPLE) -> tuple[int, np.ndarray, np.ndarray]:
     """(number of grades, weights, thresholds) from ratings (doc_id and a whole-number grade from 0)."""
-    known = ratings.select("doc_id", grade.cast("int").alias("grade")).where("grade >= 0")
-    n, top, kinds = known.agg(F.count(F.lit(1)), F.max("grade"), F.countDistinct("grade")).first()
-    if not n or kinds < 2:
+    known = ratings.select("doc_id", grade.cast("int").alias("label")).where("label >= 0")
+    top, kinds = known.agg(F.max("label"), F.countDistinct("label")).first()
+    if kinds < 2:
         return (0 if top is None else top + 1), np.zeros(1 << BITS), np.empty(0)
-    k, grain, shards = top + 1, 1 << 30, max(1, min(n, sample) // SHARD_ROWS)
-    spot = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), "doc_id"), F.lit(grain))
-    taught = bounded_batches(docs).select("doc_id", "text").join(known, "doc_id").where(spot < min(grain, grain * sample // n))
-    taught = taught.select("text", "grade", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(shards)).alias("shard"))
+    k = top + 1
+    taught, _ = teaching_rows(bounded_batches(docs), known, sample, SHARD_ROWS)
 
     def shard_fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["text", "grade"], na_position="first")
+        rows = rows.sort_values(["text", "label"])
         seen: dict = {}
-        w, cuts = fit([features(t, seen) for t in rows["text"]], rows["grade"].to_numpy(), k)
+        w, cuts = fit([features(t, seen) for t in rows["text"]], rows["label"].to_numpy(), k)
         slots = np.nonzero(np.abs(w) > 1e-4)[0]
         return pd.DataFrame({"slot": np.concatenate([slots, -1 - np.arange(k - 1)]), "w": np.concatenate([w[slots], cuts]), "shards": 1})
 

@@ -56,4 +56,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
-SQL: dict[str, str] = {}
+#: SQL for what SQL can express. Models, compression, flows and seeded choices, shingle hashes and images it can't; tests
+#: hold those against brute force.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op5_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT cast(item_id AS varchar) AS item, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+runs AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+places AS (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS run FROM (SELECT d.*, l.n, unnest(range(1, len(w) - l.n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM runs) l)),
+found AS (SELECT p.rid, p.n, p.i, r.item FROM places p JOIN runs r ON r.n = p.n AND r.run = p.run),
+hits AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS word FROM found) GROUP BY 1),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM found WHERE item IS NOT NULL) GROUP BY 1)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS bigint) AS n_hit, cast(coalesce(n_items, 0) AS bigint) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
+""",
+}

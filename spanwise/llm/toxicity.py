@@ -5,7 +5,7 @@ words, hashed to 2**``BITS`` slots. FTRL keeps a learning rate for each coordina
 weights at exactly zero, so the model that tasks receive is the few non-zero slots: it is bounded by ``KEPT`` weights
 (those of the largest size), whatever the corpus.
 
-Training takes labelled rows whose share is set so that ``SAMPLE`` rows are expected, chosen by a hash of the text; that
+Training takes labelled rows whose share is set so that ``SAMPLE`` rows are expected, chosen by a hash of the id; that
 is the only bound. They are dealt by hash to shards of about ``SHARD_ROWS`` rows, each runs FTRL for ``EPOCHS`` passes in a seeded
 order, and the weights are averaged: a weight that a shard leaves at zero counts as zero, which thins out what only one
 shard has memorised. Training takes the same memory and time for any corpus. Scoring is one pass without a shuffle.
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, id_bucket
+from spanwise.llm.common import bounded_batches, id_bucket, teaching_rows
 
 BITS, STEM, SKIPS = 20, 4, (1, 2, 3)  # distances of the word pairs: bigrams, then skip-grams
 SAMPLE, SHARD_ROWS, EPOCHS, KEPT = 16_000, 4_000, 6, 100_000
@@ -98,21 +98,17 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
     """Weights by slot from documents and their labels (doc_id, toxic)."""
-    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic")
-    taught = bounded_batches(docs).select("doc_id", "text").join(known, "doc_id")
-    n = known.count()
+    taught, n = teaching_rows(bounded_batches(docs), labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label")), sample, SHARD_ROWS)
     if not n:
         return {}
-    grain, shards = 1 << 30, max(1, min(n, sample) // SHARD_ROWS)
-    spot = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), "doc_id"), F.lit(grain))
-    chosen = taught.where(spot < min(grain, grain * sample // n)).select("text", "toxic", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(shards)).alias("shard"))
+    shards = max(1, min(n, sample) // SHARD_ROWS)
 
     def shard_weights(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["text", "toxic"], na_position="first")  # whatever order they came in
-        slots, w = fit(rows["text"].tolist(), rows["toxic"].tolist())
+        rows = rows.sort_values(["text", "label"])  # whatever order they came in
+        slots, w = fit(rows["text"].tolist(), rows["label"].tolist())
         return pd.DataFrame({"slot": slots, "w": w})
 
-    each = chosen.groupBy("shard").applyInPandas(shard_weights, "slot long, w double")
+    each = taught.groupBy("shard").applyInPandas(shard_weights, "slot long, w double")
     mean = each.groupBy("slot").agg((F.sum("w") / shards).alias("w"))
     return {r["slot"]: r["w"] for r in mean.orderBy(F.desc(F.abs("w")), "slot").limit(KEPT).collect()}
 
