@@ -65,3 +65,8 @@ def calendar_features(date: Column) -> list[Column]:
 def time_parts(ts: Column) -> list[Column]:
     """date, hour, minute, dayofweek (Monday 0), month, year of a timestamp."""
     return [F.to_date(ts).alias("date"), F.hour(ts).alias("hour"), F.minute(ts).alias("minute"), F.weekday(ts).alias("dayofweek"), F.month(ts).alias("month"), F.year(ts).alias("year")]
+
+
+def ceil_to_minute(ts: Column) -> Column:
+    floor = F.date_trunc("minute", ts).cast("timestamp_ntz")
+    return F.when(floor == ts.cast("timestamp_ntz"), floor).otherwise((floor + F.make_dt_interval(mins=F.lit(1))).cast("timestamp_ntz"))

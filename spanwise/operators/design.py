@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.functions.scalars import unit_hash
 from spanwise.operators import events as E
 from spanwise.operators.history import compute_historical_baselines
 from spanwise.operators.overlap import compute_overlap_features
@@ -71,3 +72,17 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = df.agg(*[f(c).alias(f"{c}__{n}") for c in columns for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
     out = df.join(F.broadcast(stats), how="left")  # one row
     return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__std")), F.lit(0.0)) for c in columns}).drop(*stats.columns)
+
+
+def join_filled(rows: DataFrame, values: DataFrame, column: str, otherwise: float = 0.2) -> DataFrame:
+    """Keys with a value from another table; missing ones get the mean of those that were found, else ``otherwise``."""
+    joined = rows.select(*KEYS).join(values.select(*KEYS, column), KEYS, "left")
+    mean = joined.agg(F.avg(column).alias("__mean"))
+    return joined.join(F.broadcast(mean), how="left").withColumn(column, F.coalesce(column, "__mean", F.lit(otherwise))).drop("__mean")  # one row
+
+
+def hash_sample(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """n rows without replacement (all, if there are no more): those with the least hash of their keys, so a rerun takes the
+    same. Only the n least of each partition are moved."""
+    order = unit_hash(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), seed)
+    return df.withColumn("__order", order).orderBy("__order", *keys).limit(n).drop("__order")

@@ -7,11 +7,13 @@ all delays. A ladder is resolved once for each distinct context of a schedule, s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalars import clip, minutes_between, right_closed, unit_hash
 from spanwise.operators.events import prepare_schedule, usable_group, with_defaults
+from spanwise.sources.readers import load_cached
+from spanwise.sources.sinks import write_cached
 
 # Clips of a delay in minutes, bucket edges, smoothing, least rows of a level.
 CLIP_LOW, CLIP_HIGH = -60.0, 180.0
@@ -132,3 +134,18 @@ def schedule_contexts(schedule: DataFrame) -> DataFrame:
     return with_congestion(movements(prepare_schedule(schedule)), ("airport_group", "movement", "hour"))
 
 
+
+
+def fingerprint() -> dict:
+    """What identifies the samplers in a cache note: change a value and cached simulations no longer match."""
+    return {"clip": [CLIP_LOW, CLIP_HIGH], "block_edges": list(BLOCK_EDGES), "congestion_edges": list(CONGESTION_EDGES), "alpha": ALPHA, "least": LEAST, "salts": SALTS, "version": 1}
+
+
+def cached_simulation(spark: SparkSession, path: str, config: dict, make) -> DataFrame:
+    """A simulation's result from its cache if the configuration and the samplers are the same, else made and cached."""
+    note = {**config, "samplers": fingerprint()}
+    held = load_cached(spark, path, note)
+    if held is None:
+        write_cached(make(), path, note)
+        held = spark.read.parquet(path)
+    return held

@@ -158,3 +158,12 @@ def school_holiday_join(base: DataFrame, school: DataFrame) -> DataFrame:
     first = school.groupBy(*on).agg(F.min(F.struct(name.alias("n"), flag.alias("f"))).alias("s"))
     out = base.join(first, on, "left")
     return out.withColumn("is_school_holiday_calendar", F.coalesce("s.f", F.lit(0))).withColumn("school_holiday_name", F.coalesce("s.n", F.lit(""))).drop("s")
+
+
+def enrich_with_groups(airports: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Every row of the group mapping (airport_group, airport) with what is known of the airport, matched by upper-case
+    code; columns that both have keep the mapping's value and get the other's as ``<name>_our``."""
+    known = airports.withColumn("iata_code", F.upper("iata_code"))
+    wanted = mapping.withColumn("iata_code", F.upper("airport")).drop("airport")
+    clash = [c for c in known.columns if c in wanted.columns and c != "iata_code"]
+    return wanted.join(known.withColumnsRenamed({c: f"{c}_our" for c in clash}), "iata_code", "left")

@@ -309,6 +309,10 @@ SQL: dict[str, str] = {
     "simulated_events": with_("simulated") + "SELECT cast(sim_id AS integer) AS sim_id, airport_group, movement, count(*) AS n_events, min(base_time) AS first_time, max(base_time) AS last_time, cast(sum(hour(base_time) * 60 + minute(base_time)) AS bigint) AS minutes FROM simulated GROUP BY ALL",
     "simulation_summary": with_("sim_h", "sim_grid") + "SELECT g.airport_group, g.date, g.hour, " + ", ".join(r(f"coalesce(sum({m}), 0) / 8.0", f"sim_{m}_mean") + ", " + r(f"sqrt(greatest((coalesce(sum({m} * {m}), 0) - coalesce(sum({m}), 0) * coalesce(sum({m}), 0) / 8.0) / 7.0, 0))", f"sim_{m}_std") for m in SIM) + f", {r('coalesce(sum(prob_any_overlap), 0) / 8.0', 'sim_prob_any_overlap')}, cast(8 AS integer) AS simulations_used FROM sim_grid g LEFT JOIN sim_h s ON s.airport_group = g.airport_group AND s.h = cast(epoch(cast(g.date AS timestamp)) // 3600 AS bigint) + g.hour GROUP BY 1, 2, 3",
     "feature_matrix": "",
+    "airport_groups_enriched": with_("airports") + f"SELECT m.airport_group, m.code AS iata_code, a.ident, a.airport_group AS airport_group_our, {r('latitude', 'latitude')}, {r('elevation', 'elevation')} FROM (SELECT {letter('n_nationkey')} AS airport_group, 'C' || (n_nationkey * 30) AS code FROM nation) m LEFT JOIN (SELECT * FROM airports WHERE ident < 'x3') a ON upper(a.iata_code) = m.code",
+    "simulation_fill": with_("days") + f", v AS (SELECT airport_group, hour, avg(target) AS v FROM days GROUP BY ALL), j AS (SELECT d.airport_group, d.date, d.hour, CASE WHEN d.hour % 3 <> 0 THEN v.v END AS v FROM days d JOIN v USING (airport_group, hour) WHERE date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31') SELECT airport_group, date, hour, {r('coalesce(v, (SELECT avg(v) FROM j), 0.2)', 'sim_prob_any_overlap')} FROM j",
+    "hash_sample": with_("days") + f"SELECT * FROM days ORDER BY {unit(chr(40) + 'airport_group || ' + repr('/') + ' || date || ' + repr('/') + ' || hour' + chr(41), 0)}, airport_group, date, hour LIMIT 200",
+    "minute_bounds": with_("movements") + "SELECT flight_id, cast(base_time AS date) AS date, cast(hour(base_time) AS integer) AS hour, cast(minute(base_time) AS integer) AS minute, cast(isodow(base_time) - 1 AS integer) AS dayofweek, cast(month(base_time) AS integer) AS month, cast(year(base_time) AS integer) AS year, date_trunc('minute', base_time) AS floored, date_trunc('minute', base_time + INTERVAL 59999999 microseconds) AS ceiled FROM movements",
     "design_frame": with_("target", "hourly", "ranges", "weather") + f""", w AS (SELECT airport_group, date, hour, avg(air_temperature) AS t, cast(avg(cloud_area_fraction_low) >= 80 OR avg(relative_humidity) >= 90 AS integer) AS ifr FROM weather GROUP BY ALL)
         SELECT airport_group, date, hour, target, {SEASON.format('date')} AS season, cast(isodow(date) >= 6 AS integer) AS is_weekend, cast(n_all AS bigint) AS scheduled_movements, scheduled_dep_next_90m, {r('coalesce(t, 0)', 'air_temperature_mean')}, coalesce(ifr, 0) AS weather_ifr_proxy FROM target JOIN hourly USING (airport_group, date, hour) JOIN ranges USING (airport_group, date, hour) LEFT JOIN w USING (airport_group, date, hour)""",
     "delay_quantile_lookup": with_("h7_ready") + f"SELECT flight_id, movement, airport_group, scheduled_time, n AS n_history, {r('coalesce(ordered[cast(least(n - 1, floor(' + unit('flight_id', 5) + ' * n)) AS integer) + 1], 0)', 'delay')} FROM h7_ready",

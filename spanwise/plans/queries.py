@@ -308,6 +308,13 @@ def nearest_station(spark, d):
     return W.nearest_station(a, s).select("airport", F.round("distance_km", 3).alias("distance_km"))
 
 
+@query
+def airport_groups_enriched(spark, d):
+    mapping = A.table(spark, d, "nation").select(A.letter(F.col("n_nationkey")).alias("airport_group"), F.concat(F.lit("C"), (F.col("n_nationkey") * 30).cast("string")).alias("airport"))
+    out = W.enrich_with_groups(_airports(spark, d).where("ident < 'x3'"), mapping)
+    return rounded(out.select("airport_group", "iata_code", "ident", "airport_group_our", "latitude", "elevation"))
+
+
 @query
 def holiday_join(spark, d):
     days = A.daily_target(spark, d)
@@ -505,6 +512,25 @@ def design_frame(spark, d):
     return rounded(D.fill_numbers(parts.select(*KEYS, "target", "season", "is_weekend", "scheduled_movements", "scheduled_dep_next_90m", "air_temperature_mean", "weather_ifr_proxy")))
 
 
+@query
+def simulation_fill(spark, d):
+    days = A.daily_target(spark, d)
+    values = H.compute_historical_baselines(days, days).where("hour % 3 <> 0").withColumnRenamed("hist_rate_group_hour", "sim_prob_any_overlap")
+    july = E.select_time_window(days, "date", "1997-07-01", "1997-07-31")
+    return rounded(D.join_filled(july, values, "sim_prob_any_overlap"))
+
+
+@query
+def hash_sample(spark, d):
+    return D.hash_sample(A.daily_target(spark, d), 200, KEYS)
+
+
+@query
+def minute_bounds(spark, d):
+    m = A.movements(spark, d)
+    return m.select("flight_id", *C.time_parts(F.col("base_time")), F.date_trunc("minute", "base_time").cast("timestamp_ntz").alias("floored"), C.ceil_to_minute(F.col("base_time")).alias("ceiled"))
+
+
 # --- models
 
 
