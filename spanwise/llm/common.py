@@ -46,7 +46,7 @@ def row_keys(*cols: Column) -> list[Column]:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the session names; tests without one get a temporary folder."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
 

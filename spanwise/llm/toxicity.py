@@ -35,29 +35,35 @@ WORD = re.compile(r"\w+")
 _SLOTS = np.uint32((1 << BITS) - 1)
 
 
-def _hashes(words: list[str], seen: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(words), np.uint32)
-    for i, w in enumerate(words):
-        if (h := seen.get(w)) is None:
-            if len(seen) > 400_000:
-                seen.clear()
-            seen[w] = h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        out[i] = h
-    return out
-
-
-def features(text: str | None, seen: dict[str, int]) -> np.ndarray:
-    """Distinct slots of a text's n-grams and skip-grams; ``seen`` caches hashes of words."""
+class Words(dict):
+    """Hash of a word in the lower 32 bits, of its stem (0 for short words) in the upper; remembered while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        stem = zlib.crc32(f"{word[:STEM]}*".encode("utf-8", "surrogatepass")) if len(word) > STEM else 0
+        self[word] = value = zlib.crc32(word.encode("utf-8", "surrogatepass")) | stem << 32
+        return value
+
+
+_words = Words()  # a worker process keeps it over batches
+
+
+def slots_of(text: str | None) -> np.ndarray:
+    """Slots of a text's n-grams and skip-grams, repeats included."""
     words = WORD.findall((text or "").lower())
-    if not words:
-        return np.empty(0, np.int32)
-    hashes = _hashes(words, seen)
-    stems = _hashes([f"{w[:STEM]}*" for w in words if len(w) > STEM], seen)
+    both = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes, stems = both.astype(np.uint32), (both >> np.uint64(32)).astype(np.uint32)
+    stems = stems[stems != 0]
     found = [hashes ^ hashes >> np.uint32(15), stems ^ stems >> np.uint32(15)]
     for d in SKIPS:
         pairs = (hashes[:-d] * np.uint32(0x9E3779B1) ^ hashes[d:] + np.uint32(d)) * np.uint32(0x85EBCA77)
         found.append(pairs ^ pairs >> np.uint32(15))
-    return np.unique(np.concatenate(found) & _SLOTS).astype(np.int32)
+    return (np.concatenate(found) & _SLOTS).astype(np.int32)
+
+
+def features(text: str | None) -> np.ndarray:
+    return np.unique(slots_of(text))
 
 
 class Ftrl:
@@ -85,8 +91,8 @@ class Ftrl:
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) that aren't zero."""
-    model, seen = Ftrl(), {}
-    rows = [features(t, seen) for t in texts]
+    model = Ftrl()
+    rows = [features(t) for t in texts]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -119,11 +125,16 @@ def score(docs: DataFrame, weights: dict[int, float]):
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        table, seen = np.zeros((1 << BITS) + 1), {}
-        table[sent.value[0]] = sent.value[1]
-        if not len(sent.value[0]):
+        slots, weights = sent.value
+        if not len(slots):
             return pd.Series(np.zeros(len(texts)))
-        margin = np.array([table[features(t, seen)].sum() for t in texts]) + table[1 << BITS]
+        table, used = np.zeros((1 << BITS) + 1, np.float32), np.zeros(1 << BITS, bool)
+        table[slots], used[slots[slots < 1 << BITS]] = weights, True
+        margin = np.empty(len(texts))
+        for i, t in enumerate(texts):
+            found = slots_of(t)
+            margin[i] = table[np.unique(found[used[found]])].sum(dtype=np.float64)  # other slots weigh nothing
+        margin += table[1 << BITS]
         return pd.Series(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
 
     return scored(F.col("text"))

@@ -30,10 +30,10 @@ def test_ftrl_against_the_plain_recursion():
 
 
 def test_features_are_ngrams_and_skipgrams():
-    one, two = (set(T.features(t, {}).tolist()) for t in ("alpha beta gamma delta", "Alpha, BETA; gamma -- delta"))
+    one, two = (set(T.features(t).tolist()) for t in ("alpha beta gamma delta", "Alpha, BETA; gamma -- delta"))
     assert one == two and len(one) == 4 + 3 + 3 + 2 + 1  # words, stems of the longer ones, pairs at three distances
-    assert len(T.features("beta alpha", {})) == len(T.features("alpha beta", {})) and set(T.features("beta alpha", {})) != set(T.features("alpha beta", {}))
-    assert len(T.features(None, {})) == len(T.features("...", {})) == 0
+    assert len(T.features("beta alpha")) == len(T.features("alpha beta")) and set(T.features("beta alpha")) != set(T.features("alpha beta"))
+    assert len(T.features(None)) == len(T.features("...")) == 0
 
 
 def test_held_out_documents(spark):
