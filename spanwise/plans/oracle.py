@@ -142,16 +142,15 @@ VIEWS = {
     "sided": congested("sides"),
     "flown": congested("sides", where="actual_time IS NOT NULL"),
     "delays": "SELECT *, greatest(least((epoch(actual_time) - epoch(scheduled_time)) / 60.0, 180.0), -60.0) AS delay FROM flown",
-    "history": "SELECT * FROM flights WHERE std < TIMESTAMP '1998-01-01' AND service_type <> '5-LOW'",
+    "history": "SELECT * FROM flights WHERE std < TIMESTAMP '1998-01-01'",
     "future": "SELECT flight_id, dep_airport_group, arr_airport_group, coalesce(service_type, 'unknown') AS service_type, 0 AS cancelled, std, sta, cast(NULL AS timestamp) AS atd, cast(NULL AS timestamp) AS ata FROM flights WHERE std >= TIMESTAMP '1998-01-01'",
-    "history7": "SELECT * FROM history WHERE hour(std) <> 7",
     "scored": "SELECT d.*, round((gh.v + dh.v) / 2, 9) AS score FROM days d JOIN (SELECT airport_group, hour, avg(target) AS v FROM days GROUP BY ALL) gh USING (airport_group, hour) JOIN (SELECT isodow(date) AS dow, hour, avg(target) AS v FROM days GROUP BY ALL) dh ON dh.dow = isodow(d.date) AND dh.hour = d.hour",
     "airports": f"SELECT 'x' || c_custkey AS ident, 'c' || (c_custkey % 500) AS iata_code, {letter('c_nationkey')} AS airport_group, CASE WHEN c_custkey % 17 <> 0 THEN 58 + (c_custkey % 1300) / 100.0 END AS latitude, 5 + (c_custkey * 7 % 2500) / 100.0 AS longitude, cast(c_custkey % 900 AS double) AS elevation FROM customer",
     "importance": "SELECT ['sim_', 'overlap_', 'scheduled_', 'hist_', 'weather_', 'hour_'][cast(p_partkey % 6 + 1 AS integer)] || p_partkey AS feature, cast(p_partkey * 31 % 997 AS double) AS gain FROM part",
 }
 NEEDS = {
     "actuals": ("movements",), "flights1": ("flights0",), "flights": ("flights1",), "lagged": ("target",), "target": ("actuals_o",), "since": ("lagged",), "recent": ("since",),
-    "sides": ("flights",), "sided": ("sides",), "flown": ("sides",), "delays": ("flown",), "history": ("flights",), "future": ("flights",), "history7": ("history",), "scored": ("days",),
+    "sides": ("flights",), "sided": ("sides",), "flown": ("sides",), "delays": ("flown",), "history": ("flights",), "future": ("flights",), "scored": ("days",),
     **{f"{e}_{a}": tuple(f"{e}_{b}" if b else e for b in bs) + (("grid",) if a in ("g", "a") else ()) for e in ("movements", "actuals") for a, bs in {"w": ("",), "m": ("w",), "c": ("m",), "g": ("c",), "a": ("w",), "gap": ("a",), "o": ("g",)}.items()},
 }
 
@@ -167,27 +166,25 @@ def fitted(history: str, prefix: str) -> dict[str, str]:
     }
 
 
-for _history, _prefix in (("history", "h"), ("history7", "h7")):
-    VIEWS |= fitted(_history, _prefix)
-    NEEDS |= {f"{_prefix}_s": (_history,), f"{_prefix}_sc": (f"{_prefix}_s",), f"{_prefix}_d": (f"{_prefix}_s",), f"{_prefix}_cdf": (f"{_prefix}_d",), f"{_prefix}_rate": (f"{_prefix}_sc",)}
+VIEWS |= fitted("history", "h")
+NEEDS |= {"h_s": ("history",), "h_sc": ("h_s",), "h_d": ("h_s",), "h_cdf": ("h_d",), "h_rate": ("h_sc",)}
 
 VIEWS["future_s"] = congested("(" + sides("future") + ")")
 NEEDS["future_s"] = ("future",)
 # congestion of the future's sides by key, and each flight's deciding side
 VIEWS["future_k"] = "SELECT DISTINCT airport_group, movement, hour, congestion_bucket FROM future_s"
 NEEDS["future_k"] = ("future_s",)
-for _p in ("h", "h7"):
-    _joins, _rate = ladder(f"{_p}_rate", "congestion_bucket", "rate", "c")
-    VIEWS[f"{_p}_rated"] = f"""SELECT s.flight_id, s.dep_airport_group, s.arr_airport_group, s.service_type, s.cancelled, s.std, s.sta, s.atd, s.ata, coalesce({_rate}, g.rate) AS rate FROM (
-        SELECT f.*, f.m AS movement, f.g AS airport_group, f.h AS hour, k.congestion_bucket FROM (SELECT *, dep_airport_group IS NOT NULL AND dep_airport_group <> 'NA' AS u, CASE WHEN u THEN 'dep' ELSE 'arr' END AS m, CASE WHEN u THEN dep_airport_group ELSE arr_airport_group END AS g, hour(CASE WHEN u THEN std ELSE sta END) AS h FROM future) f
-        LEFT JOIN future_k k ON k.airport_group = f.g AND k.movement = f.m AND k.hour = f.h) s {_joins} CROSS JOIN (SELECT avg(cancelled) AS rate FROM h_s) g"""
-    NEEDS[f"{_p}_rated"] = ("future_k", f"{_p}_rate", "h_s")
-    _joins, _ = ladder(f"{_p}_cdf", "context", "n", "d")
-    VIEWS[f"{_p}_sides"] = congested("(" + sides(f"{_p}_rated", ", rate") + ")")
-    NEEDS[f"{_p}_sides"] = (f"{_p}_rated",)
-    _n, _o = ("coalesce(" + ", ".join(f"d{i}.{c}" for i in range(7)) + ")" for c in ("n", "ordered"))
-    VIEWS[f"{_p}_ready"] = f"SELECT s.*, {_n} AS n, {_o} AS ordered FROM {_p}_sides s {_joins}"
-    NEEDS[f"{_p}_ready"] = (f"{_p}_sides", f"{_p}_cdf")
+_joins, _rate = ladder("h_rate", "congestion_bucket", "rate", "c")
+VIEWS["h_rated"] = f"""SELECT s.flight_id, s.dep_airport_group, s.arr_airport_group, s.service_type, s.cancelled, s.std, s.sta, s.atd, s.ata, coalesce({_rate}, g.rate) AS rate FROM (
+    SELECT f.*, f.m AS movement, f.g AS airport_group, f.h AS hour, k.congestion_bucket FROM (SELECT *, dep_airport_group IS NOT NULL AND dep_airport_group <> 'NA' AS u, CASE WHEN u THEN 'dep' ELSE 'arr' END AS m, CASE WHEN u THEN dep_airport_group ELSE arr_airport_group END AS g, hour(CASE WHEN u THEN std ELSE sta END) AS h FROM future) f
+    LEFT JOIN future_k k ON k.airport_group = f.g AND k.movement = f.m AND k.hour = f.h) s {_joins} CROSS JOIN (SELECT avg(cancelled) AS rate FROM h_s) g"""
+NEEDS["h_rated"] = ("future_k", "h_rate", "h_s")
+_joins, _ = ladder("h_cdf", "context", "n", "d")
+VIEWS["h_sides"] = congested("(" + sides("h_rated", ", rate") + ")")
+NEEDS["h_sides"] = ("h_rated",)
+_n, _o = ("coalesce(" + ", ".join(f"d{i}.{c}" for i in range(7)) + ")" for c in ("n", "ordered"))
+VIEWS["h_ready"] = f"SELECT s.*, {_n} AS n, {_o} AS ordered FROM h_sides s {_joins}"
+NEEDS["h_ready"] = ("h_sides", "h_cdf")
 
 VIEWS["sims"] = "SELECT *, unnest(range(8)) AS sim_id FROM h_ready"
 NEEDS["sims"] = ("h_ready",)
@@ -221,7 +218,7 @@ def hist(source: str, rows: str, extra: str = "") -> str:
 
 
 def month_stats(keys: str) -> str:
-    return f"SELECT {keys} month(date) AS month, avg(target) AS a, median(target) AS b, coalesce(stddev_samp(target), 0) AS c, count(target) AS d FROM days WHERE airport_group <> 'C' OR month(date) > 6 GROUP BY ALL"
+    return f"SELECT {keys} month(date) AS month, avg(target) AS a, median(target) AS b, coalesce(stddev_samp(target), 0) AS c, count(target) AS d FROM days GROUP BY ALL"
 
 
 AUC = """SELECT {by} (sum(CASE WHEN target = 1 THEN rk END) - sum(target) * (sum(target) + 1) / 2.0) / (sum(target) * (count(*) - sum(target))) AS auc, sum(target) AS p, count(*) AS n
@@ -258,7 +255,7 @@ SQL: dict[str, str] = {
     "season_map": with_("days") + f"SELECT {SEASON.format('date')} AS season, count(*) AS n_rows, cast(sum(target) AS bigint) AS n_positive FROM days GROUP BY 1",
     "time_features": with_("days") + f"SELECT date, cast(isodow(date) - 1 AS integer) AS dayofweek, cast(month(date) AS integer) AS month, cast(week(date) AS integer) AS weekofyear, cast(day(date) = 1 AS integer) AS is_month_start, cast(last_day(date) = date AS integer) AS is_month_end, {wave('month(date)', 12, 'month')}, {wave('(isodow(date) - 1)', 7, 'dow')} FROM (SELECT DISTINCT date FROM days)",
     "airport_time_buckets": with_("days") + f"SELECT *, {_hour_bucket} AS airport_hour_bucket, {_day_bucket} AS airport_dow_bucket FROM days",
-    "historical_rates": hist("(SELECT * FROM days WHERE hour <> 5 OR airport_group <> 'A')", "grid").replace("WITH ", with_("days", "grid").rstrip() + ",\n", 1),
+    "historical_rates": hist("days", "grid").replace("WITH ", with_("days", "grid").rstrip() + ",\n", 1),
     "monthly_target_stats": with_("days") + f"SELECT airport_group, cast(month(date) AS integer) AS month, {r('avg(target)', 'month_target_mean')}, {r('median(target)', 'month_target_median')}, {r('coalesce(stddev_samp(target), 0)', 'month_target_std')}, count(target) AS month_target_count FROM days GROUP BY ALL",
     "monthly_stats_fallback": with_("days") + f"""SELECT x.airport_group, x.date, x.hour, {r('coalesce(f.a, g.a, 0)', 'month_target_mean')}, {r('coalesce(f.b, g.b, 0)', 'month_target_median')}, {r('coalesce(f.c, g.c, 0)', 'month_target_std')}, cast(coalesce(f.d, g.d, 0) AS bigint) AS month_target_count
         FROM days x LEFT JOIN ({month_stats('airport_group,')}) f ON f.airport_group = x.airport_group AND f.month = month(x.date) LEFT JOIN ({month_stats('')}) g ON g.month = month(x.date)""",
@@ -266,7 +263,7 @@ SQL: dict[str, str] = {
     "target_rolling": with_("lagged") + "SELECT airport_group, date, hour, " + ", ".join(r(f"CASE WHEN count(target) OVER w{n} >= {max(low, n // 4)} THEN {f}(target) OVER w{n} END", f"target_rolling_{name}_{n}h") for n in (24, 72, 168, 336) for f, name, low in (("avg", "mean", 1), ("stddev_samp", "std", 2))) + " FROM lagged WINDOW " + ", ".join(f"w{n} AS (PARTITION BY airport_group ORDER BY date, hour ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (24, 72, 168, 336)),
     "hours_since_positive": with_("since") + "SELECT airport_group, date, hour, cast(since AS double) AS hours_since_positive FROM since",
     "recent_defaults": with_("recent") + "SELECT airport_group, hour, date, " + ", ".join(r(c, c) for c in ("target_prev_hour", "target_rolling_mean_24h", "target_rolling_std_24h", "hours_since_positive")) + " FROM recent QUALIFY row_number() OVER (PARTITION BY airport_group, hour ORDER BY date DESC) = 1",
-    "recent_fallback_fill": with_("recent") + ", kept AS (SELECT * FROM recent WHERE (airport_group <> 'B' OR hour < 12) AND airport_group <> 'G'), fine AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY airport_group, hour ORDER BY date DESC) = 1), coarse AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY airport_group ORDER BY date DESC, hour DESC) = 1) SELECT g.airport_group, DATE '2024-01-31' AS date, g.hour, " + ", ".join(r(f"coalesce(fine.{c}, coarse.{c}, (SELECT avg({c}) FROM kept), 0)", c) for c in ("target_prev_hour", "target_rolling_mean_24h", "hours_since_positive")) + " FROM (SELECT DISTINCT airport_group, hour FROM grid) g LEFT JOIN fine ON fine.airport_group = g.airport_group AND fine.hour = g.hour LEFT JOIN coarse ON coarse.airport_group = g.airport_group",
+    "recent_fallback_fill": with_("recent") + ", kept AS (SELECT * FROM recent), fine AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY airport_group, hour ORDER BY date DESC) = 1), coarse AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY airport_group ORDER BY date DESC, hour DESC) = 1) SELECT g.airport_group, DATE '2024-01-31' AS date, g.hour, " + ", ".join(r(f"coalesce(fine.{c}, coarse.{c}, (SELECT avg({c}) FROM kept), 0)", c) for c in ("target_prev_hour", "target_rolling_mean_24h", "hours_since_positive")) + " FROM (SELECT DISTINCT airport_group, hour FROM grid) g LEFT JOIN fine ON fine.airport_group = g.airport_group AND fine.hour = g.hour LEFT JOIN coarse ON coarse.airport_group = g.airport_group",
     "mean_imputation": with_("recent") + "SELECT airport_group, date, hour, " + ", ".join(r(f"coalesce({c}, (SELECT avg({c}) FROM recent), 0)", c) for c in ("target_prev_hour", "target_rolling_mean_24h", "target_rolling_std_24h", "hours_since_positive")) + " FROM recent",
     "weather_rollup": with_("weather") + "SELECT airport_group, date, hour, " + ", ".join(r(f"{f}({c})", f"{c}_{n}") for c, kinds in (("air_temperature", "mean min max"), ("wind_speed_of_gust", "max"), ("relative_humidity", "mean"), ("cloud_area_fraction_low", "mean"), ("precipitation_amount_1h", "mean max")) for n in kinds.split() for f in ["avg" if n == "mean" else n]) + " FROM weather GROUP BY ALL",
     "weather_flags": with_("weather") + f""", agg AS (SELECT airport_group, date, hour, cast(max(wind_speed_of_gust) >= 15 AS integer) AS hw, cast(max(precipitation_amount_1h) >= 3 AS integer) AS hp, cast(avg(cloud_area_fraction_low) >= 80 AS integer) AS lc, avg(relative_humidity) AS rh FROM weather GROUP BY ALL),
@@ -289,7 +286,7 @@ SQL: dict[str, str] = {
     "temporal_target_encoding": with_("days") + f""", b AS (SELECT *, {_hour_bucket} AS airport_hour_bucket, strftime(date, '%Y-%m') AS p FROM days), folds AS (SELECT DISTINCT p FROM b ORDER BY p DESC LIMIT 4),
         enc AS (SELECT f.p, t.airport_hour_bucket AS c, avg(t.target) AS v FROM folds f JOIN b t ON t.p < f.p GROUP BY ALL)
         SELECT b.airport_group, b.date, b.hour, b.target, b.airport_hour_bucket, {r('coalesce(enc.v, (SELECT avg(target) FROM b))', 'airport_hour_bucket_target_enc')} FROM b LEFT JOIN enc ON enc.p = b.p AND enc.c = b.airport_hour_bucket""",
-    "apply_target_encoding": with_("days") + f""", b AS (SELECT *, {_day_bucket} AS airport_dow_bucket FROM days), train AS (SELECT * FROM b WHERE date < DATE '1999-01-01' AND airport_dow_bucket <> 'C_d3'), m AS (SELECT airport_dow_bucket, avg(target) AS v FROM train GROUP BY 1)
+    "apply_target_encoding": with_("days") + f""", b AS (SELECT *, {_day_bucket} AS airport_dow_bucket FROM days), train AS (SELECT * FROM b WHERE date < DATE '1999-01-01'), m AS (SELECT airport_dow_bucket, avg(target) AS v FROM train GROUP BY 1)
         SELECT b.*, {r('coalesce(m.v, (SELECT avg(target) FROM train))', 'airport_dow_bucket_target_enc')} FROM b LEFT JOIN m USING (airport_dow_bucket)""",
     "one_hot_frozen": with_("days") + "SELECT date, hour, target, " + ", ".join(f"cast(airport_group = '{g}' AS integer) AS airport_group_{g}" for g in "ABCDE") + " FROM days",
     "roc_auc": with_("scored") + f"SELECT {r('auc', 'auc')}, cast(n AS bigint) AS n FROM (" + AUC.format(by="", part="", part2="PARTITION BY", group="") + ")",
@@ -304,18 +301,18 @@ SQL: dict[str, str] = {
     "cancel_rates": with_("sided") + f"SELECT level, key, n, {r('rate', 'rate')} FROM (" + by_levels("sided", "congestion_bucket", "count(*) AS n, (sum(cancelled) + 1.0) / (count(*) + 2.0) AS rate") + ")",
     "delay_distributions": with_("delays") + f"SELECT level, key, n, {_cdf} FROM (" + by_levels("delays", "context", "count(*) AS n, list(delay ORDER BY delay) AS ordered", "HAVING count(*) >= 5 OR {level} = 7") + ")",
     "congestion_buckets": with_("sides") + "SELECT movement, block_bucket, congestion_bucket, count(*) AS n_rows, max(congestion) AS most FROM (" + congested("sides", "airport_group, movement, scheduled_time") + ") GROUP BY ALL",
-    "cancel_ladder": with_("h7_rated") + f"SELECT dep_airport_group, service_type, cast(hour(std) AS integer) AS hour, count(*) AS n_flights, {r('avg(rate)', 'rate')} FROM h7_rated GROUP BY 1, 2, 3",
+    "cancel_ladder": with_("h_rated") + f"SELECT dep_airport_group, service_type, cast(hour(std) AS integer) AS hour, count(*) AS n_flights, {r('avg(rate)', 'rate')} FROM h_rated GROUP BY 1, 2, 3",
     "stratified_uniforms": with_("flights") + ", s AS (SELECT flight_id, cast(unnest(range(8)) AS integer) AS sim_id FROM flights) SELECT sim_id, " + ", ".join(f"round({f}(u_{s}), 9) AS {s}_{n}" for s in ("cancel", "dep", "arr") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))) + f" FROM (SELECT sim_id, {', '.join(f'{draw(s)} AS u_{s}' for s in ('cancel', 'dep', 'arr'))} FROM s) GROUP BY 1",
     "simulated_events": with_("simulated") + "SELECT cast(sim_id AS integer) AS sim_id, airport_group, movement, count(*) AS n_events, min(base_time) AS first_time, max(base_time) AS last_time, cast(sum(hour(base_time) * 60 + minute(base_time)) AS bigint) AS minutes FROM simulated GROUP BY ALL",
     "simulation_summary": with_("sim_h", "sim_grid") + "SELECT g.airport_group, g.date, g.hour, " + ", ".join(r(f"coalesce(sum({m}), 0) / 8.0", f"sim_{m}_mean") + ", " + r(f"sqrt(greatest((coalesce(sum({m} * {m}), 0) - coalesce(sum({m}), 0) * coalesce(sum({m}), 0) / 8.0) / 7.0, 0))", f"sim_{m}_std") for m in SIM) + f", {r('coalesce(sum(prob_any_overlap), 0) / 8.0', 'sim_prob_any_overlap')}, cast(8 AS integer) AS simulations_used FROM sim_grid g LEFT JOIN sim_h s ON s.airport_group = g.airport_group AND s.h = cast(epoch(cast(g.date AS timestamp)) // 3600 AS bigint) + g.hour GROUP BY 1, 2, 3",
     "feature_matrix": "",
-    "airport_groups_enriched": with_("airports") + f"SELECT m.airport_group, m.code AS iata_code, a.ident, a.airport_group AS airport_group_our, {r('latitude', 'latitude')}, {r('elevation', 'elevation')} FROM (SELECT {letter('n_nationkey')} AS airport_group, 'C' || (n_nationkey * 30) AS code FROM nation) m LEFT JOIN (SELECT * FROM airports WHERE ident < 'x3') a ON upper(a.iata_code) = m.code",
-    "simulation_fill": with_("days") + f", v AS (SELECT airport_group, hour, avg(target) AS v FROM days GROUP BY ALL), j AS (SELECT d.airport_group, d.date, d.hour, CASE WHEN d.hour % 3 <> 0 THEN v.v END AS v FROM days d JOIN v USING (airport_group, hour) WHERE date BETWEEN DATE '1997-07-01' AND DATE '1997-07-31') SELECT airport_group, date, hour, {r('coalesce(v, (SELECT avg(v) FROM j), 0.2)', 'sim_prob_any_overlap')} FROM j",
+    "airport_groups_enriched": with_("airports") + f"SELECT m.airport_group, m.code AS iata_code, a.ident, a.airport_group AS airport_group_our, {r('latitude', 'latitude')}, {r('elevation', 'elevation')} FROM (SELECT {letter('n_nationkey')} AS airport_group, 'C' || (n_nationkey * 30) AS code FROM nation) m LEFT JOIN airports a ON upper(a.iata_code) = m.code",
+    "simulation_fill": with_("days", "grid") + f", j AS (SELECT g.airport_group, g.d AS date, g.hour, cast(target AS double) AS v FROM (SELECT airport_group, hour, date + cast(DATE '1997-07-01' - DATE '2024-01-01' AS integer) AS d FROM grid) g LEFT JOIN days ON days.airport_group = g.airport_group AND days.date = g.d AND days.hour = g.hour) SELECT airport_group, date, hour, {r('coalesce(v, (SELECT avg(v) FROM j), 0.2)', 'sim_prob_any_overlap')} FROM j",
     "hash_sample": with_("days") + f"SELECT * FROM days ORDER BY {unit(chr(40) + 'airport_group || ' + repr('/') + ' || date || ' + repr('/') + ' || hour' + chr(41), 0)}, airport_group, date, hour LIMIT 200",
     "minute_bounds": with_("movements") + "SELECT flight_id, cast(base_time AS date) AS date, cast(hour(base_time) AS integer) AS hour, cast(minute(base_time) AS integer) AS minute, cast(isodow(base_time) - 1 AS integer) AS dayofweek, cast(month(base_time) AS integer) AS month, cast(year(base_time) AS integer) AS year, date_trunc('minute', base_time) AS floored, date_trunc('minute', base_time + INTERVAL 59999999 microseconds) AS ceiled FROM movements",
     "design_frame": with_("target", "hourly", "ranges", "weather") + f""", w AS (SELECT airport_group, date, hour, avg(air_temperature) AS t, cast(avg(cloud_area_fraction_low) >= 80 OR avg(relative_humidity) >= 90 AS integer) AS ifr FROM weather GROUP BY ALL)
         SELECT airport_group, date, hour, target, {SEASON.format('date')} AS season, cast(isodow(date) >= 6 AS integer) AS is_weekend, cast(n_all AS bigint) AS scheduled_movements, scheduled_dep_next_90m, {r('coalesce(t, 0)', 'air_temperature_mean')}, coalesce(ifr, 0) AS weather_ifr_proxy FROM target JOIN hourly USING (airport_group, date, hour) JOIN ranges USING (airport_group, date, hour) LEFT JOIN w USING (airport_group, date, hour)""",
-    "delay_quantile_lookup": with_("h7_ready") + f"SELECT flight_id, movement, airport_group, scheduled_time, n AS n_history, {r('coalesce(ordered[cast(least(n - 1, floor(' + unit('flight_id', 5) + ' * n)) AS integer) + 1], 0)', 'delay')} FROM h7_ready",
+    "delay_quantile_lookup": with_("h_ready") + f"SELECT flight_id, movement, airport_group, scheduled_time, n AS n_history, {r('coalesce(ordered[cast(least(n - 1, floor(' + unit('flight_id', 5) + ' * n)) AS integer) + 1], 0)', 'delay')} FROM h_ready",
     "streaming_hourly_counts": with_("movements") + "SELECT airport_group, date_trunc('hour', base_time) AS hour_start, count(*) FILTER (movement = 'dep') AS departures, count(*) FILTER (movement = 'arr') AS arrivals FROM movements GROUP BY 1, 2",
 }
 SQL["feature_matrix"] = with_("days", "hourly", "ranges", "movements_o", "movements_gap") + f", hr AS ({hist('days', 'grid')}) SELECT airport_group, date, hour, {_schedule}, {_ranged}, " + ", ".join(r(c, c) for c in OVERLAP) + f", {_gap}, hist_rate_group_hour, hist_support_group_hour, hist_rate_month_hour, hist_rate_dow_hour FROM hourly JOIN ranges USING (airport_group, date, hour) JOIN movements_o USING (airport_group, date, hour) JOIN hr USING (airport_group, date, hour) LEFT JOIN movements_gap USING (airport_group, date, hour)"

@@ -176,7 +176,7 @@ def airport_time_buckets(spark, d):
 
 @query
 def historical_rates(spark, d):
-    return rounded(H.compute_historical_baselines(base(spark), A.daily_target(spark, d).where("hour <> 5 or airport_group <> 'A'")))
+    return rounded(H.compute_historical_baselines(base(spark), A.daily_target(spark, d)))
 
 
 @query
@@ -187,7 +187,7 @@ def monthly_target_stats(spark, d):
 @query
 def monthly_stats_fallback(spark, d):
     days = A.daily_target(spark, d)
-    return rounded(H.merge_monthly_stats(days.drop("target"), days.where("airport_group <> 'C' or month(date) > 6")))
+    return rounded(H.merge_monthly_stats(days.drop("target"), days))
 
 
 @query
@@ -212,7 +212,7 @@ def recent_defaults(spark, d):
 
 @query
 def recent_fallback_fill(spark, d):
-    recent = H.compute_recent_target_features(target(spark, d), (24,)).where("airport_group <> 'B' or hour < 12").where("airport_group <> 'G'")
+    recent = H.compute_recent_target_features(target(spark, d), (24,))
     new = A.grid(spark).where("date = date'2024-01-30'").withColumn("date", F.date_add("date", 1))
     return rounded(H.fill_recent_features(new, recent, ["target_prev_hour", "target_rolling_mean_24h", "hours_since_positive"]))
 
@@ -311,7 +311,7 @@ def nearest_station(spark, d):
 @query
 def airport_groups_enriched(spark, d):
     mapping = A.table(spark, d, "nation").select(A.letter(F.col("n_nationkey")).alias("airport_group"), F.concat(F.lit("C"), (F.col("n_nationkey") * 30).cast("string")).alias("airport"))
-    out = W.enrich_with_groups(_airports(spark, d).where("ident < 'x3'"), mapping)
+    out = W.enrich_with_groups(_airports(spark, d), mapping)
     return rounded(out.select("airport_group", "iata_code", "ident", "airport_group_our", "latitude", "elevation"))
 
 
@@ -346,15 +346,13 @@ def temporal_target_encoding(spark, d):
 @query
 def apply_target_encoding(spark, d):
     days = E.add_airport_time_buckets(A.daily_target(spark, d)).drop("airport_hour_bucket")
-    train = days.where("date < date'1999-01-01' and airport_dow_bucket <> 'C_d3'")
+    train = days.where("date < date'1999-01-01'")
     return rounded(N.apply_target_encoding(days, N.encoding_map(train, "airport_dow_bucket"), "airport_dow_bucket", train.agg(F.avg("target").alias("mean"))))
 
 
 @query
 def one_hot_frozen(spark, d):
-    days = A.daily_target(spark, d)
-    frozen = {"airport_group": N.vocabulary(days.where("airport_group < 'F'"), "airport_group")}
-    return N.one_hot(days, frozen)
+    return N.one_hot(A.daily_target(spark, d), {"airport_group": list("ABCDE")})  # F and G were unknown when it was frozen
 
 
 # --- metrics and reports
@@ -445,13 +443,13 @@ def congestion_buckets(spark, d):
 def _split(spark, d):
     """History: flights before 1998; schedule: flights from then on, without what isn't known of the future."""
     both = A.flights(spark, d)
-    return both.where("std < timestamp_ntz'1998-01-01 00:00:00' and service_type <> '5-LOW'"), both.where("std >= timestamp_ntz'1998-01-01 00:00:00'").drop("cancelled", "atd", "ata")
+    return both.where("std < timestamp_ntz'1998-01-01 00:00:00'"), both.where("std >= timestamp_ntz'1998-01-01 00:00:00'").drop("cancelled", "atd", "ata")
 
 
 @query
 def cancel_ladder(spark, d):
     history, schedule = _split(spark, d)
-    rates = S.cancel_rates(history.where("hour(std) <> 7"))
+    rates = S.cancel_rates(history)
     flights = MC.with_cancel_rate(S.prepare_schedule(schedule), rates, S.global_cancel_rate(history))
     return rounded(flights.groupBy("dep_airport_group", "service_type", F.hour("std").alias("hour")).agg(F.count(F.lit(1)).alias("n_flights"), F.avg("rate").alias("rate")))
 
@@ -459,7 +457,7 @@ def cancel_ladder(spark, d):
 @query
 def delay_quantile_lookup(spark, d):
     history, schedule = _split(spark, d)
-    sides = MC.prepared_sides(schedule, history.where("hour(std) <> 7"))
+    sides = MC.prepared_sides(schedule, history)
     u = unit_hash(F.col("flight_id"), 5)
     return rounded(sides.select("flight_id", "movement", "airport_group", "scheduled_time", F.col("n").alias("n_history"), S.quantile_of(F.col("cdf"), F.col("n"), u).alias("delay")))
 
@@ -514,10 +512,10 @@ def design_frame(spark, d):
 
 @query
 def simulation_fill(spark, d):
-    days = A.daily_target(spark, d)
-    values = H.compute_historical_baselines(days, days).where("hour % 3 <> 0").withColumnRenamed("hist_rate_group_hour", "sim_prob_any_overlap")
-    july = E.select_time_window(days, "date", "1997-07-01", "1997-07-31")
-    return rounded(D.join_filled(july, values, "sim_prob_any_overlap"))
+    """Every hour of a July; orders give values for some of them."""
+    values = A.daily_target(spark, d).withColumn("sim_prob_any_overlap", F.col("target").cast("double"))
+    hours = A.grid(spark).select("airport_group", F.add_months("date", -318).alias("date"), "hour")  # July 1997 for January 2024
+    return rounded(D.join_filled(hours, values, "sim_prob_any_overlap"))
 
 
 @query

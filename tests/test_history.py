@@ -98,3 +98,43 @@ def test_numbered_and_ablation(spark):
     assert sorted(r["__i"] for r in ML._numbered(df, F.col("h")).collect()) == list(range(1000))
     rows = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "target int, a array<double>")
     assert ML.channel_ablation(lambda d: d.withColumn("score", F.get("a", F.lit(0))), rows, ["a"]) == {"a": 0.5}
+
+
+def test_baselines_fall_back_to_the_mean_of_means(spark):
+    training = spark.createDataFrame([("A", date(2024, 1, 1), 0, 1), ("A", date(2024, 1, 8), 0, 0), ("B", date(2024, 1, 2), 0, 1)], ROWS)
+    base = spark.createDataFrame([("A", date(2024, 1, 15), 0), ("C", date(2024, 2, 4), 7)], "airport_group string, date date, hour int")
+    got = {r["airport_group"]: r for r in H.compute_historical_baselines(base, training).collect()}
+    assert (got["A"]["hist_rate_group_hour"], got["A"]["hist_support_group_hour"]) == (0.5, 2)
+    assert (got["C"]["hist_rate_group_hour"], got["C"]["hist_support_group_hour"]) == (0.75, 0)  # the mean of 0.5 and 1
+    assert abs(got["C"]["hist_rate_month_hour"] - 2 / 3) < 1e-12 and got["C"]["hist_rate_dow_hour"] == 0.75
+
+
+def test_month_statistics_fall_back_to_the_month_then_to_zero(spark):
+    training = spark.createDataFrame([("A", date(2024, 1, 1), 0, 1), ("A", date(2024, 1, 2), 0, 0), ("B", date(2024, 2, 2), 0, 1)], ROWS)
+    design = spark.createDataFrame([("A", date(2025, 1, 1), 0, 9.0), ("B", date(2025, 1, 1), 0, 9.0), ("B", date(2025, 3, 1), 0, 9.0)], "airport_group string, date date, hour int, month_target_mean double")
+    got = [r.asDict() for r in H.merge_monthly_stats(design, training).orderBy("airport_group", "date").collect()]
+    assert [r["month_target_mean"] for r in got] == [0.5, 0.5, 0.0] and [r["month_target_count"] for r in got] == [2, 2, 0]
+    assert H.monthly_target_stats(training.where("airport_group = 'B'")).first()["month_target_std"] == 0.0
+
+
+def test_imputation_and_filled_joins(spark):
+    df = spark.createDataFrame([(1.0, None), (float("nan"), None), (None, None), (3.0, None)], "a double, b double")
+    assert [tuple(r) for r in H.impute_means(df, ["a", "b"]).collect()] == [(1.0, 0.0), (2.0, 0.0), (2.0, 0.0), (3.0, 0.0)]
+    keys = hours(spark, [0, 0])
+    empty = keys.withColumn("v", F.lit(1.0)).limit(0)
+    assert {r["v"] for r in D.join_filled(keys, empty, "v").collect()} == {0.2}
+    assert D.hash_sample(keys, 5, ["airport_group", "date", "hour"]).count() == 2
+
+
+def test_nearest_station_beyond_the_cells(spark):
+    airports = spark.createDataFrame([("near", 60.0, 10.0), ("edge", 60.0, 179.9), ("far", -60.0, -100.0)], "airport string, latitude double, longitude double")
+    stations = spark.createDataFrame([("s1", 60.5, 10.5), ("s2", 60.0, -179.8), ("s3", 61.0, 12.0)], "station string, station_latitude double, station_longitude double")
+    got = {r["airport"]: r for r in W.nearest_station(airports, stations).collect()}
+    assert got["near"]["station"] == "s1" and got["edge"]["station"] == "s2" and got["edge"]["distance_km"] < 20 and got["far"]["station"] == "s2"
+    assert {r["station"] for r in W.nearest_station(airports, stations.limit(0)).collect()} == {None}
+
+
+def test_enrichment_keeps_unknown_airports(spark):
+    airports = spark.createDataFrame([("enx", "osl", "Oslo", "mine")], "ident string, iata_code string, name string, airport_group string")
+    out = W.enrich_with_groups(airports, spark.createDataFrame([("A", "OSL"), ("A", "zzz")], "airport_group string, airport string")).orderBy("iata_code").collect()
+    assert [(r["iata_code"], r["ident"], r["airport_group"], r["airport_group_our"]) for r in out] == [("OSL", "enx", "A", "mine"), ("ZZZ", None, "A", None)]

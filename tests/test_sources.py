@@ -59,3 +59,17 @@ def test_stream_counts_late_events(spark, tmp_path):
     got = {str(r["hour_start"]): (r["departures"], r["arrivals"]) for r in hourly.run_available(hourly.hourly_counts(stream), spark).collect()}
     assert got == {"2025-07-01 08:00:00": (2, 0), "2025-07-01 09:00:00": (1, 0)}
     assert hourly.hourly_counts(spark.read.schema(schema).parquet(str(tmp_path / "in"))).count() == 2
+
+
+def test_cached_simulation_is_made_once(spark, tmp_path):
+    from spanwise.operators.sampling import cached_simulation
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert cached_simulation(spark, str(tmp_path / "s"), {"n": 8}, make).count() == 3
+    assert len(made) == 1 and cached_simulation(spark, str(tmp_path / "s"), {"n": 9}, make).count() == 3 and len(made) == 2
