@@ -1,9 +1,9 @@
 """Interval overlap per group and hour: minute counters, statistics, minute sequences.
 
-An interval touches few hours, so it is exploded to these (two for the default windows, never to minutes), and one
-aggregation by (keys, hour) keeps sixty counters, one for each minute. They combine on the map side, so a shuffle moves
-one row for each hour and task however many intervals fall into the hour, and a hot group or hour is no hot task. All
-statistics then come from the sixty counters of a row.
+An interval touches few hours, so it is exploded to these (two for the default windows), never to minutes. Pieces of an
+hour with the same first and last minute are counted first, which combines on the map side: however many intervals fall
+into an hour, it is left with a bounded number of small rows, and a hot group or hour is no hot task. These few come
+together by (keys, hour), sixty counts are made of them, and all statistics are read off the counts.
 """
 
 from __future__ import annotations
@@ -30,20 +30,27 @@ def hour_pieces(intervals: DataFrame, keys: list[str], carried: tuple[str, ...]
     return pieces.select(*keys, *carried, "hour_number", "start_minute", first.alias("first"), last.alias("until"))
 
 
-def _counters(condition: Column | None = None) -> Column:
-    inside = lambda m: (F.col("first") <= m) & (F.col("until") > m)
-    return F.array(*[F.sum((inside(m) if condition is None else inside(m) & condition).cast("int")) for m in range(MINUTES)])
+def _active(pieces: Column) -> Column:
+    """Sixty counts of the pieces (structs first, until, n) that cover each minute."""
+    covers = lambda m: F.aggregate(pieces, F.lit(0).cast("long"), lambda n, x: n + F.when((x["first"] <= m) & (x["until"] > m), x["n"]).otherwise(F.lit(0).cast("long")))
+    return F.transform(F.sequence(F.lit(0), F.lit(MINUTES - 1)), covers)
 
 
 def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_movement: bool = False) -> DataFrame:
-    """keys, hour_number, ``active`` (60 counts), start_minutes (distinct, bounded by minutes), n; with ``by_movement`` also
-    ``active_dep`` and ``active_arr``."""
+    """keys, hour_number, ``active`` (60 counts), start_minutes (distinct), n; with ``by_movement`` also ``active_dep`` and
+    ``active_arr``."""
     keys = keys or ["airport_group"]
-    pieces = hour_pieces(intervals, keys, ("movement",) if by_movement else ())
-    parts = [_counters(F.col("movement") == m).alias(f"active_{m}") for m in ("dep", "arr")] if by_movement else []
-    total = [] if by_movement else [_counters().alias("active")]
-    counted = pieces.groupBy(*keys, "hour_number").agg(*total, *parts, F.collect_set("start_minute").alias("start_minutes"), F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("active", F.zip_with("active_dep", "active_arr", lambda a, b: a + b)) if by_movement else counted
+    carried = ("movement",) if by_movement else ()
+    pieces = hour_pieces(intervals, keys, carried)
+    # equal pieces become one with a count: that combines on the map side and bounds what an hour can collect
+    alike = pieces.groupBy(*keys, "hour_number", *carried, "start_minute", "first", "until").agg(F.count(F.lit(1)).alias("n"))
+    together = alike.groupBy(*keys, "hour_number").agg(F.collect_list(F.struct(*carried, "start_minute", "first", "until", "n")).alias("pieces"))
+    counts = {"start_minutes": F.array_distinct(F.col("pieces.start_minute")), "n": F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n"])}
+    if not by_movement:
+        return together.withColumns({"active": _active(F.col("pieces")), **counts}).drop("pieces")
+    together = together.withColumn("__dep", F.filter("pieces", lambda x: x["movement"] == "dep")).withColumn("__arr", F.filter("pieces", lambda x: x["movement"] == "arr"))
+    done = together.withColumns({"active_dep": _active(F.col("__dep")), "active_arr": _active(F.col("__arr")), **counts}).drop("pieces", "__dep", "__arr")
+    return done.withColumn("active", F.zip_with("active_dep", "active_arr", lambda a, b: a + b))
 
 
 def overlap_statistics(counted: DataFrame) -> DataFrame:

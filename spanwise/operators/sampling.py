@@ -100,12 +100,12 @@ def global_cancel_rate(history: DataFrame) -> DataFrame:
 
 
 def resolve_ladder(contexts: DataFrame, levels: list[tuple[str, ...]], fitted: DataFrame) -> DataFrame:
-    """For each distinct context, the fitted row of the finest level that has its key: level and the fitted columns, null
-    without any. Contexts are exploded to one candidate for each level and the least level found is kept."""
+    """For each distinct context, the fitted row of the finest level that has its key: level, key and the fitted columns,
+    null without any. Contexts are exploded to one candidate for each level and the least level found is kept."""
     columns = sorted({c for level in levels for c in level})
     wanted = contexts.select(*columns).distinct()
     candidates = wanted.select(*columns, F.explode(F.array(*[level_key(level, i + 1) for i, level in enumerate(levels)])).alias("key"))
-    best = candidates.join(fitted, "key", "left").groupBy(*columns).agg(F.min_by(F.struct("level", *[c for c in fitted.columns if c not in ("level", "key")]), F.col("level")).alias("f"))
+    best = candidates.join(fitted, "key", "left").groupBy(*columns).agg(F.min_by(F.struct("level", "key", *[c for c in fitted.columns if c not in ("level", "key")]), F.col("level")).alias("f"))
     return best.select(*columns, "f.*")
 
 
@@ -129,6 +129,21 @@ def quantile_of(cdf: Column, n: Column, u: Column) -> Column:
     return F.coalesce(F.get(F.filter(cdf, lambda x: x["upto"] > position), F.lit(0))["delay"], F.lit(0.0))
 
 
+def delay_ranks(distributions: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, position, delay: the sorted delays of those distributions whose key is among the keys, one row each."""
+    used = distributions.join(keys.select("key").distinct(), "key", "left_semi")
+    steps = used.select("key", F.explode(F.zip_with("cdf", F.concat(F.array(F.lit(0).cast("long")), F.col("cdf.upto")), lambda x, before: F.struct(x["delay"].alias("delay"), before.alias("first"), x["upto"].alias("upto")))).alias("s"))
+    steps = steps.where("s.delay is not null")  # the longer side of the zip ends in an empty step
+    return steps.select("key", F.explode(F.sequence(F.col("s.first"), F.col("s.upto") - 1)).alias("position"), "s.delay")
+
+
+def with_delay(rows: DataFrame, ranks: DataFrame, u: Column) -> DataFrame:
+    """Adds ``delay`` at position min(n - 1, floor(u n)) of the row's distribution (key, n): an equi-join, so rows never
+    carry a distribution; 0 without one."""
+    placed = rows.withColumn("position", F.least(F.col("n") - 1, F.floor(u * F.col("n"))).cast("long"))
+    return placed.join(ranks, ["key", "position"], "left").withColumn("delay", F.coalesce("delay", F.lit(0.0))).drop("position")
+
+
 def schedule_contexts(schedule: DataFrame) -> DataFrame:
     """Both sides of a schedule's flights with the congestion of the schedule itself, by group and hour."""
     return with_congestion(movements(prepare_schedule(schedule)), ("airport_group", "movement", "hour"))

@@ -35,17 +35,20 @@ def with_cancel_rate(schedule: DataFrame, rates: DataFrame, global_rate: DataFra
     return out.select(*schedule.columns, F.coalesce("rate", "global_rate").alias("rate"))
 
 
-def prepared_sides(schedule: DataFrame, history: DataFrame) -> DataFrame:
-    """Each side of each flight: flight_id, movement, airport_group, scheduled_time, cancellation rate, delay distribution."""
+def prepared_sides(schedule: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each side of each flight (flight_id, movement, airport_group, scheduled_time, cancellation rate, key and size of its
+    delay distribution), and the ranked delays of the distributions in use."""
     schedule = S.prepare_schedule(schedule)
     flights = with_cancel_rate(schedule, S.cancel_rates(history), S.global_cancel_rate(history))
     sides = S.with_congestion(S.movements(flights))
     keys = ["airport_group", "movement", "service_type", "hour", "context"]
-    delays = S.resolve_ladder(sides, S.DELAY_LEVELS, S.delay_distributions(history)).select(*keys, "n", "cdf")
-    return sides.join(delays, keys, "left").select("flight_id", "movement", "airport_group", "scheduled_time", "rate", "n", "cdf")
+    distributions = S.delay_distributions(history)
+    delays = S.resolve_ladder(sides, S.DELAY_LEVELS, distributions.select("level", "key", "n")).select(*keys, "key", "n")
+    ready = sides.join(delays, keys, "left").select("flight_id", "movement", "airport_group", "scheduled_time", "rate", "key", "n")
+    return ready, S.delay_ranks(distributions, delays)
 
 
-def simulated_events(sides: DataFrame, n_simulations: int, first: int = 0, last: int | None = None, seed: int = 42, stratified: bool = True) -> DataFrame:
+def simulated_events(sides: DataFrame, ranks: DataFrame, n_simulations: int, first: int = 0, last: int | None = None, seed: int = 42, stratified: bool = True) -> DataFrame:
     """Events of simulations first..last-1 of n: sim_id, flight_id, movement, airport_group, base_time.
 
     Both sides of a flight share the draw that cancels it.
@@ -53,9 +56,8 @@ def simulated_events(sides: DataFrame, n_simulations: int, first: int = 0, last:
     sims = F.explode(F.sequence(F.lit(first), F.lit((n_simulations if last is None else last) - 1))).alias("sim_id")
     drawn = sides.select("*", sims).where(S.uniforms(n_simulations, "cancel", seed, stratified) >= F.col("rate"))
     u = F.when(F.col("movement") == "dep", S.uniforms(n_simulations, "dep", seed + 1, stratified)).otherwise(S.uniforms(n_simulations, "arr", seed + 2, stratified))
-    delay = S.quantile_of(F.col("cdf"), F.col("n"), u)
-    late = F.make_dt_interval(secs=(delay * 60).cast("decimal(18,6)"))
-    return drawn.select("sim_id", "flight_id", "movement", "airport_group", (F.col("scheduled_time") + late).cast("timestamp_ntz").alias("base_time"))
+    late = F.make_dt_interval(secs=(F.col("delay") * 60).cast("decimal(18,6)"))
+    return S.with_delay(drawn, ranks, u).select("sim_id", "flight_id", "movement", "airport_group", (F.col("scheduled_time") + late).cast("timestamp_ntz").alias("base_time"))
 
 
 def metrics_per_simulation(events: DataFrame) -> DataFrame:
@@ -108,15 +110,15 @@ def run_monte_carlo(base: DataFrame, schedule: DataFrame, history: DataFrame, n_
         raise ValueError("n_simulations must be positive")
     if schedule.isEmpty():
         return base.select(*KEYS).withColumn("simulations_used", F.lit(0))
-    sides = prepared_sides(schedule, history)
+    sides, ranks = prepared_sides(schedule, history)
     if not adaptive:
-        return summary_of(base, batch_sums(metrics_per_simulation(simulated_events(sides, n_simulations, seed=seed, stratified=stratified))), n_simulations)
-    sides = sides.persist()
+        return summary_of(base, batch_sums(metrics_per_simulation(simulated_events(sides, ranks, n_simulations, seed=seed, stratified=stratified))), n_simulations)
+    sides, ranks = sides.persist(), ranks.persist()
     least = max(1, min(min_simulations or min(80, n_simulations), n_simulations))
     total, done = None, 0
     while done < n_simulations:
         upto = min(n_simulations, max(done + batch, least if done == 0 else 0))
-        sums = batch_sums(metrics_per_simulation(simulated_events(sides, n_simulations, done, upto, seed, stratified)))
+        sums = batch_sums(metrics_per_simulation(simulated_events(sides, ranks, n_simulations, done, upto, seed, stratified)))
         if total is not None:
             both = total.unionByName(sums)
             sums = both.groupBy("airport_group", "hour_number").agg(*[F.sum(c).alias(c) for c in sums.columns[2:]])

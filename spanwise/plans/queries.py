@@ -457,9 +457,9 @@ def cancel_ladder(spark, d):
 @query
 def delay_quantile_lookup(spark, d):
     history, schedule = _split(spark, d)
-    sides = MC.prepared_sides(schedule, history)
-    u = unit_hash(F.col("flight_id"), 5)
-    return rounded(sides.select("flight_id", "movement", "airport_group", "scheduled_time", F.col("n").alias("n_history"), S.quantile_of(F.col("cdf"), F.col("n"), u).alias("delay")))
+    sides, ranks = MC.prepared_sides(schedule, history)
+    drawn = S.with_delay(sides, ranks, unit_hash(F.col("flight_id"), 5))
+    return rounded(drawn.select("flight_id", "movement", "airport_group", "scheduled_time", F.col("n").alias("n_history"), "delay"))
 
 
 @query
@@ -471,7 +471,7 @@ def stratified_uniforms(spark, d):
 @query
 def simulated_events(spark, d):
     history, schedule = _split(spark, d)
-    events = MC.simulated_events(MC.prepared_sides(schedule, history), SIMULATIONS)
+    events = MC.simulated_events(*MC.prepared_sides(schedule, history), SIMULATIONS)
     return events.groupBy("sim_id", "airport_group", "movement").agg(F.count(F.lit(1)).alias("n_events"), F.min("base_time").alias("first_time"), F.max("base_time").alias("last_time"), F.sum(F.hour("base_time") * 60 + F.minute("base_time")).cast("long").alias("minutes"))
 
 

@@ -49,8 +49,8 @@ def test_bad_and_empty_input(spark):
 
 def test_the_same_draws_give_the_same_events(spark):
     f = flights(spark)
-    sides = MC.prepared_sides(f, f)
-    one, two = (sorted(map(str, MC.simulated_events(s, 8).collect())) for s in (sides, sides.repartition(5)))
+    sides, ranks = MC.prepared_sides(f, f)
+    one, two = (sorted(map(str, MC.simulated_events(s, ranks, 8).collect())) for s in (sides, sides.repartition(5)))
     assert one == two and len(one) > 0
 
 
