@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, cut_lineage, without
+from spanwise.llm.common import bounded_batches, cut_lineage, row_keys, without
 
 SHINGLE, SEED, BUDGET, LARGE = 3, 42, 2, 4000
 
@@ -156,9 +156,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return component_ids(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_ids(marked: DataFrame) -> DataFrame:
-    """Adds component_id to rows with doc_id and fp. Joins are on fp, where a hot copy group is split by adaptive execution."""
-    least = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+def component_ids(marked: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Adds component_id, the least ``by`` of a component, to rows with fp. Joins are on fp, where a hot copy group is split by adaptive execution."""
+    least = cut_lineage(marked.groupBy("fp").agg(F.min(by).alias("low")))
     stars = components(near_edges(least.select("fp")))
     linked = stars.select(F.col("v").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     of_root = linked.join(least, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
@@ -169,13 +169,19 @@ def component_ids(marked: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the least doc_id; columns stay as they are.
 
-    Rows that repeat the doc_id of the one that stays count as that document and stay once; so do rows without doc_id,
-    as far as their components have no other.
+    A document is a doc_id and a text: rows that repeat both stay once, an id with texts in several components stays
+    with one text in each. Ids that are null come last, and of equal ids the text with the least hash stays.
     """
-    marked = cut_lineage(bounded_batches(docs).select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    gone = component_ids(marked).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = without(docs, gone, ["doc_id"])
-    repeated = cut_lineage(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    return without(kept, repeated, ["doc_id"]).unionByName(kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates(["doc_id"]))
+    k1, k2 = row_keys(docs["doc_id"], docs["text"])
+    row = F.struct(docs["doc_id"].isNull().alias("without_id"), docs["doc_id"].alias("id"), k1, k2)
+    marked = cut_lineage(bounded_batches(docs).select(row.alias("row"), fingerprint(F.col("text")).alias("fp")))
+    gone = component_ids(marked, "row").where("row <> component_id").select("row.k1", "row.k2")
+    repeated = marked.groupBy("row.k1", "row.k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    kept = without(keyed, gone.toDF("__k1", "__k2"), ["__k1", "__k2"])
+    repeated = cut_lineage(repeated.select(F.col("k1").alias("__r1"), F.col("k2").alias("__r2")))
+    if not repeated.isEmpty():
+        again = (kept["__k1"] == repeated["__r1"]) & (kept["__k2"] == repeated["__r2"])
+        once = kept.join(repeated, again, "left_semi").dropDuplicates(["__k1", "__k2"])
+        kept = kept.join(repeated, again, "left_anti").unionByName(once)
+    return kept.drop("__k1", "__k2")

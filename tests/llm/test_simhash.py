@@ -94,3 +94,19 @@ def test_one_document_of_each_stays(spark):
     kept = rows(simhash.keep_one_of_each(docs))
     assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 4, 5, 6, 7, 8, 9, 11, 12]
     assert list(kept[0]) == docs.columns
+
+
+def test_rows_stay_by_id_and_text(spark):
+    one = "the quick brown fox jumps over the lazy dog"
+    docs = [
+        (None, "first text that nobody else has written down"), (None, "second and unrelated words about something"), (None, one), (7, one),
+        (3, "zebra stripes are black and white in the sun"), (3, "completely different story of a ship at sea"), (2, "completely different story of a ship at sea"),
+        (5, "kept twice only once in the end"), (5, "kept twice only once in the end"), (None, "no id twice here"), (None, "no id twice here"),
+    ]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = [docs[0], docs[1], docs[3], docs[4], docs[6], docs[7], docs[9]]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    # an id with two texts, one of them in a component with a smaller id and the other alone
+    texts = [(9, "alone in its component as it is"), (9, "shared by two ids in the table"), (8, "shared by two ids in the table")]
+    got = simhash.keep_one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [texts[2], texts[0]]
