@@ -105,14 +105,19 @@ class Model:
     def _in_one(self, scores: np.ndarray) -> np.ndarray | None:
         """A path in a single language where that provably is the best one, else None.
 
-        A path that leaves the language for j spans of others pays for j changes at least. If no span, for no other
-        language, scores as much as one change above the language, no such path can be better.
+        Of j spans of other languages, a path that visits the language pays for j changes at least; each must gain a
+        change to be worth it. One that never visits it pays for j - 1 only, but its first span starts the text and its
+        last one ends it: with other spans below a change, these two must gain a change together. (With j = 1 it is a
+        single language, and no other has more.)
         """
         best = int(scores.sum(axis=0).argmax()) if len(scores) else 0
         ahead = np.zeros((len(scores) + 1, len(self.languages)))
         np.cumsum(scores - scores[:, best : best + 1], axis=0, out=ahead[1:])
-        if len(scores) and (ahead[1:] - np.minimum.accumulate(ahead[:-1], axis=0)).max() >= SWITCH:
-            return None
+        if len(scores):
+            span = (ahead[1:] - np.minimum.accumulate(ahead[:-1], axis=0)).max()
+            ends = ahead[1:].max() + (ahead[-1] - ahead[:-1]).max()
+            if max(span, ends) >= SWITCH:
+                return None
         return np.full(len(scores), best, np.int8)
 
     def _paths(self, ids: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:

@@ -33,6 +33,13 @@ def test_path_is_the_best_of_all(k, seed, documents):
         assert value(path) >= max(map(value, itertools.product(range(k), repeat=len(words)))) - 1e-3
 
 
+def test_path_that_never_visits_the_best_total():
+    words = {"a": np.array([0, -6, -2.9], np.float32), "b": np.array([-6, 0, -2.9], np.float32)}
+    model = L.Model(["x", "y", "z"], {"Latin": [0, 1, 2]}, words, np.zeros((1 << L.TRIGRAM_BITS, 3), np.float32))
+    assert model.spans(["a a a b b b"])[0][1].tolist() == [0, 0, 0, 1, 1, 1]
+    assert model.spans(["a a b b"])[0][1].tolist() == [2, 2, 2, 2]  # gains of 5.8 twice are less than a change
+
+
 def test_mixed_text_gives_spans(spark):
     rows_ = [(i, " ".join(["the and with from house water"] * 8), "en") for i in range(40)] + [(100 + i, " ".join(["der und mit von haus wasser"] * 8), "de") for i in range(40)]
     rows_ += [(200 + i, " ".join(["дом вода и с из"] * 8), "ru") for i in range(40)]
