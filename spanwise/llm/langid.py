@@ -232,8 +232,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), predicted(docs, model).alias("p")).select("doc_id", "held_out", "p.*")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """Documents with a language that labels at least ``least`` of their letters; columns stay as they are."""
+def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Documents with a language, in however many languages they are; columns stay as they are."""
     model = learn(docs.where(id_bucket(F.col("doc_id"), 4) != 2), sample)
     named = docs.withColumn("__p", predicted(docs, model))
-    return named.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= least)).drop("__p")
+    return named.where(F.col("__p.lang_pred") != "und").drop("__p")

@@ -52,6 +52,16 @@ def test_mixed_text_gives_spans(spark):
     assert model.predict([None, "", "123 -- ½²", "the"]) == [("und", 0.0)] * 3 + [("en", 1.0)]
 
 
+def test_text_in_three_languages_is_kept(spark):
+    said = {"en": "the and with from house water", "de": "der und mit von haus wasser", "ru": "дом вода и с из"}
+    rows_ = [(100 * n + i, " ".join([words] * 8), lang) for n, (lang, words) in enumerate(said.items()) for i in range(40)]
+    rows_ += [(1000, " ".join(" ".join([words] * 4) for words in said.values()), None), (1001, "123 --", None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["score"] for r in rows(L.identify(docs))}[1000] < 0.5
+    kept = {r["doc_id"] for r in rows(L.keep_identified(docs))}
+    assert 1000 in kept and 1001 not in kept
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     got = rows(L.identify(docs))
