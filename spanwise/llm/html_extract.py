@@ -5,7 +5,8 @@ characters inside links, and its position in the tree. A linear classifier turns
 and boilerplate, which are the capacities of the arcs to the two terminals. Neighbouring blocks are joined by arcs whose
 capacity grows with their proximity in the tree (the share of ancestors that they have in common), siblings that others
 separate likewise. The minimum cut, found by maximum flow, then labels all blocks at once: a short line between two
-paragraphs follows them, while strong evidence (a nav, an advert, a form) outweighs any neighbour.
+paragraphs follows them, while strong evidence (a nav, an advert, a form) outweighs any neighbour. Names and
+forms count by how little of the page's text they hold: what wraps a whole page is its layout.
 
 Pages are rows, so the work needs no shuffle, and a page takes time in proportion to its length and its flow.
 
@@ -36,13 +37,17 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body head html option select".split())
 #: An end tag of these doesn't reach outside the nearest of those.
 SAME_AGAIN = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
-NEVER = frozenset("nav footer aside form script style noscript template button select option iframe svg menu dialog head title textarea object embed canvas audio video map label input fieldset".split())
+NEVER = frozenset("nav footer aside script style noscript template button select option iframe svg menu dialog head title textarea object embed canvas audio video map label input fieldset".split())
 GOOD = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer header masthead comment comments respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags toolbar widget copyright legal disclaimer skip hidden".split()
 )
 GOOD_WORDS = frozenset("article articlebody content body post entry story text main maincontent prose".split())
-BAD_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog form menu menubar toolbar".split())
+#: Of these, words that say what a text is, which a page's layout rarely goes by.
+TALK = frozenset("comment comments respond reply replies disqus".split())
+#: A name with one of these tells of an element's layout or subject ("has-sidebar", "category-legal"), not of its part.
+MODIFIERS = frozenset("has with no without category tag cat topic".split())
+BAD_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|itemprop|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -51,13 +56,15 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # The classifier: weights of the evidence for content, in nats.
 BIAS, PER_LOG_CHAR, LINKED, SENTENCE, IN_GOOD, NAMED_GOOD, HEADING = -1.8, 0.5, -4.0, 0.7, 5.0, 2.0, 0.4
 STRONG = 60.0
+#: A bad name or a form, unless it holds most of the page's text: full weight up to the first share, none from the second.
+NAMED_BAD, WRAPS, TALK_WRAPS = 20.0, (0.6, 0.9), (0.9, 1.0)
 SMOOTH, SIBLING = 1.2, 0.5
 
 
 class Node:
     """An open element: its tag, its depth, and what it says about the text inside."""
 
-    __slots__ = ("tag", "up", "depth", "verdict", "good", "linked", "block")
+    __slots__ = ("tag", "up", "depth", "verdict", "good", "linked", "main", "wraps", "doubt", "held", "against")
 
     def __init__(self, tag: str, up: Node | None, attributes: str):
         self.tag, self.up = tag, up
@@ -65,12 +72,18 @@ class Node:
         self.verdict = up.verdict if up else 0.0
         self.good = up.good if up else 0.0
         self.linked = tag == "a" or bool(up and up.linked)
-        if tag in GOOD:
-            self.good += IN_GOOD
-        elif tag in NEVER or tag == "header" and not self.good:
+        self.main = bool(up and up.main)
+        self.wraps = WRAPS if tag == "form" else None
+        if tag in NEVER or tag == "header" and not self.good:
             self.verdict = -STRONG
         if attributes and not attributes.isspace() and tag not in ("a", "html", "body"):
             self._names(attributes)
+        if tag in GOOD and not self.wraps:
+            self.good += IN_GOOD
+            self.main = True
+        #: The nearest element, from here up, whose form or names speak against its text.
+        self.doubt = self if self.wraps else up.doubt if up else None
+        self.held, self.against = 0, 0.0
 
     def _names(self, attributes: str) -> None:
         for name, value in ATTRIBUTE.findall(attributes):
@@ -79,11 +92,18 @@ class Node:
                 self.verdict = -STRONG
             elif name == "role":
                 self.verdict = -STRONG if value in BAD_ROLES else self.verdict
-                self.good += IN_GOOD if value == "main" else 0
+                if value == "main":
+                    self.good += IN_GOOD
+                    self.main = True
+                elif value == "form":
+                    self.wraps = self.wraps or WRAPS
             elif name in ("class", "id", "itemprop"):
-                words = {w.lower() for w in NAME_WORD.findall(value)}
-                if words & BAD_WORDS:
-                    self.verdict = -STRONG
+                names = [[w.lower() for w in NAME_WORD.findall(x)] for x in value.split()]
+                names = [x for x in names if x and MODIFIERS.isdisjoint(x)]
+                words = {w for x in names for w in x}
+                bad = {x[0] for x in names} & BAD_WORDS if self.tag in GOOD else words & BAD_WORDS
+                if bad:
+                    self.wraps = TALK_WRAPS if bad & TALK or self.wraps is TALK_WRAPS else WRAPS
                 elif words & GOOD_WORDS or "articlebody" in value.lower():
                     self.good += NAMED_GOOD
 
@@ -170,10 +190,42 @@ def evidence(text: str, linked: int, node: Node) -> float:
         return node.verdict
     n = len(text)
     value = BIAS + PER_LOG_CHAR * math.log1p(n) + LINKED * min(1.0, linked / n) + min(2 * IN_GOOD, node.good)
+    value -= node.doubt.against if node.doubt else 0
     value += SENTENCE if text[-1] in ".!?…\"”»。" else 0
     return value + (HEADING if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0)
 
 
+def weigh_doubts(blocks: list[tuple[str, int, Node]]) -> None:
+    """Sets ``against`` of elements with bad names, their doubtful ancestors' included.
+
+    The page's text is what stands in articles or mains, else in elements with good names, else all that isn't ruled
+    out. An element that holds most of it wraps the page, whatever it is called.
+    """
+    doubts: dict[int, Node] = {}
+    for _, _, node in blocks:
+        d = node.doubt
+        while d and id(d) not in doubts:
+            doubts[id(d)] = d
+            d = d.up.doubt
+    if not doubts:
+        return
+    texts = [(len(text) - linked, node) for text, linked, node in blocks if not node.verdict and len(text) > linked]
+    texts = [x for x in texts if x[1].main] or [x for x in texts if x[1].good] or texts
+    whole = sum(n for n, _ in texts)
+    for n, node in texts:
+        if node.doubt:
+            node.doubt.held += n
+    order = sorted(doubts.values(), key=lambda d: d.depth)
+    for d in reversed(order):
+        if d.up.doubt:
+            d.up.doubt.held += d.held
+    for d in order:
+        full, none = d.wraps
+        share = d.held / whole if whole else 0.0
+        outer = d.up.doubt.against if d.up.doubt else 0.0
+        d.against = outer + NAMED_BAD * min(1.0, max(0.0, (none - share) / (none - full)))
+
+
 def proximity(a: Node, b: Node) -> float:
     """Shared ancestors (themselves included) over the deeper one's, 1 for blocks of the same element."""
     deep, x, y = max(a.depth, b.depth), a, b
@@ -250,6 +302,7 @@ def minimum_cut(unary: list[float], arcs: list[tuple[int, int, float]]) -> list[
 
 
 def labels_of(blocks: list[tuple[str, int, Node]]) -> list[bool]:
+    weigh_doubts(blocks)
     unary = [evidence(*b) for b in blocks]
     arcs, last = [], {}
     for i, (_, _, node) in enumerate(blocks):

@@ -36,6 +36,22 @@ def test_boilerplate_goes_and_content_stays():
     ]
 
 
+STORY = "<h1>A title</h1><p>A first paragraph of the story, with a proper sentence in it.</p><p>A second one that is just as long, and a sentence too.</p>"
+STORY_TEXT = ["A title", "A first paragraph of the story, with a proper sentence in it.", "A second one that is just as long, and a sentence too."]
+
+
+def test_layout_names_do_not_take_the_article():
+    for page in (
+        f"<div class='container has-sidebar'><article>{STORY}</article></div>",
+        f"<article class='post category-legal tag-social'>{STORY}</article>",
+        f"<div class='content-sidebar-wrap'><main>{STORY}</main><div class='sidebar'><p>Words beside the story, a whole sentence of them.</p></div></div>",
+        f"<form action=/x><nav><a href=1>One</a></nav><div id=main>{STORY}</div><div class=cookie-notice><p>We use cookies on every page of it.</p></div></form>",
+        f"<div class='social-layout'>{STORY}</div>",
+        f"<div class='banner-page'><article>{STORY}<div class='related-posts'><p>Another story.</p></div></article><div class='comments'><article class='comment-body'><p>{'A long comment of a reader. ' * 30}</p></article></div></div>",
+    ):
+        assert H.main_text(page).split("\n") == STORY_TEXT, page
+
+
 def test_broken_markup_and_references():
     assert H.main_text("<article><p>Fish &amp; chips &lt;b&gt; &am &#233; &#x263A; &bogus;</p>") == "Fish & chips <b> &am é ☺ &bogus;"
     assert H.main_text("<main>a<br>b  c<p>d<b>e</b>f") == "a b c\ndef"
