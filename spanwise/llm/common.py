@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, behind as many underscores as it takes to be unlike every column of df, in either case."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -44,13 +53,30 @@ def row_keys(*cols: Column) -> list[Column]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; tests without one get a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    """A reliable checkpoint in the folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster must name one, since executors see no
+    folder of the driver.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        return sc.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 #: Keys of at most this many rows are broadcast (two longs each, under 50 MB); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 

@@ -3,8 +3,9 @@
 Training counts, for each language, words and the character trigrams of its words (with word ends) in Spark: one pass,
 partial aggregation, then the model is read off two small tables. It is fitted on at most about ``SAMPLE`` documents of
 each language, taken by a hash of the id so that the same documents come back on every run; that is the only bound.
-The model that tasks receive holds at most ``VOCABULARY`` words and 2**``TRIGRAM_BITS`` hashed trigrams, whatever the
-size of the corpus.
+The model that tasks receive holds the words that the sample has ``LEAST_COUNT`` times or more and 2**``TRIGRAM_BITS``
+hashed trigrams, so the sample bounds it whatever the size of the corpus. ``documents`` is read three times: its
+languages alone (to set the sample's share), the sample, and every text for its prediction.
 
 Scoring: each distinct word of a batch gets a log-likelihood under every language, from its word count where known and
 from its trigrams otherwise; letters' script ranges rule out languages that are never written in that script. The path
@@ -14,7 +15,9 @@ most letters, its score the share of letters that it labels.
 
 Defined results: a null text or one without letters is ``und`` with score 0; documents with a null language aren't
 learned from; with nothing to learn from, every document is ``und``; equal shares go to the smallest name; repeated rows
-give repeated results.
+give repeated results; an empty table gives no rows; a very long text is labelled whole, at some 30 bytes a word; any
+number of languages is told apart; columns beside doc_id, text and lang are ignored here and kept by the pipeline's stage,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, id_bucket
+from spanwise.llm.common import bounded_batches, cut_lineage, fresh, id_bucket
 
-SAMPLE, VOCABULARY, TRIGRAM_BITS = 1500, 20_000, 15
+SAMPLE, LEAST_COUNT, TRIGRAM_BITS = 1500, 3, 15
+PATH_WORDS = 2_000_000  # words of the documents that are walked side by side
 SWITCH = 12.0  # in nats: a span of another language must gain this much to be worth leaving and coming back for
 STRENGTH, CLIP = 0.5, 6.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -96,7 +100,7 @@ class Model:
         hard.sort(key=lambda x: -len(x[1]))
         at = 0
         while at < len(hard):
-            part = hard[at : at + max(1, min(512, 8_000_000 // len(hard[at][1])))]  # bounds the paths' memory
+            part = hard[at : at + max(1, min(512, PATH_WORDS // len(hard[at][1])))]  # bounds the paths' memory
             at += len(part)
             for (i, _), path in zip(part, self._paths([ids for _, ids in part], table), strict=True):
                 labels[i] = path
@@ -118,28 +122,36 @@ class Model:
             ends = ahead[1:].max() + (ahead[-1] - ahead[:-1]).max()
             if max(span, ends) >= SWITCH:
                 return None
-        return np.full(len(scores), best, np.int8)
+        return np.full(len(scores), best, np.int32)
 
     def _paths(self, ids: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
-        """Viterbi over documents sorted from long to short: at step t those with more than t words are a prefix."""
+        """Viterbi over documents sorted from long to short: at step t those with more than t words are a prefix.
+
+        A change costs the same wherever it leads, so a step remembers the best language to come from and one bit for each
+        language that is better stayed in.
+        """
         k, lengths = len(self.languages), np.array([len(d) for d in ids])
         active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(lengths[0])]
         by_step = np.concatenate(ids)[np.argsort(np.concatenate([np.arange(n) for n in lengths]), kind="stable")]
         value, came, at = np.zeros((len(ids), k), np.float32), [], 0
         for t, n in enumerate(active):
-            best = value[:n].argmax(axis=1)
-            leave = value[np.arange(n), best][:, None] - np.float32(SWITCH)
-            stay = value[:n] >= leave
-            came.append(np.where(stay, np.arange(k, dtype=np.int8)[None, :], best.astype(np.int8)[:, None]) if t else None)
-            value[:n] = (np.where(stay, value[:n], leave) if t else value[:n]) + table[by_step[at : at + n]]
+            if t:
+                best = value[:n].argmax(axis=1)
+                leave = value[np.arange(n), best][:, None] - np.float32(SWITCH)
+                stay = value[:n] >= leave
+                came.append((best.astype(np.int32), np.packbits(stay, axis=1)))
+                value[:n] = np.where(stay, value[:n], leave)
+            value[:n] += table[by_step[at : at + n]]
             at += n
-        state = value.argmax(axis=1).astype(np.int8)
-        trail = np.zeros((lengths[0], len(ids)), np.int8)
+        state = value.argmax(axis=1).astype(np.int32)
+        trail = np.zeros((lengths[0], len(ids)), np.int32)
         for t in range(lengths[0] - 1, -1, -1):
             n = active[t]
             trail[t, :n] = state[:n]
             if t:
-                state[:n] = came[t][np.arange(n), state[:n]]
+                best, stay = came[t - 1]
+                stayed = stay[np.arange(n), state[:n] >> 3] >> (7 - (state[:n] & 7)) & 1
+                state[:n] = np.where(stayed == 1, state[:n], best)
         return [trail[:n, d].copy() for d, n in enumerate(lengths)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -156,14 +168,14 @@ class Model:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model on rows with text and lang."""
-    spoken = bounded_batches(docs).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in spoken.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spoken = bounded_batches(docs).where("lang is not null")
+    counts = {r["lang"]: r["n"] for r in spoken.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # reads no text
     languages = sorted(counts)
     if not languages:
         return Model([], {}, {}, np.zeros((1 << TRIGRAM_BITS, 0), np.float32))
     grain = 1 << 30
     share = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(grain, grain * sample // counts[n]))) for n in languages])
-    chosen = spoken.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share).select("lang", "text")
+    chosen = spoken.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share).where("text is not null").select("lang", "text")
 
     def counted(batches):
         for batch in batches:
@@ -173,9 +185,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     found[lang, w] = found.get((lang, w), 0) + 1
             yield pd.DataFrame([(a, w, n) for (a, w), n in found.items()], columns=["lang", "word", "n"])
 
-    # of bounded size, and read twice below
     words = chosen.mapInPandas(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    wide = words.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)])
+    by_language = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+    wide = cut_lineage(words.groupBy("word").agg(F.sum("n").alias("n"), *by_language))  # of bounded size, and read twice below
 
     def slots(batches):
         for batch in batches:
@@ -194,7 +206,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     cols = ", ".join(f"n{i} long" for i in range(len(languages)))
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]
     tables = wide.mapInPandas(slots, f"slot string, {cols}").groupBy("slot").agg(*sums).collect()  # 2**15 slots and the scripts
-    top = wide.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    known = wide.where(F.col("n") >= LEAST_COUNT).collect()  # bounded by the sample
 
     trigrams = np.full((1 << TRIGRAM_BITS, len(languages)), 0.2)
     scripts: dict[str, list[int]] = {}
@@ -206,7 +218,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
         if r["slot"].isdigit():
             trigrams[int(r["slot"])] += r[1:]
     trigrams = np.log(trigrams / trigrams.sum(axis=0)).astype(np.float32)
-    vocabulary = {r["word"]: np.log((np.array(r[2:], float) + 0.3) / (totals + 0.3 * VOCABULARY)) for r in top if r["n"] >= 3}
+    vocabulary = {r["word"]: np.log((np.array(r[2:], float) + 0.3) / (totals + 0.3 * len(known))) for r in known}
     return Model(languages, scripts, {w: v.astype(np.float32) for w, v in vocabulary.items()}, trigrams)
 
 
@@ -235,5 +247,6 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Documents with a language, in however many languages they are; columns stay as they are."""
     model = learn(docs.where(id_bucket(F.col("doc_id"), 4) != 2), sample)
-    named = docs.withColumn("__p", predicted(docs, model))
-    return named.where(F.col("__p.lang_pred") != "und").drop("__p")
+    said = fresh(docs, "said")
+    named = docs.withColumn(said, predicted(docs, model))
+    return named.where(F.col(f"{said}.lang_pred") != "und").drop(said)

@@ -82,3 +82,29 @@ def test_trigrams_follow_the_words():
     each = [L.trigram_slots([w])[0].tolist() for w in words]
     assert slots.tolist() == sum(each, []) and each[1] == each[4]
     assert len(set(each[1])) == 3 and max(slots) < 1 << L.TRIGRAM_BITS
+
+
+def test_three_hundred_languages():
+    k = 300
+    words = {f"w{i}x".translate(str.maketrans("0123456789", "abcdefghij")): np.where(np.arange(k) == i, 0, -9).astype(np.float32) for i in range(k)}
+    names = list(words)
+    model = L.Model([f"l{i:03d}" for i in range(k)], {"Latin": list(range(k))}, words, np.zeros((1 << L.TRIGRAM_BITS, k), np.float32))
+    text = " ".join([names[299]] * 4 + [names[140]] * 5 + [names[0]] * 9)
+    assert model.spans([text, names[200]])[0][1].tolist() == [299] * 4 + [140] * 5 + [0] * 9
+    assert [p[0] for p in model.predict([text, names[200], " ".join([names[131]] * 3)])] == ["l000", "l200", "l131"]
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    letters = "abcdefghijklmn"
+    taught = [(10 * i + j, " ".join([f"{a}{b}{a}xx", f"yy{b}{a}{b}"] * 4), f"{a}{b}") for i, (a, b) in enumerate(itertools.product(letters, letters[:10])) for j in range(2)]
+    docs = spark.createDataFrame(taught, "doc_id long, text string, lang string")
+    model = L.learn(docs)
+    assert len(model.languages) == 140
+    said = model.predict([t for _, t, _ in taught])
+    assert sum(p == lang for (p, _), (_, _, lang) in zip(said, taught, strict=True)) >= 0.97 * len(taught)
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "the house and water " * 3, "en", "a", 1.0), (2, "the water and house " * 150_000, "en", "b", 2.0), (3, "haus und wasser " * 3, "de", "c", 3.0)], "doc_id long, text string, lang string, __said string, Score double")
+    kept = L.keep_identified(docs)
+    assert kept.columns == docs.columns and sorted(r["__said"] for r in rows(kept)) == ["a", "b", "c"]
