@@ -2,8 +2,8 @@
 
 Features of a text are binary: words, stems (first letters of longer words), bigrams and skip-grams over one or two
 words, hashed to 2**``BITS`` slots. FTRL keeps a learning rate for each coordinate and an L1 penalty that leaves most
-weights at exactly zero, so the model that tasks receive is the few non-zero slots: it is bounded by ``KEPT`` weights
-(those of the largest size), whatever the corpus.
+weights at exactly zero, so the model that tasks receive is the few non-zero slots: some thousands, never more than
+the 2**``BITS`` slots (12 MB), whatever the corpus.
 
 Training takes labelled rows whose share is set so that ``SAMPLE`` rows are expected, chosen by a hash of the id; that
 is the only bound. They are dealt by hash to shards of about ``SHARD_ROWS`` rows, each runs FTRL for ``EPOCHS`` passes in a seeded
@@ -12,7 +12,8 @@ shard has memorised. Training takes the same memory and time for any corpus. Sco
 
 Defined results: a null text counts as empty and is scored by the bias alone; labels other than 0 and 1 aren't learned
 from; with no label to learn from, every score is 0; repeated rows give repeated results; a document with several
-labels teaches each of them.
+labels teaches each of them; an empty table of documents gives no rows; a very long text is scored whole, in memory in
+proportion to its words; columns beside doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import bounded_batches, id_bucket, teaching_rows
 
 BITS, STEM, SKIPS = 20, 4, (1, 2, 3)  # distances of the word pairs: bigrams, then skip-grams
-SAMPLE, SHARD_ROWS, EPOCHS, KEPT = 16_000, 4_000, 6, 100_000
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.0
+SAMPLE, SHARD_ROWS, EPOCHS = 16_000, 4_000, 6
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 _SLOTS = np.uint32((1 << BITS) - 1)
@@ -116,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
 
     each = taught.groupBy("shard").applyInPandas(shard_weights, "slot long, w double")
     mean = each.groupBy("slot").agg((F.sum("w") / shards).alias("w"))
-    return {r["slot"]: r["w"] for r in mean.orderBy(F.desc(F.abs("w")), "slot").limit(KEPT).collect()}
+    return {r["slot"]: r["w"] for r in mean.collect()}  # at most 2**BITS + 1
 
 
 def score(docs: DataFrame, weights: dict[int, float]):

@@ -43,7 +43,7 @@ def test_held_out_documents(spark):
     held = got.where("held_out").join(labels, "doc_id")
     missed = held.where("toxic = 1").agg(1 - F.avg("predicted")).first()[0]
     false = held.where("toxic = 0").agg(F.avg("predicted")).first()[0]
-    assert false < 0.01 and missed < 0.45  # 2,600 labels; the check tables have ten and fifty times as many
+    assert false < 0.005 and missed < 0.2  # 305 toxic ones among 2,600 labels; the check tables have ten and fifty times as many
     assert got.count() == docs.count()
 
 
@@ -57,3 +57,14 @@ def test_edges(spark):
     assert rows(T.toxicity(docs.limit(0), labels)) == []
     first, second = (sorted(map(str, rows(T.toxicity(d, labels)))) for d in (docs, docs.repartition(5)))
     assert first == second
+
+
+def test_every_weight_is_kept(spark):
+    """More slots than any cut would leave: the model is the plain fit of the one shard."""
+    texts = [(i, " ".join(f"w{(i * 37 + j) % 4001}" for j in range(300)), None) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    taught = sorted((t, i % 2) for i, t, _ in texts)
+    slots, w = T.fit([t for t, _ in taught], [x for _, x in taught])
+    got = T.learn(docs, labels)
+    assert set(got) == set(slots.tolist()) and all(abs(got[s] - x) < 1e-12 for s, x in zip(slots.tolist(), w, strict=True))
