@@ -84,9 +84,9 @@ BROADCAST_KEYS = 1_000_000
 def without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of docs whose ``on`` columns aren't among the (checkpointed) keys; null matches null."""
     keys = cut_lineage(keys.distinct())
-    renamed = keys.toDF(*[f"__not_{c}" for c in keys.columns])
+    renamed = keys.toDF(*[fresh(docs, f"not_{c}") for c in keys.columns])
     renamed = F.broadcast(renamed) if keys.count() <= BROADCAST_KEYS else renamed
-    same = [docs[c].eqNullSafe(renamed[f"__not_{c}"]) for c in on]
+    same = [docs[c].eqNullSafe(renamed[fresh(docs, f"not_{c}")]) for c in on]
     return docs.join(renamed, same, "left_anti")
 
 

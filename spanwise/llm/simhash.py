@@ -8,12 +8,23 @@ eight blocks (two differing bits spoil two blocks at most); those keys fix 48 bi
 fingerprints. Nothing is capped and no link between components is lost: a group returns edges to the least member of
 each of its local components, which keeps connectivity with output no longer than the group.
 
+The pipeline's stage looks for near copies (five-word shingles, a similarity of 0.8 or more), which lie further apart
+than the two bits that equal blocks can promise. Its fingerprints have 256 bits, where a similarity of 0.8 shows as about
+39 differing bits; ``NEAR_BUDGET`` bits link. Six keys of three least shingle hashes each deal the fingerprints out (two
+texts of similarity 0.8 share one with probability 0.99), and the same trie join runs under each key. Of a key with
+more than ``LARGE_KEY`` fingerprints no task sees all: cells of its members are compared with sampled leaders, then with
+further leaders from those that none was near to, until none is left. So every link to a leader is found, and two
+members that link only to each other under different unlinked leaders need another of their keys.
+
 Defined results: a null, empty or blank text has the fingerprint zero and links like any other; repeated rows are
-copies; a null doc_id counts only where its whole component has none; columns beside doc_id and text are ignored.
+copies; a null doc_id counts only where its whole component has none; an empty table gives no rows; a very long text is
+hashed whole, at 8 bytes a word; ties don't arise, since a bit is 1 only if set in over half of the hashes; columns
+beside doc_id and text are ignored by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,21 +33,54 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, cut_lineage, row_keys, without
+from spanwise.llm.common import bounded_batches, cut_lineage, fresh, row_keys, without
 
 SHINGLE, SEED, BUDGET, LARGE = 3, 42, 2, 4000
+NEAR_SHINGLE, NEAR_BUDGET, NEAR_BITS, LARGE_KEY = 5, 42, 256, 20_000
+BANDS, BAND_ROWS = 6, 3
+CELL, LEADERS, MOST_LEADERS = 2000, 256, 4096
 
 
-def fingerprint_of(text: str | None, width: int = SHINGLE) -> int:
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words, repeats included; of the whole sequence where there are fewer words."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: lowers A-Z only and splits at \x20 and \x09-\x0D only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     grams = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=">u8")
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        ones += np.unpackbits(hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def fingerprint_of(text: str | None, width: int = SHINGLE) -> int:
+    hashes = _shingle_hashes(text, width)
+    return int.from_bytes(np.packbits(2 * _bit_counts(hashes) > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def _scrambled(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Other 64 bits of each hash for every n > 0, by an odd multiple and two shifts; the hash itself for 0."""
+    if not n:
+        return hashes
+    x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(29)
+
+
+def near_fingerprint_of(text: str | None) -> tuple[bytes, list[int]]:
+    """The wide fingerprint of a text's distinct shingles, and a signed key for each band of least hashes."""
+    hashes = np.unique(_shingle_hashes(text, NEAR_SHINGLE))
+    if not len(hashes):
+        return bytes(NEAR_BITS // 8), [0]
+    bits = [np.packbits(2 * _bit_counts(_scrambled(hashes, n)) > len(hashes)).tobytes() for n in range(NEAR_BITS // 64)]
+    least = [int(_scrambled(hashes, 100 + n).min()) for n in range(BANDS * BAND_ROWS)]
+    bands = [np.array([band, *least[band * BAND_ROWS : (band + 1) * BAND_ROWS]], np.uint64) for band in range(BANDS)]
+    return b"".join(bits), [xxhash.xxh64_intdigest(band.tobytes(), SEED) - (1 << 63) for band in bands]
 
 
 def fingerprint(text: Column) -> Column:
@@ -49,51 +93,76 @@ def fingerprint(text: Column) -> Column:
     return of(text)
 
 
-def trie_links(values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """Index pairs (i < j) of sorted distinct uint64 values that differ in ``budget`` bits at most.
+def trie_walk(values: np.ndarray, budget: int = BUDGET, settled=lambda a, b, c, d: False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of distinct rows of uint64 words in ascending order that differ in ``budget`` bits at most.
 
-    The sorted values are the trie: a node is a range that shares a prefix, its children lie either side of the first
-    value with the next bit set. Pairs of nodes go down together, and a pair whose prefixes already differ in more bits
-    than the budget is dropped. Small pairs of nodes are compared directly.
+    The sorted rows are the trie: a node is a range that shares a prefix, its children lie either side of the first
+    row with the next bit set. Pairs of nodes go down together, and a pair whose prefixes already differ in more bits
+    than the budget is dropped, as is one that ``settled`` (first node's range, second's) says needs no more links. Small
+    pairs of nodes are compared directly.
     """
-    found: list[np.ndarray] = []
-    todo = [(0, len(values), 0, len(values), 63, 0)]
+    last = 64 * values.shape[1]
+    todo = [(0, len(values), 0, len(values), 0, 0)]
     while todo:
         a, b, c, d, bit, used = todo.pop()
         n, m = b - a, d - c
-        if n == 0 or m == 0 or used > budget:
+        if n == 0 or m == 0 or used > budget or settled(a, b, c, d):
             continue
-        if n * m <= 4096 or bit < 0:
-            left, right = values[a:b, None], values[None, c:d]
-            i, j = np.nonzero(np.bitwise_count(left ^ right) <= budget)
+        if n * m <= 4096 or bit == last:
+            apart = np.bitwise_count(values[a:b, None] ^ values[None, c:d]).sum(axis=2, dtype=np.int16)
+            i, j = np.nonzero(apart <= budget)
             i, j = i + a, j + c
-            found.append(np.stack([i[i < j], j[i < j]]) if a == c else np.stack([i, j]))
+            yield (i[i < j], j[i < j]) if a == c else (i, j)
             continue
-        mask = np.uint64(1 << bit)
-        mid = a + int(np.searchsorted((values[a:b] & mask) != 0, True))
-        mid2 = mid if a == c else c + int(np.searchsorted((values[c:d] & mask) != 0, True))
-        todo += [(a, mid, c, mid2, bit - 1, used), (mid, b, mid2, d, bit - 1, used), (a, mid, mid2, d, bit - 1, used + 1)]
+        word, mask = bit // 64, np.uint64(1 << (63 - bit % 64))
+        mid = a + int(np.searchsorted((values[a:b, word] & mask) != 0, True))
+        mid2 = mid if a == c else c + int(np.searchsorted((values[c:d, word] & mask) != 0, True))
+        todo.append((a, mid, mid2, d, bit + 1, used + 1))
         if a != c:
-            todo.append((mid, b, c, mid2, bit - 1, used + 1))
+            todo.append((mid, b, c, mid2, bit + 1, used + 1))
+        todo += [(a, mid, c, mid2, bit + 1, used), (mid, b, mid2, d, bit + 1, used)]
+
+
+def trie_links(values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """All links of ``trie_walk`` over uint64 values or rows of them, as two rows of indices."""
+    found = [np.stack(x) for x in trie_walk(values.reshape(len(values), -1), budget)]
     return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
 
 
-def local_edges(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """(member, least member of its local component) for members that aren't the least."""
-    links = trie_links(values, budget)
+def local_roots(values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """The least index of each row's local component; node pairs inside one component aren't walked any further."""
     root = np.arange(len(values))
-    while links.shape[1]:
-        before = root.copy()
-        low = np.minimum(root[links[0]], root[links[1]])
-        np.minimum.at(root, root[links[0]], low)
-        np.minimum.at(root, root[links[1]], low)
-        np.minimum.at(root, links[0], low)
-        np.minimum.at(root, links[1], low)
-        root = root[root]
-        if (root == before).all():
-            break
-    member = np.nonzero(root != np.arange(len(values)))[0]
-    return values[member], values[root[member]]
+
+    def settled(a: int, b: int, c: int, d: int) -> bool:
+        return b - a > 1 and (root[a:b] == root[a]).all() and (root[c:d] == root[a]).all()
+
+    for i, j in trie_walk(values, budget, settled):
+        x, y = root[i], root[j]
+        merge = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+        if merge.shape[1]:
+            up: dict[int, int] = {}
+
+            def top(v: int, up: dict[int, int] = up) -> int:
+                while v in up:
+                    v = up[v]
+                return v
+
+            for x, y in merge.T.tolist():
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            table = np.arange(len(root))
+            for v in up:
+                table[v] = top(v)
+            root = table[root]
+    return root
+
+
+def local_edges(values: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """(member, least member of its local component) for members that aren't the least, as indices."""
+    root = local_roots(values, budget)
+    member = np.nonzero(root != np.arange(len(root)))[0]
+    return member, root[member]
 
 
 def _block_keys(fp: Column, blocks: int, equal: int) -> Column:
@@ -109,14 +178,83 @@ def _joined(keyed: DataFrame) -> DataFrame:
     def group_edges(groups: pd.Series) -> pd.Series:
         out = []
         for g in groups:
-            members, roots = local_edges(np.sort(np.asarray(g, dtype=np.int64).view(np.uint64)))
-            out.append([{"a": a, "b": b} for a, b in zip(members.view(np.int64).tolist(), roots.view(np.int64).tolist(), strict=True)])
+            values = np.sort(np.asarray(g, dtype=np.int64).view(np.uint64))
+            members, roots = (values[x].view(np.int64).tolist() for x in local_edges(values.reshape(-1, 1)))
+            out.append([{"a": a, "b": b} for a, b in zip(members, roots, strict=True)])
         return pd.Series(out)
 
     groups = keyed.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return groups.select(F.explode(group_edges("fps")).alias("e")).select("e.a", "e.b")
 
 
+def _as_rows(fps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
+
+
+def near_copy_edges(fps: DataFrame, large: int = LARGE_KEY, budget: int = NEAR_BUDGET) -> DataFrame:
+    """Edges (a, b) between wide fingerprints of near copies; ``fps`` holds distinct ones in ``fp`` and their ``keys``."""
+    keyed = fps.select("fp", F.explode(F.array_distinct("keys")).alias("key"))
+    counts = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+    @F.pandas_udf("array<struct<a:binary,b:binary>>")
+    def group_edges(groups: pd.Series) -> pd.Series:
+        out = []
+        for g in groups:
+            ordered = sorted(map(bytes, g))
+            members, roots = local_edges(_as_rows(ordered), budget)
+            out.append([{"a": ordered[i], "b": ordered[j]} for i, j in zip(members.tolist(), roots.tolist(), strict=True)])
+        return pd.Series(out)
+
+    groups = keyed.join(counts.where(F.col("n") <= large), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    found = groups.select(F.explode(group_edges("fps")).alias("e")).select("e.a", "e.b")
+    hot = counts.where(F.col("n") > large)
+    if hot.isEmpty():
+        return found.distinct()
+    return found.unionByName(_edges_to_leaders(keyed.join(hot, "key"), budget)).distinct()
+
+
+def _edges_to_leaders(members: DataFrame, budget: int) -> DataFrame:
+    """Edges of fingerprints to leaders of their key; ``members`` holds fp, key and n, the fingerprints of the key.
+
+    A round's leaders are some of the fingerprints that aren't near any leader yet, about ``LEADERS`` a key and twice as
+    many in each further round. All members are compared with them in cells of about ``CELL``, so a link is lost only
+    between two members whose leaders aren't near each other.
+    """
+    cell = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CELL))
+    cells = cut_lineage(members.groupBy("key", cell.alias("cell")).agg(F.collect_list("fp").alias("fps")))
+    left, found, leaders = members.select("key", "fp"), None, LEADERS
+
+    @F.pandas_udf("edges array<struct<a:binary,b:binary>>, far array<binary>")
+    def compare(groups: pd.Series, chosen: pd.Series) -> pd.DataFrame:
+        rows = []
+        for g, lead in zip(groups, chosen, strict=True):
+            g, lead = list(map(bytes, g)), sorted(map(bytes, lead))
+            edges, far, of = set(), [], _as_rows(lead)
+            for i in range(0, len(g), 256):
+                part = g[i : i + 256]
+                near = np.bitwise_count(_as_rows(part)[:, None] ^ of[None, :]).sum(axis=2, dtype=np.int16) <= budget
+                for fp, row in zip(part, near, strict=True):
+                    at = np.flatnonzero(row).tolist()
+                    edges.update((x, lead[at[0]]) for x in [fp, *(lead[k] for k in at[1:])] if x != lead[at[0]]) if at else far.append(fp)
+            rows.append(([{"a": a, "b": b} for a, b in sorted(edges)], far))
+        return pd.DataFrame(rows, columns=["edges", "far"])
+
+    while True:
+        open_ = left.groupBy("key").agg(F.count(F.lit(1)).alias("open"))
+        drawn = left.join(open_, "key").where(F.pmod(F.xxhash64(F.lit(leaders), "fp"), F.col("open")) < leaders)
+        lead = drawn.groupBy("key").agg(F.collect_list("fp").alias("leaders"))
+        seen = cut_lineage(cells.join(lead, "key").select("key", compare("fps", "leaders").alias("s")))
+        edges = seen.select(F.explode("s.edges").alias("e")).select("e.a", "e.b")
+        found = edges if found is None else found.unionByName(edges)
+        # drawn leaders are near themselves; a key none of whose open members was drawn stays as it is for the next round
+        waiting = left.join(lead, "key", "left_anti")
+        far = seen.select("key", F.explode("s.far").alias("fp")).join(left, ["key", "fp"], "left_semi")
+        left = cut_lineage(far.unionByName(waiting))
+        if left.isEmpty():
+            return found
+        leaders = min(2 * leaders, MOST_LEADERS)
+
+
 def near_edges(fps: DataFrame, large: int = LARGE) -> DataFrame:
     """Edges (a, b) that connect what lies within two bits; ``fps`` holds distinct fingerprints in ``fp``."""
     keyed = fps.select("fp", _block_keys(F.col("fp"), 4, 2).alias("key"))
@@ -132,7 +270,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each a groupBy and a join, until the edges form stars; every round is
     checkpointed, so the plan stays short and a lost executor costs one round. Rounds grow with the logarithm of the
-    longest chain.
+    longest chain; ``most_rounds`` stops what could only be a fault.
     """
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
@@ -147,7 +285,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == mark:
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
         mark = now
-    raise RuntimeError("components did not settle")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -156,32 +294,49 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return component_ids(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_ids(marked: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Adds component_id, the least ``by`` of a component, to rows with fp. Joins are on fp, where a hot copy group is split by adaptive execution."""
-    least = cut_lineage(marked.groupBy("fp").agg(F.min(by).alias("low")))
-    stars = components(near_edges(least.select("fp")))
+def component_ids(marked: DataFrame, by: str = "doc_id", keys: str | None = None) -> DataFrame:
+    """Adds component_id, the least ``by`` of a component, to rows with fp; ``keys`` names the column that deals wide
+    fingerprints out. Joins are on fp, where a hot copy group is split by adaptive execution."""
+    dealt = [F.min_by(keys, by).alias("keys")] if keys else []
+    least = cut_lineage(marked.groupBy("fp").agg(F.min(by).alias("low"), *dealt))
+    stars = components(near_copy_edges(least) if keys else near_edges(least.select("fp")))
     linked = stars.select(F.col("v").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     of_root = linked.join(least, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     ids = least.join(linked, "fp", "left").join(of_root, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return marked.join(ids, "fp", "left")
 
 
+def near_fingerprint(text: Column) -> Column:
+    @F.pandas_udf("fp binary, keys array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([near_fingerprint_of(t) for t in texts], columns=["fp", "keys"])
+
+    return of(text)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """row (without_id, id, k1, k2) of each document and component_id, the least row of its group of near copies."""
+    row = F.struct(F.col("doc_id").isNull().alias("without_id"), F.col("doc_id").alias("id"), *row_keys(F.col("doc_id"), F.col("text")))
+    marked = bounded_batches(docs).select(row.alias("row"), near_fingerprint(F.col("text")).alias("f"))
+    return component_ids(cut_lineage(marked.select("row", "f.fp", "f.keys")), "row", "keys").select("row", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; columns stay as they are.
+    """One document of each group of near copies stays, the one with the least doc_id; columns stay as they are.
 
-    A document is a doc_id and a text: rows that repeat both stay once, an id with texts in several components stays
+    A document is a doc_id and a text: rows that repeat both stay once, an id with texts in several groups stays
     with one text in each. Ids that are null come last, and of equal ids the text with the least hash stays.
     """
     k1, k2 = row_keys(docs["doc_id"], docs["text"])
-    row = F.struct(docs["doc_id"].isNull().alias("without_id"), docs["doc_id"].alias("id"), k1, k2)
-    marked = cut_lineage(bounded_batches(docs).select(row.alias("row"), fingerprint(F.col("text")).alias("fp")))
-    gone = component_ids(marked, "row").where("row <> component_id").select("row.k1", "row.k2")
+    marked = cut_lineage(near_copies(docs))
+    gone = marked.where("row <> component_id").select("row.k1", "row.k2")
     repeated = marked.groupBy("row.k1", "row.k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
-    kept = without(keyed, gone.toDF("__k1", "__k2"), ["__k1", "__k2"])
+    a, b = fresh(docs, "k1"), fresh(docs, "k2")
+    keyed = docs.withColumns({a: k1, b: k2})
+    kept = without(keyed, gone.toDF(a, b), [a, b])
     repeated = cut_lineage(repeated.select(F.col("k1").alias("__r1"), F.col("k2").alias("__r2")))
     if not repeated.isEmpty():
-        again = (kept["__k1"] == repeated["__r1"]) & (kept["__k2"] == repeated["__r2"])
-        once = kept.join(repeated, again, "left_semi").dropDuplicates(["__k1", "__k2"])
+        again = (kept[a] == repeated["__r1"]) & (kept[b] == repeated["__r2"])
+        once = kept.join(repeated, again, "left_semi").dropDuplicates([a, b])
         kept = kept.join(repeated, again, "left_anti").unionByName(once)
-    return kept.drop("__k1", "__k2")
+    return kept.drop(a, b)

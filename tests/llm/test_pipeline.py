@@ -2,11 +2,11 @@ import ast
 import inspect
 
 import corpus_pipeline
-from spanwise.llm import decontam, langid, mixing, secret_scan
+from spanwise.llm import decontam, langid, mixing, secret_scan, simhash
 from spanwise.llm.common import table
 from tests.llm.helpers import edge_docs, rows
 from tests.llm.test_decontam import plain as plain_decontam
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_groups, plain_near_fingerprint
 
 
 def test_stages_against_brute_force(spark, small):
@@ -15,9 +15,9 @@ def test_stages_against_brute_force(spark, small):
     named = langid.learn(docs.where("pmod(crc32(cast(doc_id as string)), 4) <> 2"))
     data = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
     said = named.predict([t for _, t, _ in data])
-    data = [d for d, (lang, score) in zip(data, said, strict=True) if lang != "und" and score >= 0.5]
-    least = plain_components([(i, plain_fingerprint(t)) for i, t, _ in data])
-    data = [d for d, c in zip(data, least, strict=True) if d[0] == c]
+    data = sorted(d for d, (lang, _) in zip(data, said, strict=True) if lang != "und")
+    groups = plain_groups([plain_near_fingerprint(t) for _, t, _ in data], simhash.NEAR_BUDGET)
+    data = [data[g] for g in sorted(set(groups))]
     items = [(r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect()]
     dirty = {r[0] for r in plain_decontam([d[:2] for d in data], items) if r[-1]}
     data = [(i, secret_scan.redacted(t), s) for i, t, s in data if i not in dirty]

@@ -110,3 +110,103 @@ def test_rows_stay_by_id_and_text(spark):
     texts = [(9, "alone in its component as it is"), (9, "shared by two ids in the table"), (8, "shared by two ids in the table")]
     got = simhash.keep_one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [texts[2], texts[0]]
+
+
+def plain_near_fingerprint(text):
+    """The distinct five-word shingles' 256 bits, one bit at a time."""
+    words = (text or "").encode().lower().split()
+    grams = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    out = 0
+    for n in range(4):
+        for h in range(64):
+            ones = 0
+            for x in hashes:
+                if n:
+                    x = x * (0x9E3779B97F4A7C15 + 2 * n) % 2**64
+                    x = (x ^ x >> 32) * 0xBF58476D1CE4E5B9 % 2**64
+                    x ^= x >> 29
+                ones += x >> h & 1
+            out |= (2 * ones > len(hashes)) << (64 * (3 - n) + h)
+    return out
+
+
+def plain_groups(fps, budget):
+    """The least index of each one's component over all pairs."""
+    root = list(range(len(fps)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= budget:
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(fps))]
+
+
+def test_near_copies_against_brute_force(spark, small):
+    docs = table(spark, small, "documents")
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    fps = [plain_near_fingerprint(t) for _, t in texts]
+    assert all(int.from_bytes(simhash.near_fingerprint_of(t)[0], "big") == f for (_, t), f in zip(texts, fps, strict=True))
+    kept = {texts[r][0] for r in plain_groups(fps, simhash.NEAR_BUDGET)}
+    assert {r["doc_id"] for r in rows(simhash.keep_one_of_each(docs))} == kept
+
+
+def test_near_copies_of_similarity_above_four_fifths_are_found(spark):
+    """Recall over pairs, against all pairs that share a shingle."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    shingles, held = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").lower().split()
+        shingles[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for g in shingles[r["doc_id"]]:
+            held.setdefault(g, []).append(r["doc_id"])
+    pairs = {(a, b) for ids in held.values() if len(ids) <= 50 for a in ids for b in ids if a < b}
+    similarity = {(a, b): len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for a, b in pairs}
+    group = {r["row"]["id"]: r["component_id"]["id"] for r in rows(simhash.near_copies(docs))}
+    near = [p for p, s in similarity.items() if s >= 0.8]
+    assert len(near) > 20 and sum(group[a] == group[b] for a, b in near) >= 0.9 * len(near)
+    grouped = {d for d, g in group.items() if d != g} | {g for d, g in group.items() if d != g}
+    most = {}
+    for (a, b), s in similarity.items():
+        most[a], most[b] = max(most.get(a, 0), s), max(most.get(b, 0), s)
+    assert all(most.get(d, 0) > 0.5 or not shingles[d] for d in grouped)  # clean documents stay
+
+
+def test_a_key_that_very_many_share(spark):
+    """A ball of copies of one text, a second ball and strangers, all under one key: cells, leaders and rounds."""
+    rng = np.random.default_rng(4)
+    def ball(centre, n):
+        out = set()
+        for _ in range(n):
+            x = centre
+            for bit in rng.choice(256, 15, replace=False).tolist():
+                x ^= 1 << bit
+            out.add(x)
+        return sorted(out)
+    draw = lambda: int.from_bytes(rng.bytes(32), "big")
+    one, two, alone = ball(draw(), 700), ball(draw(), 300), [draw() for _ in range(400)]
+    values = sorted({*one, *two, *alone})
+    fps = spark.createDataFrame([(v.to_bytes(32, "big"), [7, 7]) for v in values], "fp binary, keys array<long>")
+    want = plain_groups(values, simhash.NEAR_BUDGET)
+    for large in (100, 20_000):
+        found = {r["v"]: r["root"] for r in simhash.components(simhash.near_copy_edges(fps, large)).collect()}
+        got = [int.from_bytes(found.get(v.to_bytes(32, "big"), v.to_bytes(32, "big")), "big") for v in values]
+        assert got == [values[i] for i in want], large
+
+
+@given(st.integers(0, 5), st.integers(2, 300), st.integers(1, 40))
+def test_local_components_of_wide_rows(seed, n, budget):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, (max(1, n // 20), 2), dtype=np.uint64)
+    flips = np.zeros((n, 2), np.uint64)
+    for _ in range(12):
+        flips[np.arange(n), rng.integers(0, 2, n)] ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    values = np.unique(base[rng.integers(0, len(base), n)] ^ flips, axis=0)
+    whole = [int(a) << 64 | int(b) for a, b in values.tolist()]
+    assert simhash.local_roots(values, budget).tolist() == plain_groups(whole, budget)
