@@ -8,11 +8,14 @@ separate likewise. The minimum cut, found by maximum flow, then labels all block
 paragraphs follows them, while strong evidence (a nav, an advert, a form) outweighs any neighbour. Names and
 forms count by how little of the page's text they hold: what wraps a whole page is its layout.
 
-Pages are rows, so the work needs no shuffle, and a page takes time in proportion to its length and its flow.
+Pages are rows, so the work needs no shuffle, and a page takes time in proportion to its length, its flow and the blocks
+that separate neighbours; inline elements may be nested to any depth.
 
 Defined results: a null, empty or textless page gives the empty text; broken markup is read as far as it goes (unclosed
-tags, a cut-off page); references that don't decode stay as they are; repeated rows give repeated results; other columns
-are ignored.
+tags, a cut-off page); references that don't decode stay as they are; repeated rows give repeated results; an empty
+table gives no rows; a very long page is read whole; a block whose evidence is exactly zero costs nothing either way and
+follows its neighbours, as boilerplate where they don't decide, and of several minimum cuts the one with the fewest
+content blocks is taken; columns beside page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,13 +65,14 @@ SMOOTH, SIBLING = 1.2, 0.5
 
 
 class Node:
-    """An open element: its tag, its depth, and what it says about the text inside."""
+    """An open element: its tag, the nearest block from here up, its depth in blocks, and what it says about the text inside."""
 
-    __slots__ = ("tag", "up", "depth", "verdict", "good", "linked", "main", "wraps", "doubt", "held", "against")
+    __slots__ = ("tag", "up", "block", "depth", "verdict", "good", "linked", "main", "wraps", "doubt", "held", "against")
 
     def __init__(self, tag: str, up: Node | None, attributes: str):
         self.tag, self.up = tag, up
-        self.depth = up.depth + 1 if up else 0
+        self.block = self if up is None or tag in BLOCK else up.block
+        self.depth = 0 if up is None else up.depth + (self.block is self)
         self.verdict = up.verdict if up else 0.0
         self.good = up.good if up else 0.0
         self.linked = tag == "a" or bool(up and up.linked)
@@ -111,9 +115,10 @@ class Node:
 def blocks_of(page: str) -> list[tuple[str, int, Node]]:
     """(text, characters in links, element) of each block with text, in page order."""
     out: list[tuple[str, int, Node]] = []
-    here = Node("", None, "")
+    here = root = Node("", None, "")
     parts: list[str] = []
     linked, at, end = 0, 0, len(page)
+    opened: dict[str, int] = {}  # how many elements of each tag are open, so that a search for none isn't begun
 
     def close(owner: Node) -> None:
         nonlocal linked
@@ -123,10 +128,12 @@ def blocks_of(page: str) -> list[tuple[str, int, Node]]:
             parts.clear()
             linked = 0
 
-    def owner(node: Node) -> Node:
-        while node.up and node.tag not in BLOCK:
-            node = node.up
-        return node
+    def leave(node: Node) -> None:
+        """Closes every element from the innermost to this one."""
+        nonlocal here
+        while here is not node.up:
+            opened[here.tag] -= 1
+            here = here.up
 
     while at < end:
         m = TOKEN.match(page, at)
@@ -147,32 +154,33 @@ def blocks_of(page: str) -> list[tuple[str, int, Node]]:
         if slash:
             node = here
             stop = SAME_AGAIN.get(tag, ())
+            if not opened.get(tag):
+                node = root
             while node.up and node.tag != tag and node.tag not in stop:
-                node = node.up
+                node = node.up.block if tag in BLOCK else node.up
             if node.up and node.tag == tag:
                 if tag in BLOCK:
-                    close(owner(here))
-                here = node.up
+                    close(here.block)
+                leave(node)
             elif tag in BLOCK:
-                close(owner(here))
+                close(here.block)
             elif tag == "br":
                 parts.append(" ")
             continue
         if tag in BLOCK:
-            close(owner(here))
+            close(here.block)
             if tag in SAME_AGAIN and tag != "p":
-                node, stop = here, SAME_AGAIN[tag]
+                node, stop = here.block, SAME_AGAIN[tag]
                 again = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+                if not any(map(opened.get, again)):
+                    node = root
                 while node.up and node.tag not in again and node.tag not in stop:
-                    node = node.up
+                    node = node.up.block
                 if node.up and node.tag in again:
-                    here = node.up
+                    leave(node)
             elif tag in CLOSES_P:
-                node = here
-                while node.up and node.tag != "p" and node.tag not in BLOCK:
-                    node = node.up
-                if node.tag == "p":
-                    here = node.up
+                if here.block.tag == "p":
+                    leave(here.block)
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
         elif tag in RAW and not attributes.rstrip().endswith("/"):
@@ -180,7 +188,8 @@ def blocks_of(page: str) -> list[tuple[str, int, Node]]:
             at = shut.end() if shut else end  # its text is markup or a title, never part of a block
         elif tag not in VOID and not attributes.endswith("/"):
             here = Node(tag, here, attributes)
-    close(owner(here))
+            opened[tag] = opened.get(tag, 0) + 1
+    close(here.block)
     return out
 
 
@@ -227,14 +236,14 @@ def weigh_doubts(blocks: list[tuple[str, int, Node]]) -> None:
 
 
 def proximity(a: Node, b: Node) -> float:
-    """Shared ancestors (themselves included) over the deeper one's, 1 for blocks of the same element."""
+    """Shared blocks around them (themselves included) over the deeper one's, 1 for texts of the same block."""
     deep, x, y = max(a.depth, b.depth), a, b
     while x.depth > y.depth:
-        x = x.up
+        x = x.up.block
     while y.depth > x.depth:
-        y = y.up
+        y = y.up.block
     while x is not y:
-        x, y = x.up, y.up
+        x, y = x.up.block, y.up.block
     return (x.depth + 1) / (deep + 1)
 
 
@@ -309,10 +318,11 @@ def labels_of(blocks: list[tuple[str, int, Node]]) -> list[bool]:
         if i:
             arcs.append((i - 1, i, SMOOTH * proximity(blocks[i - 1][2], node)))
         if node.up is not None:
-            before = last.get(id(node.up))
+            around = id(node.up.block)
+            before = last.get(around)
             if before is not None and before < i - 1:
                 arcs.append((before, i, SIBLING))
-            last[id(node.up)] = i
+            last[around] = i
     return minimum_cut(unary, arcs)
 
 

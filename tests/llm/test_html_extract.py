@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 from html import unescape
 
 from hypothesis import given, settings
@@ -88,3 +89,18 @@ def test_rows(spark):
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert [r["n_chars"] for r in got if r["page_id"] is None] == [249_999]
     assert H.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    n = 20_000
+    for page, last in (("<article>" + "<b>x " * n, "x"), ("<div>" + "<b>" * n + "<p>some words</p> y " * 2000, "y"), ("<main>" + "<b>" * n + "</i>" * n + "<li>end</li>" * 2000, "end")):
+        began = time.process_time()
+        text = H.main_text(page)
+        assert time.process_time() - began < 2 and (not text or text.split()[-1] == last)
+
+
+def test_a_true_sidebar_inside_a_layout_name():
+    page = f"<div class='has-sidebar'><article>{STORY}</article><div class='sidebar'><p>Words beside the story, a whole sentence of them.</p></div></div>"
+    assert H.main_text(page).split("\n") == STORY_TEXT
+    for wrap in ("<main class='no-sidebar'>{}</main>", "<div id='page' class='menu-open'><div>{}</div></div>", "<article class='post comments-open'>{}</article>"):
+        assert H.main_text(wrap.format(STORY)).split("\n") == STORY_TEXT, wrap
