@@ -4,17 +4,21 @@ A run of ``SPAN`` = 13 words holds ``WINDOW`` = 9 word 5-grams; the least of the
 equal runs always select the same fingerprint, and every shared run of 13 words or more is found. Documents keep the
 distinct selected (hash, position) pairs, about one for five words, and look them up among the benchmark's. Only a hit
 is extended: the up to nine runs of 13 words around it are compared with the benchmark's as text, which makes the
-result exact whatever the hashes do. Items of fewer than 13 words are looked up whole, one pass for each such length.
+result exact whatever the hashes do. Items of fewer than 13 words are looked up whole, all lengths in one pass: only
+where a document has an item's first word are the runs from there compared.
 
-Scale: the benchmark's fingerprints and runs are broadcast while it has at most ``BROADCAST_RUNS`` runs (a proven bound
-of some 100 MB); beyond that the same joins shuffle, and each fingerprint then carries the 21 words around it. A
+Scale: the benchmark's fingerprints and runs are broadcast while it has at most ``BROADCAST_RUNS`` runs and these take at
+most ``BROADCAST_BYTES`` bytes, both measured first (a word has no length limit, so a count alone bounds nothing); beyond
+that the same joins shuffle, and each fingerprint then carries the 21 words around it. A
 document's words never leave its row before a fingerprint has hit, and passages that very many documents share put no
 key of the documents' side into one task, as long as the benchmark's side is broadcast; otherwise adaptive execution
 splits them.
 
 Defined results: null and empty texts have no words, no hits and the digest of the empty string; repeated rows give
-repeated results; rows that share a doc_id but not the text are judged apart; items without words match nothing; an item without an id hits words but is not counted; other
-columns are ignored.
+repeated results; rows that share a doc_id but not the text are judged apart; items without words match nothing; an item
+without an id hits words but is not counted; equal hashes select the leftmost place; an empty table of documents gives
+no rows, one of items no hits; a very long text is searched whole, up to 2**28 words; columns beside the ids and texts
+are ignored by the query and kept by the pipeline's stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import ascii_lower, row_keys, without
+from spanwise.llm.common import ascii_lower, fresh, row_keys, without
 
 SPAN, GRAM = 13, 5
 WINDOW = SPAN - GRAM + 1
-BROADCAST_RUNS = 500_000
+BROADCAST_RUNS, BROADCAST_BYTES = 500_000, 64 << 20
 POSITION_BITS = 28
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAKS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,11 +78,29 @@ def _runs_at(words: Column, starts: Column, n: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.cast("int").alias("at"), F.array_join(F.slice(words, s + 1, n), " ").alias("run")))
 
 
+def _short_spans(keyed: DataFrame, short: DataFrame, held, small: bool) -> DataFrame:
+    """Places of items of fewer than ``SPAN`` words: each first word of an item that a document has is tried in full."""
+    whole = short.groupBy(F.array_join("words", " ").alias("run"), F.get("words", F.lit(0)).alias("word"), F.col("n").alias("len")).agg(F.collect_set("item").alias("items"))
+    firsts = whole.select("word", "len").distinct()
+    places = keyed.select("k1", "k2", "words", F.posexplode("words").alias("at", "word"))
+    ahead = F.slice("words", F.col("at") + 1, SPAN - 1)
+    if not small:  # what is shuffled carries the words ahead only
+        places = places.select("k1", "k2", "at", "word", ahead.alias("words"))
+        ahead = F.col("words")
+    met = places.join(held(firsts), "word").where(F.size(ahead) >= F.col("len"))
+    tried = met.select("k1", "k2", "at", "len", F.array_join(F.slice(ahead, F.lit(1), F.col("len")), " ").alias("run"))
+    return tried.join(held(whole.select("run", "len", "items")), ["run", "len"]).select("k1", "k2", "at", "len", "items")
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """For documents that are hit at all: k1, k2 (the row's keys), n_hit and the hit items' ids as strings."""
     bench = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).select("item", "words", F.size("words").alias("n"))
-    n_runs, lengths = bench.agg(F.sum(F.greatest(F.col("n") - SPAN + 1, F.lit(1))), F.collect_set(F.when(F.col("n").between(1, SPAN - 1), F.col("n")))).first()
-    small = (n_runs or 0) <= BROADCAST_RUNS
+    n_runs, n_bytes, shortest = bench.agg(
+        F.sum(F.greatest(F.col("n") - SPAN + 1, F.lit(1))),
+        F.sum(F.least(F.col("n"), F.lit(SPAN)) * (F.octet_length(F.array_join("words", " ")) + 1)),  # each word lies in 13 runs at most
+        F.min(F.when(F.col("n") > 0, F.col("n"))),
+    ).first()
+    small = (n_runs or 0) <= BROADCAST_RUNS and (n_bytes or 0) <= BROADCAST_BYTES
     held = F.broadcast if small else (lambda df: df)
     every = F.when(F.col("n") >= SPAN, F.sequence(F.lit(0), F.col("n") - SPAN)).otherwise(F.array().cast("array<int>"))
     runs = bench.where(F.col("n") >= SPAN).select("item", F.explode(_runs_at(F.col("words"), every, SPAN)).alias("r")).groupBy("r.run").agg(F.collect_set("item").alias("items"))
@@ -94,12 +116,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     here = F.sequence(F.lit(0), F.size("words") - SPAN)
     spans = hit.select("k1", "k2", "first", F.explode(_runs_at(F.col("words"), here, SPAN)).alias("r"))
     spans = spans.select("k1", "k2", (F.col("first") + F.col("r.at")).alias("at"), F.lit(SPAN).alias("len"), F.col("r.run").alias("run")).join(held(runs), "run").drop("run")
-    for n in sorted(lengths or []):
-        whole = bench.where(F.col("n") == n).groupBy(F.array_join("words", " ").alias("run")).agg(F.collect_set("item").alias("items"))
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
-        short = keyed.select("k1", "k2", F.explode(_runs_at(F.col("words"), starts, n)).alias("r"))
-        short = short.select("k1", "k2", F.col("r.at").alias("at"), F.lit(n).alias("len"), F.col("r.run").alias("run"))
-        spans = spans.unionByName(short.join(held(whole), "run").drop("run"))
+    if shortest is not None and shortest < SPAN:
+        spans = spans.unionByName(_short_spans(keyed, bench.where(F.col("n").between(1, SPAN - 1)), held, small))
 
     per_doc = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -131,7 +149,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that aren't contaminated, columns as they are."""
     id_and_text = row_keys(F.col("doc_id"), F.col("text"))
-    named = docs.withColumns({f"__k{i}": k for i, k in enumerate(id_and_text)})
+    names = [fresh(docs, "k1"), fresh(docs, "k2")]
+    named = docs.withColumns(dict(zip(names, id_and_text, strict=True)))
     counted = docs.select(*id_and_text, word_count(F.col("text")).alias("n_words")).join(contamination(docs, items), ["k1", "k2"])
-    bad = counted.where("20 * n_hit >= n_words").select(F.col("k1").alias("__k0"), F.col("k2").alias("__k1"))
-    return without(named, bad, ["__k0", "__k1"]).drop("__k0", "__k1")
+    bad = counted.where("20 * n_hit >= n_words").select("k1", "k2").toDF(*names)
+    return without(named, bad, names).drop(*names)

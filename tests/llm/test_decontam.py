@@ -45,16 +45,21 @@ def check(docs, items):
 def test_against_brute_force(spark, small, monkeypatch):
     docs, items = table(spark, small, "documents"), table(spark, small, "benchmark")
     assert any(r[-1] for r in check(docs, items))
-    monkeypatch.setattr(decontam, "BROADCAST_RUNS", 0)  # the way that shuffles
-    check(docs, items)
+    for bound in ("BROADCAST_RUNS", "BROADCAST_BYTES"):  # the way that shuffles
+        with monkeypatch.context() as m:
+            m.setattr(decontam, bound, 0)
+            check(docs, items)
 
 
-def test_edges_and_short_items(spark):
+def test_edges_and_short_items(spark, monkeypatch):
     long = " ".join(f"w{i}" for i in range(40))
     texts = [long, "x " + long.upper(), " ".join(f"w{i}" for i in range(12)), "y w0 w1, w2 w3 " + long[:60], "same " * 40, "same " * 13, "same " * 12, "word", "the Word."]
     items = spark.createDataFrame([(1, long), (2, " ".join(f"w{i}" for i in range(5, 25))), (3, "same " * 20), (4, "word"), (5, None), (6, ""), (7, "--"), (8, "w0 w1"), (8, "w1 w2"), (9, "one two three")], "item_id long, text string")
     docs = spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string")
     check(docs, items)
+    with monkeypatch.context() as m:
+        m.setattr(decontam, "BROADCAST_RUNS", 0)
+        check(docs, items)
     check(edge_docs(spark), items)
     check(edge_docs(spark).limit(0), items)
     check(docs, items.limit(0))
@@ -69,3 +74,20 @@ def test_null_item_id_counts_hits_only(spark):
 def test_no_python_on_the_main_path(spark, small):
     plan = decontam.decontaminate(table(spark, small, "documents"), table(spark, small, "benchmark"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_few_but_huge_runs_are_not_broadcast(spark):
+    """A word has no length limit: 40 runs of 13 words of 200,000 characters each are over the bound in bytes."""
+    words_ = [f"w{i}" + "x" * 200_000 for i in range(52)]
+    items = spark.createDataFrame([(1, " ".join(words_))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words_[20:40])), (2, "nothing of it")], "doc_id long, text string")
+    df = decontam.decontaminate(docs, items)
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in rows(df)} == {1: (20, 1), 2: (0, 0)}
+    assert "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_short_items_take_one_pass(spark, small):
+    docs = table(spark, small, "documents")
+    items = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in range(1, 13)], "item_id long, text string")
+    plan = decontam.contamination(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
