@@ -2,11 +2,14 @@
 
 Decoding is plain numpy inside Arrow batches: an image is one row, so no shuffle is needed and a lost executor only
 repeats its own partitions. Sums for the area resize come from an integral image, so a resize costs one pass over the
-pixels whatever the target size.
-
-Defined results: null bytes, empty bytes and bytes that aren't a whole image give null fields and the reason in
-``error``; repeated rows give repeated results; other columns pass through untouched, unless one has the name of a
-result, which then replaces it.
+pixels whatever the target size. The integral image is summed in bands of rows, of which only the rows at cell edges are
+kept, so memory beyond the image itself is a band and a few rows.
+
+Defined results: null bytes, empty bytes and bytes that aren't a whole image (a sample out of range or of no such format
+included) give null fields and the reason in ``error``; repeated rows give repeated results; an empty table gives no
+rows; a very long text is one tall image, stored whole; means that lie between two values round half up; equal
+brightness sets no bit of a difference hash; other columns pass through untouched, unless one has the name of a result,
+which then replaces it.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from spanwise.llm.common import bounded_batches
 
 BLOCK = 576  # payload unit: one 24 x 24 tile of 8-bit samples
 SIDE = 24
+BAND = 1 << 18  # samples that are summed at a time: 2 MB
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -62,9 +66,14 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if plain:
         body = b"\n".join(line.split(b"#", 1)[0] for line in data[at:].split(b"\n"))
         if bitmap:
-            samples = np.frombuffer(b"".join(body.split()), np.uint8)[:n] - 48
+            digits = np.frombuffer(b"".join(body.split()), np.uint8)[:n]
+            if not np.isin(digits, (48, 49)).all():
+                raise ValueError("bitmap sample other than 0 and 1")
+            samples = digits - 48
         else:
             samples = np.array(body.split()[:n], dtype=np.int64)
+            if samples.min(initial=0) < 0:
+                raise ValueError("negative sample")
     elif bitmap:
         row = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=at + 1)
@@ -88,7 +97,7 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("broken BMP header")
     (start,) = struct.unpack_from("<I", data, 10)
     size, width, height, _, bits, packing, _, _, _, colours = struct.unpack_from("<IiiHHIIiiI", data, 14)
-    if packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
+    if packing not in (0, 3) or bits not in (8, 24, 32) or packing and bits != 32 or width <= 0 or height == 0:
         raise ValueError("BMP kind not supported")
     row = (width * bits // 8 + 3) // 4 * 4
     raw = np.frombuffer(data, np.uint8, offset=min(start, len(data)))
@@ -101,30 +110,69 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         if rows.max(initial=0) >= len(table):
             raise ValueError("colour outside the table")
         return table[rows]
+    if packing:
+        return _masked(rows, width, data)
     return np.ascontiguousarray(rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1])
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's (fractional) area, from an integral image; rounds half up."""
-    h, w, channels = image.shape
-    total = np.zeros((h + 1, w + 1, channels))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+def _masked(rows: np.ndarray, width: int, data: bytes) -> np.ndarray:
+    """32-bit pixels by the three masks after the header: runs of up to 8 bits, stretched to 8 where they are shorter."""
+    if len(data) < 66:
+        raise ValueError("broken BMP header")
+    pixels, out = np.ascontiguousarray(rows).view("<u4"), np.empty((len(rows), width, 3), np.uint8)
+    for i, mask in enumerate(struct.unpack_from("<III", data, 54)):
+        shift = (mask & -mask).bit_length() - 1
+        top = mask >> max(0, shift)
+        if not mask or top & top + 1 or top > 255:
+            raise ValueError("BMP mask not supported")
+        out[:, :, i] = ((pixels & np.uint32(mask)) >> np.uint32(shift)).astype(np.uint32) * 255 // top
+    return out
+
 
-    def at(edges: np.ndarray, n: int, sums: np.ndarray, axis: int) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), n - 1)
-        part = (edges - low).reshape([-1 if i == axis else 1 for i in range(3)])
-        return np.take(sums, low, axis) * (1 - part) + np.take(sums, low + 1, axis) * part
+def _cells(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the edges of ``size`` equal cells of 0..n: the whole number below each, and what is left over."""
+    edges = np.arange(size + 1) * n / size
+    low = np.minimum(edges.astype(np.int64), n - 1)
+    return low, edges - low
 
-    rows = at(np.arange(height + 1) * h / height, h, total, 0)
-    cells = at(np.arange(width + 1) * w / width, w, rows, 1)
+
+def area_resize(image: np.ndarray, height: int, width: int, grey: bool = False) -> np.ndarray:
+    """Mean over each target cell's (fractional) area, from an integral image; rounds half up. ``grey`` takes the mean of
+    the channels, rounded down, first.
+
+    The integral image is built in bands of rows; of each band only those rows stay between which a cell's edge lies.
+    """
+    h, w, channels = image.shape
+    low, part = _cells(h, height)
+    needed = np.unique([low, low + 1])
+    kept, above = np.zeros((len(needed), w, 1 if grey else channels)), 0.0
+    band = max(1, BAND // (w * channels))
+    for start in range(0, h, band):
+        block = image[start : start + band]
+        if grey and channels > 1:
+            block = np.floor(block.mean(axis=2, keepdims=True))
+        sums = np.cumsum(block, axis=0, dtype=np.float64)
+        sums += above
+        first, last = np.searchsorted(needed, [start + 1, start + len(block) + 1])
+        kept[first:last] = sums[needed[first:last] - start - 1]
+        above = sums[-1]
+    total = np.zeros((len(needed), w + 1, kept.shape[2]))
+    np.cumsum(kept, axis=1, out=total[:, 1:])
+
+    def between(sums: np.ndarray, a: np.ndarray, b: np.ndarray, part: np.ndarray, axis: int) -> np.ndarray:
+        part = part.reshape([-1 if i == axis else 1 for i in range(3)])
+        return np.take(sums, a, axis) * (1 - part) + np.take(sums, b, axis) * part
+
+    rows = between(total, np.searchsorted(needed, low), np.searchsorted(needed, low + 1), part, 0)
+    low, part = _cells(w, width)
+    cells = between(rows, low, low + 1, part, 1)
     sums = cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]
     return np.floor(sums / (h / height * w / width) + 0.5).clip(0, np.iinfo(image.dtype).max).astype(image.dtype)
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: whether brightness grows from each cell of an 8 x 9 grid to its right neighbour."""
-    grey = image.mean(axis=2, keepdims=True)
-    grid = area_resize(np.floor(grey).astype(image.dtype), 8, 9)[:, :, 0].astype(np.int64)
+    grid = area_resize(image, 8, 9, grey=True)[:, :, 0].astype(np.int64)
     return np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex()
 
 
@@ -177,8 +225,7 @@ def write_tiles(df: DataFrame, path: str) -> None:
     df.where("tile is not null").select("dhash", "height", "width", "channels", "tile").write.mode("overwrite").parquet(path)
 
 
-def text_payload(text: str | None) -> bytes:
-    data = b"" if text is None else text.encode("utf-8")
+def padded(data: bytes) -> bytes:
     return data.ljust(max(1, -(-len(data) // BLOCK)) * BLOCK, b"\xff")
 
 
@@ -196,10 +243,11 @@ def text_media(text: Column) -> Column:
     def stored(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            n = 0 if t is None else len(t.encode("utf-8"))
-            media = encode_pgm(np.frombuffer(text_payload(t), np.uint8).reshape(-1, SIDE))
+            data = b"" if t is None else t.encode("utf-8")
+            n = len(data)
+            media = encode_pgm(np.frombuffer(padded(data), np.uint8).reshape(-1, SIDE))
             image = decode(media)
-            payload = image.tobytes()
+            payload = memoryview(np.ascontiguousarray(image)).cast("B")
             tile = npy_bytes(area_resize(image, SIDE, SIDE))
             feature = f"{difference_hash(image)}:{zlib.crc32(tile):08x}"
             rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))

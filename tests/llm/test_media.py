@@ -1,5 +1,6 @@
 import hashlib
 import io
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ def test_netpbm_kinds():
     assert media.decode(b"P4 9 1\n\x80\x80")[0, :, 0].tolist() == [0] + [255] * 7 + [0]
     assert media.decode(b"P5 2 1 65535\n\x01\x02\x03\x04").tolist() == [[[258], [772]]]
     assert media.decode(b"P6 1 2 255\n\x01\x02\x03\x04\x05\x06").shape == (2, 1, 3)
-    for broken in (b"", b"P5", b"P5 2 2 255\n\x01", b"P9 1 1 255\n\x01", b"P5 0 1 255\n", b"P2 1 1 10 11", b"BM", b"\x89PNG"):
+    for broken in (b"", b"P5", b"P5 2 2 255\n\x01", b"P9 1 1 255\n\x01", b"P5 0 1 255\n", b"P2 1 1 10 11", b"BM", b"\x89PNG", b"P2 1 1 255 -3", b"P1 1 1 2", b"P2 1 1 255 x"):
         with pytest.raises(ValueError):
             media.decode(broken)
 
@@ -67,3 +68,42 @@ def test_tiles(spark, tmp_path):
     media.write_tiles(media.decode_tiles(df), str(tmp_path / "tiles"))
     assert spark.read.parquet(str(tmp_path / "tiles")).count() == 1
     assert media.decode_tiles(df.limit(0)).count() == 0
+
+
+def test_bmp_masks():
+    pixels = np.array([[[1, 2, 3], [250, 128, 0]], [[9, 8, 7], [0, 255, 31]]], np.uint8)
+    def bmp(masks, values, bits=32):
+        body = np.array(values, "<u4").tobytes()
+        return b"BM" + media.struct.pack("<IIIIiiHHIIiiII", 66 + len(body), 0, 66, 40, 2, -2, 1, bits, 3, len(body), 0, 0, 0, 0) + media.struct.pack("<III", *masks) + body
+    as_rgb = [int(r) << 24 | int(g) << 16 | int(b) << 8 for r, g, b in pixels.reshape(-1, 3)]
+    assert (media.decode(bmp((0xFF000000, 0xFF0000, 0xFF00), as_rgb)) == pixels).all()
+    assert media.decode(bmp((0x1F, 0x3E0, 0x7C00), [0x7FFF, 0, 0x1F, 0x7C00])).reshape(-1, 3).tolist() == [[255] * 3, [0] * 3, [255, 0, 0], [0, 0, 255]]
+    for broken in (bmp((0, 1, 2), [0] * 4), bmp((0x5, 0xF0, 0xF00), [0] * 4), bmp((0xFF, 0xFF00, 0xFF0000), [0] * 4, 24)):
+        with pytest.raises(ValueError):
+            media.decode(broken)
+
+
+def test_bands_change_nothing(monkeypatch):
+    image = np.random.default_rng(2).integers(0, 256, (517, 23, 3), dtype=np.uint8)
+    whole = [media.area_resize(image, 24, 24), media.area_resize(image, 8, 9, grey=True), media.area_resize(image, 600, 5)]
+    grey = np.floor(image.mean(axis=2, keepdims=True)).astype(np.uint8)
+    assert (whole[1] == media.area_resize(grey, 8, 9)).all()
+    monkeypatch.setattr(media, "BAND", 200)
+    assert all((a == b).all() for a, b in zip(whole, [media.area_resize(image, 24, 24), media.area_resize(image, 8, 9, grey=True), media.area_resize(image, 600, 5)], strict=True))
+
+
+def test_a_long_text_takes_little_more_than_itself():
+    image = np.zeros((1_000_000, 24, 1), np.uint8)
+    tracemalloc.start()
+    media.area_resize(image, 24, 24)
+    media.difference_hash(image)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+
+
+def test_tiles_replace_earlier_ones(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    for n in (3, 2):
+        images = [(i, media.encode_pgm(np.full((4, 4), 40 * i + n, np.uint8))) for i in range(n)]
+        media.write_tiles(media.decode_tiles(spark.createDataFrame(images, "id int, image binary")), path)
+    assert spark.read.parquet(path).count() == 2
