@@ -23,13 +23,13 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm.common import bounded_batches
+from spanwise.llm.flow import Network
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -248,66 +248,20 @@ def proximity(a: Node, b: Node) -> float:
 
 
 def minimum_cut(unary: list[float], arcs: list[tuple[int, int, float]]) -> list[bool]:
-    """True where a node stays on the source's side: Dinic's maximum flow, capacities in thousandths.
+    """True where a node stays on the source's side of a minimum cut, found by maximum flow; capacities in thousandths.
 
     unary > 0 is an arc from the source, unary < 0 one to the sink; arcs are symmetric.
     """
     n = len(unary)
-    source, sink = n, n + 1
-    to: list[int] = []
-    cap: list[int] = []
-    out: list[list[int]] = [[] for _ in range(n + 2)]
-
-    def add(a: int, b: int, there: int, back: int) -> None:
-        out[a].append(len(to))
-        out[b].append(len(to) + 1)
-        to.extend((b, a))
-        cap.extend((there, back))
-
+    source, sink, net = n, n + 1, Network(n + 2)
     for i, u in enumerate(unary):
         if u > 0:
-            add(source, i, round(1000 * u), 0)
+            net.add(source, i, round(1000 * u))
         else:
-            add(i, sink, round(-1000 * u), 0)
+            net.add(i, sink, round(-1000 * u))
     for a, b, c in arcs:
-        add(a, b, round(1000 * c), round(1000 * c))
-    while True:
-        level = [-1] * (n + 2)
-        level[source] = 0
-        queue = deque([source])
-        while queue:
-            v = queue.popleft()
-            for e in out[v]:
-                if cap[e] and level[to[e]] < 0:
-                    level[to[e]] = level[v] + 1
-                    queue.append(to[e])
-        if level[sink] < 0:
-            return [x >= 0 for x in level[:n]]
-        at = [0] * (n + 2)
-        path: list[int] = []
-        v = source
-        while True:  # a blocking flow, without recursion
-            if v == sink:
-                pushed = min(cap[e] for e in path)
-                for e in path:
-                    cap[e] -= pushed
-                    cap[e ^ 1] += pushed
-                path, v = [], source
-                continue
-            while at[v] < len(out[v]):
-                e = out[v][at[v]]
-                if cap[e] and level[to[e]] == level[v] + 1:
-                    break
-                at[v] += 1
-            if at[v] < len(out[v]):
-                path.append(out[v][at[v]])
-                v = to[path[-1]]
-            elif v == source:
-                break
-            else:
-                e = path.pop()
-                v = to[e ^ 1]
-                at[v] += 1
+        net.add(a, b, round(1000 * c), round(1000 * c))
+    return [x >= 0 for x in net.saturate(source, sink)[:n]]
 
 
 def labels_of(blocks: list[tuple[str, int, Node]]) -> list[bool]:
