@@ -1,33 +1,41 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern (the set of sources that they belong to), a table as long as the number
-of patterns, which must stay under ``MOST_PATTERNS``. On it a flow network sends token capacity from patterns to source
-quotas: a pattern offers its size once for nothing, a second time at cost 1, and so on, so the convex cost makes the
-flow repeat documents only where a quota can't be met otherwise. The flow says how many words each source takes of each
-pattern; documents then fill these amounts in seeded order, and only the document that crosses the end of an amount is
-cut short.
+Documents are aggregated by membership pattern (the set of sources that they belong to). On these a flow network sends
+token capacity from patterns to source quotas: a pattern offers its size once for nothing, a second time at cost 1, and
+so on, so the convex cost makes the flow repeat documents only where a quota can't be met otherwise. The flow says how
+many words the sources take of each pattern; documents then fill these amounts in seeded order, and only the document
+that crosses the end of an amount is cut short.
+
+Patterns and sources stay tables of any length. Quotas come from a few sums over the table of sources. Where a pattern
+is its source's only one and has no other source, the cheapest flow is known: the quota itself, as far as the copies go.
+Only patterns that share sources need a network; each connected component of them is solved by itself, one a task.
 
 The seeded order needs no sort over a pattern: documents fall into buckets by the upper bits of a seeded hash, bucket
 sizes are summed up within a pattern (a small table), and exact positions are computed within a bucket. A source with a
 third of all rows spreads over as many buckets as its share of the rows asks for.
 
-Defined results: a null text has size 0 and takes 0; null is a source of its own, ordered last; an empty table gives no
-rows; repeated rows and equal hashes are ordered by doc_id and size, and rows that agree in all of these are
-interchangeable; other columns are ignored.
+Defined results: a null text has size 0 and takes 0; null is a source of its own, ordered last; a document without
+sources takes 0; an empty table gives no rows; repeated rows and equal hashes are ordered by doc_id and size, and rows
+that agree in all of these are interchangeable; of several cheapest flows one is taken, the same on every run; a very
+long text counts whole and may be the one that is cut short; columns beside doc_id, text and source are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import heapq
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import cut_lineage
+from spanwise.llm.common import cut_lineage, ranked
+from spanwise.llm.flow import Network
+from spanwise.llm.simhash import components
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS, SEED = 1.5, 2, 20240601
-BUCKET_ROWS, MOST_PATTERNS = 4096, 200_000
+BUCKET_ROWS = 4096
+#: Patterns up to this many are broadcast (some 200 bytes each); more are joined by shuffle.
+BROADCAST_PATTERNS = 100_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -36,123 +44,109 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")).cast("long")
 
 
-def quotas(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, whole: int | None = None) -> dict:
-    """Target words of each source: by weight, no more than ``most`` times its size, the excess shared out again.
-
-    The targets share ``share`` times ``whole``, all documents' size (by default the sources', which then don't overlap).
+def with_targets(sources: DataFrame, whole: int, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
+    """Adds target, the words of each source's quota, to sources (source, source_size).
 
-    Sources are ordered by code point, null last, and weigh ``weights``, repeating.
+    The quotas share ``share`` times ``whole``, all documents' size, by weight; none is above ``most`` times its source's
+    size, and the excess is shared out again. Sources are ordered by code point, null last, and weigh ``weights``,
+    repeating. A quota is capped where the level (words for each unit of weight) is above its cap over its weight; each
+    round raises the level by what the capped ones leave, until no further source is capped.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, target = share * (sum(sizes.values()) if whole is None else whole), list(order), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not over:
-            return target | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            target[s] = float(most * sizes[s])
-            left -= target[s]
-            open_.remove(s)
-    return target
-
-
-def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost) of a cheapest maximum flow: shortest paths with potentials."""
-    to, cap, cost, out = [], [], [], [[] for _ in range(n)]
-    for a, b, c, w in arcs:
-        out[a].append(len(to))
-        out[b].append(len(to) + 1)
-        to += [b, a]
-        cap += [c, 0]
-        cost += [w, -w]
-    potential = [0] * n  # costs start non-negative
+    cycle = F.array(*map(F.lit, map(float, weights)))
+    weighed = ranked(sources, "rank", F.col("source").asc_nulls_last()).withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int"))).drop("rank")
+    weighed = weighed.withColumn("cap", (F.lit(most) * F.col("source_size")).cast("double"))
+    level, capped = 0.0, -1
     while True:
-        dist, via, heap = {source: 0}, {}, [(0, source)]
-        done = set()
-        while heap:
-            d, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done.add(v)
-            for e in out[v]:
-                u = to[e]
-                if cap[e] and u not in done and (x := d + cost[e] + potential[v] - potential[u]) < dist.get(u, 1 << 62):
-                    dist[u], via[u] = x, e
-                    heapq.heappush(heap, (x, u))
-        if sink not in dist:
-            return [cap[2 * i + 1] for i in range(len(arcs))]
-        for v in range(n):
-            potential[v] += min(dist.get(v, dist[sink]), dist[sink])
-        path, v = [], sink
-        while v != source:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        pushed = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= pushed
-            cap[e ^ 1] += pushed
-
-
-def route(patterns: dict[tuple, int], targets: dict, most: int = MOST_REPEATS) -> dict[tuple, list[tuple[object, int]]]:
-    """For each pattern the (source, words) amounts that it gives, cheapest in repetition; sums are at most ``most`` sizes."""
-    sources, keys = list(targets), list(patterns)
-    place = {s: 2 + len(keys) + i for i, s in enumerate(sources)}
-    arcs = []
-    for i, p in enumerate(keys):
-        arcs += [(0, 2 + i, patterns[p], again) for again in range(most)]
-        arcs += [(2 + i, place[s], most * patterns[p], 0) for s in p if s in place]
-    arcs += [(place[s], 1, round(targets[s]), 0) for s in sources]
-    flows = min_cost_flow(2 + len(keys) + len(sources), arcs, 0, 1)
-    gives: dict[tuple, list] = {p: [] for p in keys}
-    for (a, b, _, _), f in zip(arcs, flows, strict=True):
-        if a > 1 and b > 1 and f:
-            gives[keys[a - 2]].append((sources[b - 2 - len(keys)], f))
+        under = F.col("cap") / F.col("weight") < level
+        n, taken, free = weighed.agg(F.count_if(under), F.sum(F.when(under, F.col("cap"))), F.sum(F.when(~under, F.col("weight")))).first()
+        if not free or n == capped:
+            return weighed.withColumn("target", F.when(under, F.col("cap")).otherwise(F.col("weight") * level)).drop("weight", "cap")
+        level, capped = (share * whole - (taken or 0.0)) / free, n
+
+
+def route(patterns: dict, targets: dict, members: dict, most: int = MOST_REPEATS) -> dict:
+    """Words that each pattern gives to each of its sources, {pattern: {source: words}}, cheapest in repetition.
+
+    ``patterns`` has sizes, ``targets`` the sources' quotas, ``members`` each pattern's sources. All paths that use no
+    copy cost nothing, those that begin with a first copy cost 1, and so on; so maximum flows with one further copy at a
+    time are the successive cheapest paths.
+    """
+    place = {s: 2 + len(patterns) + i for i, s in enumerate(targets)}
+    net = Network(2 + len(patterns) + len(targets))
+    arcs = {(p, s): net.add(2 + i, place[s], most * patterns[p]) for i, p in enumerate(patterns) for s in members[p]}
+    for s, t in targets.items():
+        net.add(place[s], 1, round(t))
+    for _ in range(most):
+        for i, p in enumerate(patterns):
+            net.add(0, 2 + i, patterns[p])
+        net.saturate(0, 1)
+    gives: dict = {p: {} for p in patterns}
+    for (p, s), e in arcs.items():
+        if net.cap[e + 1]:
+            gives[p][s] = net.cap[e + 1]
     return gives
 
 
+def _overlapping_amounts(links: DataFrame, most: int) -> DataFrame:
+    """pattern, amount: flows over patterns that share sources, from links (pattern, size, source as text, target)."""
+    ends = links.select("pattern", "source", F.xxhash64(F.lit(1), "pattern").alias("a"), F.xxhash64(F.lit(2), "source").alias("b"))
+    roots = components(ends.select("a", "b"))
+    of_source = ends.select("source", "b").distinct().join(roots, F.col("b") == F.col("v"), "left").select("source", F.coalesce("root", "b").alias("root"))
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pattern", "source"])  # whatever order they came in
+        sizes = dict(zip(rows["pattern"], rows["size"].astype(int), strict=True))
+        targets = dict(zip(rows["source"], rows["target"], strict=True))
+        gives = route(sizes, targets, rows.groupby("pattern", sort=False)["source"].apply(list).to_dict(), most)
+        return pd.DataFrame([(p, sum(g.values())) for p, g in gives.items()], columns=["pattern", "amount"])
+
+    return links.join(of_source, "source").groupBy("root").applyInPandas(solved, "pattern string, amount long")
+
+
 def mix(docs: DataFrame, members: Column, size: Column, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, members, size, source_sizes, targets, taken: what the mix takes of each document.
 
     ``members`` is an array of the sources of a document (null elements allowed), ``size`` its words.
     """
-    # lean rows, read twice below: texts are split once
-    rows = cut_lineage(docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("members"), size.alias("size")))
-    grouped = rows.groupBy("members").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(grouped) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    patterns = {tuple(r["members"]): r["size"] for r in grouped}
-    sizes: dict = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    targets = quotas(sizes, weights, share, most, sum(patterns.values()))
-    gives = route(patterns, targets, most)
-
-    told = [
-        (i, list(p), max(1, r["n"] // BUCKET_ROWS), r["size"], sum(f for _, f in gives[p]), [sizes[s] for s in p], [float(targets[s]) for s in p])
-        for i, (r, p) in enumerate((r, tuple(r["members"])) for r in grouped)
-    ]
-    kind = dict(rows.dtypes)["members"]
-    plan = docs.sparkSession.createDataFrame(told, f"pattern int, m {kind}, buckets long, whole long, amount long, source_sizes array<long>, targets array<double>")
-    # the plan has MOST_PATTERNS rows at most, as checked above; patterns compare as text because members may be null
-    text = lambda c: F.to_json(F.struct(F.col(c).alias("m")), {"ignoreNullFields": "false"})
-    lookup = plan.select(text("m").alias("as_text"), "pattern", "buckets")
-    known = rows.withColumn("as_text", text("members")).join(F.broadcast(lookup), "as_text")
+    # lean rows, read again below: texts are split once; patterns compare as text because members may be null
+    told = docs.select("doc_id", F.array_sort(F.array_distinct(members)).alias("members"), size.alias("size"))
+    as_text = F.to_json(F.struct("members"), {"ignoreNullFields": "false"})
+    rows = cut_lineage(told.select("doc_id", "members", "size", as_text.alias("pattern")))
+    patterns = cut_lineage(rows.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("whole"), F.count(F.lit(1)).alias("n")))
+    belongs = patterns.select("pattern", "whole", F.posexplode("members").alias("at", "source"))
+    sources = belongs.groupBy("source").agg(F.sum("whole").alias("source_size"), F.count(F.lit(1)).alias("shared"))
+    whole, n_patterns = patterns.agg(F.coalesce(F.sum("whole"), F.lit(0)), F.count(F.lit(1))).first()
+    targets = with_targets(sources, whole, weights, share, most).withColumnRenamed("source", "__source")
+    links = cut_lineage(belongs.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"))
+    of_pattern = links.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("at", "source_size", "target"))).alias("s"), F.max("shared").alias("shared"))
+    plan = patterns.join(of_pattern, "pattern", "left")
+    alone = (F.size("s") == 1) & (F.col("shared") == 1)
+    tangled = links.join(plan.where(~alone).select("pattern"), "pattern", "left_semi")
+    known = F.when(alone, F.least(F.rint(F.get("s.target", F.lit(0))).cast("long"), most * F.col("whole")))
+    if tangled.isEmpty():
+        plan = plan.withColumn("amount", known)
+    else:
+        as_source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+        flows = _overlapping_amounts(tangled.select("pattern", F.col("whole").alias("size"), as_source.alias("source"), "target"), most)
+        plan = plan.join(flows, "pattern", "left").withColumn("amount", F.coalesce(known, "amount"))
+    lists = [F.coalesce(F.col(f"s.{c}"), F.array().cast(f"array<{t}>")).alias(name) for c, t, name in (("source_size", "bigint", "source_sizes"), ("target", "double", "targets"))]
+    plan = cut_lineage(plan.select("pattern", F.greatest(F.lit(1), F.floor(F.col("n") / BUCKET_ROWS)).alias("buckets"), "whole", F.coalesce("amount", F.lit(0)).alias("amount"), *lists))
+    held = F.broadcast if n_patterns <= BROADCAST_PATTERNS else (lambda df: df)
+
+    known = rows.join(held(plan.select("pattern", "buckets")), "pattern")
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("buckets"))
-    known = known.select("doc_id", "size", "pattern", spread.alias("bucket"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("spot"))
+    known = known.select("doc_id", "members", "size", "pattern", spread.alias("bucket"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("spot"))
 
     sums = known.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"))
     ahead = sums.select("pattern", "bucket", (F.sum("sum").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("sum")).alias("ahead"))
     before = Window.partitionBy("pattern", "bucket").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0))).join(ahead, ["pattern", "bucket"])
-    placed = placed.join(F.broadcast(plan.drop("buckets")), "pattern")
+    placed = placed.join(held(plan.drop("buckets")), "pattern")
     # copy r of a pattern covers [r * whole, (r + 1) * whole) of its amount; a document takes what falls on its own part
     start = F.col("ahead") + F.col("inside")
     part = lambda r: F.greatest(F.lit(0), F.least(F.col("size"), F.col("amount") - F.lit(r) * F.col("whole") - start))
     taken = sum((part(r) for r in range(1, most)), part(0))
-    return placed.select("doc_id", F.col("m").alias("members"), "size", "source_sizes", "targets", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "members", "size", "source_sizes", "targets", taken.cast("long").alias("taken"))
 
 
 def mix_by_source(docs: DataFrame, **options) -> DataFrame:

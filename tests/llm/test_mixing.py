@@ -1,5 +1,8 @@
 import itertools
+import random
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -24,10 +27,13 @@ def plain_targets(sizes):
         stopped |= over
 
 
-@given(st.dictionaries(st.sampled_from(["a", "b", "c", "B", "é", None]), st.integers(0, 1000), min_size=1))
-def test_targets(sizes):
+@pytest.mark.parametrize("sizes", [
+    {"a": 10, "b": 20, "c": 30, "B": 5, "é": 7, None: 9}, {"a": 0}, {"a": 0, "b": 7, None: 0}, {"x": 1000, "y": 1, "z": 1, "w": 1, "v": 900}, {f"s{i:02d}": (i * 37) % 101 for i in range(60)},
+])
+def test_targets(spark, sizes):
     want = plain_targets(sizes)
-    got = M.quotas(sizes)
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in rows(M.with_targets(sources, sum(sizes.values())))}
     assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes) and abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 1e-6
 
 
@@ -66,8 +72,8 @@ def test_positions_in_many_buckets(spark, small, monkeypatch):
 @given(st.lists(st.integers(0, 4), min_size=3, max_size=3), st.lists(st.integers(0, 9), min_size=2, max_size=2))
 def test_flow_is_the_cheapest_of_all(sizes, wants):
     patterns = {("a",): sizes[0], ("b",): sizes[1], ("a", "b"): sizes[2]}
-    gives = M.route(patterns, {"a": wants[0], "b": wants[1]})
-    flow = {(p, s): f for p, x in gives.items() for s, f in x}
+    gives = M.route(patterns, {"a": wants[0], "b": wants[1]}, {p: list(p) for p in patterns})
+    flow = {(p, s): f for p, x in gives.items() for s, f in x.items()}
     cost = lambda used: sum(max(0, n - patterns[p]) for p, n in used.items())
     best = max(
         (min(a + x, wants[0]) + min(b + y, wants[1]), -cost({("a",): a, ("b",): b, ("a", "b"): x + y}))
@@ -86,3 +92,49 @@ def test_overlapping_sources(spark):
     got = rows(M.mix(docs, F.col("members"), F.col("n").cast("long")))
     assert {tuple(r["members"]) for r in got} == {("a",), ("a", "b"), ("b",)}
     assert sum(r["taken"] for r in got) == 4500 and max(r["taken"] for r in got) <= 200
+
+
+def test_five_thousand_sources(spark):
+    """Each document has a source of its own: every quota in closed form, and nothing on the driver."""
+    docs = spark.createDataFrame([(i, "word " * (i % 7 + 1), f"host{i:05d}.example") for i in range(5000)], "doc_id long, text string, source string")
+    check(docs)
+
+
+def test_ten_thousand_overlapping_patterns():
+    """One component of 10,000 patterns over 200 sources: full quotas, and repeats only where a quota needs them."""
+    rng = random.Random(3)
+    members = {i: sorted(rng.sample(range(200), rng.randint(1, 3))) for i in range(10_000)}
+    patterns = {i: rng.randint(1, 500) for i in members}
+    targets = {s: 9000.0 for s in range(200)}
+    began = time.process_time()
+    gives = M.route(patterns, targets, members)
+    assert time.process_time() - began < 20
+    got = {s: sum(g.get(s, 0) for g in gives.values()) for s in targets}
+    assert got == targets  # 2.5 million words for 1.8 million
+    assert sum(max(0, sum(g.values()) - patterns[p]) for p, g in gives.items()) == 0
+    assert all(set(g) <= set(members[p]) for p, g in gives.items())
+
+
+def test_components_of_overlapping_sources(spark):
+    """Chains of sources that overlap, beside sources that don't, against one network over all of them."""
+    rng = random.Random(5)
+    data = [(i, rng.choice([["a", "b"], ["b", "c"], ["a"], ["d", "e"], ["e"], ["f"], [None], [None, "f"], ["g"], []]), rng.randint(0, 40)) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, members array<string>, n long")
+    got = rows(M.mix(docs, F.col("members"), F.col("n")))
+    assert len(got) == 400 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    sizes, sources = {}, {}
+    key = lambda m: tuple(sorted({x or "~null" for x in m}))
+    for _, m, n in data:
+        sizes[key(m)] = sizes.get(key(m), 0) + n
+    for m, n in sizes.items():
+        for x in m:
+            sources[x] = sources.get(x, 0) + n
+    targets = {s: next(r["targets"][sorted(r["members"], key=lambda x: (x is None, x)).index(None if s == "~null" else s)] for r in got if (None if s == "~null" else s) in r["members"]) for s in sources}
+    best = M.route(sizes, targets, {p: list(p) for p in sizes})
+    assert sum(r["taken"] for r in got) == sum(sum(g.values()) for g in best.values())
+    taken = {}
+    for r in got:
+        taken[key(r["members"])] = taken.get(key(r["members"]), 0) + r["taken"]
+    repeats = lambda used: sum(max(0, n - sizes[p]) for p, n in used.items())
+    assert repeats(taken) == repeats({p: sum(g.values()) for p, g in best.items()})
+    assert all(r["taken"] == 0 and r["targets"] == [] for r in got if not r["members"])

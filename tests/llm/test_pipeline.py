@@ -2,10 +2,11 @@ import ast
 import inspect
 
 import corpus_pipeline
-from spanwise.llm import decontam, langid, mixing, secret_scan, simhash
+from spanwise.llm import decontam, langid, secret_scan, simhash
 from spanwise.llm.common import table
 from tests.llm.helpers import edge_docs, rows
 from tests.llm.test_decontam import plain as plain_decontam
+from tests.llm.test_mixing import plain_targets
 from tests.llm.test_simhash import plain_groups, plain_near_fingerprint
 
 
@@ -27,7 +28,7 @@ def test_stages_against_brute_force(spark, small):
     totals = {}
     for i, _, s in data:
         totals[s] = totals.get(s, 0) + sizes[i]
-    target = mixing.quotas(totals)
+    target = plain_targets(totals)
     source = {i: s for i, _, s in data}
     assert all(r["size"] == sizes[r["doc_id"]] and abs(r["target"] - target[source[r["doc_id"]]]) < 1e-6 for r in got)
     assert decontam.SPAN == 13
