@@ -14,7 +14,9 @@ The query's ratings have three grades: 0 for low quality, 1 for good but toxic,
 
 Defined results: a null text counts as empty and is scored by the thresholds alone; a rating that is null isn't learned
 from; with fewer than two grades every document gets the only grade there is (0 without any) and tail probability 0 or
-1; repeated rows give repeated results.
+1; repeated rows give repeated results; an empty table of documents gives no rows; a very long text is read whole, at some
+20 bytes a word; a tail probability of exactly 0.5 keeps; a grade that no row has lies between its neighbours' thresholds;
+columns beside doc_id, text and the ratings are ignored, whatever their names.
 """
 
 from __future__ import annotations
