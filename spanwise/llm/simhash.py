@@ -302,7 +302,9 @@ def component_ids(marked: DataFrame, by: str = "doc_id", keys: str | None = None
     stars = components(near_copy_edges(least) if keys else near_edges(least.select("fp")))
     linked = stars.select(F.col("v").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     of_root = linked.join(least, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = least.join(linked, "fp", "left").join(of_root, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # only what is linked has a root: the others would all meet under its absence
+    found = linked.join(of_root, "root").select("fp", "component_id")
+    ids = least.join(found, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return marked.join(ids, "fp", "left")
 
 
