@@ -1,9 +1,11 @@
-"""Interval overlap per group and hour: minute counters, statistics, minute sequences.
+"""Interval overlap per group and hour: runs of equal counts, statistics, minute sequences.
 
 An interval touches few hours, so it is exploded to these (two for the default windows), never to minutes. Pieces of an
 hour with the same first and last minute are counted first, which combines on the map side: however many intervals fall
 into an hour, it is left with a bounded number of small rows, and a hot group or hour is no hot task. These few come
-together by (keys, hour), sixty counts are made of them, and all statistics are read off the counts.
+together by (keys, hour) and are turned into runs: stretches of the hour with the same number of active intervals. All
+statistics are sums and ranks over the runs, of which an hour with few intervals has few; only minute sequences spell
+out sixty counts.
 """
 
 from __future__ import annotations
@@ -30,54 +32,80 @@ def hour_pieces(intervals: DataFrame, keys: list[str], carried: tuple[str, ...]
     return pieces.select(*keys, *carried, "hour_number", "start_minute", first.alias("first"), last.alias("until"))
 
 
-def _active(pieces: Column) -> Column:
-    """Sixty counts of the pieces (structs first, until, n) that cover each minute."""
-    covers = lambda m: F.aggregate(pieces, F.lit(0).cast("long"), lambda n, x: n + F.when((x["first"] <= m) & (x["until"] > m), x["n"]).otherwise(F.lit(0).cast("long")))
-    return F.transform(F.sequence(F.lit(0), F.lit(MINUTES - 1)), covers)
+def _runs(pieces: Column, points: Column, counts: dict[str, Column | None]) -> Column:
+    """The hour's stretches between neighbouring points (at, len) and how many pieces cover each, by name of a filter."""
+    none = F.lit(0).cast("long")
+
+    def covering(p: Column, test) -> Column:
+        return F.aggregate(pieces, none, lambda n, x: n + F.when((x["first"] <= p) & (x["until"] > p) & test(x), x["n"]).otherwise(none))
+
+    ahead = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
+    starts = F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0)))
+    return F.zip_with(starts, ahead, lambda p, q: F.struct(p.alias("at"), (q - p).alias("len"), *[covering(p, test).alias(name) for name, test in counts.items()]))
 
 
 def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_movement: bool = False) -> DataFrame:
-    """keys, hour_number, ``active`` (60 counts), start_minutes (distinct), n; with ``by_movement`` also ``active_dep`` and
-    ``active_arr``."""
+    """keys, hour_number, ``runs`` (structs at, len, c: how many intervals are active), start_minutes (distinct), n; with
+    ``by_movement`` the runs also have ``dep`` and ``arr``, and the rows minutes of activity ``dep_minutes``, ``arr_minutes``."""
     keys = keys or ["airport_group"]
     carried = ("movement",) if by_movement else ()
     pieces = hour_pieces(intervals, keys, carried)
     # equal pieces become one with a count: that combines on the map side and bounds what an hour can collect
     alike = pieces.groupBy(*keys, "hour_number", *carried, "start_minute", "first", "until").agg(F.count(F.lit(1)).alias("n"))
     together = alike.groupBy(*keys, "hour_number").agg(F.collect_list(F.struct(*carried, "start_minute", "first", "until", "n")).alias("pieces"))
-    counts = {"start_minutes": F.array_distinct(F.col("pieces.start_minute")), "n": F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n"])}
-    if not by_movement:
-        return together.withColumns({"active": _active(F.col("pieces")), **counts}).drop("pieces")
-    together = together.withColumn("__dep", F.filter("pieces", lambda x: x["movement"] == "dep")).withColumn("__arr", F.filter("pieces", lambda x: x["movement"] == "arr"))
-    done = together.withColumns({"active_dep": _active(F.col("__dep")), "active_arr": _active(F.col("__arr")), **counts}).drop("pieces", "__dep", "__arr")
-    return done.withColumn("active", F.zip_with("active_dep", "active_arr", lambda a, b: a + b))
+    ends = F.array_union(F.array_union(F.col("pieces.first"), F.col("pieces.until")), F.array(F.lit(0), F.lit(MINUTES)))
+    placed = together.withColumn("points", F.array_sort(ends))
+    counts = {"c": lambda x: F.lit(True)}
+    added = {"start_minutes": F.array_distinct(F.col("pieces.start_minute")), "n": F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n"])}
+    if by_movement:
+        of = lambda m: lambda x: x["movement"] == m
+        counts |= {"dep": of("dep"), "arr": of("arr")}
+        spent = lambda m: F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + F.when(x["movement"] == m, x["n"] * (x["until"] - x["first"])).otherwise(0))
+        added |= {"dep_minutes": spent("dep"), "arr_minutes": spent("arr")}
+    return placed.withColumns({"runs": _runs(F.col("pieces"), F.col("points"), counts), **added}).drop("pieces", "points")
+
+
+def total_over(runs: Column, value) -> Column:
+    """Sum over the hour's minutes of a number made of the count."""
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda s, x: s + value(x["c"]) * x["len"])
+
+
+def _ranked_count(ordered: Column, position: int) -> Column:
+    """The count at a position (from 0) of the hour's sixty sorted counts, from runs in order of their count."""
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).cast("long").alias("value"))
+    step = lambda acc, x: F.struct((acc["seen"] + x["len"]).alias("seen"), F.when(acc["seen"] <= position, x["c"]).otherwise(acc["value"]).alias("value"))
+    return F.aggregate(ordered, start, step)["value"]
 
 
 def overlap_statistics(counted: DataFrame) -> DataFrame:
     """Adds the ten overlap features to rows with counters."""
-    c, ordered = F.col("active"), F.col("__ordered")
-    size = lambda test: F.size(F.filter(c, test)).cast("double")
-    total = lambda f: F.aggregate(c, F.lit(0).cast("long"), f)
-    starts = F.col("__starts")
+    runs, starts, ordered = F.col("runs"), F.col("__starts"), F.col("__ordered")
+    minutes = lambda test: total_over(runs, lambda c: F.when(test(c), F.lit(1).cast("long")).otherwise(0)).cast("double")
     gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))), lambda b, a: b - a)
     gap = F.when(F.col("n") > F.size(starts), F.lit(0.0)).when(F.size(starts) >= 2, F.array_min(gaps).cast("double")).otherwise(F.lit(NO_GAP))
-    at = lambda i: F.get(ordered, F.lit(i))
     low, part = int(0.9 * (MINUTES - 1)), 0.9 * (MINUTES - 1) - int(0.9 * (MINUTES - 1))
-    df = counted.withColumn("__ordered", F.array_sort("active")).withColumn("__starts", F.array_sort("start_minutes"))
-    df = df.withColumn("overlap_min_gap_minutes", gap)
+    by_count = F.array_sort(F.transform(runs, lambda x: F.struct(x["c"].alias("c"), x["len"].alias("len"))))
+    df = counted.withColumn("__ordered", by_count).withColumn("__starts", F.array_sort("start_minutes"))
+    df = df.withColumns({"overlap_min_gap_minutes": gap, **{f"__at{i}": _ranked_count(ordered, i) for i in (29, 30, low, low + 1)}})
+    at = lambda i: F.col(f"__at{i}")
     return df.withColumns(
         {
-            "overlap_max": at(MINUTES - 1).cast("double"),
-            "overlap_mean": total(lambda s, x: s + x) / F.lit(60.0),
+            "overlap_max": F.array_max("runs.c").cast("double"),
+            "overlap_mean": total_over(runs, lambda c: c) / F.lit(60.0),
             "overlap_median": (at(29) + at(30)) / F.lit(2.0),
             "overlap_p90": at(low) + (at(low + 1) - at(low)) * F.lit(part),
-            "overlap_minutes_ge2": size(lambda x: x >= 2),
-            "overlap_minutes_ge3": size(lambda x: x >= 3),
-            "overlap_pairs_per_hour": total(lambda s, x: s + x * (x - 1)) / F.lit(120.0),
-            "overlap_near_conflict_minutes": size(lambda x: (x >= 2) & (x <= 3)),
+            "overlap_minutes_ge2": minutes(lambda c: c >= 2),
+            "overlap_minutes_ge3": minutes(lambda c: c >= 3),
+            "overlap_pairs_per_hour": total_over(runs, lambda c: c * (c - 1)) / F.lit(120.0),
+            "overlap_near_conflict_minutes": minutes(lambda c: (c >= 2) & (c <= 3)),
             "overlap_near_conflict_flag": (F.col("overlap_min_gap_minutes") <= CLOSE).cast("double"),
         }
-    ).drop("__ordered", "__starts")
+    ).drop("__ordered", "__starts", *[f"__at{i}" for i in (29, 30, low, low + 1)])
+
+
+def minute_array(runs: Column, name: str = "c") -> Column:
+    """The sixty counts that the runs stand for."""
+    return F.flatten(F.transform(runs, lambda x: F.array_repeat(x[name], x["len"])))
 
 
 def hour_number(ts: Column) -> Column:
@@ -99,8 +127,8 @@ def compute_overlap_features(base: DataFrame, events: DataFrame) -> DataFrame:
 def build_minute_sequences(base: DataFrame, events: DataFrame) -> DataFrame:
     """Keys of the base grid with three arrays of sixty counts: all movements, departures, arrivals."""
     found = minute_counters(with_operational_windows(events), by_movement=True)
-    names = {"active": "concurrency", "active_dep": "departures", "active_arr": "arrivals"}
-    found = found.select("airport_group", "hour_number", *[F.col(a).cast("array<bigint>").alias(b) for a, b in names.items()])
+    names = {"c": "concurrency", "dep": "departures", "arr": "arrivals"}
+    found = found.select("airport_group", "hour_number", *[minute_array(F.col("runs"), a).alias(b) for a, b in names.items()])
     zeros = F.array_repeat(F.lit(0).cast("long"), MINUTES)
     return on_grid(base.select(*KEYS, "interval_start"), found, {n: zeros for n in names.values()}).drop("interval_start")
 

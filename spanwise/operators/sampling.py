@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.scalars import clip, minutes_between, right_closed, unit_hash
-from spanwise.operators.events import prepare_schedule, usable_group, with_defaults
+from spanwise.operators.events import usable_group, with_defaults
 from spanwise.sources.readers import load_cached
 from spanwise.sources.sinks import write_cached
 
@@ -71,14 +71,23 @@ def _by_level(rows: DataFrame, levels: list[tuple[str, ...]], *aggregates: Colum
     return expanded.groupBy(F.col("__k.level").alias("level"), F.col("__k.key").alias("key"), *extra).agg(*aggregates)
 
 
-def delay_rows(history: DataFrame) -> DataFrame:
-    rows = with_congestion(movements(history).where("actual_time is not null"))
+def delays_of(past: DataFrame) -> DataFrame:
+    """Movements that took place, with their congestion among themselves and their clipped delay."""
+    rows = with_congestion(past.where("actual_time is not null"))
     return rows.withColumn("delay", clip(minutes_between(F.col("actual_time"), F.col("scheduled_time")), CLIP_LOW, CLIP_HIGH))
 
 
 def delay_distributions(history: DataFrame, least: int = LEAST) -> DataFrame:
-    """level, key, n and cdf (ascending delays with running counts); levels but the last need ``least`` rows."""
-    counted = _by_level(delay_rows(history), DELAY_LEVELS, F.count(F.lit(1)).alias("k"), extra=("delay",))
+    return distributions_of(delays_of(movements(history)), least)
+
+
+def distributions_of(delays: DataFrame, least: int = LEAST) -> DataFrame:
+    """level, key, n and cdf (ascending delays with running counts); levels but the last need ``least`` rows.
+
+    Rows with the same finest key and delay are counted before they are expanded to the seven levels.
+    """
+    finest = delays.groupBy(*DELAY_LEVELS[0], "delay").agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = _by_level(finest, DELAY_LEVELS, F.sum("n_rows").alias("k"), extra=("delay",))
     grouped = counted.groupBy("level", "key").agg(F.sum("k").alias("n"), F.array_sort(F.collect_list(F.struct("delay", "k"))).alias("steps"))
     grouped = grouped.where((F.col("n") >= least) | (F.col("level") == len(DELAY_LEVELS)))
     start = F.array().cast("array<struct<delay:double,upto:bigint>>")
@@ -87,16 +96,28 @@ def delay_distributions(history: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def cancel_rates(history: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """level, key, n and the smoothed rate (sum + alpha) / (n + 2 alpha)."""
-    rows = with_congestion(movements(history))
+    return rates_of(movements(history), alpha)
+
+
+def rates_of(past: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """level, key, n and the smoothed rate (sum + alpha) / (n + 2 alpha) of movements.
+
+    Rows with the same finest key are counted before they are expanded to the seven levels.
+    """
+    rows = with_congestion(past)
     cancelled = F.sum(F.coalesce(F.col("cancelled").cast("long"), F.lit(0)))
-    out = _by_level(rows, CANCEL_LEVELS, cancelled.alias("c"), F.count(F.lit(1)).alias("n"))
+    finest = rows.groupBy(*CANCEL_LEVELS[0]).agg(cancelled.alias("n_cancelled"), F.count(F.lit(1)).alias("n_rows"))
+    out = _by_level(finest, CANCEL_LEVELS, F.sum("n_cancelled").alias("c"), F.sum("n_rows").alias("n"))
     return out.select("level", "key", "n", ((F.col("c") + alpha) / (F.col("n") + 2 * alpha)).alias("rate"))
 
 
 def global_cancel_rate(history: DataFrame) -> DataFrame:
-    """One row: the share of cancelled movements, 0.05 without history."""
-    return movements(history).agg(F.coalesce(F.avg("cancelled"), F.lit(0.05)).alias("global_rate"))
+    return global_rate_of(movements(history))
+
+
+def global_rate_of(past: DataFrame) -> DataFrame:
+    """One row: the share of cancelled movements, 0.05 without any."""
+    return past.agg(F.coalesce(F.avg("cancelled"), F.lit(0.05)).alias("global_rate"))
 
 
 def resolve_ladder(contexts: DataFrame, levels: list[tuple[str, ...]], fitted: DataFrame) -> DataFrame:
@@ -144,13 +165,6 @@ def with_delay(rows: DataFrame, ranks: DataFrame, u: Column) -> DataFrame:
     return placed.join(ranks, ["key", "position"], "left").withColumn("delay", F.coalesce("delay", F.lit(0.0))).drop("position")
 
 
-def schedule_contexts(schedule: DataFrame) -> DataFrame:
-    """Both sides of a schedule's flights with the congestion of the schedule itself, by group and hour."""
-    return with_congestion(movements(prepare_schedule(schedule)), ("airport_group", "movement", "hour"))
-
-
-
-
 def fingerprint() -> dict:
     """What identifies the samplers in a cache note: change a value and cached simulations no longer match."""
     return {"clip": [CLIP_LOW, CLIP_HIGH], "block_edges": list(BLOCK_EDGES), "congestion_edges": list(CONGESTION_EDGES), "alpha": ALPHA, "least": LEAST, "salts": SALTS, "version": 1}

@@ -1,9 +1,11 @@
 """Monte Carlo over delays and cancellations: all simulations of a batch in one plan, with sim_id as one more key.
 
-Ladders are resolved and joined before flights are multiplied by simulations, so those joins see the schedule once.
-After that a batch needs one shuffle, by (sim, group, hour), on which sixty minute counters combine; a second small one
-sums simulations up. Batches bound what is in flight; between them only (count, sum, sum of squares) for each hour is
-kept, and the adaptive stop reads one number.
+History and schedule are read once each: their movements, the fitted ladders and the resolved sides of the schedule's
+flights are checkpointed, and every batch starts from these small tables. Flights are multiplied by simulations only
+after that. A batch then has one shuffle in which draws meet ranked delays, one in which equal pieces of an hour combine,
+one that brings them together by (sim, group, hour), and a small one over simulations. Batches bound what is in flight;
+between them only the mean and the sum of squared deviations of each metric and hour are kept, merged in the stable way,
+and the adaptive stop reads one number.
 """
 
 from __future__ import annotations
@@ -13,17 +15,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.functions.lineage import cut_lineage
 from spanwise.operators import sampling as S
-from spanwise.operators.events import KEYS, with_operational_windows
-from spanwise.operators.overlap import hour_number, minute_counters, overlap_statistics
+from spanwise.operators.events import KEYS, prepare_schedule, with_operational_windows
+from spanwise.operators.overlap import FEATURES, hour_number, minute_counters, overlap_statistics, total_over
 
-OVERLAP_METRICS = ["overlap_max", "overlap_mean", "overlap_median", "overlap_p90", "overlap_minutes_ge2", "overlap_minutes_ge3", "overlap_pairs_per_hour", "overlap_near_conflict_minutes"]
+# The metrics of a simulation by name.
+OVERLAP_METRICS = [f for f in FEATURES if f not in ("overlap_min_gap_minutes", "overlap_near_conflict_flag")]
 SEQUENCE_METRICS = ["concurrency_mean", "concurrency_peak", "concurrency_std", "concurrency_area", "dep_activity", "arr_activity"]
 METRICS = [f"sim_{m}" for m in (*OVERLAP_METRICS, "prob_any_overlap", *SEQUENCE_METRICS)]
 
 
 def with_cancel_rate(schedule: DataFrame, rates: DataFrame, global_rate: DataFrame) -> DataFrame:
     """Each flight with the rate of its departure where that has a group and a time, else of its arrival, else the global one."""
+    schedule = cut_lineage(schedule)
     counts = S.with_congestion(S.movements(schedule)).select("airport_group", "movement", "hour", "congestion_bucket").distinct()
     usable = S.usable_group(F.col("dep_airport_group")) & F.col("std").isNotNull()
     side = lambda m, t: F.struct(F.lit(m).alias("movement"), F.col(f"{m}_airport_group").alias("airport_group"), F.hour(t).alias("hour"))
@@ -38,14 +43,15 @@ def with_cancel_rate(schedule: DataFrame, rates: DataFrame, global_rate: DataFra
 def prepared_sides(schedule: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each side of each flight (flight_id, movement, airport_group, scheduled_time, cancellation rate, key and size of its
     delay distribution), and the ranked delays of the distributions in use."""
-    schedule = S.prepare_schedule(schedule)
-    flights = with_cancel_rate(schedule, S.cancel_rates(history), S.global_cancel_rate(history))
-    sides = S.with_congestion(S.movements(flights))
+    past = cut_lineage(S.movements(history))
+    rates = cut_lineage(S.rates_of(past))
+    flights = with_cancel_rate(prepare_schedule(schedule), rates, S.global_rate_of(past))
+    sides = cut_lineage(S.with_congestion(cut_lineage(S.movements(flights))))
     keys = ["airport_group", "movement", "service_type", "hour", "context"]
-    distributions = S.delay_distributions(history)
-    delays = S.resolve_ladder(sides, S.DELAY_LEVELS, distributions.select("level", "key", "n")).select(*keys, "key", "n")
+    distributions = cut_lineage(S.distributions_of(S.delays_of(past)))
+    delays = cut_lineage(S.resolve_ladder(sides, S.DELAY_LEVELS, distributions.select("level", "key", "n")).select(*keys, "key", "n"))
     ready = sides.join(delays, keys, "left").select("flight_id", "movement", "airport_group", "scheduled_time", "rate", "key", "n")
-    return ready, S.delay_ranks(distributions, delays)
+    return cut_lineage(ready), cut_lineage(S.delay_ranks(distributions, delays))
 
 
 def simulated_events(sides: DataFrame, ranks: DataFrame, n_simulations: int, first: int = 0, last: int | None = None, seed: int = 42, stratified: bool = True) -> DataFrame:
@@ -63,66 +69,82 @@ def simulated_events(sides: DataFrame, ranks: DataFrame, n_simulations: int, fir
 def metrics_per_simulation(events: DataFrame) -> DataFrame:
     """The fifteen metrics of each (sim, group, hour) in which something is active."""
     found = overlap_statistics(minute_counters(with_operational_windows(events), ["sim_id", "airport_group"], by_movement=True))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
-    area, squares = total("active"), F.aggregate("active", F.lit(0).cast("long"), lambda s, x: s + x * x).cast("double")
+    area = total_over(F.col("runs"), lambda c: c).cast("double")
+    squares = total_over(F.col("runs"), lambda c: c * c).cast("double")
     columns: dict[str, Column] = {f"sim_{m}": F.col(m) for m in OVERLAP_METRICS} | {
         "sim_prob_any_overlap": (F.col("overlap_minutes_ge2") > 0).cast("double"),
         "sim_concurrency_mean": area / 60.0,
         "sim_concurrency_peak": F.col("overlap_max"),
         "sim_concurrency_std": F.sqrt(F.greatest(squares / 60.0 - F.pow(area / 60.0, 2), F.lit(0.0))),
         "sim_concurrency_area": area,
-        "sim_dep_activity": total("active_dep"),
-        "sim_arr_activity": total("active_arr"),
+        "sim_dep_activity": F.col("dep_minutes").cast("double"),
+        "sim_arr_activity": F.col("arr_minutes").cast("double"),
     }
     return found.select("sim_id", "airport_group", "hour_number", *[c.alias(n) for n, c in columns.items()])
 
 
-def batch_sums(per_sim: DataFrame) -> DataFrame:
-    """Sum and sum of squares of every metric by (group, hour); simulations without activity add nothing to either."""
-    sums = [f(m).alias(f"{m}{tail}") for m in METRICS for f, tail in ((F.sum, "__s"), (lambda c: F.sum(F.col(c) * F.col(c)), "__q"))]
-    return per_sim.groupBy("airport_group", "hour_number").agg(*sums)
+def batch_moments(per_sim: DataFrame, n: int) -> DataFrame:
+    """Mean and sum of squared deviations of every metric by (group, hour) over n simulations; those without activity
+    count as zeros, which are merged to the moments of the others."""
+    parts = [f(m).alias(f"{m}{tail}") for m in METRICS for f, tail in ((F.avg, "__a"), (F.var_pop, "__p"))]
+    found = per_sim.groupBy("airport_group", "hour_number").agg(F.count(F.lit(1)).alias("k"), *parts)
+    columns = []
+    for m in METRICS:
+        mean, spread = F.col(f"{m}__a"), F.col(f"{m}__p") * F.col("k")
+        columns += [(mean * F.col("k") / n).alias(f"{m}__m"), (spread + mean * mean * F.col("k") * (n - F.col("k")) / n).alias(f"{m}__d")]
+    return found.select("airport_group", "hour_number", *columns)
+
+
+def merged_moments(first: DataFrame, a: int, second: DataFrame, b: int) -> DataFrame:
+    """The moments of a and b simulations together; an hour that one of them lacks was without activity there."""
+    keys = ["airport_group", "hour_number"]
+    both = first.join(second.toDF(*keys, *[f"{c}2" for c in second.columns[2:]]), keys, "full")
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    columns = []
+    for m in METRICS:
+        gap = value(f"{m}__m2") - value(f"{m}__m")
+        columns += [(value(f"{m}__m") + gap * b / (a + b)).alias(f"{m}__m"), (value(f"{m}__d") + value(f"{m}__d2") + gap * gap * (a * b / (a + b))).alias(f"{m}__d")]
+    return both.select(*keys, *columns)
 
 
-def summary_of(base: DataFrame, sums: DataFrame, n: int) -> DataFrame:
+def summary_of(base: DataFrame, moments: DataFrame, n: int) -> DataFrame:
     """Mean and sample deviation (0 for one simulation) of every metric for the hours of the base grid."""
-    out = base.select(*KEYS, hour_number(F.col("interval_start")).alias("hour_number")).join(sums, ["airport_group", "hour_number"], "left")
-    s, q = (lambda m: F.coalesce(f"{m}__s", F.lit(0.0))), (lambda m: F.coalesce(f"{m}__q", F.lit(0.0)))
+    out = base.select(*KEYS, hour_number(F.col("interval_start")).alias("hour_number")).join(moments, ["airport_group", "hour_number"], "left")
     columns = []
     for m in METRICS:
-        mean = s(m) / float(n)
-        spread = F.sqrt(F.greatest((q(m) - s(m) * s(m) / float(n)) / float(n - 1), F.lit(0.0))) if n > 1 else F.lit(0.0)
-        columns += [mean.alias(f"{m}_mean"), spread.alias(f"{m}_std")]
+        spread = F.sqrt(F.coalesce(f"{m}__d", F.lit(0.0)) / float(n - 1)) if n > 1 else F.lit(0.0)
+        columns += [F.coalesce(f"{m}__m", F.lit(0.0)).alias(f"{m}_mean"), spread.alias(f"{m}_std")]
     out = out.select(*KEYS, *columns)
     return out.withColumn("sim_prob_any_overlap", F.col("sim_prob_any_overlap_mean")).withColumn("simulations_used", F.lit(n))
 
 
-def largest_error(sums: DataFrame, n: int) -> float:
+def largest_error(moments: DataFrame, n: int) -> float:
     """The largest standard error of the probability of any overlap over all hours: one number to the driver."""
-    s, q = F.col("sim_prob_any_overlap__s"), F.col("sim_prob_any_overlap__q")
-    error = F.sqrt(F.greatest((q - s * s / float(n)) / float(max(1, n - 1)), F.lit(0.0))) / math.sqrt(n)
-    return sums.agg(F.max(error)).first()[0] or 0.0
+    error = F.sqrt(F.col("sim_prob_any_overlap__d") / float(max(1, n - 1))) / math.sqrt(n)
+    return moments.agg(F.max(error)).first()[0] or 0.0
 
 
 def run_monte_carlo(base: DataFrame, schedule: DataFrame, history: DataFrame, n_simulations: int = 200, seed: int = 42, min_simulations: int | None = None, max_error: float = 0.003, adaptive: bool = True, stratified: bool = True, batch: int = 20) -> DataFrame:
     """The summary over up to n simulations; with ``adaptive`` it stops after the batch in which every hour's standard
-    error is small enough. Batches run in order of sim_id, so the result doesn't depend on timing."""
+    error is small enough. Batches run in order of sim_id, so the result doesn't depend on timing.
+
+    The stop is first asked for once ``min_simulations`` have run: 80 unless given, and never more than n.
+    """
     if n_simulations <= 0:
         raise ValueError("n_simulations must be positive")
     if schedule.isEmpty():
         return base.select(*KEYS).withColumn("simulations_used", F.lit(0))
     sides, ranks = prepared_sides(schedule, history)
+
+    def moments(start: int, stop: int) -> DataFrame:
+        return batch_moments(metrics_per_simulation(simulated_events(sides, ranks, n_simulations, start, stop, seed, stratified)), stop - start)
+
     if not adaptive:
-        return summary_of(base, batch_sums(metrics_per_simulation(simulated_events(sides, ranks, n_simulations, seed=seed, stratified=stratified))), n_simulations)
-    sides, ranks = sides.persist(), ranks.persist()
-    least = max(1, min(min_simulations or min(80, n_simulations), n_simulations))
-    total, done = None, 0
-    while done < n_simulations:
-        upto = min(n_simulations, max(done + batch, least if done == 0 else 0))
-        sums = batch_sums(metrics_per_simulation(simulated_events(sides, ranks, n_simulations, done, upto, seed, stratified)))
-        if total is not None:
-            both = total.unionByName(sums)
-            sums = both.groupBy("airport_group", "hour_number").agg(*[F.sum(c).alias(c) for c in sums.columns[2:]])
-        total, done = sums.persist(), upto
-        if done >= least and done > 1 and largest_error(total, done) <= max_error:
-            break
+        return summary_of(base, moments(0, n_simulations), n_simulations)
+    least = n_simulations if n_simulations < (min_simulations or 80) else (min_simulations or 80)
+    done = max(1, min(n_simulations, max(batch, least)))
+    total = cut_lineage(moments(0, done))
+    while done < n_simulations and (done == 1 or largest_error(total, done) > max_error):
+        upto = min(n_simulations, done + batch)
+        total, done = cut_lineage(merged_moments(total, done, moments(done, upto), upto - done)), upto
     return summary_of(base, total, done)

@@ -92,7 +92,7 @@ def prepared_schedule(spark, d):
 @query
 def minute_concurrency(spark, d):
     counted = O.minute_counters(E.with_operational_windows(A.movements(spark, d)))
-    minutes = counted.select("airport_group", "hour_number", F.posexplode("active").alias("m", "n"))
+    minutes = counted.select("airport_group", "hour_number", F.posexplode(O.minute_array(F.col("runs"))).alias("m", "n"))
     return minutes.where("n > 0").select("airport_group", (F.col("hour_number") * 60 + F.col("m")).alias("minute"), F.col("n").cast("long").alias("concurrency"))
 
 
@@ -450,7 +450,7 @@ def _split(spark, d):
 def cancel_ladder(spark, d):
     history, schedule = _split(spark, d)
     rates = S.cancel_rates(history)
-    flights = MC.with_cancel_rate(S.prepare_schedule(schedule), rates, S.global_cancel_rate(history))
+    flights = MC.with_cancel_rate(E.prepare_schedule(schedule), rates, S.global_cancel_rate(history))
     return rounded(flights.groupBy("dep_airport_group", "service_type", F.hour("std").alias("hour")).agg(F.count(F.lit(1)).alias("n_flights"), F.avg("rate").alias("rate")))
 
 
