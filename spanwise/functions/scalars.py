@@ -14,12 +14,6 @@ def minute_index(ts: Column) -> Column:
     return day * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
-def hour_start(hours: Column) -> Column:
-    """The timestamp (without zone) at which hour number ``hours`` since 1970 begins."""
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(hours / 24).cast("int"))
-    return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.pmod(hours, F.lit(24)).cast("int"))
-
-
 def plus_minutes(ts: Column, minutes: Column | int) -> Column:
     minutes = F.lit(minutes) if isinstance(minutes, int) else minutes
     return (ts + F.make_dt_interval(mins=minutes.cast("int"))).cast("timestamp_ntz")
@@ -56,10 +50,6 @@ def right_closed(value: Column, edges: tuple[float, ...]) -> Column:
     return out.otherwise(F.lit(f"> {edges[-1]:g}"))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

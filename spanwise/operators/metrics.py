@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.operators.prefix import running_sums
+
 # How feature names are grouped into families, first match wins.
 FAMILIES = (("sim_", "simulation"), ("overlap_", "overlap"), ("scheduled_", "schedule"), ("hist_", "history"), ("target_", "history"), ("hours_since", "history"), ("weather_", "weather"), ("feat_", "given"))
 
 
+def known_scores(df: DataFrame, score: str = "score", label: str = "target") -> DataFrame:
+    """Rows with a label and a score that is a number."""
+    return df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull())
+
+
 def roc_auc(df: DataFrame, by: tuple[str, ...] = (), score: str = "score", label: str = "target") -> DataFrame:
-    """Area under the ROC curve, ties at half, 0.5 for a single class.
+    """Area under the ROC curve, ties at half, 0.5 for a single class; rows without a score or label don't count.
 
-    Rows are first counted by distinct score; below each score lies a running sum, over range partitions of the scores
-    and then within one, so that no task sees more than its range.
+    Rows are first counted by distinct score; below each score lies a running sum over ranges of the scores, so that no
+    task sees more than its range, whatever the scores' scale or distribution.
     """
-    steps = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
-    spread = steps.withColumn("__range", F.floor(F.col(score) * 256).cast("long"))
-    ranges = spread.groupBy(*by, "__range").agg(F.sum("neg").alias("in_range"))
-    ahead = ranges.select(*by, "__range", (F.sum("in_range").over(Window.partitionBy(*by).orderBy("__range")) - F.col("in_range")).alias("ahead"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    placed = spread.withColumn("below", below).join(ahead, [*by, "__range"])
-    won = F.sum(F.col("pos") * (F.col("ahead") + F.col("below") + F.col("neg") / 2))
-    sums = placed.groupBy(*by).agg(won.alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    steps = known_scores(df, score, label).groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
+    placed = running_sums(steps, [F.col(score)], {"below": F.col("neg")}, by)
+    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    sums = placed.groupBy(*by).agg(won.alias("won"), F.coalesce(F.sum("pos"), F.lit(0.0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0.0)).alias("n_neg"))
     return sums.select(*by, F.coalesce(F.try_divide("won", F.col("n_pos") * F.col("n_neg")), F.lit(0.5)).alias("auc"), (F.col("n_pos") + F.col("n_neg")).cast("long").alias("n"))
 
 
 def monthly_auc(df: DataFrame, score: str = "score", label: str = "target") -> DataFrame:
-    known = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    return roc_auc(known.withColumn("month", F.date_format("date", "yyyy-MM")), ("month",), score, label)
+    return roc_auc(df.withColumn("month", F.date_format("date", "yyyy-MM")), ("month",), score, label)
 
 
 def month_auc(df: DataFrame, year: int, month: int, score: str = "score", label: str = "target") -> float:
     """One month's AUC; raises where the month has no scored row."""
-    row = roc_auc(df.where((F.year("date") == year) & (F.month("date") == month) & F.col(score).isNotNull() & ~F.isnan(score)), (), score, label).first()
+    row = roc_auc(df.where((F.year("date") == year) & (F.month("date") == month)), (), score, label).first()
     if row is None or not row["n"]:
         raise ValueError(f"no scored rows in {year}-{month:02d}")
     return row["auc"]
@@ -44,7 +46,8 @@ def dataset_summary(training: DataFrame) -> DataFrame:
 
 
 def group_rates(training: DataFrame) -> DataFrame:
-    return training.groupBy("airport_group").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("target").alias("positive_rate"))
+    """Rows and positive rate of each group, the highest rate first."""
+    return training.groupBy("airport_group").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("target").alias("positive_rate")).orderBy(F.desc("positive_rate"), "airport_group")
 
 
 def monthly_rate(training: DataFrame) -> DataFrame:
@@ -58,12 +61,12 @@ def concurrency_profile(rows: DataFrame, least: int = 50, top: int = 12) -> Data
 
 
 def family_importance(importance: DataFrame) -> DataFrame:
-    """Shares of the total gain by family of features."""
+    """Shares of the total gain by family of features, the largest first."""
     family = F.when(F.lit(False), F.lit(""))
     for prefix, name in FAMILIES:
         family = family.when(F.col("feature").startswith(prefix), F.lit(name))
     shares = importance.groupBy(family.otherwise(F.lit("other")).alias("family")).agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n_features"))
-    return shares.withColumn("share", F.coalesce(F.try_divide("gain", F.sum("gain").over(Window.partitionBy())), F.lit(0.0)))  # one row a family
+    return shares.withColumn("share", F.coalesce(F.try_divide("gain", F.sum("gain").over(Window.partitionBy())), F.lit(0.0))).orderBy(F.desc("gain"), "family")  # one row a family
 
 
 def top_features(importance: DataFrame, k: int = 25) -> DataFrame:
@@ -71,15 +74,10 @@ def top_features(importance: DataFrame, k: int = 25) -> DataFrame:
     return importance.orderBy(F.desc(F.abs("gain")), "feature").limit(k)
 
 
-def pairwise_hinge(df: DataFrame, score: str = "score", label: str = "target", bins: int = 1000) -> DataFrame:
+def pairwise_hinge(df: DataFrame, score: str = "score", label: str = "target") -> DataFrame:
     """Mean of max(0, negative - positive) over all pairs of a positive and a negative row, from counts and sums of
-    distinct scores in ``bins`` ranges and running sums over them; no pair is formed."""
-    steps = df.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
-    spread = steps.withColumn("__range", F.floor(F.col(score) * bins).cast("long"))
-    ranges = spread.groupBy("__range").agg(F.sum("pos").alias("p"), F.sum(F.col("pos") * F.col(score)).alias("ps"))
-    over = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    ahead = ranges.select("__range", F.coalesce(F.sum("p").over(over), F.lit(0.0)).alias("p"), F.coalesce(F.sum("ps").over(over), F.lit(0.0)).alias("ps"))
-    inside = Window.partitionBy("__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = spread.withColumn("ip", F.coalesce(F.sum("pos").over(inside), F.lit(0.0))).withColumn("ips", F.coalesce(F.sum(F.col("pos") * F.col(score)).over(inside), F.lit(0.0))).join(ahead, "__range")
-    loss = F.sum(F.col("neg") * (F.col(score) * (F.col("p") + F.col("ip")) - F.col("ps") - F.col("ips")))
+    distinct scores and running sums over them; no pair is formed."""
+    steps = known_scores(df, score, label).groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
+    placed = running_sums(steps, [F.col(score)], {"below": F.col("pos"), "weighed": F.col("pos") * F.col(score)})
+    loss = F.sum(F.col("neg") * (F.col(score) * F.col("below") - F.col("weighed")))
     return placed.agg(F.coalesce(F.try_divide(loss, F.sum("pos") * F.sum("neg")), F.lit(0.0)).alias("loss"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,12 +11,14 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.functions.lineage import cut_lineage
 from spanwise.operators.encoding import month_of, temporal_folds
 from spanwise.operators.events import KEYS
 from spanwise.operators.metrics import roc_auc
+from spanwise.operators.prefix import running_sums
 
 LOW, HIGH = 1e-4, 1 - 1e-4
 
@@ -54,8 +58,8 @@ def positive_score(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("score", vector_to_array("probability")[1])
 
 
-def cross_validate(df: DataFrame, estimator: Callable[[], Estimator], folds: int = 4, prepare: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, PipelineModel]:
-    """Out-of-fold scores (keys, target, score, fold) and a model of all rows.
+def cross_validate(df: DataFrame, estimator: Callable[[], Estimator], folds: int = 4, prepare: Callable[[DataFrame, DataFrame], DataFrame] | None = None, refit: bool = False) -> tuple[DataFrame, PipelineModel | None]:
+    """Out-of-fold scores (keys, target, score, fold), and a model of all rows where ``refit`` asks for it.
 
     Each of the last months is scored by a model of all earlier ones. ``prepare(train, rows)`` adds columns that depend
     on the target, fitted on the training months alone.
@@ -68,7 +72,7 @@ def cross_validate(df: DataFrame, estimator: Callable[[], Estimator], folds: int
         scored.append(positive_score(model.transform(prepare(train, held))).select(*KEYS, "target", "score", F.lit(month).alias("fold")))
     if not scored:
         raise ValueError("fewer than two months")
-    return reduce(DataFrame.unionByName, scored), estimator().fit(prepare(df, df))
+    return reduce(DataFrame.unionByName, scored), estimator().fit(prepare(df, df)) if refit else None
 
 
 def grid_search(df: DataFrame, make: Callable[..., Estimator], grid: list[dict], folds: int = 4) -> tuple[dict, float]:
@@ -106,31 +110,26 @@ def blend(first: DataFrame, second: DataFrame, steps: int = 20) -> tuple[float,
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 3, seed: int = 0) -> DataFrame:
     """feature, gain: the AUC lost when the column is shuffled, averaged over repeats.
 
-    A column is shuffled by joining rows to rows numbered in another, hashed order. Numbering is by ranges of a hash, so
-    there is no single-task sort.
+    Rows are numbered once in a hashed order. A shuffle gives row i the value of row (a i + b) mod n, with a and n
+    coprime, so all columns and repeats are one join of numbers, one scoring and one AUC by (column, repeat).
     """
-    rows = df.withColumn("__h", F.xxhash64(*KEYS))
-    spark = df.sparkSession
+    numbered = cut_lineage(running_sums(df.withColumn("__h", F.xxhash64(F.lit(seed), *KEYS)), [F.col("__h")], {"__i": F.lit(1)}).drop("__h"))
+    n, rng = numbered.count(), random.Random(seed)
+    shuffles = []
+    for k in range(len(columns) * repeats):
+        a = rng.randrange(1, max(2, n))
+        while math.gcd(a, n) != 1:
+            a = a % n + 1
+        shuffles.append((k, a, rng.randrange(max(1, n))))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("decimal(38,0)").alias("a"), F.lit(b).alias("b")) for k, a, b in shuffles])).alias("__s")
+    rows = numbered.select("*", each).withColumn("__j", F.pmod(F.col("__s.a") * F.col("__i") + F.col("__s.b"), F.lit(n)).cast("long"))
+    other = numbered.select(F.col("__i").alias("__j"), *[F.col(c).alias(f"__{c}") for c in columns])
+    of = {c: range(i * repeats, (i + 1) * repeats) for i, c in enumerate(columns)}
+    met = rows.join(other, "__j")
+    shuffled = met.withColumns({c: F.when(F.col("__s.k").isin(list(ks)), F.col(f"__{c}")).otherwise(F.col(c)) for c, ks in of.items()}).withColumn("k", F.col("__s.k"))
     base = roc_auc(positive_score(model.transform(df))).first()["auc"]
-    found = []
-    for c in columns:
-        lost = 0.0
-        for r in range(repeats):
-            numbered = _numbered(rows, F.xxhash64("__h", F.lit(seed + 2 * r)))
-            other = _numbered(rows.select("__h", F.col(c).alias("__v")), F.xxhash64("__h", F.lit(seed + 2 * r + 1))).select("__v", "__i")
-            shuffled = numbered.drop(c).join(other, "__i").withColumnRenamed("__v", c)
-            lost += base - roc_auc(positive_score(model.transform(shuffled))).first()["auc"]
-        found.append((c, lost / repeats))
-    return spark.createDataFrame(found, "feature string, gain double")
-
-
-def _numbered(df: DataFrame, order, ranges: int = 64) -> DataFrame:
-    """Adds __i, 0..n-1 in the given order: ranks within hash ranges, ahead of them the ranges' running counts."""
-    placed = df.withColumn("__o", order).withColumn("__r", F.pmod(F.shiftright("__o", 8), F.lit(ranges)))
-    counts = placed.groupBy("__r").agg(F.count(F.lit(1)).alias("n"))
-    ahead = counts.select("__r", (F.sum("n").over(Window.orderBy("__r")) - F.col("n")).alias("ahead"))  # one row a range
-    rank = F.row_number().over(Window.partitionBy("__r").orderBy("__o")) - 1
-    return placed.withColumn("__k", rank).join(ahead, "__r").withColumn("__i", F.col("ahead") + F.col("__k")).drop("__o", "__r", "__k", "ahead")
+    lost = {r["k"]: base - r["auc"] for r in roc_auc(positive_score(model.transform(shuffled.select("k", "target", *columns))), ("k",)).collect()}
+    return df.sparkSession.createDataFrame([(c, sum(lost[k] for k in ks) / repeats) for c, ks in of.items()], "feature string, gain double")
 
 
 def channel_ablation(score: Callable[[DataFrame], DataFrame], df: DataFrame, channels: list[str]) -> dict[str, float]:

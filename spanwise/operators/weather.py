@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanwise.functions.lineage import cut_lineage
 from spanwise.functions.scalars import haversine_km
 from spanwise.operators.events import KEYS
 
@@ -94,32 +95,43 @@ def observation_pivot(records: DataFrame, keys: list[str], elements: list[str],
     return records.groupBy(*keys).agg(*[last(e) for e in elements])
 
 
-def nearest_station(airports: DataFrame, stations: DataFrame, cells: tuple[int, ...] = (5, 30, 360)) -> DataFrame:
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """Coordinates of the unit sphere, whose straight distances are ordered as those along its surface."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def nearest_station(airports: DataFrame, stations: DataFrame, levels: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
     """airport, its nearest station and the distance; null without any station.
 
-    Stations are looked up in the nine cells of ``cells[0]`` degrees around an airport: an equi-join in place of all
-    pairs, and min combines on the map side. A station further off than a cell's least width might have a nearer one
-    beyond the nine cells, so those airports (and those without one) try again with wider cells; the last ones hold
-    everything, and few airports get there.
+    Stations lie in cubes around the sphere, halved level by level (2**-9 of the radius, some 12 km, at the last). Each
+    airport goes down the cubes with it: of the cubes inside those that it still holds, it keeps the ones that may be
+    nearer than the farthest corner of the nearest one. Every step is an equi-join on a cube's number, and an airport
+    far from all stations keeps few cubes as a near one does, so nothing ever meets all stations.
     """
-    left = airports.select("airport", "latitude", "longitude")
-    found = None
-    for cell in cells:
-        place = lambda lat, lon, c=cell: (F.floor(F.col(lat) / c), F.pmod(F.floor(F.col(lon) / c), F.lit(360 // c)))
-        lat, lon = place("latitude", "longitude")
-        columns = (-1, 0, 1) if 360 // cell > 2 else (0,)
-        around = F.explode(F.array(*[F.struct((lat + i).alias("cy"), F.pmod(lon + j, F.lit(360 // cell)).alias("cx")) for i in (-1, 0, 1) for j in columns])).alias("d")
-        s_lat, s_lon = place("station_latitude", "station_longitude")
-        placed = stations.select("station", "station_latitude", "station_longitude", s_lat.alias("cy"), s_lon.alias("cx"))
-        distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("station_latitude"), F.col("station_longitude"))
-        near = left.select("airport", "latitude", "longitude", around).select("airport", "latitude", "longitude", "d.*").join(placed, ["cy", "cx"])
-        best = near.groupBy("airport").agg(F.min(F.struct(distance.alias("distance_km"), "station")).alias("b"))
-        both = left.join(best, "airport", "left")
-        sure = F.coalesce(F.col("b.distance_km") <= 111.0 * cell * F.cos(F.radians(F.least(F.abs("latitude") + cell, F.lit(90.0)))), F.lit(False)) if cell < 360 else F.lit(True)
-        done = both.where(sure).select("airport", "b.station", "b.distance_km")
-        found = done if found is None else found.unionByName(done)
-        left = both.where(~sure).select("airport", "latitude", "longitude")
-    return found
+    here = airports.select("airport", "latitude", "longitude")
+    axes = ("x", "y", "z")
+    point = here.select("*", *[c.alias(n) for n, c in zip(axes, _on_sphere(F.col("latitude"), F.col("longitude")), strict=True)])
+
+    def cube(level: int) -> Column:
+        return F.concat_ws("/", *[F.floor((F.col(n) + 1) * 2.0 ** (level - 1)).cast("string") for n in axes])
+
+    placed = stations.select("station", "station_latitude", "station_longitude", *[c.alias(n) for n, c in zip(axes, _on_sphere(F.col("station_latitude"), F.col("station_longitude")), strict=True)])
+    placed = cut_lineage(placed.select("station", "station_latitude", "station_longitude", *[cube(level).alias(f"c{level}") for level in levels], *axes))
+    held, before = cut_lineage(point.withColumn("held", F.lit("0"))), None
+    for level in levels:
+        size = 2.0 ** (1 - level)
+        inner = placed.select(F.col(f"c{before}").alias("held") if before else F.lit("0").alias("held"), F.col(f"c{level}").alias("inner"), *[(F.floor((F.col(n) + 1) / size) * size - 1).alias(f"b{n}") for n in axes]).distinct()
+        near = sum((F.pow(F.greatest(F.col(f"b{n}") - F.col(n), F.col(n) - F.col(f"b{n}") - size, F.lit(0.0)), 2) for n in axes), F.lit(0.0))
+        far = sum((F.pow(F.greatest(F.abs(F.col(n) - F.col(f"b{n}")), F.abs(F.col(n) - F.col(f"b{n}") - size)), 2) for n in axes), F.lit(0.0))
+        met = cut_lineage(held.join(inner, "held").select("airport", "latitude", "longitude", *axes, F.col("inner").alias("held"), near.alias("near"), far.alias("far")))
+        bound = met.groupBy("airport", "latitude", "longitude").agg(F.min("far").alias("bound"))
+        held = met.join(bound, ["airport", "latitude", "longitude"]).where(F.col("near") <= F.col("bound") + 1e-12).select("airport", "latitude", "longitude", *axes, "held").distinct()
+        before = level
+    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("station_latitude"), F.col("station_longitude"))
+    met = held.join(placed.withColumnRenamed(f"c{levels[-1]}", "held").drop(*axes), "held")
+    best = met.groupBy("airport", "latitude", "longitude").agg(F.min(F.struct(distance.alias("distance_km"), "station")).alias("b"))
+    return here.join(best, ["airport", "latitude", "longitude"], "left").select("airport", "b.station", "b.distance_km")
 
 
 def load_coordinates(metadata: DataFrame) -> DataFrame:

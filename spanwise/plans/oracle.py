@@ -187,6 +187,23 @@ VIEWS["h_ready"] = f"SELECT s.*, {_n} AS n, {_o} AS ordered FROM h_sides s {_joi
 NEEDS["h_ready"] = ("h_sides", "h_cdf")
 
 VIEWS["sims"] = "SELECT *, unnest(range(8)) AS sim_id FROM h_ready"
+VIEWS["stop_sims"] = "SELECT *, unnest(range(12)) AS sim_id FROM h_ready"
+NEEDS["stop_sims"] = ("h_ready",)
+VIEWS["stop_drawn"] = f"SELECT *, CASE movement WHEN 'dep' THEN {draw('dep', 12, 43)} ELSE {draw('arr', 12, 44)} END AS u FROM stop_sims WHERE {draw('cancel', 12)} >= rate"
+NEEDS["stop_drawn"] = ("stop_sims",)
+VIEWS["stop_simulated"] = "SELECT sim_id, flight_id, movement, airport_group, scheduled_time + to_seconds(60 * coalesce(ordered[cast(least(n - 1, floor(u * n)) AS integer) + 1], 0)) AS base_time FROM stop_drawn"
+NEEDS["stop_simulated"] = ("stop_drawn",)
+VIEWS["stop_w"] = windows("stop_simulated")
+NEEDS["stop_w"] = ("stop_simulated",)
+VIEWS["stop_c"] = f"SELECT sim_id, airport_group, minute FROM (SELECT sim_id, airport_group, unnest(range({minute('window_start')}, {minute('window_end')})) AS minute FROM stop_w) GROUP BY ALL HAVING count(*) >= 2"
+NEEDS["stop_c"] = ("stop_w",)
+VIEWS["stop_h"] = "SELECT DISTINCT sim_id, airport_group, minute // 60 AS h FROM stop_c"
+NEEDS["stop_h"] = ("stop_c",)
+# after 4, 8 and 12 simulations: the hours' shares with an overlap, and the largest standard error of a share
+VIEWS["stop_p"] = "SELECT n, airport_group, h, count(*) FILTER (sim_id < n) AS k FROM stop_h CROSS JOIN (SELECT unnest([4, 8, 12]) AS n) GROUP BY ALL"
+NEEDS["stop_p"] = ("stop_h",)
+VIEWS["stop_n"] = "SELECT coalesce(min(n) FILTER (error <= 0.3), 12) AS used FROM (SELECT n, max(sqrt((k - k * k / n) / (n - 1)) / sqrt(n)) AS error FROM (SELECT n, cast(k AS double) AS k FROM stop_p) GROUP BY n)"
+NEEDS["stop_n"] = ("stop_p",)
 NEEDS["sims"] = ("h_ready",)
 VIEWS["drawn"] = f"SELECT *, CASE movement WHEN 'dep' THEN {draw('dep', seed=43)} ELSE {draw('arr', seed=44)} END AS u FROM sims WHERE {draw('cancel')} >= rate"
 NEEDS["drawn"] = ("sims",)
@@ -314,5 +331,29 @@ SQL: dict[str, str] = {
         SELECT airport_group, date, hour, target, {SEASON.format('date')} AS season, cast(isodow(date) >= 6 AS integer) AS is_weekend, cast(n_all AS bigint) AS scheduled_movements, scheduled_dep_next_90m, {r('coalesce(t, 0)', 'air_temperature_mean')}, coalesce(ifr, 0) AS weather_ifr_proxy FROM target JOIN hourly USING (airport_group, date, hour) JOIN ranges USING (airport_group, date, hour) LEFT JOIN w USING (airport_group, date, hour)""",
     "delay_quantile_lookup": with_("h_ready") + f"SELECT flight_id, movement, airport_group, scheduled_time, n AS n_history, {r('coalesce(ordered[cast(least(n - 1, floor(' + unit('flight_id', 5) + ' * n)) AS integer) + 1], 0)', 'delay')} FROM h_ready",
     "streaming_hourly_counts": with_("movements") + "SELECT airport_group, date_trunc('hour', base_time) AS hour_start, count(*) FILTER (movement = 'dep') AS departures, count(*) FILTER (movement = 'arr') AS arrivals FROM movements GROUP BY 1, 2",
+    "adaptive_stop": with_("sim_grid", "stop_n") + f"""SELECT g.airport_group, g.date, g.hour, {r('coalesce(p.k, 0) / cast(used AS double)', 'sim_prob_any_overlap')}, cast(used AS integer) AS simulations_used FROM sim_grid g CROSS JOIN stop_n
+        LEFT JOIN stop_p p ON p.n = used AND p.airport_group = g.airport_group AND p.h = {minute('(g.date + to_hours(g.hour))')} // 60""",
+    "balanced_weights": with_("days") + f"SELECT airport_group, date, hour, target, {r('count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY target))', 'weight')} FROM days",
+    "source_training": with_("days") + f"SELECT airport_group, date, hour, target, {SEASON.format('date')} AS feat_season, CASE WHEN hour % 5 <> 0 THEN hour END AS feat_sched_concurrence, cast(NULL AS integer) AS feat_sched_flights_cnt FROM days WHERE date >= DATE '1997-01-01'",
+    "source_flights": with_("flights") + "SELECT flight_id, cast(NULL AS varchar) AS dep_airport, dep_airport_group, cast(NULL AS varchar) AS arr_airport, nullif(arr_airport_group, 'NA') AS arr_airport_group, service_type, cancelled, std, sta, atd, ata FROM flights",
+    "source_schedule": with_("flights") + "SELECT flight_id, cast(NULL AS varchar) AS dep_airport, dep_airport_group, cast(NULL AS varchar) AS arr_airport, nullif(arr_airport_group, 'NA') AS arr_airport_group, service_type, std, sta FROM flights",
+    "source_inference": with_("grid") + f"SELECT airport_group, date, hour, {SEASON.format('date')} AS feat_season, cast(NULL AS integer) AS feat_sched_concurrence, cast(NULL AS integer) AS feat_sched_flights_cnt FROM grid",
+    "source_template": with_("grid") + "SELECT airport_group, date, hour, CASE WHEN hour <> 3 THEN hour / 32.0::double END AS pred FROM grid",
+    "source_groups": f"SELECT {letter('n_nationkey')} AS airport_group, n_name AS airport FROM nation",
+    "source_airports": with_("airports") + "SELECT ident, iata_code, cast(NULL AS varchar) AS name, latitude, longitude, elevation FROM airports",
+    "source_weather": with_("weather") + f"SELECT airport_group, cast(date_trunc('second', forecast_time) AS date) AS date, hour, count(*) AS n_rows, {r('avg(air_temperature)', 'mean_temperature')}, max(symbol_code_1h) AS last_symbol FROM weather GROUP BY ALL",
+    "source_observations": f"SELECT 'AP' || (user_id % 21) AS airport, {letter('user_id')} AS airport_group, date_trunc('hour', ts) AS forecast_time, " + ", ".join(f"max(value) FILTER (event_type = '{x}') AS {x}" for x in ("click", "view", "purchase")) + " FROM events WHERE event_type <> 'error' GROUP BY ALL",
+    "source_public_holidays": with_("easters") + f"SELECT date, CASE WHEN month(date) <> 5 THEN strftime(date, 'day %m-%d') END AS name, day(date) % 2 = 0 AS is_public_holiday FROM (SELECT cast(unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 day)) AS date) AS date) AS days WHERE {HOLIDAY}",
+    "source_school_holidays": with_("days") + "SELECT DISTINCT airport_group, date, 'a' AS name, cast(1 AS integer) AS is_school_holiday FROM days WHERE week(date) IN (8, 40)",
+    "sink_predictions": with_("grid") + "SELECT airport_group, strftime(date, '%Y-%m-%d') AS date, cast(hour AS varchar) AS hour, printf('%.3f', cast((hour * 41 + day(date) * 7) % 997 AS double) / 997) AS pred FROM grid",
+    "sink_keyed": with_("days") + "SELECT airport_group, date, hour, target FROM days WHERE strftime(date, '%Y-%m') = '1997-07'",
+    "sink_manifest": "SELECT cast(i AS integer) AS position, ['airport_group', 'date', 'hour', 'target'][i + 1] AS name FROM range(4) t(i)",
+    "split_target": with_("days") + "SELECT airport_group, date, hour, target, cast(month(date) AS integer) AS month FROM days",
+    "ensure_columns": with_("days") + "SELECT *, cast(0 AS double) AS extra FROM days",
+    "standardised": with_("days") + f"SELECT airport_group, date, hour, {r('(target - avg(target) OVER ()) / stddev_pop(target) OVER ()', 'target')}, cast(0 AS double) AS one FROM days",
+    "time_window": with_("flights") + "SELECT dep_airport_group, count(*) AS n_flights, min(std) AS first_std FROM flights WHERE std BETWEEN TIMESTAMP '1997-07-01' AND TIMESTAMP '1997-07-31 23:59:59' GROUP BY ALL",
 }
+SQL["cached_result"] = SQL["cancel_rates"]
+SQL["drop_prefixed"] = f"SELECT * EXCLUDE (is_weekend, is_public_holiday, is_school_holiday, is_month_start, is_month_end) FROM ({SQL['base_hour_grid']})"
+SQL["array_of_columns"] = f"SELECT airport_group, date, hour, concurrency AS sequence FROM ({SQL['minute_sequences']})"
 SQL["feature_matrix"] = with_("days", "hourly", "ranges", "movements_o", "movements_gap") + f", hr AS ({hist('days', 'grid')}) SELECT airport_group, date, hour, {_schedule}, {_ranged}, " + ", ".join(r(c, c) for c in OVERLAP) + f", {_gap}, hist_rate_group_hour, hist_support_group_hour, hist_rate_month_hour, hist_rate_dow_hour FROM hourly JOIN ranges USING (airport_group, date, hour) JOIN movements_o USING (airport_group, date, hour) JOIN hr USING (airport_group, date, hour) LEFT JOIN movements_gap USING (airport_group, date, hour)"

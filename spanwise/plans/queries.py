@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwise.functions import calendar as C
+from spanwise.functions.lineage import cut_lineage, shared_folder
 from spanwise.functions.scalars import cyclical, unit_hash
 from spanwise.operators import design as D
 from spanwise.operators import encoding as N
@@ -22,6 +26,8 @@ from spanwise.operators import schedule as P
 from spanwise.operators import simulate as MC
 from spanwise.operators import weather as W
 from spanwise.sources import adapters as A
+from spanwise.sources import readers as load
+from spanwise.sources import sinks
 from spanwise.sources.readers import generated_holidays
 from spanwise.streaming import hourly
 
@@ -547,26 +553,26 @@ def _fold_auc(scored):
 
 @query
 def cv_logistic(spark, d):
-    days = A.daily_target(spark, d).cache()
+    days = cut_lineage(A.daily_target(spark, d))
     return _fold_auc(ML.cross_validate(days, lambda: ML.logistic(FEATURES, 20), 4, _prepare)[0])
 
 
 @query
 def cv_boosted_trees(spark, d):
-    days = A.daily_target(spark, d).cache()
+    days = cut_lineage(A.daily_target(spark, d))
     return _fold_auc(ML.cross_validate(days, lambda: ML.boosted(FEATURES, 5, 4), 2, _prepare)[0])
 
 
 @query
 def cv_perceptron(spark, d):
-    days = A.daily_target(spark, d).cache()
+    days = cut_lineage(A.daily_target(spark, d))
     return _fold_auc(ML.cross_validate(days, lambda: ML.mlp(FEATURES, (16, 8), 20), 2, _prepare)[0])
 
 
 @query
 def stacked_ensemble(spark, d):
-    days = A.daily_target(spark, d).cache()
-    parts = {n: ML.cross_validate(days, e, 2, _prepare)[0].cache() for n, e in (("logistic", lambda: ML.logistic(FEATURES, 10)), ("forest", lambda: ML.forest(FEATURES, 10, 5)))}
+    days = cut_lineage(A.daily_target(spark, d))
+    parts = {n: cut_lineage(ML.cross_validate(days, e, 2, _prepare)[0]) for n, e in (("logistic", lambda: ML.logistic(FEATURES, 10)), ("forest", lambda: ML.forest(FEATURES, 10, 5)))}
     stacked = ML.stack(parts)
     name, auc, _ = ML.best_candidate({**parts, "stack": stacked})
     weight, blended = ML.blend(parts["logistic"], parts["forest"])
@@ -575,9 +581,192 @@ def stacked_ensemble(spark, d):
 
 @query
 def permutation_importance(spark, d):
-    days = _prepare(A.daily_target(spark, d), A.daily_target(spark, d)).cache()
-    model = ML.logistic(FEATURES, 10).fit(days)
-    return ML.permutation_importance(model, days, FEATURES[6:], 1)
+    days = cut_lineage(A.daily_target(spark, d))
+    days = cut_lineage(_prepare(days, days))
+    return ML.permutation_importance(ML.logistic(FEATURES).fit(days), days, FEATURES)
+
+
+@query
+def balanced_weights(spark, d):
+    return rounded(ML.balanced_weights(A.daily_target(spark, d)))
+
+
+@query
+def tuned_forest(spark, d):
+    """The better of four forests by out-of-fold AUC."""
+    days = cut_lineage(A.daily_target(spark, d))
+    days = cut_lineage(_prepare(days, days))
+    grid = [{"trees": n, "depth": k} for n in (5, 10) for k in (3, 5)]
+    best, auc = ML.grid_search(days, lambda trees, depth: ML.forest(FEATURES, trees, depth), grid, 2)
+    return spark.createDataFrame([(best["trees"], best["depth"], round(auc, 4))], "trees int, depth int, auc double")
+
+
+@query
+def fitted_importance(spark, d):
+    """Shares of a fitted forest's importance by family, and beside them a logistic model's coefficients'."""
+    days = cut_lineage(A.daily_target(spark, d))
+    days = cut_lineage(_prepare(days, days))
+    tables = {n: ML.importance_table(e.fit(days), FEATURES).withColumn("model", F.lit(n)) for n, e in (("forest", ML.forest(FEATURES, 10, 5)), ("logistic", ML.logistic(FEATURES)))}
+    return reduce(DataFrame.unionByName, [R.family_importance(t).withColumn("model", F.lit(n)) for n, t in tables.items()])
+
+
+# --- sources and sinks: test tables written to the shared folder and read again
+
+
+def _place(spark, name):
+    return f"{shared_folder(spark)}/again-{uuid.uuid4().hex}/{name}"
+
+
+def _as_csv(df, name):
+    path = _place(df.sparkSession, name)
+    df.write.option("header", True).option("nullValue", "NA").csv(path)
+    return path
+
+
+@query
+def source_training(spark, d):
+    days = A.daily_target(spark, d)
+    rows = days.withColumn("feat_season", C.season(F.month("date"))).withColumn("feat_sched_concurrence", F.when(F.col("hour") % 5 != 0, F.col("hour")))
+    return load.load_training(spark, _as_csv(rows, "training"), "1997-01-01")
+
+
+@query
+def source_flights(spark, d):
+    return load.load_flights(spark, _as_csv(A.flights(spark, d), "flights"))
+
+
+@query
+def source_schedule(spark, d):
+    return load.load_schedule(spark, _as_csv(A.flights(spark, d).drop("cancelled", "atd", "ata"), "schedule"))
+
+
+@query
+def source_inference(spark, d):
+    rows = A.grid(spark).select("hour", "date", F.col("airport_group"), C.season(F.month("date")).alias("feat_season"))
+    return load.load_inference(spark, _as_csv(rows, "inference"))
+
+
+@query
+def source_template(spark, d):
+    rows = A.grid(spark).withColumn("pred", F.when(F.col("hour") != 3, F.col("hour") / 32))
+    return load.load_template(spark, _as_csv(rows, "template"))
+
+
+@query
+def source_groups(spark, d):
+    rows = A.table(spark, d, "nation").select(A.letter(F.col("n_nationkey")).alias("airport_group"), F.col("n_name").alias("airport"), "n_regionkey")
+    return load.load_groups(spark, _as_csv(rows, "groups"))
+
+
+@query
+def source_airports(spark, d):
+    return load.load_airports(spark, _as_csv(_airports(spark, d).drop("airport_group"), "airports"))
+
+
+@query
+def source_weather(spark, d):
+    path = _place(spark, "weather")
+    w = A.weather(spark, d)
+    w.withColumn("valid_time", F.date_format("forecast_time", "yyyy-MM-dd HH:mm:ss")).drop("forecast_time", "date", "hour").write.parquet(path)
+    return rounded(load.load_weather(spark, path).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("air_temperature").alias("mean_temperature"), F.max("symbol_code_1h").alias("last_symbol")))
+
+
+@query
+def source_observations(spark, d):
+    path = _place(spark, "observations")
+    e = A.table(spark, d, "events").where("event_type <> 'error'")
+    e.select(F.concat(F.lit("AP"), (F.col("user_id") % 21).cast("string")).alias("airport"), A.letter(F.col("user_id")).alias("airport_group"), F.date_format("ts", "yyyy-MM-dd HH:00:00").alias("referenceTime"), F.col("event_type").alias("elementId"), "value").write.json(path)
+    return load.load_observations(spark, path, ["click", "view", "purchase"])
+
+
+@query
+def source_public_holidays(spark, d):
+    days = generated_holidays(spark, 1995, 2001)
+    rows = days.select("date", F.when(F.month("date") != 5, F.date_format("date", "'day 'MM-dd")).alias("name"), (F.dayofmonth("date") % 2 == 0).alias("is_public_holiday"))
+    return load.load_public_holidays(spark, _as_csv(rows, "holidays"))
+
+
+@query
+def source_school_holidays(spark, d):
+    days = A.daily_target(spark, d).select("airport_group", "date").distinct().where("weekofyear(date) in (8, 40)")
+    named = days.select("*", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("c"))).alias("name")).withColumn("is_school_holiday", (F.col("name") != "b").cast("int"))
+    return load.load_school_holidays(spark, _as_csv(named, "school"))
+
+
+@query
+def cached_result(spark, d):
+    """Made once; the second time, with another recipe under the same configuration, it comes from the cache."""
+    path, config = _place(spark, "cached"), {"levels": 7, "by": ["group", "hour"]}
+    S.cached_simulation(spark, path, config, lambda: S.cancel_rates(A.flights(spark, d)))
+    return rounded(S.cached_simulation(spark, path, config, lambda: spark.range(1)))
+
+
+@query
+def sink_predictions(spark, d):
+    path = _place(spark, "predictions")
+    sinks.write_predictions(A.grid(spark).withColumn("pred", (F.col("hour") * 41 + F.dayofmonth("date") * 7) % 997 / 997), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query
+def sink_keyed(spark, d):
+    path = _place(spark, "keyed")
+    sinks.write_keyed(A.daily_target(spark, d), path)
+    return spark.read.parquet(path).where("month = '1997-07'").select(*KEYS, "target")
+
+
+@query
+def sink_manifest(spark, d):
+    path = _place(spark, "columns")
+    sinks.write_columns(spark, A.daily_target(spark, d).columns, path)
+    return spark.createDataFrame(list(enumerate(sinks.read_columns(spark, path))), "position int, name string")
+
+
+# --- frames of columns
+
+
+@query
+def split_target(spark, d):
+    features, target = D.split_target(A.daily_target(spark, d))
+    return target.join(features.withColumn("month", F.month("date")), KEYS)
+
+
+@query
+def drop_prefixed(spark, d):
+    return rounded(D.drop_prefixed(base(spark), "is_"))
+
+
+@query
+def array_of_columns(spark, d):
+    s = O.build_minute_sequences(base(spark), A.movements(spark, d))
+    wide = s.select(*KEYS, *[F.get("concurrency", F.lit(i)).alias(f"m{i}") for i in range(60)])
+    return D.array_of_columns(wide, "m").select(*KEYS, _text("sequence").alias("sequence"))
+
+
+@query
+def ensure_columns(spark, d):
+    return D.ensure_columns(A.daily_target(spark, d), ["target", "extra"])
+
+
+@query
+def standardised(spark, d):
+    days = A.daily_target(spark, d)
+    return rounded(D.standardise(days.withColumn("one", F.lit(1.0)), ["target", "one"]))
+
+
+@query
+def time_window(spark, d):
+    inside = E.select_time_window(A.flights(spark, d), "std", datetime(1997, 7, 1), datetime(1997, 7, 31, 23, 59, 59))
+    return inside.groupBy("dep_airport_group").agg(F.count(F.lit(1)).alias("n_flights"), F.min("std").alias("first_std"))
+
+
+@query
+def sequence_ablation(spark, d):
+    """The AUC that departures and arrivals are worth to a score made of their minutes."""
+    s = cut_lineage(O.build_minute_sequences(base(spark), A.movements(spark, d)).join(target(spark, d), KEYS))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    lost = ML.channel_ablation(lambda df: df.withColumn("score", (2 * total("departures") + total("arrivals")).cast("double")), s, ["departures", "arrivals"])
+    return spark.createDataFrame([(c, round(x, 6)) for c, x in lost.items()], "channel string, lost double")
 
 
 # --- streaming

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.calendar import is_public_holiday
@@ -20,11 +21,22 @@ HOLIDAYS = "date date, name string, is_public_holiday boolean"
 AIRPORTS = "ident string, iata_code string, name string, latitude double, longitude double, elevation double"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Columns are matched by the file's header: those that it lacks are null, others are left out."""
+def _typed(named: DataFrame, column: str, kind: str, strict: bool) -> Column:
+    """The text column as the type; a cell that isn't one raises with its column's name, or is null unless ``strict``."""
+    cell = F.col(f"`{column}`")
+    value = cell.try_cast(kind)
+    if strict and kind != "string":
+        told = F.concat(F.lit(f"{column} ({kind}) has a cell that can't be read: "), cell)
+        value = F.when(cell.isNotNull() & value.isNull(), F.raise_error(told).cast(kind)).otherwise(value)
+    return value.alias(column)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """Columns are matched by the file's header: those that it lacks are null, others are left out. A cell that can't be
+    read as its column's type fails the job when it is reached; with ``strict`` off it is null."""
     named = spark.read.option("header", True).option("nullValue", "NA").csv(path)
     wanted = [(c.split()[0], c.split()[1]) for c in schema.split(", ")]
-    return named.select(*[(F.col(f"`{c}`") if c in named.columns else F.lit(None)).try_cast(t).alias(c) for c, t in wanted])
+    return named.select(*[_typed(named, c, t, strict) if c in named.columns else F.lit(None).cast(t).alias(c) for c, t in wanted])
 
 
 def load_training(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -73,7 +85,7 @@ def load_school_holidays(spark: SparkSession, path: str) -> DataFrame:
     """date, and airport_group, name, is_school_holiday as far as the file has them; the first (by name) of repeated keys."""
     named = spark.read.option("header", True).option("nullValue", "NA").csv(path)
     columns = {"airport_group": "string", "date": "date", "name": "string", "is_school_holiday": "int"}
-    rows = named.select(*[F.col(c).try_cast(t).alias(c) for c, t in columns.items() if c in named.columns])
+    rows = named.select(*[_typed(named, c, t, True) for c, t in columns.items() if c in named.columns])
     on = [c for c in ("airport_group", "date") if c in rows.columns]
     rest = [c for c in rows.columns if c not in on]
     return rows.groupBy(*on).agg(F.min(F.struct(*rest)).alias("r")).select(*on, "r.*") if rest else rows.distinct()
@@ -85,6 +97,20 @@ def generated_holidays(spark: SparkSession, first_year: int, last_year: int) ->
     return days.where(is_public_holiday(F.col("date")))
 
 
+def date_chunks(first: date, last: date, days: int = 120) -> list[tuple[date, date]]:
+    """Consecutive ranges of at most so many days, both ends included, as observations are asked for."""
+    starts = range(0, (last - first).days + 1, days)
+    return [(first + timedelta(days=i), min(last, first + timedelta(days=i + days - 1))) for i in starts]
+
+
+def load_observations(spark: SparkSession, path: str, elements: list[str]) -> DataFrame:
+    """Files of observation records (airport, airport_group, referenceTime, elementId, value), one JSON record a line, as one
+    row for each airport and time with a column for each element; of repeated records the last by value counts."""
+    schema = "airport string, airport_group string, referenceTime string, elementId string, value double"
+    records = spark.read.schema(schema).json(path).withColumn("forecast_time", F.try_to_timestamp("referenceTime").cast("timestamp_ntz"))
+    return W.observation_pivot(records.where("forecast_time is not null"), ["airport", "airport_group", "forecast_time"], elements, F.col("value"))
+
+
 def load_cached(spark: SparkSession, path: str, config: dict) -> DataFrame | None:
     """A cached result if its configuration is the same, else None; a broken or missing note is a miss."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs

@@ -27,6 +27,15 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
 
 
+def write_columns(spark: SparkSession, columns: list[str], path: str) -> None:
+    """The names and order of the columns that a model was fitted on, kept beside it."""
+    write_json(spark, {"columns": list(columns)}, path)
+
+
+def read_columns(spark: SparkSession, path: str) -> list[str]:
+    return read_json(spark, path)["columns"]
+
+
 def write_cached(df: DataFrame, path: str, config: dict) -> None:
     """A result and beside it the configuration that it was made with; the note is written last."""
     df.write.mode("overwrite").parquet(path)

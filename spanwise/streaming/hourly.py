@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.functions.lineage import shared_folder
+
 
 def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """airport_group, hour_start, departures, arrivals from a stream (or table) with base_time (a timestamp) and movement."""
@@ -18,8 +19,7 @@ def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 def run_available(counts: DataFrame, spark: SparkSession) -> DataFrame:
     """Runs a stream over what is there now; the last state of each group and hour. Batches go to the shared folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/n={number}")

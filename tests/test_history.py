@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import calendar as C
+from spanwise.operators.prefix import running_sums
 from spanwise.operators import design as D
 from spanwise.operators import encoding as N
 from spanwise.operators import history as H
@@ -95,7 +96,8 @@ def test_assembly(spark):
 
 def test_numbered_and_ablation(spark):
     df = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    assert sorted(r["__i"] for r in ML._numbered(df, F.col("h")).collect()) == list(range(1000))
+    numbered = running_sums(df, [F.col("h")], {"i": F.lit(1)}).orderBy("h").collect()
+    assert [r["i"] for r in numbered] == list(range(1000))
     rows = spark.createDataFrame([(0, [0.0]), (1, [1.0])], "target int, a array<double>")
     assert ML.channel_ablation(lambda d: d.withColumn("score", F.get("a", F.lit(0))), rows, ["a"]) == {"a": 0.5}
 
@@ -138,3 +140,44 @@ def test_enrichment_keeps_unknown_airports(spark):
     airports = spark.createDataFrame([("enx", "osl", "Oslo", "mine")], "ident string, iata_code string, name string, airport_group string")
     out = W.enrich_with_groups(airports, spark.createDataFrame([("A", "OSL"), ("A", "zzz")], "airport_group string, airport string")).orderBy("iata_code").collect()
     assert [(r["iata_code"], r["ident"], r["airport_group"], r["airport_group_our"]) for r in out] == [("OSL", "enx", "A", "mine"), ("ZZZ", None, "A", None)]
+
+
+def test_auc_passes_over_unknown_scores(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1), (0.5, 0), (None, 1), (0.7, 1), (0.9, None)], "score double, target int")
+    assert R.roc_auc(df).first().asDict() == {"auc": 1.0, "n": 2}
+    assert R.roc_auc(df.limit(0)).first().asDict() == {"auc": 0.5, "n": 0}
+
+
+def test_auc_of_rare_and_of_wide_scores(spark):
+    """Scores far below one and far beyond it, against all pairs."""
+    import itertools
+
+    rng = __import__("random").Random(2)
+    for scale in (1e-9, 1.0, 1e12):
+        data = [(rng.randrange(40) * scale, int(rng.random() < 0.3)) for _ in range(300)]
+        pos, neg = ([x for x, y in data if y == k] for k in (1, 0))
+        want = sum((p > n) + (p == n) / 2 for p, n in itertools.product(pos, neg)) / (len(pos) * len(neg))
+        assert abs(R.roc_auc(spark.createDataFrame(data, "score double, target int")).first()["auc"] - want) < 1e-9
+
+
+def test_running_sums_by_key(spark):
+    data = [(k, i, (i * 7) % 5) for k in ("a", None, "b") for i in range(50)]
+    got = running_sums(spark.createDataFrame(data, "k string, i int, v int"), [F.col("i")], {"s": F.col("v"), "n": F.lit(1)}, ("k",)).collect()
+    assert len(got) == 150 and all(r["n"] == r["i"] and r["s"] == sum((j * 7) % 5 for j in range(r["i"])) for r in got)
+
+
+def test_nearest_station_against_all_pairs(spark):
+    """Stations in one country, airports everywhere, poles and the date line included."""
+    import math
+
+    rng = __import__("random").Random(4)
+    stations = [(f"s{i}", rng.uniform(58, 71), rng.uniform(5, 30)) for i in range(120)]
+    airports = [(f"a{i}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)] + [("pole", 90.0, 0.0), ("line", 60.0, 180.0), ("here", *stations[0][1:])]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    got = W.nearest_station(spark.createDataFrame(airports, "airport string, latitude double, longitude double"), spark.createDataFrame(stations, "station string, station_latitude double, station_longitude double"))
+    assert {r["airport"]: round(r["distance_km"], 6) for r in got.collect()} == {n: round(min(km(a, b, c, d) for _, c, d in stations), 6) for n, a, b in airports}

@@ -36,7 +36,7 @@ def test_against_sql(spark, small, duck, name):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["adaptive_stop", "cv_logistic", "cv_boosted_trees", "cv_perceptron", "stacked_ensemble", "permutation_importance"])
+@pytest.mark.parametrize("name", ["tuned_forest", "fitted_importance", "sequence_ablation", "cv_logistic", "cv_boosted_trees", "cv_perceptron", "stacked_ensemble", "permutation_importance"])
 def test_runs(spark, small, name):
     assert entry.queries()[name](spark, small).count() > 0
 

@@ -1,5 +1,7 @@
 from datetime import date
 
+import pytest
+
 from spanwise.sources import readers, sinks
 from spanwise.streaming import hourly
 
@@ -10,7 +12,11 @@ def put(path, text):
 
 
 def test_csv_sources(spark, tmp_path):
-    flights = readers.load_flights(spark, put(tmp_path / "f.csv", "flight_id,dep_airport_group,arr_airport_group,service_type,cancelled,std,extra\nF1,A,NA,REG,0,2025-07-01 08:00:00,x\nF2,NA,B,,bad,broken,y\n"))
+    path = put(tmp_path / "f.csv", "flight_id,dep_airport_group,arr_airport_group,service_type,cancelled,std,extra\nF1,A,NA,REG,0,2025-07-01 08:00:00,x\nF2,NA,B,,bad,broken,y\n")
+    with pytest.raises(Exception, match="cancelled \\(int\\) has a cell that can't be read: bad"):
+        readers.load_flights(spark, path).select("flight_id", "cancelled").collect()
+    assert readers.load_flights(spark, path).select("flight_id").count() == 2
+    flights = readers.read_csv(spark, path, readers.FLIGHTS, strict=False)
     rows = flights.orderBy("flight_id").collect()
     assert rows[0]["arr_airport_group"] is None and str(rows[0]["std"]) == "2025-07-01 08:00:00" and rows[0]["sta"] is None
     assert rows[1]["cancelled"] is None and rows[1]["std"] is None and "extra" not in flights.columns
@@ -73,3 +79,31 @@ def test_cached_simulation_is_made_once(spark, tmp_path):
     for _ in range(2):
         assert cached_simulation(spark, str(tmp_path / "s"), {"n": 8}, make).count() == 3
     assert len(made) == 1 and cached_simulation(spark, str(tmp_path / "s"), {"n": 9}, make).count() == 3 and len(made) == 2
+
+
+def test_models_and_manifests_are_read_again(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from spanwise.operators import models
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)], "a double, b double, target int")
+    model = models.logistic(["a", "b"], 10).fit(df)
+    sinks.save_model(model, str(tmp_path / "model"))
+    sinks.save_model(model, str(tmp_path / "model"))
+    sinks.write_columns(spark, ["a", "b"], str(tmp_path / "columns"))
+    assert sinks.read_columns(spark, str(tmp_path / "columns")) == ["a", "b"]
+    again = PipelineModel.load(str(tmp_path / "model"))
+    score = lambda m: [r["score"] for r in models.positive_score(m.transform(df)).collect()]
+    assert score(again) == score(model)
+
+
+def test_airports_from_a_file(spark, tmp_path):
+    path = put(tmp_path / "a.csv", "ident,iata_code,name,latitude,longitude,elevation\nENGM,OSL,Oslo,60.19,11.1,208\nENXX,NA,None,NA,NA,NA\n")
+    got = readers.load_airports(spark, path).orderBy("ident").collect()
+    assert got[0]["latitude"] == 60.19 and got[1]["iata_code"] is None and got[1]["elevation"] is None
+
+
+def test_observation_chunks():
+    chunks = readers.date_chunks(date(2024, 1, 1), date(2024, 12, 31), 120)
+    assert chunks == [(date(2024, 1, 1), date(2024, 4, 29)), (date(2024, 4, 30), date(2024, 8, 27)), (date(2024, 8, 28), date(2024, 12, 25)), (date(2024, 12, 26), date(2024, 12, 31))]
+    assert readers.date_chunks(date(2024, 1, 2), date(2024, 1, 1), 120) == []
