@@ -1,13 +1,12 @@
-"""What the text operators share: reading, row keys, lower-casing, cutting lineage."""
+"""What the text operators share: reading, row keys, lower-casing, bounded batches, teaching samples."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.functions.lineage import cut_lineage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -52,41 +51,6 @@ def row_keys(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(0x5EED), *reversed(cols)).alias("k2")]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
-
-    Where it is unset, a session on one machine gets a temporary folder; a cluster must name one, since executors see no
-    folder of the driver.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-        return sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """Adds each row's number from 0 in a global order, with no task that sees all rows: ranges of the order are numbered by
-    themselves, after the counts of the ranges before them."""
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))  # one row a range
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return dealt.withColumn("__inside", inside).join(F.broadcast(ahead), "__part").withColumn(name, F.col("__ahead") + F.col("__inside")).drop("__part", "__ahead", "__inside")
-
-
 #: Keys of at most this many rows are broadcast (two longs each, under 50 MB); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 

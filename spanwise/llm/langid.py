@@ -30,7 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, cut_lineage, fresh, id_bucket
+from spanwise.functions.lineage import cut_lineage
+from spanwise.llm.common import bounded_batches, fresh, id_bucket
 
 SAMPLE, LEAST_COUNT, TRIGRAM_BITS = 1500, 3, 15
 PATH_WORDS = 2_000_000  # words of the documents that are walked side by side

@@ -27,9 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import cut_lineage, ranked
+from spanwise.functions.lineage import cut_lineage
 from spanwise.llm.flow import Network
 from spanwise.llm.simhash import components
+from spanwise.operators.prefix import running_sums
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS, SEED = 1.5, 2, 20240601
@@ -53,7 +54,7 @@ def with_targets(sources: DataFrame, whole: int, weights: tuple = WEIGHTS, share
     round raises the level by what the capped ones leave, until no further source is capped.
     """
     cycle = F.array(*map(F.lit, map(float, weights)))
-    weighed = ranked(sources, "rank", F.col("source").asc_nulls_last()).withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int"))).drop("rank")
+    weighed = running_sums(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}).withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int"))).drop("rank")
     weighed = weighed.withColumn("cap", (F.lit(most) * F.col("source_size")).cast("double"))
     level, capped = 0.0, -1
     while True:

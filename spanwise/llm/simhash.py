@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches, cut_lineage, fresh, row_keys, without
+from spanwise.functions.lineage import cut_lineage
+from spanwise.llm.common import bounded_batches, fresh, row_keys, without
 
 SHINGLE, SEED, BUDGET, LARGE = 3, 42, 2, 4000
 NEAR_SHINGLE, NEAR_BUDGET, NEAR_BITS, LARGE_KEY = 5, 42, 256, 20_000
