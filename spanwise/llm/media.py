@@ -14,6 +14,7 @@ which then replaces it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import struct
@@ -129,45 +130,54 @@ def _masked(rows: np.ndarray, width: int, data: bytes) -> np.ndarray:
     return out
 
 
-def _cells(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the edges of ``size`` equal cells of 0..n: the whole number below each, and what is left over."""
+@functools.lru_cache(4096)
+def _cells(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """For the edges of ``size`` equal cells of 0..n: the whole numbers around them, where among these each edge's lower and
+    upper neighbour stand, and how far it is from the lower one (None where every edge is a whole number)."""
     edges = np.arange(size + 1) * n / size
     low = np.minimum(edges.astype(np.int64), n - 1)
-    return low, edges - low
+    part = edges - low
+    if ((part == 0) | (part == 1)).all():
+        low, part = edges.astype(np.int64), None
+    needed = np.unique(low if part is None else np.append(low, low + 1))
+    return needed, np.searchsorted(needed, low), np.searchsorted(needed, low + 1), part
+
+
+def _at_edges(sums: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray | None, axis: int) -> np.ndarray:
+    lower = sums.take(low, axis)
+    if part is None:
+        return lower
+    part = part[:, None, None] if axis == 0 else part[None, :, None]
+    return lower * (1 - part) + sums.take(high, axis) * part
 
 
 def area_resize(image: np.ndarray, height: int, width: int, grey: bool = False) -> np.ndarray:
     """Mean over each target cell's (fractional) area, from an integral image; rounds half up. ``grey`` takes the mean of
-    the channels, rounded down, first.
+    the channels, rounded down, first. A mean within 1e-9 of a half counts as the half.
 
     The integral image is built in bands of rows; of each band only those rows stay between which a cell's edge lies.
     """
     h, w, channels = image.shape
-    low, part = _cells(h, height)
-    needed = np.unique([low, low + 1])
-    kept, above = np.zeros((len(needed), w, 1 if grey else channels)), 0.0
+    needed, low, high, part = _cells(h, height)
+    kept, above = np.zeros((len(needed), w, 1 if grey else channels)), None
     band = max(1, BAND // (w * channels))
     for start in range(0, h, band):
         block = image[start : start + band]
         if grey and channels > 1:
             block = np.floor(block.mean(axis=2, keepdims=True))
         sums = np.cumsum(block, axis=0, dtype=np.float64)
-        sums += above
-        first, last = np.searchsorted(needed, [start + 1, start + len(block) + 1])
-        kept[first:last] = sums[needed[first:last] - start - 1]
+        if above is not None:
+            sums += above
+        first, last = needed.searchsorted((start + 1, start + len(block) + 1))
+        kept[first:last] = sums[needed[first:last] - (start + 1)]
         above = sums[-1]
-    total = np.zeros((len(needed), w + 1, kept.shape[2]))
-    np.cumsum(kept, axis=1, out=total[:, 1:])
-
-    def between(sums: np.ndarray, a: np.ndarray, b: np.ndarray, part: np.ndarray, axis: int) -> np.ndarray:
-        part = part.reshape([-1 if i == axis else 1 for i in range(3)])
-        return np.take(sums, a, axis) * (1 - part) + np.take(sums, b, axis) * part
-
-    rows = between(total, np.searchsorted(needed, low), np.searchsorted(needed, low + 1), part, 0)
-    low, part = _cells(w, width)
-    cells = between(rows, low, low + 1, part, 1)
-    sums = cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]
-    return np.floor(sums / (h / height * w / width) + 0.5).clip(0, np.iinfo(image.dtype).max).astype(image.dtype)
+    rows = _at_edges(kept, low, high, part, 0)
+    across = np.zeros((height + 1, w + 1, kept.shape[2]))
+    np.cumsum(rows, axis=1, out=across[:, 1:])
+    needed, low, high, part = _cells(w, width)
+    cells = _at_edges(across, needed[low], needed[high] if part is not None else low, part, 1)
+    sums = np.diff(np.diff(cells, axis=0), axis=1)
+    return np.floor(sums / (h / height * w / width) + 0.5 + 1e-9).clip(0, np.iinfo(image.dtype).max).astype(image.dtype)
 
 
 def difference_hash(image: np.ndarray) -> str:
