@@ -82,7 +82,7 @@ def merge_monthly_stats(design: DataFrame, training: DataFrame) -> DataFrame:
     names = fine.columns[2:]
     out = design.drop(*names).withColumn("month", F.month("date")).join(fine, ["airport_group", "month"], "left")
     out = out.join(coarse.toDF("month", *[f"{n}__all" for n in names]), "month", "left")
-    return out.select(*[c for c in design.columns if c not in names and c != "month"], *[F.coalesce(n, f"{n}__all", F.lit(0)).alias(n) for n in names])
+    return out.select(*[c for c in design.columns if c not in names], *[F.coalesce(n, f"{n}__all", F.lit(0)).alias(n) for n in names])
 
 
 def impute_means(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions.lineage import cut_lineage
@@ -83,19 +83,36 @@ def grid_search(df: DataFrame, make: Callable[..., Estimator], grid: list[dict],
     return grid[best[1]], best[0]
 
 
+def _joined_scores(parts: dict[str, DataFrame], target: bool) -> DataFrame:
+    frames = [df.select(*KEYS, *(["target"] if target and i == 0 else []), F.col("score").alias(name)) for i, (name, df) in enumerate(parts.items())]
+    return reduce(lambda a, b: a.join(b, KEYS), frames).fillna(0.0, subset=list(parts))
+
+
+def fit_stack(parts: dict[str, DataFrame], c: float = 0.5) -> PipelineModel:
+    """Logistic regression over several models' scores, joined by key."""
+    joined = cut_lineage(_joined_scores(parts, True))
+    return logistic(list(parts), c=c, n_rows=joined.count()).fit(joined)
+
+
+def stack_scores(model: PipelineModel, parts: dict[str, DataFrame]) -> DataFrame:
+    """Keys, target where the first part has one, one column a model and ``score``."""
+    target = "target" in next(iter(parts.values())).columns
+    return positive_score(model.transform(_joined_scores(parts, target))).select(*KEYS, *(["target"] if target else []), *parts, "score")
+
+
 def stack(parts: dict[str, DataFrame], c: float = 0.5) -> DataFrame:
-    """Logistic regression over several models' scores, joined by key; keys, target, one column a model and ``score``."""
-    frames = [df.select(*KEYS, *(["target"] if i == 0 else []), F.col("score").alias(name)) for i, (name, df) in enumerate(parts.items())]
-    joined = reduce(lambda a, b: a.join(b, KEYS), frames).fillna(0.0, subset=list(parts))
-    model = logistic(list(parts), c=c, n_rows=joined.count()).fit(joined)
-    return positive_score(model.transform(joined)).select(*KEYS, "target", *parts, "score")
+    return stack_scores(fit_stack(parts, c), parts)
+
+
+def clipped(score: Column) -> Column:
+    return F.greatest(F.least(score, F.lit(HIGH)), F.lit(LOW))
 
 
 def best_candidate(candidates: dict[str, DataFrame]) -> tuple[str, float, DataFrame]:
     """The candidate with the highest AUC, with scores clipped away from 0 and 1; those without a known AUC are passed over."""
     aucs = {n: roc_auc(df).first()["auc"] for n, df in candidates.items() if df is not None}
     name = max(sorted(aucs), key=lambda n: aucs[n])
-    return name, aucs[name], candidates[name].withColumn("score", F.greatest(F.least("score", F.lit(HIGH)), F.lit(LOW)))
+    return name, aucs[name], candidates[name].withColumn("score", clipped(F.col("score")))
 
 
 def blend(first: DataFrame, second: DataFrame, steps: int = 20) -> tuple[float, float]:
