@@ -7,8 +7,8 @@ eigenvector of the whole covariance but for rounding. Where one isn't, as with e
 direction, the span is widened to all dimensions and the same step gives every component exactly.
 
 The covariance itself is only ever multiplied: a pass reads the fit list's rows in Arrow batches, centres each and adds up
-``z (z Q)`` inside a task. Of a task there remain as many rows as the vectors have dimensions, which are summed by
-dimension on the executors; the driver sees matrices of dimensions times directions, whatever the number of rows. The fit
+``z (z Q)`` inside a task. Of a task there remain as many rows as the vectors have dimensions, which are summed on the
+executors; the driver sees matrices of dimensions times directions, whatever the number of rows. The fit
 list (each distinct vector once, from a grouping that combines on the map side, so a vector that a third of the rows
 share is one row) is checkpointed and read by every pass, so a lost executor repeats its own batches.
 
@@ -22,6 +22,7 @@ of a table without usable vectors there are no rows; other columns are left out,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ OVERSAMPLE, POWER_PASSES = 8, 2
 #: A component's residual against the largest eigenvalue. Beyond it the range finder hasn't found the component.
 RESIDUAL = 1e-13
 SEED = 20
+#: Columns of a block of partial sums.
+WIDTH = 64
 
 
 def usable(vector: Column) -> Column:
@@ -54,8 +57,12 @@ def _matrix(column: pa.ListArray | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _summed(rows: DataFrame, make) -> dict[int, np.ndarray]:
-    """Sums over all rows of the matrix that ``make`` gives for a batch of x: by row of that matrix, to the driver."""
+def _summed(rows: DataFrame, make) -> np.ndarray:
+    """The sum over all rows of the matrix that ``make`` gives for a batch of x, to the driver.
+
+    A task leaves each row of its sum as blocks of ``WIDTH`` columns, which add up on the executors, a block a row.
+    """
+    names = [f"v{j}" for j in range(WIDTH)]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -63,13 +70,33 @@ def _summed(rows: DataFrame, make) -> dict[int, np.ndarray]:
             if batch.num_rows:
                 part = make(batch.column(0))
                 total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "v": pa.array(list(total), pa.list_(pa.float64()))})
+        for block in range(0 if total is None else -(-total.shape[1] // WIDTH)):
+            own = total[:, block * WIDTH : (block + 1) * WIDTH]
+            own = np.pad(own, ((0, 0), (0, WIDTH - own.shape[1])))
+            at = [pa.array(np.arange(len(own), dtype=np.int32)), pa.array(np.full(len(own), block, dtype=np.int32)), pa.array(np.full(len(own), total.shape[1], dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*at, *[pa.array(c) for c in own.T]], names=["i", "block", "width", *names])
+
+    parts = bounded_batches(rows).mapInArrow(partial, "i int, block int, width int, " + ", ".join(f"{n} double" for n in names))
+    sums = parts.groupBy("i", "block", "width").agg(*[F.sum(n).alias(n) for n in names]).collect()  # dimensions times directions
+    out = np.zeros((1 + max(r["i"] for r in sums), WIDTH * (1 + max(r["block"] for r in sums))))
+    for r in sums:
+        out[r["i"], r["block"] * WIDTH : (r["block"] + 1) * WIDTH] = r[3:]
+    return out[:, : sums[0]["width"]]
+
+
+def dimension_sums(fit: DataFrame, d: int) -> list[int]:
+    """The exact sum of each dimension over all rows: a row a dimension of each task, added up as decimals."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * d
+        for batch in batches:
+            x = _matrix(batch.column(0), d)
+            wide = len(x) and float(np.abs(x.astype(np.float64)).max()) * len(x) >= 2.0**62
+            total = [t + int(s) for t, s in zip(total, (x.astype(object) if wide else x).sum(axis=0), strict=True)]
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(d), pa.int32()), "s": pa.array([Decimal(t) for t in total], pa.decimal128(38, 0))})
 
-    parts = bounded_batches(rows).mapInArrow(partial, "i int, v array<double>")
-    sums = parts.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    rows_of = sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("v"))  # as many as directions
-    return {r["i"]: np.array(r["v"]) for r in rows_of.collect()}
+    parts = bounded_batches(fit).mapInArrow(partial, "i int, s decimal(38,0)")
+    return [int(r["s"]) for r in parts.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()]  # a row a dimension
 
 
 def covariance_times(fit: DataFrame, mean: np.ndarray, n: int, q: np.ndarray) -> tuple[np.ndarray, float]:
@@ -84,7 +111,7 @@ def covariance_times(fit: DataFrame, mean: np.ndarray, n: int, q: np.ndarray) ->
         return out
 
     sums = _summed(fit, make)
-    return np.array([sums[i] for i in range(d)]) / n, float(sums[d][0]) / n
+    return sums[:d] / n, float(sums[d, 0]) / n
 
 
 def leading_components(fit: DataFrame, mean: np.ndarray, n: int, components: int = COMPONENTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -120,7 +147,7 @@ def whitened_identity_error(fit: DataFrame, mean: np.ndarray, n: int, scaled: np
         return w.T @ w
 
     sums = _summed(fit, make)
-    return float(np.abs(np.array([sums[i] for i in range(k)]) / n - np.eye(k)).max())
+    return float(np.abs(sums / n - np.eye(k)).max())
 
 
 def _deviations(x: np.ndarray, n: int, sums: np.ndarray) -> list[int | None]:
@@ -152,8 +179,7 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS, vector: str = "e
         return embeddings.sparkSession.createDataFrame([], schema)
     d, n = length["d"], length["count"]
     fit = fit.where(F.size("x") == d)
-    by_dimension = fit.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s"))
-    exact = [int(r["s"]) for r in by_dimension.orderBy("i").collect()]  # as many as dimensions
+    exact = dimension_sums(fit, d)
     mean = np.array([s / n for s in exact])
     vectors, values, trace, _ = leading_components(fit, mean, n, components)
     there = values > d * np.finfo(float).eps * max(values[0], 0.0)
