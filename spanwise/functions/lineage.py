@@ -17,10 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if folder is None:
+        if sc.getCheckpointDir() is not None:  # set by the caller, who knows what the cluster shares
+            return sc.getCheckpointDir()
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -31,3 +32,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: written once, read as often as it is used, and kept if executors go."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more, on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

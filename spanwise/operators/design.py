@@ -81,8 +81,31 @@ def join_filled(rows: DataFrame, values: DataFrame, column: str, otherwise: floa
     return joined.join(F.broadcast(mean), how="left").withColumn(column, F.coalesce(column, "__mean", F.lit(otherwise))).drop("__mean")  # one row
 
 
-def hash_sample(df: DataFrame, n: int, keys: list[str], seed: int = 0) -> DataFrame:
+#: A hashed order is cut into so many equal cells, and a cell again, until one has few rows.
+CELLS, FEW, DEEPEST = 1 << 10, 10_000, 4
+
+
+def hash_sample(df: DataFrame, n: int, keys: list[str], seed: int = 0, few: int = FEW) -> DataFrame:
     """n rows without replacement (all, if there are no more): those with the least hash of their keys, so a rerun takes the
-    same. Only the n least of each partition are moved."""
+    same.
+
+    Hashes are counted by cells of their range, which says in which cell the n-th lies; rows of the cells below are taken
+    as they stand, wherever they are, and that cell is cut again until it has ``few`` rows. Only these are sorted.
+    """
     order = unit_hash(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]), seed)
-    return df.withColumn("__order", order).orderBy("__order", *keys).limit(n).drop("__order")
+    hashed = df.withColumn("__order", order)
+    cell = lambda depth: F.floor(F.col("__order") * float(CELLS**depth))  # noqa: E731  powers of two: no rounding
+    inside, need = hashed, n
+    for depth in range(1, DEEPEST + 1):
+        counts = sorted((r["cell"], r["count"]) for r in inside.groupBy(cell(depth).alias("cell")).count().collect())  # CELLS rows at most
+        for at, k in counts:
+            if need <= k:
+                break
+            need -= k
+        else:
+            return df  # no more than n rows
+        inside = hashed.where(cell(depth) == at)
+        if k <= few:
+            break
+    last = inside.orderBy("__order", *keys).limit(need)
+    return hashed.where(cell(depth) < at).unionByName(last).drop("__order")

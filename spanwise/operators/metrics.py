@@ -41,6 +41,44 @@ def month_auc(df: DataFrame, year: int, month: int, score: str = "score", label:
     return row["auc"]
 
 
+def month_report(df: DataFrame, score: str = "score", label: str = "target") -> DataFrame:
+    """month, n, n_positive, mean_score, auc of stored predictions, and a row "all"."""
+    months = F.explode(F.array(F.date_format("date", "yyyy-MM"), F.lit("all"))).alias("month")
+    rows = known_scores(df, score, label).drop("month").select("*", months)
+    counts = rows.groupBy("month").agg(F.sum(F.col(label).cast("long")).alias("n_positive"), F.avg(score).alias("mean_score"))
+    return roc_auc(rows, ("month",), score, label).join(counts, "month").select("month", "n", "n_positive", "mean_score", "auc")
+
+
+def analysis(rows: DataFrame, importance: DataFrame, top: int = 10) -> dict:
+    """What an analysis of scored rows (keys, target, score, peak) holds: summary, rates by group and month, profile by peak,
+    AUC by month, the most important features and the families' shares. Every part is an aggregation of a few rows."""
+    listed = lambda df: [{k: v if v is None or isinstance(v, (int, float)) else str(v) for k, v in r.asDict().items()} for r in df.collect()]
+    return {
+        "summary": listed(dataset_summary(rows))[0],
+        "groups": listed(group_rates(rows)),
+        "months": listed(monthly_rate(rows).orderBy("month")),
+        "profile": listed(concurrency_profile(rows).orderBy("concurrency")),
+        "auc": listed(month_report(rows).orderBy("month")),
+        "features": listed(top_features(importance, top)),
+        "families": listed(family_importance(importance)),
+    }
+
+
+def document_rows(document: dict) -> list[tuple[str, str, str]]:
+    """(section, name, value) for every number and text of such a document; a list's entries are named by their first field."""
+    told = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+    out = []
+    for section, value in document.items():
+        for entry in value if isinstance(value, list) else [value]:
+            lead = f"{entry[first]}." if isinstance(value, list) and (first := KEY_FIELDS.get(section)) else ""
+            out += [(section, f"{lead}{k}", told(v)) for k, v in entry.items() if k != KEY_FIELDS.get(section)]
+    return out
+
+
+#: Which field names an entry of a section.
+KEY_FIELDS = {"groups": "airport_group", "months": "month", "profile": "concurrency", "auc": "month", "features": "feature", "families": "family"}
+
+
 def dataset_summary(training: DataFrame) -> DataFrame:
     return training.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("airport_group").alias("n_groups"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.avg("target").alias("positive_rate"))
 

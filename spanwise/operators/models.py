@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanwise.functions.lineage import cut_lineage
+from spanwise.functions.lineage import cut_lineage, remove, shared_folder
 from spanwise.operators.encoding import month_of, temporal_folds
 from spanwise.operators.events import KEYS
 from spanwise.operators.metrics import roc_auc
@@ -33,10 +37,12 @@ def mlp(columns: list[str], hidden: tuple[int, ...] = (128, 64), max_iter: int =
     return _pipeline(columns, MultilayerPerceptronClassifier(labelCol="target", layers=[len(columns), *hidden, 2], maxIter=max_iter, seed=seed))
 
 
-def boosted(columns: list[str], max_iter: int = 60, depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42, weight: str | None = None) -> Pipeline:
-    """Gradient-boosted trees, standing in for the three boosting libraries; ``weight`` balances classes."""
-    trees = GBTClassifier(labelCol="target", featuresCol="raw", maxIter=max_iter, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), trees.setWeightCol(weight) if weight else trees])
+def boosted(columns: list[str], max_iter: int = 60, depth: int = 6, rate: float = 0.1, subsample: float = 0.8, seed: int = 42, weight: str | None = None, held: str | None = None, tolerance: float = 0.001) -> Pipeline:
+    """Gradient-boosted trees, standing in for the three boosting libraries; ``weight`` balances classes, rows marked by
+    ``held`` aren't learned but say when to stop: where a further tree lowers their loss by less than the tolerance."""
+    trees = GBTClassifier(labelCol="target", featuresCol="raw", maxIter=max_iter, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed, validationTol=tolerance)
+    trees = trees.setWeightCol(weight) if weight else trees
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), trees.setValidationIndicatorCol(held) if held else trees])
 
 
 def forest(columns: list[str], trees: int = 60, depth: int = 8, seed: int = 42) -> Pipeline:
@@ -54,33 +60,90 @@ def balanced_weights(df: DataFrame, name: str = "weight") -> DataFrame:
     return df.join(F.broadcast(counts), "target").join(F.broadcast(total), how="left").withColumn(name, F.col("__all") / (2 * F.col("__n"))).drop("__n", "__all")
 
 
+def with_held_month(rows: DataFrame, name: str = "held") -> DataFrame:
+    """Marks the rows of the last month, on which early stopping looks; of a single month's rows, a hashed tenth."""
+    ends = rows.agg(F.min(month_of()).alias("first"), F.max(month_of()).alias("last")).first()
+    if ends["first"] == ends["last"]:
+        return rows.withColumn(name, F.pmod(F.xxhash64(*KEYS), F.lit(10)) == 0)
+    return rows.withColumn(name, month_of() == ends["last"])
+
+
 def positive_score(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("score", vector_to_array("probability")[1])
 
 
-def cross_validate(df: DataFrame, estimator: Callable[[], Estimator], folds: int = 4, prepare: Callable[[DataFrame, DataFrame], DataFrame] | None = None, refit: bool = False) -> tuple[DataFrame, PipelineModel | None]:
-    """Out-of-fold scores (keys, target, score, fold), and a model of all rows where ``refit`` asks for it.
+def at_once(work: list[Callable[[], object]], threads: int) -> list:
+    """What each piece of work returns, in order, at most ``threads`` of them running at a time.
+
+    Jobs of a thread go to a scheduler pool of its own, so that with fair scheduling none waits for the others' stages;
+    the caller's job properties hold inside.
+    """
+    if threads <= 1 or len(work) <= 1:
+        return [w() for w in work]
+    session = SparkSession.active()
+    context = session.sparkContext
+
+    def run(i: int, w: Callable[[], object]) -> object:
+        context.setLocalProperty("spark.scheduler.pool", f"at-once-{i % threads}")
+        return w()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(run), i, w) for i, w in enumerate(work)]]
+
+
+@dataclass(frozen=True)
+class Fold:
+    """A month, the model of all earlier months, and the month's rows (keys, target, score, fold) scored by it."""
+
+    month: str
+    model: PipelineModel
+    scores: DataFrame
+
+
+Prepare = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def fit_folds(df: DataFrame, estimator: Callable[[], Estimator], folds: int = 4, prepare: Prepare | None = None, arrange: Callable[[DataFrame], DataFrame] | None = None, threads: int = 1) -> list[Fold]:
+    """Each of the last months with a model of all earlier ones, several fitted at once if ``threads`` says so.
 
-    Each of the last months is scored by a model of all earlier ones. ``prepare(train, rows)`` adds columns that depend
-    on the target, fitted on the training months alone.
+    ``prepare(train, rows)`` adds columns that depend on the target, fitted on the training months alone; ``arrange`` adds
+    what only fitting needs to the training rows (class weights, rows that are held for early stopping).
     """
     prepare = prepare or (lambda train, rows: rows)
-    scored = []
-    for month in temporal_folds(df, folds):
+    arrange = arrange or (lambda rows: rows)
+
+    def one(month: str) -> Fold:
         train, held = df.where(month_of() < month), df.where(month_of() == month)
-        model = estimator().fit(prepare(train, train))
-        scored.append(positive_score(model.transform(prepare(train, held))).select(*KEYS, "target", "score", F.lit(month).alias("fold")))
-    if not scored:
+        model = estimator().fit(arrange(prepare(train, train)))
+        return Fold(month, model, positive_score(model.transform(prepare(train, held))).select(*KEYS, "target", "score", F.lit(month).alias("fold")))
+
+    months = temporal_folds(df, folds)
+    if not months:
         raise ValueError("fewer than two months")
-    return reduce(DataFrame.unionByName, scored), estimator().fit(prepare(df, df)) if refit else None
+    return at_once([lambda m=m: one(m) for m in months], threads)
+
+
+def cross_validate(df: DataFrame, estimator: Callable[[], Estimator], folds: int = 4, prepare: Prepare | None = None, refit: bool = False, arrange: Callable[[DataFrame], DataFrame] | None = None, threads: int = 1) -> tuple[DataFrame, PipelineModel | None]:
+    """Out-of-fold scores (keys, target, score, fold), and a model of all rows where ``refit`` asks for it; see ``fit_folds``."""
+    scored = reduce(DataFrame.unionByName, [f.scores for f in fit_folds(df, estimator, folds, prepare, arrange, threads)])
+    whole = (prepare or (lambda train, rows: rows))(df, df) if refit else None
+    return scored, estimator().fit(arrange(whole) if arrange else whole) if refit else None
+
+
+def kept_trees(model: PipelineModel) -> int:
+    """How many trees a fitted ensemble has: fewer than its maximum where early stopping ended it."""
+    return model.stages[-1].getNumTrees
 
 
-def grid_search(df: DataFrame, make: Callable[..., Estimator], grid: list[dict], folds: int = 4) -> tuple[dict, float]:
-    """The parameters with the best overall out-of-fold AUC."""
-    best = max(((roc_auc(cross_validate(df, lambda p=p: make(**p), folds)[0]).first()["auc"], i) for i, p in enumerate(grid)), default=None)
-    if best is None:
+def grid_search(df: DataFrame, make: Callable[..., Estimator], grid: list[dict], folds: int = 4, threads: int = 1) -> tuple[dict, float]:
+    """The parameters with the best overall out-of-fold AUC; of equals the last. Parameter sets are fitted ``threads`` at a
+    time, and all of them are judged in one pass."""
+    if not grid:
         raise ValueError("the grid is empty")
-    return grid[best[1]], best[0]
+    df = cut_lineage(df)
+    scored = at_once([lambda i=i, p=p: cross_validate(df, lambda: make(**p), folds)[0].select("target", "score", F.lit(i).alias("i")) for i, p in enumerate(grid)], threads)
+    best = max(roc_auc(reduce(DataFrame.unionByName, scored), ("i",)).collect(), key=lambda r: (r["auc"], r["i"]))
+    return grid[best["i"]], best["auc"]
 
 
 def _joined_scores(parts: dict[str, DataFrame], target: bool) -> DataFrame:
@@ -125,15 +188,16 @@ def blend(first: DataFrame, second: DataFrame, steps: int = 20) -> tuple[float,
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], repeats: int = 3, seed: int = 0) -> DataFrame:
-    """feature, gain: the AUC lost when the column is shuffled, averaged over repeats.
+    """feature, gain, spread: the AUC lost when the column is shuffled, its mean and deviation over repeats, largest first.
 
-    Rows are numbered once in a hashed order. A shuffle gives row i the value of row (a i + b) mod n, with a and n
-    coprime, so all columns and repeats are one join of numbers, one scoring and one AUC by (column, repeat).
+    Rows are numbered once in a hashed order. A repeat's shuffle gives row i the values of row (a i + b) mod n, with a and n
+    coprime; one shuffle serves all columns, each of which is replaced by itself after the join. So rows meet once a repeat,
+    and all columns and repeats are one scoring and one AUC by (repeat, column).
     """
-    numbered = cut_lineage(running_sums(df.withColumn("__h", F.xxhash64(F.lit(seed), *KEYS)), [F.col("__h")], {"__i": F.lit(1)}).drop("__h"))
+    numbered = cut_lineage(running_sums(df.select("target", *columns, F.xxhash64(F.lit(seed), *KEYS).alias("__h")), [F.col("__h")], {"__i": F.lit(1)}).drop("__h"))
     n, rng = numbered.count(), random.Random(seed)
     shuffles = []
-    for k in range(len(columns) * repeats):
+    for k in range(repeats):
         a = rng.randrange(1, max(2, n))
         while math.gcd(a, n) != 1:
             a = a % n + 1
@@ -141,18 +205,47 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("decimal(38,0)").alias("a"), F.lit(b).alias("b")) for k, a, b in shuffles])).alias("__s")
     rows = numbered.select("*", each).withColumn("__j", F.pmod(F.col("__s.a") * F.col("__i") + F.col("__s.b"), F.lit(n)).cast("long"))
     other = numbered.select(F.col("__i").alias("__j"), *[F.col(c).alias(f"__{c}") for c in columns])
-    of = {c: range(i * repeats, (i + 1) * repeats) for i, c in enumerate(columns)}
-    met = rows.join(other, "__j")
-    shuffled = met.withColumns({c: F.when(F.col("__s.k").isin(list(ks)), F.col(f"__{c}")).otherwise(F.col(c)) for c, ks in of.items()}).withColumn("k", F.col("__s.k"))
+    variant = lambda i: F.struct(F.lit(i).alias("c"), *[F.col(f"__{c}" if i == j else c).alias(c) for j, c in enumerate(columns)])
+    met = rows.join(other, "__j").select("target", F.col("__s.k").alias("k"), F.explode(F.array(*[variant(i) for i in range(len(columns))])).alias("v"))
     base = roc_auc(positive_score(model.transform(df))).first()["auc"]
-    lost = {r["k"]: base - r["auc"] for r in roc_auc(positive_score(model.transform(shuffled.select("k", "target", *columns))), ("k",)).collect()}
-    return df.sparkSession.createDataFrame([(c, sum(lost[k] for k in ks) / repeats) for c, ks in of.items()], "feature string, gain double")
+    aucs = roc_auc(positive_score(model.transform(met.select("k", "target", "v.*"))), ("k", "c"))
+    lost = aucs.groupBy("c").agg(F.avg(F.lit(base) - F.col("auc")).alias("gain"), F.stddev_pop("auc").alias("spread"))
+    return lost.select(F.element_at(F.array(*map(F.lit, columns)), F.col("c") + 1).alias("feature"), "gain", "spread").orderBy(F.desc("gain"), "feature")
 
 
 def channel_ablation(score: Callable[[DataFrame], DataFrame], df: DataFrame, channels: list[str]) -> dict[str, float]:
     """The AUC lost when an array column is set to zeros, for each channel."""
+    return {c: lost for c, lost, _ in ablated(score, df, channels)}
+
+
+def ablated(score: Callable[[DataFrame], DataFrame], df: DataFrame, channels: list[str]) -> list[tuple[str, float, float]]:
+    """(channel, AUC lost, AUC without it) for each channel; the scorer may be any fitted model."""
     base = roc_auc(score(df)).first()["auc"]
-    return {c: base - roc_auc(score(df.withColumn(c, F.transform(c, lambda x: x * 0)))).first()["auc"] for c in channels}
+    left = [(c, roc_auc(score(df.withColumn(c, F.transform(c, lambda x: x * 0)))).first()["auc"]) for c in channels]
+    return [(c, base - auc, auc) for c, auc in left]
+
+
+def tree_nodes(model: PipelineModel, columns: list[str]) -> DataFrame:
+    """tree, node, feature, gain, n_rows, weighed: a row for each split of a fitted ensemble, from the file of its nodes.
+
+    ``weighed`` is the gain times the rows that it was reached by, as a share of the tree's sum.
+    """
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/nodes-{uuid.uuid4().hex}"
+    model.stages[-1].write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    reached = F.aggregate("impurityStats", F.lit(0.0), lambda s, x: s + x) if model.stages[-1].hasParam("numTrees") else F.col("rawCount").cast("double")
+    splits = nodes.where("leftChild >= 0").select(F.col("treeID").alias("tree"), F.col("id").alias("node"), F.element_at(F.array(*map(F.lit, columns)), F.col("split.featureIndex") + 1).alias("feature"), "gain", reached.alias("n_rows"))
+    out = cut_lineage(splits.withColumn("weighed", F.col("gain") * F.col("n_rows") / F.sum(F.col("gain") * F.col("n_rows")).over(Window.partitionBy("tree"))))  # a tree's nodes are few
+    remove(spark, path)
+    return out
+
+
+def split_importance(nodes: DataFrame) -> DataFrame:
+    """feature, gain (mean share over trees), total_gain, splits: how much, and how often, each feature splits."""
+    trees = nodes.agg(F.countDistinct("tree").alias("n_trees"))  # one row
+    found = nodes.groupBy("feature").agg(F.sum("weighed").alias("weighed"), F.sum("gain").alias("total_gain"), F.count(F.lit(1)).alias("splits"))
+    return found.join(F.broadcast(trees), how="left").select("feature", (F.col("weighed") / F.col("n_trees")).alias("gain"), "total_gain", "splits")
 
 
 def importance_table(model: PipelineModel, columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ out sixty counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +34,29 @@ def hour_pieces(intervals: DataFrame, keys: list[str], carried: tuple[str, ...]
     return pieces.select(*keys, *carried, "hour_number", "start_minute", first.alias("first"), last.alias("until"))
 
 
-def _runs(pieces: Column, points: Column, counts: dict[str, Column | None]) -> Column:
-    """The hour's stretches between neighbouring points (at, len) and how many pieces cover each, by name of a filter."""
+def _runs(pieces: Column, counts: dict[str, Callable[[Column], Column]]) -> Column:
+    """The hour's stretches of equal counts (at, len, and how many pieces cover each, by name of a filter): one sweep.
+
+    Each piece adds its number where it begins and takes it away where it ends. The changes are sorted by minute and passed
+    once; a stretch, of which an hour has sixty at most, is closed where the next change lies further on.
+    """
     none = F.lit(0).cast("long")
+    names = list(counts)
+    change = lambda at, n: F.struct(at.alias("at"), *[v.alias(name) for name, v in n.items()])
+    of = lambda x, sign: {name: F.when(test(x), x["n"] * sign).otherwise(none) for name, test in counts.items()}
+    begun = F.transform(pieces, lambda x: change(x["first"], of(x, 1)))
+    ended = F.transform(pieces, lambda x: change(x["until"], of(x, -1)))
+    last = F.array(change(F.lit(MINUTES), dict.fromkeys(names, none)))
+    changes = F.array_sort(F.concat(begun, ended, last))
+    kind = "array<struct<at:int,len:int," + ",".join(f"{name}:bigint" for name in names) + ">>"
+    start = F.struct(F.array().cast(kind).alias("runs"), F.lit(0).alias("at"), *[none.alias(name) for name in names])
 
-    def covering(p: Column, test) -> Column:
-        return F.aggregate(pieces, none, lambda n, x: n + F.when((x["first"] <= p) & (x["until"] > p) & test(x), x["n"]).otherwise(none))
+    def step(now: Column, x: Column) -> Column:
+        closed = F.array(F.struct(now["at"].alias("at"), (x["at"] - now["at"]).alias("len"), *[now[name].alias(name) for name in names]))
+        runs = F.when(x["at"] > now["at"], F.concat(now["runs"], closed)).otherwise(now["runs"])
+        return F.struct(runs.alias("runs"), x["at"].alias("at"), *[(now[name] + x[name]).alias(name) for name in names])
 
-    ahead = F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
-    starts = F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0)))
-    return F.zip_with(starts, ahead, lambda p, q: F.struct(p.alias("at"), (q - p).alias("len"), *[covering(p, test).alias(name) for name, test in counts.items()]))
+    return F.aggregate(changes, start, step)["runs"]
 
 
 def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_movement: bool = False) -> DataFrame:
@@ -53,8 +68,6 @@ def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_move
     # equal pieces become one with a count: that combines on the map side and bounds what an hour can collect
     alike = pieces.groupBy(*keys, "hour_number", *carried, "start_minute", "first", "until").agg(F.count(F.lit(1)).alias("n"))
     together = alike.groupBy(*keys, "hour_number").agg(F.collect_list(F.struct(*carried, "start_minute", "first", "until", "n")).alias("pieces"))
-    ends = F.array_union(F.array_union(F.col("pieces.first"), F.col("pieces.until")), F.array(F.lit(0), F.lit(MINUTES)))
-    placed = together.withColumn("points", F.array_sort(ends))
     counts = {"c": lambda x: F.lit(True)}
     added = {"start_minutes": F.array_distinct(F.col("pieces.start_minute")), "n": F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n"])}
     if by_movement:
@@ -62,7 +75,7 @@ def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_move
         counts |= {"dep": of("dep"), "arr": of("arr")}
         spent = lambda m: F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + F.when(x["movement"] == m, x["n"] * (x["until"] - x["first"])).otherwise(0))
         added |= {"dep_minutes": spent("dep"), "arr_minutes": spent("arr")}
-    return placed.withColumns({"runs": _runs(F.col("pieces"), F.col("points"), counts), **added}).drop("pieces", "points")
+    return together.withColumns({"runs": _runs(F.col("pieces"), counts), **added}).drop("pieces")
 
 
 def total_over(runs: Column, value) -> Column:

@@ -150,31 +150,58 @@ def quantile_of(cdf: Column, n: Column, u: Column) -> Column:
     return F.coalesce(F.get(F.filter(cdf, lambda x: x["upto"] > position), F.lit(0))["delay"], F.lit(0.0))
 
 
-def delay_ranks(distributions: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, position, delay: the sorted delays of those distributions whose key is among the keys, one row each."""
+#: Positions of a distribution are dealt to so many equal stretches, each of which keeps the steps that reach into it.
+STRETCHES = 32
+#: Bytes of the steps in use up to which they are broadcast to the draws; more are joined by shuffle.
+BROADCAST_STEPS = 32 << 20
+
+
+def stretch_of(position: Column, n: Column) -> Column:
+    return F.floor(position * F.lit(STRETCHES) / n).cast("int")
+
+
+def delay_steps(distributions: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, stretch, steps (upto, delay): of those distributions whose key is among the keys, the steps by stretch of positions.
+
+    A distribution has a step for each distinct delay, whatever the number of flights behind it, so a key has a few hundred
+    entries at most, and its stretches hold these and one more each.
+    """
     used = distributions.join(keys.select("key").distinct(), "key", "left_semi")
-    steps = used.select("key", F.explode(F.zip_with("cdf", F.concat(F.array(F.lit(0).cast("long")), F.col("cdf.upto")), lambda x, before: F.struct(x["delay"].alias("delay"), before.alias("first"), x["upto"].alias("upto")))).alias("s"))
-    steps = steps.where("s.delay is not null")  # the longer side of the zip ends in an empty step
-    return steps.select("key", F.explode(F.sequence(F.col("s.first"), F.col("s.upto") - 1)).alias("position"), "s.delay")
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("cdf.upto", F.lit(1), F.size("cdf") - 1))
+    each = used.select("key", "n", F.explode(F.zip_with("cdf", before, lambda x, first: F.struct(first.alias("first"), x["upto"].alias("upto"), x["delay"].alias("delay")))).alias("s"))
+    reached = F.sequence(stretch_of(F.col("s.first"), F.col("n")), stretch_of(F.col("s.upto") - 1, F.col("n")))
+    placed = each.select("key", F.explode(reached).alias("stretch"), F.struct("s.upto", "s.delay").alias("step"))
+    return placed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+
+
+def few_enough(steps: DataFrame) -> bool:
+    """Whether (checkpointed) steps are small enough to broadcast: their size is measured, 64 bytes a row and 16 a step."""
+    return (steps.agg(F.sum(64 + F.octet_length("key") + 16 * F.size("steps"))).first()[0] or 0) <= BROADCAST_STEPS
 
 
-def with_delay(rows: DataFrame, ranks: DataFrame, u: Column) -> DataFrame:
-    """Adds ``delay`` at position min(n - 1, floor(u n)) of the row's distribution (key, n): an equi-join, so rows never
-    carry a distribution; 0 without one."""
-    placed = rows.withColumn("position", F.least(F.col("n") - 1, F.floor(u * F.col("n"))).cast("long"))
-    return placed.join(ranks, ["key", "position"], "left").withColumn("delay", F.coalesce("delay", F.lit(0.0))).drop("position")
+def with_delay(rows: DataFrame, steps: DataFrame, u: Column, small: bool = False) -> DataFrame:
+    """Adds ``delay`` at position min(n - 1, floor(u n)) of the row's distribution (key, n): an equi-join with one row of
+    steps, among which the position is found; 0 without a distribution. ``small`` steps are broadcast, so draws stay where
+    they are."""
+    placed = rows.withColumn("__position", F.least(F.col("n") - 1, F.floor(u * F.col("n"))).cast("long"))
+    met = placed.withColumn("stretch", stretch_of(F.col("__position"), F.col("n"))).join(F.broadcast(steps) if small else steps, ["key", "stretch"], "left")
+    found = F.get(F.filter("steps", lambda x: x["upto"] > F.col("__position")), F.lit(0))["delay"]
+    return met.withColumn("delay", F.coalesce(found, F.lit(0.0))).drop("__position", "stretch", "steps")
 
 
 def fingerprint() -> dict:
     """What identifies the samplers in a cache note: change a value and cached simulations no longer match."""
-    return {"clip": [CLIP_LOW, CLIP_HIGH], "block_edges": list(BLOCK_EDGES), "congestion_edges": list(CONGESTION_EDGES), "alpha": ALPHA, "least": LEAST, "salts": SALTS, "version": 1}
+    return {"clip": [CLIP_LOW, CLIP_HIGH], "block_edges": list(BLOCK_EDGES), "congestion_edges": list(CONGESTION_EDGES), "alpha": ALPHA, "least": LEAST, "salts": SALTS, "version": 2}
 
 
 def cached_simulation(spark: SparkSession, path: str, config: dict, make) -> DataFrame:
-    """A simulation's result from its cache if the configuration and the samplers are the same, else made and cached."""
+    """A simulation's result from its cache if the configuration and the samplers are the same, else made and published.
+
+    The configuration must hold what identifies the inputs (``versions.table_note``).
+    """
     note = {**config, "samplers": fingerprint()}
     held = load_cached(spark, path, note)
     if held is None:
         write_cached(make(), path, note)
-        held = spark.read.parquet(path)
+        held = load_cached(spark, path, note)
     return held

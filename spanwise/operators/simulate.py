@@ -1,9 +1,10 @@
 """Monte Carlo over delays and cancellations: all simulations of a batch in one plan, with sim_id as one more key.
 
-History and schedule are read once each: their movements, the fitted ladders and the resolved sides of the schedule's
-flights are checkpointed, and every batch starts from these small tables. Flights are multiplied by simulations only
-after that. A batch then has one shuffle in which draws meet ranked delays, one in which equal pieces of an hour combine,
-one that brings them together by (sim, group, hour), and a small one over simulations. Batches bound what is in flight;
+History and schedule are read once each: the history's movements, the resolved sides of the schedule's flights and the
+steps of the delay distributions in use are checkpointed, and every batch starts from the last two. Flights are multiplied
+by simulations only after that. A batch then has no shuffle in which draws meet delays while the steps are small enough to
+broadcast, one in which equal pieces of an hour combine, one that brings them together by (sim, group, hour), and a small
+one over simulations. Batches bound what is in flight;
 between them only the mean and the sum of squared deviations of each metric and hour are kept, merged in the stable way,
 and the adaptive stop reads one number.
 """
@@ -28,7 +29,6 @@ METRICS = [f"sim_{m}" for m in (*OVERLAP_METRICS, "prob_any_overlap", *SEQUENCE_
 
 def with_cancel_rate(schedule: DataFrame, rates: DataFrame, global_rate: DataFrame) -> DataFrame:
     """Each flight with the rate of its departure where that has a group and a time, else of its arrival, else the global one."""
-    schedule = cut_lineage(schedule)
     counts = S.with_congestion(S.movements(schedule)).select("airport_group", "movement", "hour", "congestion_bucket").distinct()
     usable = S.usable_group(F.col("dep_airport_group")) & F.col("std").isNotNull()
     side = lambda m, t: F.struct(F.lit(m).alias("movement"), F.col(f"{m}_airport_group").alias("airport_group"), F.hour(t).alias("hour"))
@@ -42,19 +42,22 @@ def with_cancel_rate(schedule: DataFrame, rates: DataFrame, global_rate: DataFra
 
 def prepared_sides(schedule: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each side of each flight (flight_id, movement, airport_group, scheduled_time, cancellation rate, key and size of its
-    delay distribution), and the ranked delays of the distributions in use."""
+    delay distribution), and the steps of the distributions in use.
+
+    Three tables are written: the history's movements, which rates and distributions both come from, the schedule's sides
+    and the steps. What is read once or is small (rates, distributions, resolved contexts) is left to the plans that use it.
+    """
     past = cut_lineage(S.movements(history))
-    rates = cut_lineage(S.rates_of(past))
-    flights = with_cancel_rate(prepare_schedule(schedule), rates, S.global_rate_of(past))
-    sides = cut_lineage(S.with_congestion(cut_lineage(S.movements(flights))))
+    flights = with_cancel_rate(prepare_schedule(schedule), S.rates_of(past), S.global_rate_of(past))
+    sides = S.with_congestion(S.movements(flights))
     keys = ["airport_group", "movement", "service_type", "hour", "context"]
-    distributions = cut_lineage(S.distributions_of(S.delays_of(past)))
-    delays = cut_lineage(S.resolve_ladder(sides, S.DELAY_LEVELS, distributions.select("level", "key", "n")).select(*keys, "key", "n"))
-    ready = sides.join(delays, keys, "left").select("flight_id", "movement", "airport_group", "scheduled_time", "rate", "key", "n")
-    return cut_lineage(ready), cut_lineage(S.delay_ranks(distributions, delays))
+    distributions = S.distributions_of(S.delays_of(past))
+    delays = S.resolve_ladder(sides, S.DELAY_LEVELS, distributions.select("level", "key", "n")).select(*keys, "key", "n")
+    ready = cut_lineage(sides.join(delays, keys, "left").select("flight_id", "movement", "airport_group", "scheduled_time", "rate", "key", "n"))
+    return ready, cut_lineage(S.delay_steps(distributions, ready.where("key is not null")))
 
 
-def simulated_events(sides: DataFrame, ranks: DataFrame, n_simulations: int, first: int = 0, last: int | None = None, seed: int = 42, stratified: bool = True) -> DataFrame:
+def simulated_events(sides: DataFrame, steps: DataFrame, n_simulations: int, first: int = 0, last: int | None = None, seed: int = 42, stratified: bool = True, small: bool = False) -> DataFrame:
     """Events of simulations first..last-1 of n: sim_id, flight_id, movement, airport_group, base_time.
 
     Both sides of a flight share the draw that cancels it.
@@ -63,7 +66,7 @@ def simulated_events(sides: DataFrame, ranks: DataFrame, n_simulations: int, fir
     drawn = sides.select("*", sims).where(S.uniforms(n_simulations, "cancel", seed, stratified) >= F.col("rate"))
     u = F.when(F.col("movement") == "dep", S.uniforms(n_simulations, "dep", seed + 1, stratified)).otherwise(S.uniforms(n_simulations, "arr", seed + 2, stratified))
     late = F.make_dt_interval(secs=(F.col("delay") * 60).cast("decimal(18,6)"))
-    return S.with_delay(drawn, ranks, u).select("sim_id", "flight_id", "movement", "airport_group", (F.col("scheduled_time") + late).cast("timestamp_ntz").alias("base_time"))
+    return S.with_delay(drawn, steps, u, small).select("sim_id", "flight_id", "movement", "airport_group", (F.col("scheduled_time") + late).cast("timestamp_ntz").alias("base_time"))
 
 
 def metrics_per_simulation(events: DataFrame) -> DataFrame:
@@ -124,25 +127,25 @@ def largest_error(moments: DataFrame, n: int) -> float:
     return moments.agg(F.max(error)).first()[0] or 0.0
 
 
-def run_monte_carlo(base: DataFrame, schedule: DataFrame, history: DataFrame, n_simulations: int = 200, seed: int = 42, min_simulations: int | None = None, max_error: float = 0.003, adaptive: bool = True, stratified: bool = True, batch: int = 20) -> DataFrame:
+def run_monte_carlo(base: DataFrame, schedule: DataFrame, history: DataFrame, n_simulations: int = 200, seed: int = 42, min_simulations: int = 80, max_error: float = 0.003, adaptive: bool = True, stratified: bool = True, batch: int = 20) -> DataFrame:
     """The summary over up to n simulations; with ``adaptive`` it stops after the batch in which every hour's standard
     error is small enough. Batches run in order of sim_id, so the result doesn't depend on timing.
 
-    The stop is first asked for once ``min_simulations`` have run: 80 unless given, and never more than n.
+    The stop is first asked for once ``min_simulations`` have run, the smaller of that number and n.
     """
     if n_simulations <= 0:
         raise ValueError("n_simulations must be positive")
     if schedule.isEmpty():
         return base.select(*KEYS).withColumn("simulations_used", F.lit(0))
-    sides, ranks = prepared_sides(schedule, history)
+    sides, steps = prepared_sides(schedule, history)
+    small = S.few_enough(steps)
 
     def moments(start: int, stop: int) -> DataFrame:
-        return batch_moments(metrics_per_simulation(simulated_events(sides, ranks, n_simulations, start, stop, seed, stratified)), stop - start)
+        return batch_moments(metrics_per_simulation(simulated_events(sides, steps, n_simulations, start, stop, seed, stratified, small)), stop - start)
 
     if not adaptive:
         return summary_of(base, moments(0, n_simulations), n_simulations)
-    least = n_simulations if n_simulations < (min_simulations or 80) else (min_simulations or 80)
-    done = max(1, min(n_simulations, max(batch, least)))
+    done = max(1, min(n_simulations, max(batch, min(n_simulations, min_simulations))))
     total = cut_lineage(moments(0, done))
     while done < n_simulations and (done == 1 or largest_error(total, done) > max_error):
         upto = min(n_simulations, done + batch)

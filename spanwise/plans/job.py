@@ -19,6 +19,7 @@ from spanwise.operators.bundle import TargetBundle, with_target_features
 from spanwise.operators.metrics import monthly_auc, roc_auc
 from spanwise.operators.sampling import cached_simulation
 from spanwise.sources import readers, sinks
+from spanwise.sources.versions import table_note
 
 KEYS = E.KEYS
 SIMULATED = "sim_prob_any_overlap"
@@ -66,7 +67,8 @@ def static_features(grid: DataFrame, events: DataFrame, inputs: Inputs) -> DataF
 
 
 def _simulated(spark: SparkSession, out: str, name: str, grid: DataFrame, schedule: DataFrame, history: DataFrame, s: Settings) -> DataFrame:
-    config = {k: v for k, v in asdict(s).items() if k not in ("models", "folds")} | {"part": name}
+    inputs = {"grid": grid, "schedule": schedule, "history": history}
+    config = {k: v for k, v in asdict(s).items() if k not in ("models", "folds")} | {"part": name, "inputs": {k: table_note(df) for k, df in inputs.items()}}
     run = lambda: MC.run_monte_carlo(grid, schedule, history, s.simulations, s.seed, s.min_simulations, s.max_error)
     return D.join_filled(grid, cached_simulation(spark, f"{out}/simulated/{name}", config, run), SIMULATED)
 

@@ -254,8 +254,8 @@ _cdf = ", ".join(r(f"ordered[cast(least(n - 1, floor({u} * n)) AS integer) + 1]"
 SQL: dict[str, str] = {
     "event_unpivot_scheduled": with_("flights") + " UNION ALL ".join(EVENT.format(m=m, s=s, a=a, b=s) for m, s, a in (("dep", "std", "atd"), ("arr", "sta", "ata"))),
     "event_unpivot_actual": with_("flights") + " UNION ALL ".join(EVENT.format(m=m, s=s, a=a, b=f"coalesce({a}, {s})") for m, s, a in (("dep", "std", "atd"), ("arr", "sta", "ata"))),
-    "base_hour_grid": with_("grid", "easters") + f"""SELECT airport_group, date, hour, interval_start, interval_start + INTERVAL 1 hour AS interval_end, cast(isodow(date) - 1 AS integer) AS dayofweek, cast(month(date) AS integer) AS month,
-        {wave('hour', 24, 'hour')}, {wave('(isodow(date) - 1)', 7, 'dow')}, {wave('month(date)', 12, 'month')}, {CALENDAR}, {SEASON.format('date')} AS season FROM grid AS days""",
+    "base_hour_grid": with_("days", "easters") + f"""SELECT airport_group, date, hour, interval_start, interval_start + INTERVAL 1 hour AS interval_end, cast(isodow(date) - 1 AS integer) AS dayofweek, cast(month(date) AS integer) AS month,
+        {wave('hour', 24, 'hour')}, {wave('(isodow(date) - 1)', 7, 'dow')}, {wave('month(date)', 12, 'month')}, {CALENDAR}, {SEASON.format('date')} AS season FROM (SELECT *, date + to_hours(hour) AS interval_start FROM days) AS days""",
     "operational_windows": with_("movements_w") + f"SELECT flight_id, airport_group, movement, window_start, window_end, {minute('window_start')} AS start_minute, {minute('window_end')} AS end_minute FROM movements_w",
     "july_flights": with_("flights") + "SELECT dep_airport_group, count(*) AS n_flights, min(std) AS first_std, max(sta) AS last_sta FROM flights WHERE std BETWEEN TIMESTAMP '1997-07-01' AND TIMESTAMP '1997-07-31 23:59:59' OR sta BETWEEN TIMESTAMP '1997-07-01' AND TIMESTAMP '1997-07-31 23:59:59' GROUP BY ALL",
     "prepared_schedule": with_("flights") + "SELECT coalesce(service_type, 'unknown') AS service_type, count(*) AS n_flights, cast(sum(cancelled) AS bigint) AS n_cancelled FROM flights GROUP BY 1",
@@ -267,8 +267,8 @@ SQL: dict[str, str] = {
     "schedule_hourly_counts": with_("hourly") + f"SELECT airport_group, date, hour, {_schedule} FROM hourly",
     "schedule_range_counts": with_("ranges") + f"SELECT airport_group, date, hour, {_ranged} FROM ranges",
     "calendar_features": with_("days", "easters") + f"SELECT date, {CALENDAR} FROM (SELECT DISTINCT date FROM days) AS days",
-    "easter_dates": with_("easters") + "SELECT cast(year AS integer) AS year, cast(easter AS date) AS easter FROM easters",
-    "public_holidays_generated": with_("easters") + f"SELECT date FROM (SELECT cast(unnest(range(TIMESTAMP '1995-01-01', TIMESTAMP '2002-01-01', INTERVAL 1 day)) AS date) AS date) AS days WHERE {HOLIDAY}",
+    "easter_dates": with_("easters") + "SELECT cast(year AS integer) AS year, cast(easter AS date) AS easter FROM easters WHERE year IN (SELECT year(o_orderdate) FROM orders)",
+    "public_holidays_generated": with_("easters") + f"SELECT date FROM (SELECT cast(unnest(range(a, b, INTERVAL 1 day)) AS date) AS date FROM (SELECT make_timestamp(min(year(o_orderdate)), 1, 1, 0, 0, 0) AS a, make_timestamp(max(year(o_orderdate)) + 1, 1, 1, 0, 0, 0) AS b FROM orders)) AS days WHERE {HOLIDAY}",
     "season_map": with_("days") + f"SELECT {SEASON.format('date')} AS season, count(*) AS n_rows, cast(sum(target) AS bigint) AS n_positive FROM days GROUP BY 1",
     "time_features": with_("days") + f"SELECT date, cast(isodow(date) - 1 AS integer) AS dayofweek, cast(month(date) AS integer) AS month, cast(week(date) AS integer) AS weekofyear, cast(day(date) = 1 AS integer) AS is_month_start, cast(last_day(date) = date AS integer) AS is_month_end, {wave('month(date)', 12, 'month')}, {wave('(isodow(date) - 1)', 7, 'dow')} FROM (SELECT DISTINCT date FROM days)",
     "airport_time_buckets": with_("days") + f"SELECT *, {_hour_bucket} AS airport_hour_bucket, {_day_bucket} AS airport_dow_bucket FROM days",
@@ -337,17 +337,17 @@ SQL: dict[str, str] = {
     "source_training": with_("days") + f"SELECT airport_group, date, hour, target, {SEASON.format('date')} AS feat_season, CASE WHEN hour % 5 <> 0 THEN hour END AS feat_sched_concurrence, cast(NULL AS integer) AS feat_sched_flights_cnt FROM days WHERE date >= DATE '1997-01-01'",
     "source_flights": with_("flights") + "SELECT flight_id, cast(NULL AS varchar) AS dep_airport, dep_airport_group, cast(NULL AS varchar) AS arr_airport, nullif(arr_airport_group, 'NA') AS arr_airport_group, service_type, cancelled, std, sta, atd, ata FROM flights",
     "source_schedule": with_("flights") + "SELECT flight_id, cast(NULL AS varchar) AS dep_airport, dep_airport_group, cast(NULL AS varchar) AS arr_airport, nullif(arr_airport_group, 'NA') AS arr_airport_group, service_type, std, sta FROM flights",
-    "source_inference": with_("grid") + f"SELECT airport_group, date, hour, {SEASON.format('date')} AS feat_season, cast(NULL AS integer) AS feat_sched_concurrence, cast(NULL AS integer) AS feat_sched_flights_cnt FROM grid",
-    "source_template": with_("grid") + "SELECT airport_group, date, hour, CASE WHEN hour <> 3 THEN hour / 32.0::double END AS pred FROM grid",
+    "source_inference": with_("days") + f"SELECT airport_group, date, hour, {SEASON.format('date')} AS feat_season, cast(NULL AS integer) AS feat_sched_concurrence, cast(NULL AS integer) AS feat_sched_flights_cnt FROM days",
+    "source_template": with_("days") + "SELECT airport_group, date, hour, CASE WHEN hour <> 3 THEN hour / 32.0::double END AS pred FROM days",
     "source_groups": f"SELECT {letter('n_nationkey')} AS airport_group, n_name AS airport FROM nation",
     "source_airports": with_("airports") + "SELECT ident, iata_code, cast(NULL AS varchar) AS name, latitude, longitude, elevation FROM airports",
     "source_weather": with_("weather") + f"SELECT airport_group, cast(date_trunc('second', forecast_time) AS date) AS date, hour, count(*) AS n_rows, {r('avg(air_temperature)', 'mean_temperature')}, max(symbol_code_1h) AS last_symbol FROM weather GROUP BY ALL",
     "source_observations": f"SELECT 'AP' || (user_id % 21) AS airport, {letter('user_id')} AS airport_group, date_trunc('hour', ts) AS forecast_time, " + ", ".join(f"max(value) FILTER (event_type = '{x}') AS {x}" for x in ("click", "view", "purchase")) + " FROM events WHERE event_type <> 'error' GROUP BY ALL",
-    "source_public_holidays": with_("easters") + f"SELECT date, CASE WHEN month(date) <> 5 THEN strftime(date, 'day %m-%d') END AS name, day(date) % 2 = 0 AS is_public_holiday FROM (SELECT cast(unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 day)) AS date) AS date) AS days WHERE {HOLIDAY}",
+    "source_public_holidays": with_("easters", "days") + f"SELECT date, CASE WHEN month(date) <> 5 THEN strftime(date, 'day %m-%d') END AS name, day(date) % 2 = 0 AS is_public_holiday FROM (SELECT DISTINCT date FROM days) AS days WHERE {HOLIDAY}",
     "source_school_holidays": with_("days") + "SELECT DISTINCT airport_group, date, 'a' AS name, cast(1 AS integer) AS is_school_holiday FROM days WHERE week(date) IN (8, 40)",
-    "sink_predictions": with_("grid") + "SELECT airport_group, strftime(date, '%Y-%m-%d') AS date, cast(hour AS varchar) AS hour, printf('%.3f', cast((hour * 41 + day(date) * 7) % 997 AS double) / 997) AS pred FROM grid",
+    "sink_predictions": with_("days") + "SELECT airport_group, strftime(date, '%Y-%m-%d') AS date, cast(hour AS varchar) AS hour, printf('%.3f', cast((hour * 41 + day(date) * 7) % 997 AS double) / 997) AS pred, row_number() OVER (ORDER BY days.date, days.hour, airport_group) - 1 AS position FROM days",
     "sink_keyed": with_("days") + "SELECT airport_group, date, hour, target FROM days WHERE strftime(date, '%Y-%m') = '1997-07'",
-    "sink_manifest": "SELECT cast(i AS integer) AS position, ['airport_group', 'date', 'hour', 'target'][i + 1] AS name FROM range(4) t(i)",
+    "sink_manifest": with_("days") + "SELECT hour AS first, target AS second, date AS third, airport_group AS fourth FROM days",
     "split_target": with_("days") + "SELECT airport_group, date, hour, target, cast(month(date) AS integer) AS month FROM days",
     "ensure_columns": with_("days") + "SELECT *, cast(0 AS double) AS extra FROM days",
     "standardised": with_("days") + f"SELECT airport_group, date, hour, {r('(target - avg(target) OVER ()) / stddev_pop(target) OVER ()', 'target')}, cast(0 AS double) AS one FROM days",

@@ -25,6 +25,7 @@ from spanwise.operators import sampling as S
 from spanwise.operators import schedule as P
 from spanwise.operators import simulate as MC
 from spanwise.operators import weather as W
+from spanwise.operators.prefix import running_sums
 from spanwise.sources import adapters as A
 from spanwise.sources import readers as load
 from spanwise.sources import sinks
@@ -72,7 +73,7 @@ def event_unpivot_actual(spark, d):
 
 @query
 def base_hour_grid(spark, d):
-    return rounded(base(spark))
+    return rounded(E.build_base_index(A.daily_target(spark, d).select(*KEYS)))
 
 
 @query
@@ -152,12 +153,16 @@ def calendar_features(spark, d):
 
 @query
 def easter_dates(spark, d):
-    return spark.range(1900, 2100).select(F.col("id").cast("int").alias("year"), C.easter(F.col("id")).alias("easter"))
+    """Easter of every year that orders come from."""
+    years = A.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return years.select("year", C.easter(F.col("year")).alias("easter"))
 
 
 @query
 def public_holidays_generated(spark, d):
-    return generated_holidays(spark, 1995, 2001)
+    """Every public holiday of the years that orders come from."""
+    ends = A.table(spark, d, "orders").agg(F.min(F.year("o_orderdate")).alias("first"), F.max(F.year("o_orderdate")).alias("last")).first()
+    return generated_holidays(spark, ends["first"], ends["last"])
 
 
 @query
@@ -463,8 +468,8 @@ def cancel_ladder(spark, d):
 @query
 def delay_quantile_lookup(spark, d):
     history, schedule = _split(spark, d)
-    sides, ranks = MC.prepared_sides(schedule, history)
-    drawn = S.with_delay(sides, ranks, unit_hash(F.col("flight_id"), 5))
+    sides, steps = MC.prepared_sides(schedule, history)
+    drawn = S.with_delay(sides, steps, unit_hash(F.col("flight_id"), 5))
     return rounded(drawn.select("flight_id", "movement", "airport_group", "scheduled_time", F.col("n").alias("n_history"), "delay"))
 
 
@@ -597,7 +602,7 @@ def tuned_forest(spark, d):
     days = cut_lineage(A.daily_target(spark, d))
     days = cut_lineage(_prepare(days, days))
     grid = [{"trees": n, "depth": k} for n in (5, 10) for k in (3, 5)]
-    best, auc = ML.grid_search(days, lambda trees, depth: ML.forest(FEATURES, trees, depth), grid, 2)
+    best, auc = ML.grid_search(days, lambda trees, depth: ML.forest(FEATURES, trees, depth), grid, 2, threads=4)
     return spark.createDataFrame([(best["trees"], best["depth"], round(auc, 4))], "trees int, depth int, auc double")
 
 
@@ -642,13 +647,13 @@ def source_schedule(spark, d):
 
 @query
 def source_inference(spark, d):
-    rows = A.grid(spark).select("hour", "date", F.col("airport_group"), C.season(F.month("date")).alias("feat_season"))
+    rows = A.daily_target(spark, d).select("hour", "date", F.col("airport_group"), C.season(F.month("date")).alias("feat_season"))
     return load.load_inference(spark, _as_csv(rows, "inference"))
 
 
 @query
 def source_template(spark, d):
-    rows = A.grid(spark).withColumn("pred", F.when(F.col("hour") != 3, F.col("hour") / 32))
+    rows = A.daily_target(spark, d).withColumn("pred", F.when(F.col("hour") != 3, F.col("hour") / 32))
     return load.load_template(spark, _as_csv(rows, "template"))
 
 
@@ -681,7 +686,7 @@ def source_observations(spark, d):
 
 @query
 def source_public_holidays(spark, d):
-    days = generated_holidays(spark, 1995, 2001)
+    days = A.daily_target(spark, d).select("date").distinct().where(C.is_public_holiday(F.col("date")))
     rows = days.select("date", F.when(F.month("date") != 5, F.date_format("date", "'day 'MM-dd")).alias("name"), (F.dayofmonth("date") % 2 == 0).alias("is_public_holiday"))
     return load.load_public_holidays(spark, _as_csv(rows, "holidays"))
 
@@ -703,9 +708,13 @@ def cached_result(spark, d):
 
 @query
 def sink_predictions(spark, d):
+    """Predictions as they stand in the files: the position of each row in the files' order by name."""
     path = _place(spark, "predictions")
-    sinks.write_predictions(A.grid(spark).withColumn("pred", (F.col("hour") * 41 + F.dayofmonth("date") * 7) % 997 / 997), path)
-    return spark.read.option("header", True).csv(path)
+    days = A.daily_target(spark, d).drop("target").withColumn("pred", (F.col("hour") * 41 + F.dayofmonth("date") * 7) % 997 / 997)
+    sinks.write_predictions(days.repartition(5, "hour"), path)
+    lines = spark.read.option("header", True).csv(path).withColumns({"__file": F.input_file_name(), "__line": F.monotonically_increasing_id()})
+    placed = running_sums(lines, [F.col("__file"), F.col("__line")], {"position": F.lit(1)})
+    return placed.drop("__file", "__line")
 
 
 @query
@@ -718,8 +727,9 @@ def sink_keyed(spark, d):
 @query
 def sink_manifest(spark, d):
     path = _place(spark, "columns")
-    sinks.write_columns(spark, A.daily_target(spark, d).columns, path)
-    return spark.createDataFrame(list(enumerate(sinks.read_columns(spark, path))), "position int, name string")
+    days = A.daily_target(spark, d)
+    sinks.write_columns(spark, ["hour", "target", "date", "airport_group"], path)
+    return days.select(*sinks.read_columns(spark, path)).toDF("first", "second", "third", "fourth")
 
 
 # --- frames of columns
@@ -733,7 +743,7 @@ def split_target(spark, d):
 
 @query
 def drop_prefixed(spark, d):
-    return rounded(D.drop_prefixed(base(spark), "is_"))
+    return rounded(D.drop_prefixed(E.build_base_index(A.daily_target(spark, d).select(*KEYS)), "is_"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.calendar import is_public_holiday
 from spanwise.operators import weather as W
+from spanwise.sources import versions
 
 FLIGHTS = "flight_id string, dep_airport string, dep_airport_group string, arr_airport string, arr_airport_group string, service_type string, cancelled int, std timestamp_ntz, sta timestamp_ntz, atd timestamp_ntz, ata timestamp_ntz"
 SCHEDULE = "flight_id string, dep_airport string, dep_airport_group string, arr_airport string, arr_airport_group string, service_type string, std timestamp_ntz, sta timestamp_ntz"
@@ -112,13 +112,5 @@ def load_observations(spark: SparkSession, path: str, elements: list[str]) -> Da
 
 
 def load_cached(spark: SparkSession, path: str, config: dict) -> DataFrame | None:
-    """A cached result if its configuration is the same, else None; a broken or missing note is a miss."""
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    note = files.Path(f"{path}.meta")
-    if not note.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(note):
-        return None
-    try:
-        held = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}.meta").collect()))
-    except ValueError:
-        return None
-    return spark.read.parquet(path) if held == json.loads(json.dumps(config)) else None
+    """The published result if it was made under the same configuration, else None."""
+    return versions.current(spark, path, config)

@@ -7,15 +7,19 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanwise.sources import versions
+
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """CSV with header, date as yyyy-MM-dd, the prediction with three decimals, ordered by date, hour and group.
 
-    A submission has one row for each hour and group, so one file is enough.
+    Rows are dealt to sampled ranges of the order and sorted within; files in order of their names are the whole order.
+    Small results make one file, since adaptive execution joins small neighbouring ranges.
     """
-    rows = predictions.orderBy("date", "hour", "airport_group")
+    order = ["date", "hour", "airport_group"]
+    rows = predictions.repartitionByRange(*order).sortWithinPartitions(*order)
     text = rows.select("airport_group", F.date_format("date", "yyyy-MM-dd").alias("date"), "hour", F.format_string("%.3f", F.col("pred").cast("double")).alias("pred"))
-    text.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    text.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -37,9 +41,8 @@ def read_columns(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_cached(df: DataFrame, path: str, config: dict) -> None:
-    """A result and beside it the configuration that it was made with; the note is written last."""
-    df.write.mode("overwrite").parquet(path)
-    write_json(df.sparkSession, config, f"{path}.meta")
+    """A result and the configuration that it was made with, as a new version that takes the old one's place when whole."""
+    versions.publish(df, path, config)
 
 
 def write_keyed(df: DataFrame, path: str) -> None:

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date, timedelta
 
 import pytest
@@ -181,3 +182,12 @@ def test_nearest_station_against_all_pairs(spark):
 
     got = W.nearest_station(spark.createDataFrame(airports, "airport string, latitude double, longitude double"), spark.createDataFrame(stations, "station string, station_latitude double, station_longitude double"))
     assert {r["airport"]: round(r["distance_km"], 6) for r in got.collect()} == {n: round(min(km(a, b, c, d) for _, c, d in stations), 6) for n, a, b in airports}
+
+
+def test_hashed_sample_cuts_cells_until_few_rows_are_sorted(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k")).union(spark.createDataFrame([("same",)] * 40, "k string"))
+    digest = lambda k: int(hashlib.md5(f"{k}|0".encode()).hexdigest()[:8], 16)
+    order = sorted([str(i) for i in range(3000)] + ["same"] * 40, key=lambda k: (digest(k), k))
+    for n, few in ((1, 1), (700, 1), (700, 10_000), (order.index("same") + 17, 5), (3040, 10)):
+        assert sorted(r["k"] for r in D.hash_sample(df, n, ["k"], few=few).collect()) == sorted(order[:n])
+    assert D.hash_sample(df, 9999, ["k"]).count() == 3040 and D.hash_sample(df, 0, ["k"]).count() == 0 and D.hash_sample(df.limit(0), 3, ["k"]).count() == 0

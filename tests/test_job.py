@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanwise.operators import models as ML
 from spanwise.operators.bundle import TargetBundle, with_target_features
 from spanwise.plans import job
-from spanwise.sources import sinks
+from spanwise.sources import sinks, versions
 
 FIRST, DAYS, GROUPS = date(2024, 3, 20), 60, ("X", "Y")
 
@@ -58,7 +58,7 @@ def test_job_from_files_to_predictions(spark, tmp_path):
     columns = sinks.read_columns(spark, f"{out}/columns")
     assert job.SIMULATED in columns and "hist_rate_group_hour" in columns and "target" not in columns
     assert spark.read.parquet(f"{out}/scores/forest").where("month = '2024-05'").count() == 2 * 24 * 18
-    assert spark.read.parquet(f"{out}/simulated/future").count() == 2 * 24 * 3
+    assert versions.current(spark, f"{out}/simulated/future").count() == 2 * 24 * 3
 
 
 def test_logistic_job(spark, tmp_path):

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -49,8 +50,8 @@ def test_bad_and_empty_input(spark):
 
 def test_the_same_draws_give_the_same_events(spark):
     f = flights(spark)
-    sides, ranks = MC.prepared_sides(f, f)
-    one, two = (sorted(map(str, MC.simulated_events(s, ranks, 8).collect())) for s in (sides, sides.repartition(5)))
+    sides, steps = MC.prepared_sides(f, f)
+    one, two = (sorted(map(str, MC.simulated_events(s, steps, 8, small=small).collect())) for s, small in ((sides, False), (sides.repartition(5), True)))
     assert one == two and len(one) > 0
 
 
@@ -91,3 +92,21 @@ def test_cancel_rate_ladder(spark):
     unknown = f.where("flight_id = 'FL000'").withColumn("dep_airport_group", F.lit("NA")).withColumn("arr_airport_group", F.lit(None).cast("string"))
     one = MC.with_cancel_rate(E.prepare_schedule(unknown), S.cancel_rates(f), S.global_cancel_rate(f)).first()
     assert abs(one["rate"] - 2 / 12) < 1e-9  # no usable side: the share of cancelled movements
+
+
+def test_delays_by_steps_are_those_of_the_sorted_list(spark):
+    rng = random.Random(5)
+    lists = {f"k{n}": sorted(float(rng.randrange(-60, 181, 1 if n % 2 else 40)) for _ in range(n)) for n in (1, 2, 31, 32, 33, 700)}
+    cdfs = [(1, k, len(v), [(d, sum(x <= d for x in v)) for d in sorted(set(v))]) for k, v in lists.items()]
+    fitted = spark.createDataFrame(cdfs, "level int, key string, n long, cdf array<struct<delay:double,upto:bigint>>")
+    draws = [(k, len(v), u) for k, v in lists.items() for u in (0.0, 0.1, 0.25, 0.499, 0.5, 0.9, 0.999999, *(i / len(v) for i in range(0, len(v), 7)))] + [(None, None, 0.5), ("k0", 9, 0.5)]
+    rows = spark.createDataFrame(draws, "key string, n long, u double")
+    steps = S.delay_steps(fitted, rows)
+    assert S.few_enough(steps)
+    for small in (False, True):
+        got = S.with_delay(rows, steps, F.col("u"), small).collect()
+        assert len(got) == len(draws)
+        for r in got:
+            v = lists.get(r["key"])
+            assert r["delay"] == (v[min(len(v) - 1, int(r["u"] * len(v)))] if v else 0.0)
+    assert S.delay_steps(fitted, rows).groupBy("key").count().agg(F.max("count")).first()[0] <= S.STRETCHES

@@ -1,8 +1,9 @@
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanwise.sources import readers, sinks
+from spanwise.sources import readers, sinks, versions
 from spanwise.streaming import hourly
 
 
@@ -107,3 +108,49 @@ def test_observation_chunks():
     chunks = readers.date_chunks(date(2024, 1, 1), date(2024, 12, 31), 120)
     assert chunks == [(date(2024, 1, 1), date(2024, 4, 29)), (date(2024, 4, 30), date(2024, 8, 27)), (date(2024, 8, 28), date(2024, 12, 25)), (date(2024, 12, 26), date(2024, 12, 31))]
     assert readers.date_chunks(date(2024, 1, 2), date(2024, 1, 1), 120) == []
+
+
+def test_a_writer_that_dies_leaves_the_old_version(spark, tmp_path):
+    path, note = str(tmp_path / "v"), {"n": 1}
+    sinks.write_cached(spark.range(3), path, note)
+    boom = F.udf(lambda x: 1 // 0, "long")
+    with pytest.raises(Exception):
+        sinks.write_cached(spark.range(5).select(boom("id").alias("id")), path, {"n": 2})
+    assert readers.load_cached(spark, path, note).count() == 3 and readers.load_cached(spark, path, {"n": 2}) is None
+    kept, point = versions._point, lambda *a: (_ for _ in ()).throw(RuntimeError("died between data and pointer"))
+    versions._point = point
+    try:
+        with pytest.raises(RuntimeError):
+            sinks.write_cached(spark.range(5), path, {"n": 2})
+    finally:
+        versions._point = kept
+    assert readers.load_cached(spark, path, note).count() == 3 and readers.load_cached(spark, path, {"n": 2}) is None
+    sinks.write_cached(spark.range(7), path, {"n": 2})
+    assert readers.load_cached(spark, path, {"n": 2}).count() == 7 and readers.load_cached(spark, path, note) is None
+    sinks.write_cached(spark.range(8), path, {"n": 3})
+    assert len(list((tmp_path / "v").glob("version-*"))) == 2  # the current one and the one before
+    (tmp_path / "v" / f".{versions.POINTER}.crc").unlink()
+    (tmp_path / "v" / versions.POINTER).write_text("{broken")
+    assert versions.current(spark, path) is None
+
+
+def test_notes_tell_other_inputs(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (1, "a")], "i int, s string")
+    assert versions.table_note(df) == versions.table_note(df.repartition(3).orderBy("s"))
+    for other in (df.where("i = 1"), df.withColumn("s", F.lit("a")), df.distinct(), df.withColumnRenamed("s", "t")):
+        assert versions.table_note(other) != versions.table_note(df)
+    assert versions.table_note(df.limit(0))["rows"] == 0
+
+
+def test_prediction_files_are_in_order(spark, tmp_path):
+    rows = [(g, date(2024, 1, 1) + timedelta(days=i % 40), i % 24, 0.5) for i in range(960) for g in "AB"]
+    df = spark.createDataFrame(rows, "airport_group string, date date, hour int, pred double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_predictions(df, str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "p").glob("part-*.csv"))
+    lines = [line.split(",") for f in files for line in f.read_text().splitlines()[1:]]
+    got = [(d, int(h), g) for g, d, h, _ in lines]
+    assert len(files) > 1 and got == sorted((str(d), h, g) for g, d, h, _ in rows)
