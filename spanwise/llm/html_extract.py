@@ -6,7 +6,8 @@ and boilerplate, which are the capacities of the arcs to the two terminals. Neig
 capacity grows with their proximity in the tree (the share of ancestors that they have in common), siblings that others
 separate likewise. The minimum cut, found by maximum flow, then labels all blocks at once: a short line between two
 paragraphs follows them, while strong evidence (a nav, an advert, a form) outweighs any neighbour. Names and
-forms count by how little of the page's text they hold: what wraps a whole page is its layout.
+forms count by how little of the page's text they hold: what wraps a whole page is its layout. A form that holds half of
+the text, or an element whose name speaks both ways ("login-layout"), isn't doubted, and what stands outside of it is.
 
 Pages are rows, so the work needs no shuffle, and a page takes time in proportion to its length, its flow and the blocks
 that separate neighbours; inline elements may be nested to any depth.
@@ -40,7 +41,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body head html option select".split())
 #: An end tag of these doesn't reach outside the nearest of those.
 SAME_AGAIN = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
-NEVER = frozenset("nav footer aside script style noscript template button select option iframe svg menu dialog head title textarea object embed canvas audio video map label input fieldset".split())
+NEVER = frozenset("nav footer aside script style noscript template button select option iframe svg menu dialog head title textarea object embed canvas audio video map label input".split())
 GOOD = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side footer header masthead comment comments respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager tags toolbar widget copyright legal disclaimer skip hidden".split()
@@ -50,6 +51,8 @@ GOOD_WORDS = frozenset("article articlebody content body post entry story text m
 TALK = frozenset("comment comments respond reply replies disqus".split())
 #: A name with one of these tells of an element's layout or subject ("has-sidebar", "category-legal"), not of its part.
 MODIFIERS = frozenset("has with no without category tag cat topic".split())
+#: Beside a bad word, words that tell of a layout or of content ("login-layout", "header-and-body"), as all good words do.
+LAYOUT = frozenset("layout wrap wrapper container page grid view shell root app".split())
 BAD_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<(?![a-zA-Z/!?]))", re.DOTALL)
@@ -59,15 +62,17 @@ NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # The classifier: weights of the evidence for content, in nats.
 BIAS, PER_LOG_CHAR, LINKED, SENTENCE, IN_GOOD, NAMED_GOOD, HEADING = -1.8, 0.5, -4.0, 0.7, 5.0, 2.0, 0.4
 STRONG = 60.0
-#: A bad name or a form, unless it holds most of the page's text: full weight up to the first share, none from the second.
-NAMED_BAD, WRAPS, TALK_WRAPS = 20.0, (0.6, 0.9), (0.9, 1.0)
+#: A bad name, or a form, unless it holds most of the page's text: full weight up to the first share, none from the second.
+#: Forms and names that speak both ways lose their weight earlier, and where one holds the page, what stands outside of it
+#: is in doubt instead.
+NAMED_BAD, WRAPS, TALK_WRAPS, MIXED_WRAPS, OUTSIDE = 20.0, (0.6, 0.9), (0.9, 1.0), (0.3, 0.5), 4.0
 SMOOTH, SIBLING = 1.2, 0.5
 
 
 class Node:
     """An open element: its tag, the nearest block from here up, its depth in blocks, and what it says about the text inside."""
 
-    __slots__ = ("tag", "up", "block", "depth", "verdict", "good", "linked", "main", "wraps", "doubt", "held", "against")
+    __slots__ = ("tag", "up", "block", "depth", "verdict", "good", "linked", "main", "wraps", "doubt", "held", "against", "holds")
 
     def __init__(self, tag: str, up: Node | None, attributes: str):
         self.tag, self.up = tag, up
@@ -77,7 +82,7 @@ class Node:
         self.good = up.good if up else 0.0
         self.linked = tag == "a" or bool(up and up.linked)
         self.main = bool(up and up.main)
-        self.wraps = WRAPS if tag == "form" else None
+        self.wraps = MIXED_WRAPS if tag in ("form", "fieldset") else None
         if tag in NEVER or tag == "header" and not self.good:
             self.verdict = -STRONG
         if attributes and not attributes.isspace() and tag not in ("a", "html", "body"):
@@ -87,7 +92,7 @@ class Node:
             self.main = True
         #: The nearest element, from here up, whose form or names speak against its text.
         self.doubt = self if self.wraps else up.doubt if up else None
-        self.held, self.against = 0, 0.0
+        self.held, self.against, self.holds = 0, 0.0, False
 
     def _names(self, attributes: str) -> None:
         for name, value in ATTRIBUTE.findall(attributes):
@@ -100,14 +105,15 @@ class Node:
                     self.good += IN_GOOD
                     self.main = True
                 elif value == "form":
-                    self.wraps = self.wraps or WRAPS
+                    self.wraps = self.wraps or MIXED_WRAPS
             elif name in ("class", "id", "itemprop"):
                 names = [[w.lower() for w in NAME_WORD.findall(x)] for x in value.split()]
                 names = [x for x in names if x and MODIFIERS.isdisjoint(x)]
                 words = {w for x in names for w in x}
                 bad = {x[0] for x in names} & BAD_WORDS if self.tag in GOOD else words & BAD_WORDS
                 if bad:
-                    self.wraps = TALK_WRAPS if bad & TALK or self.wraps is TALK_WRAPS else WRAPS
+                    mixed = bool(words & (GOOD_WORDS | LAYOUT)) and self.wraps in (None, MIXED_WRAPS)
+                    self.wraps = TALK_WRAPS if bad & TALK or self.wraps is TALK_WRAPS else MIXED_WRAPS if mixed else WRAPS
                 elif words & GOOD_WORDS or "articlebody" in value.lower():
                     self.good += NAMED_GOOD
 
@@ -193,19 +199,21 @@ def blocks_of(page: str) -> list[tuple[str, int, Node]]:
     return out
 
 
-def evidence(text: str, linked: int, node: Node) -> float:
-    """The classifier: positive for content."""
+def evidence(text: str, linked: int, node: Node, outside: bool = False) -> float:
+    """The classifier: positive for content. ``outside`` says that the page's text is known to stand in another element."""
     if node.verdict:
         return node.verdict
     n = len(text)
     value = BIAS + PER_LOG_CHAR * math.log1p(n) + LINKED * min(1.0, linked / n) + min(2 * IN_GOOD, node.good)
     value -= node.doubt.against if node.doubt else 0
+    value -= OUTSIDE if outside else 0
     value += SENTENCE if text[-1] in ".!?…\"”»。" else 0
     return value + (HEADING if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0)
 
 
-def weigh_doubts(blocks: list[tuple[str, int, Node]]) -> None:
-    """Sets ``against`` of elements with bad names, their doubtful ancestors' included.
+def weigh_doubts(blocks: list[tuple[str, int, Node]]) -> list[bool]:
+    """Sets ``against`` of elements with bad names, their doubtful ancestors' included; says of each block whether it stands
+    outside of a form or mixed name that holds the page.
 
     The page's text is what stands in articles or mains, else in elements with good names, else all that isn't ruled
     out. An element that holds most of it wraps the page, whatever it is called.
@@ -217,7 +225,7 @@ def weigh_doubts(blocks: list[tuple[str, int, Node]]) -> None:
             doubts[id(d)] = d
             d = d.up.doubt
     if not doubts:
-        return
+        return [False] * len(blocks)
     texts = [(len(text) - linked, node) for text, linked, node in blocks if not node.verdict and len(text) > linked]
     texts = [x for x in texts if x[1].main] or [x for x in texts if x[1].good] or texts
     whole = sum(n for n, _ in texts)
@@ -233,6 +241,10 @@ def weigh_doubts(blocks: list[tuple[str, int, Node]]) -> None:
         share = d.held / whole if whole else 0.0
         outer = d.up.doubt.against if d.up.doubt else 0.0
         d.against = outer + NAMED_BAD * min(1.0, max(0.0, (none - share) / (none - full)))
+        d.holds = d.wraps is MIXED_WRAPS and share >= none and not d.against or bool(d.up.doubt and d.up.doubt.holds)
+    if not any(d.holds for d in order):
+        return [False] * len(blocks)
+    return [not (node.doubt and node.doubt.holds) and not node.main for _, _, node in blocks]
 
 
 def proximity(a: Node, b: Node) -> float:
@@ -265,8 +277,8 @@ def minimum_cut(unary: list[float], arcs: list[tuple[int, int, float]]) -> list[
 
 
 def labels_of(blocks: list[tuple[str, int, Node]]) -> list[bool]:
-    weigh_doubts(blocks)
-    unary = [evidence(*b) for b in blocks]
+    outside = weigh_doubts(blocks)
+    unary = [evidence(*b, out) for b, out in zip(blocks, outside, strict=True)]
     arcs, last = [], {}
     for i, (_, _, node) in enumerate(blocks):
         if i:

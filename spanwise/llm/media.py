@@ -220,7 +220,7 @@ def decode_tiles(df: DataFrame, column: str = "image", side: int = SIDE) -> Data
             try:
                 image = decode(b"" if data is None else bytes(data))
                 rows.append((*image.shape, npy_bytes(area_resize(image, side, side)), difference_hash(image), None))
-            except (ValueError, struct.error) as e:
+            except (ValueError, OverflowError, struct.error) as e:
                 rows.append((None, None, None, None, None, str(e)))
         out = pd.DataFrame(rows, columns=["height", "width", "channels", "tile", "dhash", "error"])
         return out.astype({"height": "Int32", "width": "Int32", "channels": "Int32"})

@@ -3,6 +3,7 @@ import re
 import time
 from html import unescape
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,3 +105,30 @@ def test_a_true_sidebar_inside_a_layout_name():
     assert H.main_text(page).split("\n") == STORY_TEXT
     for wrap in ("<main class='no-sidebar'>{}</main>", "<div id='page' class='menu-open'><div>{}</div></div>", "<article class='post comments-open'>{}</article>"):
         assert H.main_text(wrap.format(STORY)).split("\n") == STORY_TEXT, wrap
+
+
+ARTICLE = [f"The council met on the {i}th day and spoke at length of roads, schools and the new bridge over the river." for i in range(11)]
+ASIDE = "Read how our partners save money every day with small changes at home and at work, and sign up for more of the same. "
+WRAPPERS = [
+    '<div class="login-layout">{}</div>', '<div class="header-and-body">{}</div>', '<div id="widget-main">{}</div>', "<form action='x'>{}</form>", '<div class="share-story">{}</div>', '<div class="content"><fieldset>{}</fieldset></div>',
+    '<div id="sidebar-page"><div>{}</div></div>', '<div class="nav-wrapper"><div class="row">{}</div></div>', '<form id="aspnetForm"><div class="inner">{}</div></form>', '<div class="promo container"><div class="promo-main">{}</div></div>',
+]
+BODIES = ["".join(f"<p>{x}</p>" for x in ARTICLE), "<h1>Roads and schools</h1>" + "".join(f"<div>{x}</div>" for x in ARTICLE), "".join(f"<p>{x}</p>" for x in ARTICLE[:6]) + "<ul>" + "".join(f"<li>{x}</li>" for x in ARTICLE[6:]) + "</ul>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("body", BODIES)
+def test_layouts_without_article_or_main(wrapper, body):
+    """A name or a form around the whole page doesn't turn its text against what stands beside it."""
+    page = "<body><nav><a href=1>Home</a><a href=2>News</a></nav>" + wrapper.format(body) + f"<div><p>{ASIDE * 2}</p></div><footer>All rights reserved.</footer></body>"
+    if "share-story" in wrapper:
+        page = page.replace("<div><p>Read how", '<div class="sidebar"><p>Read how')
+    got = H.main_text(page).split("\n")
+    assert [x for x in got if x != "Roads and schools"] == ARTICLE
+
+
+def test_small_forms_and_named_blocks_still_go():
+    text = "".join(f"<p>{x}</p>" for x in ARTICLE)
+    for small in (f"<form><p>{ASIDE}</p></form>", f'<div class="sidebar-content"><p>{ASIDE * 3}</p></div>', f'<div class="comment-body"><p>{ASIDE * 3}</p></div>', f"<fieldset><p>{ASIDE}</p></fieldset>"):
+        assert H.main_text(f"<body><div>{text}</div>{small}</body>").split("\n") == ARTICLE
+

@@ -107,3 +107,9 @@ def test_tiles_replace_earlier_ones(spark, tmp_path):
         images = [(i, media.encode_pgm(np.full((4, 4), 40 * i + n, np.uint8))) for i in range(n)]
         media.write_tiles(media.decode_tiles(spark.createDataFrame(images, "id int, image binary")), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_numbers_out_of_range_are_an_error_of_their_row(spark):
+    df = spark.createDataFrame([(1, bytearray(b"P2 1 1 255 99999999999999999999999")), (2, bytearray(b"P5 99999999999999999999 1 255\n\x00")), (3, bytearray(b"P2 1 1 255 7"))], "i int, image binary")
+    got = {r["i"]: r for r in media.decode_tiles(df).collect()}
+    assert got[1]["error"] and got[2]["error"] and got[1]["tile"] is None and got[3]["error"] is None
