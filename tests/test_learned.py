@@ -145,7 +145,7 @@ def test_node_table_sums_to_the_model_s_importances(spark):
 
 
 def test_permutation_importance_is_sorted_with_its_spread(spark):
-    df = months(spark, 1, 120).withColumn("z", F.lit(1.0))
+    df = months(spark, 1, 120).drop("features").withColumn("z", F.lit(1.0))
     got = ML.permutation_importance(ML.logistic(["x", "y", "z"], 20).fit(df), df, ["x", "y", "z"]).collect()
     assert [r["feature"] for r in got] == ["x", "y", "z"] and got[0]["gain"] > got[1]["gain"] > 0
     assert abs(got[2]["gain"]) < 1e-12 and got[0]["spread"] > 0 and got[2]["spread"] < 1e-12
