@@ -53,6 +53,32 @@ def _pipeline(columns: list[str], last: Estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True), last])
 
 
+class StoppedPerceptron:
+    """The perceptron with early stopping, which Spark's has not: fitted in rounds of iterations, each from the weights of the
+    one before, until the held rows' AUC hasn't grown for ``patience`` rounds; the best round's weights are the model.
+
+    The model is a pipeline of assembling, scaling and the best perceptron, with ``best_round`` and ``rounds`` beside.
+    """
+
+    def __init__(self, columns: list[str], hidden: tuple[int, ...] = (128, 64), rounds: int = 20, iterations: int = 10, patience: int = 2, held: str = "held", seed: int = 42):
+        self.columns, self.hidden, self.rounds, self.iterations, self.patience, self.held, self.seed = columns, hidden, rounds, iterations, patience, held, seed
+
+    def fit(self, df: DataFrame) -> PipelineModel:
+        before = Pipeline(stages=[VectorAssembler(inputCols=self.columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)]).fit(df.where(~F.col(self.held)))
+        train, held = (cut_lineage(before.transform(df.where(x)).select("features", "target")) for x in (~F.col(self.held), F.col(self.held)))
+        weights, best, best_auc, best_round, done = None, None, -math.inf, 0, 0
+        while done < self.rounds and done - best_round <= self.patience:
+            mlp = MultilayerPerceptronClassifier(labelCol="target", layers=[len(self.columns), *self.hidden, 2], maxIter=self.iterations, seed=self.seed)
+            model = (mlp.setInitialWeights(weights) if weights is not None else mlp).fit(train)
+            weights, done = model.weights, done + 1
+            auc = roc_auc(positive_score(model.transform(held))).first()
+            if auc and auc["auc"] > best_auc:
+                best, best_auc, best_round = model, auc["auc"], done
+        fitted = PipelineModel(stages=[*before.stages, best or model])
+        fitted.best_round, fitted.rounds = best_round or done, done
+        return fitted
+
+
 def balanced_weights(df: DataFrame, name: str = "weight") -> DataFrame:
     """n / (2 n_class) for each row: class counts are two numbers."""
     counts = df.groupBy("target").agg(F.count(F.lit(1)).alias("__n"))

@@ -20,10 +20,10 @@ from spanwise.operators import models as ML
 from spanwise.operators import overlap as O
 from spanwise.operators import ranking as RK
 from spanwise.operators.bundle import TargetBundle
-from spanwise.plans.queries import FEATURES, KEYS, QUERIES, _fold_auc, _place, _prepare, _scored, base, query, rounded, target
+from spanwise.plans.queries import FEATURES, KEYS, QUERIES, _fold_auc, _place, _prepare, _scored, base, forecast_responses, forecast_summary, query, rounded, target
 from spanwise.plans.sequence import CHANNELS, sequence_frame
 from spanwise.sources import adapters as A
-from spanwise.sources import sinks
+from spanwise.sources import readers, sinks
 
 RANKED = RK.Training(epochs=12, rate=0.1)
 
@@ -154,3 +154,40 @@ def encoded_buckets(spark, d):
         N.encoding_map(past, column).write.parquet(f"{path}/{column}")
     read = [spark.read.parquet(f"{path}/{c}").select(F.col(c).alias("bucket"), F.col(f"{c}_target_enc").alias("mean")) for c in ("airport_hour_bucket", "airport_dow_bucket")]
     return rounded(reduce(DataFrame.unionByName, read))
+
+
+@query
+def cv_stopped_perceptron(spark, d):
+    """A perceptron that stops by the training period's last month: AUC, and after how many rounds its weights were best."""
+    days = cut_lineage(A.daily_target(spark, d))
+    make = lambda: ML.StoppedPerceptron(FEATURES, (16, 8), rounds=6, iterations=10)
+    fitted = ML.fit_folds(days, make, 2, _prepare, ML.with_held_month, threads=2)
+    kept = spark.createDataFrame([(f.month, f.model.best_round, f.model.rounds) for f in fitted], "fold string, best_round int, rounds int")
+    return _fold_auc(reduce(DataFrame.unionByName, [f.scores for f in fitted])).join(kept, "fold")
+
+
+@query
+def sink_airports(spark, d):
+    """Enriched airports as the sink leaves them."""
+    path = _place(spark, "airports")
+    sinks.write_airports(QUERIES["airport_groups_enriched"](spark, d), path)
+    return readers.read_csv(spark, path, "airport_group string, iata_code string, ident string, airport_group_our string, latitude double, elevation double")
+
+
+@query
+def sink_observations(spark, d):
+    """Observations by airport and hour as the sink leaves them, after one month was written twice."""
+    path = _place(spark, "observed")
+    found = cut_lineage(QUERIES["source_observations"](spark, d))
+    sinks.write_observations(found, path)
+    last = found.agg(F.max(F.date_format("forecast_time", "yyyy-MM"))).first()[0]
+    sinks.write_observations(found.where(F.date_format("forecast_time", "yyyy-MM") == last), path)
+    return spark.read.parquet(path).select(*found.columns)
+
+
+@query
+def source_forecasts(spark, d):
+    """Forecast responses as a fetcher stores them, a JSON text a line, read to columns."""
+    path = _place(spark, "forecasts")
+    forecast_responses(A.weather(spark, d)).write.json(path)
+    return forecast_summary(readers.load_forecast_responses(spark, path))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanwise.plans import oracle
 from spanwise.plans.oracle import hist, r, with_
 
 
@@ -66,3 +67,4 @@ SQL: dict[str, str] = {
             + [f"SELECT 'families', 'simulation.{c}', {v} FROM f" for c, v in (("gain", _told("sum(gain)")), ("n_features", "cast(count(*) AS varchar)"), ("share", _told("max(1)")))]
         ),
 }
+SQL |= {"sink_airports": oracle.SQL["airport_groups_enriched"], "sink_observations": oracle.SQL["source_observations"], "source_forecasts": oracle.SQL["props_json_flatten"]}

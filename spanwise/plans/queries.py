@@ -254,19 +254,26 @@ def dominant_symbol(spark, d):
     return W.aggregate_weather(A.weather(spark, d)).select(*KEYS, "dominant_symbol_code_1h")
 
 
-@query
-def props_json_flatten(spark, d):
-    """Events as forecast responses of one time step each, and back to columns."""
-    e = A.weather(spark, d)
+def forecast_responses(rows):
+    """airport, airport_group, response: weather rows as forecast responses of one time step each."""
     step = lambda h, x: F.struct(F.struct(x.alias("precipitation_amount")).alias("details"), F.struct(F.col("symbol_code_1h").alias("symbol_code")).alias("summary")).alias(f"next_{h}_hours")
     instant = F.struct(F.struct("air_temperature", "wind_speed_of_gust").alias("details")).alias("instant")
     data = F.struct(instant, step(1, F.col("precipitation_amount_1h")), step(6, F.col("precipitation_amount_1h") * 2)).alias("data")
     time = F.date_format("forecast_time", "yyyy-MM-dd HH:mm:ss").alias("time")
     response = F.to_json(F.struct(F.struct(F.array(F.struct(time, data)).alias("timeseries")).alias("properties")))
-    flat = W.parse_timeseries(e.select("airport", "airport_group", response.alias("response")))
+    return rows.select("airport", "airport_group", response.alias("response"))
+
+
+def forecast_summary(flat):
     return rounded(flat.groupBy("airport", "airport_group").agg(*[F.avg(c).alias(c) for c in ("air_temperature", "wind_speed_of_gust", "precipitation_amount_1h", "precipitation_amount_6h")], F.count("symbol_code_1h").alias("n_symbols"), F.count("symbol_code_12h").alias("n_symbols_12h"), F.min("forecast_time").alias("first_time")))
 
 
+@query
+def props_json_flatten(spark, d):
+    """Events as forecast responses of one time step each, and back to columns."""
+    return forecast_summary(W.parse_timeseries(forecast_responses(A.weather(spark, d))))
+
+
 @query
 def observation_pivot(spark, d):
     e = A.table(spark, d, "events").select(A.letter(F.col("user_id")).alias("airport_group"), F.to_date("ts").alias("date"), F.col("event_type").alias("elementId"), "value", "event_id")

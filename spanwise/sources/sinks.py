@@ -52,3 +52,15 @@ def write_keyed(df: DataFrame, path: str) -> None:
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def write_airports(airports: DataFrame, path: str) -> None:
+    """Airports with their groups, codes and coordinates as CSV with header, ordered by group and code across the files."""
+    order = ["airport_group", "iata_code"]
+    airports.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+
+
+def write_observations(observations: DataFrame, path: str) -> None:
+    """Observations by airport and time as Parquet, partitioned by month; a month that is written again replaces its old rows."""
+    rows = observations.withColumn("month", F.date_format("forecast_time", "yyyy-MM"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)

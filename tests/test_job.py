@@ -5,9 +5,10 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from spanwise.operators import events as E
 from spanwise.operators import models as ML
 from spanwise.operators.bundle import TargetBundle, with_target_features
-from spanwise.plans import job
+from spanwise.plans import job, sequence
 from spanwise.sources import sinks, versions
 
 FIRST, DAYS, GROUPS = date(2024, 3, 20), 60, ("X", "Y")
@@ -78,3 +79,23 @@ def test_target_features_know_the_training_rows_only(spark):
     assert all(v is not None for r in first for v in r)
     own = bundle.onto(train).where("target_rolling_mean_24h is not null").count()
     assert own == 2 * 24 * 8
+
+
+def test_sequence_job_and_its_month_report(spark, tmp_path):
+    inputs, out = season(tmp_path), str(tmp_path / "seq")
+    report = sequence.run_sequence_job(spark, inputs.training, inputs.flights, inputs.inference, inputs.schedule, out, folds=1, make=lambda c: ML.logistic(c, 20))
+    assert set(report) == {"2024-05", "all"} and report["all"] > 0.9
+    months = {r["month"]: r["auc"] for r in sequence.report_months(spark, out).collect()}
+    assert abs(months["2024-05"] - report["2024-05"]) < 1e-9 and abs(months["all"] - report["all"]) < 1e-9
+    got = spark.read.option("header", True).csv(f"{out}/predictions").collect()
+    assert len(got) == 2 * 24 * 3 and all(0 <= float(r["pred"]) <= 1 for r in got)
+    assert "kernels" in sinks.read_columns(spark, f"{out}/columns")
+
+
+def test_sequences_of_the_hours_before_are_those_of_the_clock(spark):
+    events = spark.createDataFrame([("f", "X", "dep", datetime(2024, 5, 1, 7, 30)), ("g", "X", "arr", datetime(2024, 5, 1, 9, 10))], "flight_id string, airport_group string, movement string, base_time timestamp_ntz")
+    hours = spark.createDataFrame([("X", date(2024, 5, 1), 9), ("Y", date(2024, 5, 1), 9)], "airport_group string, date date, hour int")
+    got = {r["airport_group"]: r for r in sequence.sequence_frame(E.build_base_index(hours), events).collect()}
+    assert [i for i, c in enumerate(got["X"]["departures"]) if c] == list(range(15, 38))
+    assert [i for i, c in enumerate(got["X"]["arrivals"]) if c] == list(range(114, 135)) and len(got["X"]["concurrency"]) == 180
+    assert got["Y"]["concurrency"] == [0] * 180
