@@ -59,9 +59,10 @@ def _runs(pieces: Column, counts: dict[str, Callable[[Column], Column]]) -> Colu
     return F.aggregate(changes, start, step)["runs"]
 
 
-def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_movement: bool = False) -> DataFrame:
+def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_movement: bool = False, spelled: bool = True) -> DataFrame:
     """keys, hour_number, ``runs`` (structs at, len, c: how many intervals are active), start_minutes (distinct), n; with
-    ``by_movement`` the runs also have ``dep`` and ``arr``, and the rows minutes of activity ``dep_minutes``, ``arr_minutes``."""
+    ``by_movement`` the rows also have minutes of activity ``dep_minutes``, ``arr_minutes``, and the runs ``dep`` and ``arr``,
+    unless ``spelled`` is off."""
     keys = keys or ["airport_group"]
     carried = ("movement",) if by_movement else ()
     pieces = hour_pieces(intervals, keys, carried)
@@ -72,48 +73,58 @@ def minute_counters(intervals: DataFrame, keys: list[str] | None = None, by_move
     added = {"start_minutes": F.array_distinct(F.col("pieces.start_minute")), "n": F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["n"])}
     if by_movement:
         of = lambda m: lambda x: x["movement"] == m
-        counts |= {"dep": of("dep"), "arr": of("arr")}
+        counts |= {"dep": of("dep"), "arr": of("arr")} if spelled else {}
         spent = lambda m: F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + F.when(x["movement"] == m, x["n"] * (x["until"] - x["first"])).otherwise(0))
         added |= {"dep_minutes": spent("dep"), "arr_minutes": spent("arr")}
     return together.withColumns({"runs": _runs(F.col("pieces"), counts), **added}).drop("pieces")
 
 
-def total_over(runs: Column, value) -> Column:
-    """Sum over the hour's minutes of a number made of the count."""
-    return F.aggregate(runs, F.lit(0).cast("long"), lambda s, x: s + value(x["c"]) * x["len"])
+def hour_totals(runs: Column) -> Column:
+    """Over the hour's minutes, in one pass: the sum and the sum of squares of the counts, how many minutes have 2, 3, 4 or
+    more, and the peak."""
+    none = F.lit(0).cast("long")
+    start = F.struct(*[none.alias(n) for n in ("area", "squares", "ge2", "ge3", "ge4", "peak")])
+
+    def step(now: Column, x: Column) -> Column:
+        c, n = x["c"], x["len"].cast("long")
+        least = lambda k: F.when(c >= k, n).otherwise(none)
+        return F.struct(
+            (now["area"] + c * n).alias("area"), (now["squares"] + c * c * n).alias("squares"), *[(now[f"ge{k}"] + least(k)).alias(f"ge{k}") for k in (2, 3, 4)], F.greatest(now["peak"], c).alias("peak")
+        )
+
+    return F.aggregate(runs, start, step)
 
 
-def _ranked_count(ordered: Column, position: int) -> Column:
-    """The count at a position (from 0) of the hour's sixty sorted counts, from runs in order of their count."""
-    start = F.struct(F.lit(0).alias("seen"), F.lit(0).cast("long").alias("value"))
-    step = lambda acc, x: F.struct((acc["seen"] + x["len"]).alias("seen"), F.when(acc["seen"] <= position, x["c"]).otherwise(acc["value"]).alias("value"))
-    return F.aggregate(ordered, start, step)["value"]
+def _ranked_counts(runs: Column, positions: tuple[int, ...]) -> Column:
+    """The counts at positions (from 0) of the hour's sixty sorted counts, from one pass over the runs in order of count."""
+    ordered = F.array_sort(F.transform(runs, lambda x: F.struct(x["c"].alias("c"), x["len"].alias("len"))))
+    start = F.struct(F.lit(0).alias("seen"), *[F.lit(0).cast("long").alias(f"at{p}") for p in positions])
+    step = lambda now, x: F.struct((now["seen"] + x["len"]).alias("seen"), *[F.when(now["seen"] <= p, x["c"]).otherwise(now[f"at{p}"]).alias(f"at{p}") for p in positions])
+    return F.aggregate(ordered, start, step)
 
 
 def overlap_statistics(counted: DataFrame) -> DataFrame:
-    """Adds the ten overlap features to rows with counters."""
-    runs, starts, ordered = F.col("runs"), F.col("__starts"), F.col("__ordered")
-    minutes = lambda test: total_over(runs, lambda c: F.when(test(c), F.lit(1).cast("long")).otherwise(0)).cast("double")
+    """Adds the ten overlap features to rows with counters, and ``totals``, which most of them come from."""
+    runs, starts, totals = F.col("runs"), F.col("__starts"), F.col("totals")
     gaps = F.zip_with(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))), lambda b, a: b - a)
     gap = F.when(F.col("n") > F.size(starts), F.lit(0.0)).when(F.size(starts) >= 2, F.array_min(gaps).cast("double")).otherwise(F.lit(NO_GAP))
     low, part = int(0.9 * (MINUTES - 1)), 0.9 * (MINUTES - 1) - int(0.9 * (MINUTES - 1))
-    by_count = F.array_sort(F.transform(runs, lambda x: F.struct(x["c"].alias("c"), x["len"].alias("len"))))
-    df = counted.withColumn("__ordered", by_count).withColumn("__starts", F.array_sort("start_minutes"))
-    df = df.withColumns({"overlap_min_gap_minutes": gap, **{f"__at{i}": _ranked_count(ordered, i) for i in (29, 30, low, low + 1)}})
-    at = lambda i: F.col(f"__at{i}")
+    df = counted.withColumns({"totals": hour_totals(runs), "__ranked": _ranked_counts(runs, (29, 30, low, low + 1)), "__starts": F.array_sort("start_minutes")})
+    at = lambda i: F.col("__ranked")[f"at{i}"]
     return df.withColumns(
         {
-            "overlap_max": F.array_max("runs.c").cast("double"),
-            "overlap_mean": total_over(runs, lambda c: c) / F.lit(60.0),
+            "overlap_max": totals["peak"].cast("double"),
+            "overlap_mean": totals["area"] / F.lit(60.0),
             "overlap_median": (at(29) + at(30)) / F.lit(2.0),
             "overlap_p90": at(low) + (at(low + 1) - at(low)) * F.lit(part),
-            "overlap_minutes_ge2": minutes(lambda c: c >= 2),
-            "overlap_minutes_ge3": minutes(lambda c: c >= 3),
-            "overlap_pairs_per_hour": total_over(runs, lambda c: c * (c - 1)) / F.lit(120.0),
-            "overlap_near_conflict_minutes": minutes(lambda c: (c >= 2) & (c <= 3)),
-            "overlap_near_conflict_flag": (F.col("overlap_min_gap_minutes") <= CLOSE).cast("double"),
+            "overlap_minutes_ge2": totals["ge2"].cast("double"),
+            "overlap_minutes_ge3": totals["ge3"].cast("double"),
+            "overlap_pairs_per_hour": (totals["squares"] - totals["area"]) / F.lit(120.0),
+            "overlap_near_conflict_minutes": (totals["ge2"] - totals["ge4"]).cast("double"),
+            "overlap_min_gap_minutes": gap,
+            "overlap_near_conflict_flag": (gap <= CLOSE).cast("double"),
         }
-    ).drop("__ordered", "__starts", *[f"__at{i}" for i in (29, 30, low, low + 1)])
+    ).drop("__ranked", "__starts")
 
 
 def minute_array(runs: Column, name: str = "c") -> Column:

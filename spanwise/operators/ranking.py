@@ -149,8 +149,11 @@ def ranked(df: DataFrame, state: State, features: str = "features") -> DataFrame
 
 
 def split_last_month(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(earlier months, the last month)."""
-    last = df.agg(F.max(month_of())).first()[0]
+    """(earlier months, the held month): the last one whose rows are of both classes, without which there is no AUC to watch;
+    where no month but the first is, the last one."""
+    months = df.groupBy(month_of().alias("month")).agg(F.min("target").alias("low"), F.max("target").alias("high")).orderBy("month").collect()  # a row a month
+    both = [r["month"] for r in months[1:] if r["low"] != r["high"]] or [r["month"] for r in months[-1:]]
+    last = both[-1] if both else None
     return df.where(month_of() < last), df.where(month_of() == last)
 
 

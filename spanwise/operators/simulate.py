@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spanwise.functions.lineage import cut_lineage
 from spanwise.operators import sampling as S
 from spanwise.operators.events import KEYS, prepare_schedule, with_operational_windows
-from spanwise.operators.overlap import FEATURES, hour_number, minute_counters, overlap_statistics, total_over
+from spanwise.operators.overlap import FEATURES, hour_number, minute_counters, overlap_statistics
 
 # The metrics of a simulation by name.
 OVERLAP_METRICS = [f for f in FEATURES if f not in ("overlap_min_gap_minutes", "overlap_near_conflict_flag")]
@@ -71,9 +71,8 @@ def simulated_events(sides: DataFrame, steps: DataFrame, n_simulations: int, fir
 
 def metrics_per_simulation(events: DataFrame) -> DataFrame:
     """The fifteen metrics of each (sim, group, hour) in which something is active."""
-    found = overlap_statistics(minute_counters(with_operational_windows(events), ["sim_id", "airport_group"], by_movement=True))
-    area = total_over(F.col("runs"), lambda c: c).cast("double")
-    squares = total_over(F.col("runs"), lambda c: c * c).cast("double")
+    found = overlap_statistics(minute_counters(with_operational_windows(events), ["sim_id", "airport_group"], by_movement=True, spelled=False))
+    area, squares = F.col("totals.area").cast("double"), F.col("totals.squares").cast("double")
     columns: dict[str, Column] = {f"sim_{m}": F.col(m) for m in OVERLAP_METRICS} | {
         "sim_prob_any_overlap": (F.col("overlap_minutes_ge2") > 0).cast("double"),
         "sim_concurrency_mean": area / 60.0,
