@@ -36,9 +36,10 @@ def test_against_sql(spark, small, duck, name):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["tuned_forest", "fitted_importance", "sequence_ablation", "cv_logistic", "cv_boosted_trees", "cv_perceptron", "stacked_ensemble", "permutation_importance"])
+@pytest.mark.parametrize("name", ["tuned_forest", "fitted_importance", "split_importance", "cv_early_stopped", "cv_kernels", "cv_logistic", "cv_boosted_trees", "cv_perceptron", "stacked_ensemble", "permutation_importance"])
 def test_runs(spark, small, name):
-    assert entry.queries()[name](spark, small).count() > 0
+    rows = entry.queries()[name](spark, small).collect()
+    assert rows and all(0 <= v <= 1 for r in rows for c, v in r.asDict().items() if c.endswith(("auc", "share")))
 
 
 def test_entry(spark):
