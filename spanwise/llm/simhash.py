@@ -12,9 +12,8 @@ The pipeline's stage looks for near copies (five-word shingles, a similarity of
 than the two bits that equal blocks can promise. Its fingerprints have 256 bits, where a similarity of 0.8 shows as about
 39 differing bits; ``NEAR_BUDGET`` bits link. Six keys of three least shingle hashes each deal the fingerprints out (two
 texts of similarity 0.8 share one with probability 0.99), and the same trie join runs under each key. Of a key with
-more than ``LARGE_KEY`` fingerprints no task sees all: cells of its members are compared with sampled leaders, then with
-further leaders from those that none was near to, until none is left. So every link to a leader is found, and two
-members that link only to each other under different unlinked leaders need another of their keys.
+more than ``LARGE_KEY`` fingerprints no task sees all: sampled leaders settle its dense balls, and pairs of cells of the
+rest are walked in tasks of their own (``_hot_key_edges``), with the same components as in one task.
 
 Defined results: a null, empty or blank text has the fingerprint zero and links like any other; repeated rows are
 copies; a null doc_id counts only where its whole component has none; an empty table gives no rows; a very long text is
@@ -39,7 +38,8 @@ from spanwise.llm.common import bounded_batches, fresh, row_keys, without
 SHINGLE, SEED, BUDGET, LARGE = 3, 42, 2, 4000
 NEAR_SHINGLE, NEAR_BUDGET, NEAR_BITS, LARGE_KEY = 5, 42, 256, 20_000
 BANDS, BAND_ROWS = 6, 3
-CELL, LEADERS, MOST_LEADERS = 2000, 256, 4096
+CELL, LEADERS = 4000, 1024
+EDGES = "array<struct<a:binary,b:binary>>"
 
 
 def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -94,8 +94,9 @@ def fingerprint(text: Column) -> Column:
     return of(text)
 
 
-def trie_walk(values: np.ndarray, budget: int = BUDGET, settled=lambda a, b, c, d: False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_walk(values: np.ndarray, budget: int = BUDGET, settled=lambda a, b, c, d: False, second: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of distinct rows of uint64 words in ascending order that differ in ``budget`` bits at most.
+    With ``second``, rows before it and rows from it on are two tries, each in ascending order, and pairs have one of each.
 
     The sorted rows are the trie: a node is a range that shares a prefix, its children lie either side of the first
     row with the next bit set. Pairs of nodes go down together, and a pair whose prefixes already differ in more bits
@@ -103,7 +104,7 @@ def trie_walk(values: np.ndarray, budget: int = BUDGET, settled=lambda a, b, c,
     pairs of nodes are compared directly.
     """
     last = 64 * values.shape[1]
-    todo = [(0, len(values), 0, len(values), 0, 0)]
+    todo = [(0, len(values), 0, len(values), 0, 0) if second is None else (0, second, second, len(values), 0, 0)]
     while todo:
         a, b, c, d, bit, used = todo.pop()
         n, m = b - a, d - c
@@ -130,14 +131,15 @@ def trie_links(values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
     return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
 
 
-def local_roots(values: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """The least index of each row's local component; node pairs inside one component aren't walked any further."""
-    root = np.arange(len(values))
+def local_roots(values: np.ndarray, budget: int = BUDGET, root: np.ndarray | None = None, second: int | None = None) -> np.ndarray:
+    """The least index of each row's local component; node pairs inside one component aren't walked any further.
+    ``root`` tells what is connected beforehand; ``second`` is as in ``trie_walk``."""
+    root = np.arange(len(values)) if root is None else root
 
     def settled(a: int, b: int, c: int, d: int) -> bool:
         return b - a > 1 and (root[a:b] == root[a]).all() and (root[c:d] == root[a]).all()
 
-    for i, j in trie_walk(values, budget, settled):
+    for i, j in trie_walk(values, budget, settled, second):
         x, y = root[i], root[j]
         merge = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
         if merge.shape[1]:
@@ -193,11 +195,12 @@ def _as_rows(fps: list[bytes]) -> np.ndarray:
 
 
 def near_copy_edges(fps: DataFrame, large: int = LARGE_KEY, budget: int = NEAR_BUDGET) -> DataFrame:
-    """Edges (a, b) between wide fingerprints of near copies; ``fps`` holds distinct ones in ``fp`` and their ``keys``."""
+    """Edges (a, b) that connect what is near under a common key; ``fps`` holds wide fingerprints in ``fp`` and their
+    ``keys``, and one fingerprint may have several rows of keys."""
     keyed = fps.select("fp", F.explode(F.array_distinct("keys")).alias("key"))
     counts = cut_lineage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
-    @F.pandas_udf("array<struct<a:binary,b:binary>>")
+    @F.pandas_udf(EDGES)
     def group_edges(groups: pd.Series) -> pd.Series:
         out = []
         for g in groups:
@@ -206,54 +209,87 @@ def near_copy_edges(fps: DataFrame, large: int = LARGE_KEY, budget: int = NEAR_B
             out.append([{"a": ordered[i], "b": ordered[j]} for i, j in zip(members.tolist(), roots.tolist(), strict=True)])
         return pd.Series(out)
 
-    groups = keyed.join(counts.where(F.col("n") <= large), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    groups = keyed.join(counts.where(F.col("n") <= large), "key").groupBy("key").agg(F.collect_set("fp").alias("fps"))
     found = groups.select(F.explode(group_edges("fps")).alias("e")).select("e.a", "e.b")
     hot = counts.where(F.col("n") > large)
     if hot.isEmpty():
         return found.distinct()
-    return found.unionByName(_edges_to_leaders(keyed.join(hot, "key"), budget)).distinct()
+    return found.unionByName(_hot_key_edges(keyed.join(hot, "key"), budget)).distinct()
 
 
-def _edges_to_leaders(members: DataFrame, budget: int) -> DataFrame:
-    """Edges of fingerprints to leaders of their key; ``members`` holds fp, key and n, the fingerprints of the key.
+def _hot_key_edges(members: DataFrame, budget: int) -> DataFrame:
+    """Edges that connect the near copies under keys too large for one task; ``members`` holds fp, key and n.
 
-    A round's leaders are some of the fingerprints that aren't near any leader yet, about ``LEADERS`` a key and twice as
-    many in each further round. All members are compared with them in cells of about ``CELL``, so a link is lost only
-    between two members whose leaders aren't near each other.
+    First every member is compared with its key's leaders, drawn by a hash, about one for ``CELL`` members: a dense ball
+    settles here. Members near a leader form cells around it, the others loose cells, each of about ``CELL``; then pairs
+    of cells are walked, each pair a row of its own. Two cells around leaders that are connected already need no walk,
+    nor do two whose leaders are more than three budgets apart, which no link can bridge. All other pairs are walked, so
+    nothing is lost; what is sparse under one key costs the square of its size over the cores.
     """
     cell = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CELL))
-    cells = cut_lineage(members.groupBy("key", cell.alias("cell")).agg(F.collect_list("fp").alias("fps")))
-    left, found, leaders = members.select("key", "fp"), None, LEADERS
+    cells = members.groupBy("key", cell.alias("cell")).agg(F.collect_set("fp").alias("fps"))
+    drawn = members.where(F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.col("n")) < F.least(F.lit(LEADERS), F.ceil(F.col("n") / CELL)))
+    lead = drawn.groupBy("key").agg(F.collect_set("fp").alias("leaders"))
 
-    @F.pandas_udf("edges array<struct<a:binary,b:binary>>, far array<binary>")
+    @F.pandas_udf(f"placed array<struct<fp:binary,home:binary>>, ties {EDGES}")
     def compare(groups: pd.Series, chosen: pd.Series) -> pd.DataFrame:
         rows = []
-        for g, lead in zip(groups, chosen, strict=True):
-            g, lead = list(map(bytes, g)), sorted(map(bytes, lead))
-            edges, far, of = set(), [], _as_rows(lead)
+        for g, of in zip(groups, chosen, strict=True):
+            g, of = list(map(bytes, g)), sorted(map(bytes, of))
+            placed, ties, leaders = [], set(), _as_rows(of)
             for i in range(0, len(g), 256):
                 part = g[i : i + 256]
-                near = np.bitwise_count(_as_rows(part)[:, None] ^ of[None, :]).sum(axis=2, dtype=np.int16) <= budget
-                for fp, row in zip(part, near, strict=True):
-                    at = np.flatnonzero(row).tolist()
-                    edges.update((x, lead[at[0]]) for x in [fp, *(lead[k] for k in at[1:])] if x != lead[at[0]]) if at else far.append(fp)
-            rows.append(([{"a": a, "b": b} for a, b in sorted(edges)], far))
-        return pd.DataFrame(rows, columns=["edges", "far"])
-
-    while True:
-        open_ = left.groupBy("key").agg(F.count(F.lit(1)).alias("open"))
-        drawn = left.join(open_, "key").where(F.pmod(F.xxhash64(F.lit(leaders), "fp"), F.col("open")) < leaders)
-        lead = drawn.groupBy("key").agg(F.collect_list("fp").alias("leaders"))
-        seen = cut_lineage(cells.join(lead, "key").select("key", compare("fps", "leaders").alias("s")))
-        edges = seen.select(F.explode("s.edges").alias("e")).select("e.a", "e.b")
-        found = edges if found is None else found.unionByName(edges)
-        # drawn leaders are near themselves; a key none of whose open members was drawn stays as it is for the next round
-        waiting = left.join(lead, "key", "left_anti")
-        far = seen.select("key", F.explode("s.far").alias("fp")).join(left, ["key", "fp"], "left_semi")
-        left = cut_lineage(far.unionByName(waiting))
-        if left.isEmpty():
-            return found
-        leaders = min(2 * leaders, MOST_LEADERS)
+                apart = np.bitwise_count(_as_rows(part)[:, None] ^ leaders[None, :]).sum(axis=2, dtype=np.int16)
+                for fp, row in zip(part, apart, strict=True):
+                    near = np.flatnonzero(row <= budget).tolist()
+                    home = of[min(near, key=row.__getitem__)] if near else None
+                    placed.append({"fp": fp, "home": home})
+                    ties.update((of[k], home) for k in near if of[k] != home)
+            rows.append((placed, [{"a": a, "b": b} for a, b in sorted(ties)]))
+        return pd.DataFrame(rows, columns=["placed", "ties"])
+
+    none = F.array().cast("array<binary>")
+    seen = cut_lineage(cells.join(lead, "key", "left").select("key", compare("fps", F.coalesce("leaders", none)).alias("s")))
+    placed = seen.select("key", F.explode("s.placed").alias("p")).select("key", "p.fp", "p.home")
+    ties = seen.select(F.explode("s.ties").alias("e")).select("e.a", "e.b").distinct()
+    stars = placed.where("fp <> home").select(F.col("fp").alias("a"), F.col("home").alias("b"))
+    roots = components(ties).select(F.col("v").alias("home"), "root")
+
+    sizes = placed.groupBy("key", "home").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.join(roots, "home", "left").select(F.col("key").alias("k"), F.col("home").alias("h"), "m", F.coalesce("root", "home").alias("root"))
+    known = placed.join(sizes, (F.col("key") == F.col("k")) & F.col("home").eqNullSafe(F.col("h")))
+    piece = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.ceil(F.col("m") / CELL))
+    cells = known.groupBy("key", "home", "root", piece.alias("piece")).agg(F.collect_set("fp").alias("fps"))
+    name = F.concat_ws("/", F.coalesce(F.hex("home"), F.lit("")), "piece")
+    cells = cut_lineage(cells.select("key", name.alias("cell"), "home", "root", "fps"))
+
+    @F.pandas_udf("boolean")
+    def bridged(a: pd.Series, b: pd.Series) -> pd.Series:
+        far = lambda x, y: x is not None and y is not None and (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count() > 3 * budget
+        return pd.Series([not far(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    @F.pandas_udf(EDGES)
+    def walk(a: pd.Series, b: pd.Series, a_home: pd.Series, b_home: pd.Series, same: pd.Series) -> pd.Series:
+        out = []
+        for x, y, x_home, y_home, once in zip(a, b, a_home, b_home, same, strict=True):
+            x, y = sorted(map(bytes, x)), [] if once else sorted(map(bytes, y))
+            both, first = x + y, np.arange(len(x) + len(y))
+            if x_home is not None:
+                first[: len(x)] = 0
+            if y_home is not None:
+                first[len(x) :] = len(x)
+            root = local_roots(_as_rows(both), budget, first, None if once else len(x))
+            out.append([{"a": both[i], "b": both[root[i]]} for i in np.unique(first).tolist() if root[i] != i])
+        return pd.Series(out)
+
+    meta = cells.select("key", "cell", "home", "root")
+    other = meta.toDF("key", "cell2", "home2", "root2")
+    open_ = F.coalesce(F.col("root") != F.col("root2"), F.lit(True)) & ((F.col("cell") < F.col("cell2")) | ((F.col("cell") == F.col("cell2")) & F.col("home").isNull()))
+    pairs = cut_lineage(meta.join(other, "key").where(open_).where(bridged("home", "home2")).select("key", "cell", "cell2"))
+    pairs = pairs.join(cells.select("key", "cell", "home", "fps"), ["key", "cell"])
+    pairs = pairs.join(cells.select("key", F.col("cell").alias("cell2"), F.col("home").alias("home2"), F.col("fps").alias("fps2")), ["key", "cell2"])
+    found = pairs.select(F.explode(walk("fps", "fps2", "home", "home2", F.col("cell") == F.col("cell2"))).alias("e")).select("e.a", "e.b")
+    return stars.unionByName(ties).unionByName(found)
 
 
 def near_edges(fps: DataFrame, large: int = LARGE) -> DataFrame:
@@ -298,9 +334,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def component_ids(marked: DataFrame, by: str = "doc_id", keys: str | None = None) -> DataFrame:
     """Adds component_id, the least ``by`` of a component, to rows with fp; ``keys`` names the column that deals wide
     fingerprints out. Joins are on fp, where a hot copy group is split by adaptive execution."""
-    dealt = [F.min_by(keys, by).alias("keys")] if keys else []
-    least = cut_lineage(marked.groupBy("fp").agg(F.min(by).alias("low"), *dealt))
-    stars = components(near_copy_edges(least) if keys else near_edges(least.select("fp")))
+    least = cut_lineage(marked.groupBy("fp").agg(F.min(by).alias("low")))
+    # different texts may agree in their wide fingerprint and not in their keys: all keys are dealt
+    stars = components(near_copy_edges(marked.select("fp", F.col(keys).alias("keys")).distinct()) if keys else near_edges(least.select("fp")))
     linked = stars.select(F.col("v").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     of_root = linked.join(least, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
     # only what is linked has a root: the others would all meet under its absence

@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
@@ -200,6 +203,53 @@ def test_a_key_that_very_many_share(spark):
         assert got == [values[i] for i in want], large
 
 
+def check_cells(spark, values, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    fps = spark.createDataFrame([(v.to_bytes(32, "big"), [7, 7]) for v in values], "fp binary, keys array<long>")
+    want = plain_groups(values, simhash.NEAR_BUDGET)
+    for large in (100, 20_000):
+        found = {r["v"]: r["root"] for r in simhash.components(simhash.near_copy_edges(fps, large)).collect()}
+        got = [int.from_bytes(found.get(v.to_bytes(32, "big"), v.to_bytes(32, "big")), "big") for v in values]
+        assert got == [values[i] for i in want], large
+    return len(set(want))
+
+
+@pytest.mark.parametrize("cell", [40, 300])
+def test_sparse_links_under_a_hot_key(spark, monkeypatch, cell):
+    """Members some 40 bits apart, of which only some pairs link: leaders alone lose links here."""
+    rng = random.Random(6)
+    values = set()
+    for _ in range(12):
+        centre = rng.getrandbits(256)
+        for _ in range(70):
+            x = centre
+            for bit in rng.sample(range(256), rng.randint(26, 32)):
+                x ^= 1 << bit
+            values.add(x)
+    groups = check_cells(spark, sorted(values), monkeypatch, cell)
+    assert 12 < groups < len(values)
+
+
+def test_chains_under_a_hot_key(spark, monkeypatch):
+    """Chains of links that wander from one leader's ball to the next."""
+    rng = random.Random(8)
+    values = set()
+    for _ in range(6):
+        x = rng.getrandbits(256)
+        for _ in range(80):
+            for bit in rng.sample(range(256), 30):
+                x ^= 1 << bit
+            values.add(x)
+    assert check_cells(spark, sorted(values), monkeypatch, 50) == 6
+
+
+def test_keys_of_texts_with_one_fingerprint(spark):
+    """Two rows of one fingerprint under different keys, each of which leads to another neighbour."""
+    a, b, c = (x.to_bytes(32, "big") for x in (5 << 200, 5 << 200 | 1, 5 << 200 | 1 << 60))
+    marked = spark.createDataFrame([(1, a, [1]), (2, a, [2]), (3, b, [1]), (4, c, [2])], "doc_id long, fp binary, keys array<long>")
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.component_ids(marked, "doc_id", "keys"))} == dict.fromkeys((1, 2, 3, 4), 1)
+
+
 @given(st.integers(0, 5), st.integers(2, 300), st.integers(1, 40))
 def test_local_components_of_wide_rows(seed, n, budget):
     rng = np.random.default_rng(seed)
