@@ -6,9 +6,9 @@ so on, so the convex cost makes the flow repeat documents only where a quota can
 many words the sources take of each pattern; documents then fill these amounts in seeded order, and only the document
 that crosses the end of an amount is cut short.
 
-Patterns and sources stay tables of any length. Quotas come from a few sums over the table of sources. Where a pattern
-is its source's only one and has no other source, the cheapest flow is known: the quota itself, as far as the copies go.
-Only patterns that share sources need a network; each connected component of them is solved by itself, one a task.
+Patterns and sources stay tables of any length. Quotas come from a few sums over the table of sources. Every amount is
+read off a flow: connected components of patterns and sources are dealt to batches, and each batch is a network of its
+own, one a task. A component isn't split, so its patterns (not its documents) must fit in a task, at some 1 kB a link.
 
 The seeded order needs no sort over a pattern: documents fall into buckets by the upper bits of a seeded hash, bucket
 sizes are summed up within a pattern (a small table), and exact positions are computed within a bucket. A source with a
@@ -35,6 +35,7 @@ from spanwise.operators.prefix import running_sums
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS, SEED = 1.5, 2, 20240601
 BUCKET_ROWS = 4096
+BATCH_LINKS = 5000
 #: Patterns up to this many are broadcast (some 200 bytes each); more are joined by shuffle.
 BROADCAST_PATTERNS = 100_000
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -88,11 +89,22 @@ def route(patterns: dict, targets: dict, members: dict, most: int = MOST_REPEATS
     return gives
 
 
-def _overlapping_amounts(links: DataFrame, most: int) -> DataFrame:
-    """pattern, amount: flows over patterns that share sources, from links (pattern, size, source as text, target)."""
-    ends = links.select("pattern", "source", F.xxhash64(F.lit(1), "pattern").alias("a"), F.xxhash64(F.lit(2), "source").alias("b"))
-    roots = components(ends.select("a", "b"))
-    of_source = ends.select("source", "b").distinct().join(roots, F.col("b") == F.col("v"), "left").select("source", F.coalesce("root", "b").alias("root"))
+def _amounts(links: DataFrame, most: int) -> DataFrame:
+    """pattern, amount: the cheapest flow from patterns to quotas, from checkpointed links (pattern, size, source as
+    text, target, alone).
+
+    Components of patterns that share sources need each other's flow only, so they are dealt to batches of about
+    ``BATCH_LINKS`` links by a hash of their root, and a batch is one network. Patterns and sources that have each other
+    only (``alone``) are components by themselves.
+    """
+    n_links, n_shared = links.agg(F.count(F.lit(1)), F.count_if(~F.col("alone"))).first()
+    root = F.xxhash64(F.lit(1), "pattern")
+    if n_shared:
+        ends = links.where(~F.col("alone")).select("source", root.alias("a"), F.xxhash64(F.lit(2), "source").alias("b"))
+        roots = components(ends.select("a", "b"))
+        of_source = ends.select("source", "b").distinct().join(roots, F.col("b") == F.col("v"), "left").select("source", F.coalesce("root", "b").alias("root"))
+        links, root = links.join(of_source, "source", "left"), F.coalesce("root", root)
+    batch = F.pmod(root, F.lit(max(1, -(-n_links // BATCH_LINKS))))
 
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["pattern", "source"])  # whatever order they came in
@@ -101,7 +113,8 @@ def _overlapping_amounts(links: DataFrame, most: int) -> DataFrame:
         gives = route(sizes, targets, rows.groupby("pattern", sort=False)["source"].apply(list).to_dict(), most)
         return pd.DataFrame([(p, sum(g.values())) for p, g in gives.items()], columns=["pattern", "amount"])
 
-    return links.join(of_source, "source").groupBy("root").applyInPandas(solved, "pattern string, amount long")
+    dealt = links.select("pattern", "size", "source", "target", batch.alias("batch"))
+    return dealt.groupBy("batch").applyInPandas(solved, "pattern string, amount long")
 
 
 def mix(docs: DataFrame, members: Column, size: Column, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
@@ -122,14 +135,10 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: tuple = WEIGHTS
     of_pattern = links.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("at", "source_size", "target"))).alias("s"), F.max("shared").alias("shared"))
     plan = patterns.join(of_pattern, "pattern", "left")
     alone = (F.size("s") == 1) & (F.col("shared") == 1)
-    tangled = links.join(plan.where(~alone).select("pattern"), "pattern", "left_semi")
-    known = F.when(alone, F.least(F.rint(F.get("s.target", F.lit(0))).cast("long"), most * F.col("whole")))
-    if tangled.isEmpty():
-        plan = plan.withColumn("amount", known)
-    else:
-        as_source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-        flows = _overlapping_amounts(tangled.select("pattern", F.col("whole").alias("size"), as_source.alias("source"), "target"), most)
-        plan = plan.join(flows, "pattern", "left").withColumn("amount", F.coalesce(known, "amount"))
+    as_source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    by_pattern = links.drop("shared").join(plan.select("pattern", alone.alias("alone")), "pattern")
+    by_pattern = cut_lineage(by_pattern.select("pattern", F.col("whole").alias("size"), as_source.alias("source"), "target", "alone"))
+    plan = plan.join(_amounts(by_pattern, most), "pattern", "left")
     lists = [F.coalesce(F.col(f"s.{c}"), F.array().cast(f"array<{t}>")).alias(name) for c, t, name in (("source_size", "bigint", "source_sizes"), ("target", "double", "targets"))]
     plan = cut_lineage(plan.select("pattern", F.greatest(F.lit(1), F.floor(F.col("n") / BUCKET_ROWS)).alias("buckets"), "whole", F.coalesce("amount", F.lit(0)).alias("amount"), *lists))
     held = F.broadcast if n_patterns <= BROADCAST_PATTERNS else (lambda df: df)

@@ -95,11 +95,33 @@ def test_overlapping_sources(spark):
 
 
 def test_five_thousand_sources(spark):
-    """Each document has a source of its own: every quota in closed form, and nothing on the driver."""
+    """Each document has a source of its own: many small components, and nothing on the driver."""
     docs = spark.createDataFrame([(i, "word " * (i % 7 + 1), f"host{i:05d}.example") for i in range(5000)], "doc_id long, text string, source string")
     check(docs)
 
 
+def test_the_query_goes_through_the_flow(spark, small, monkeypatch):
+    """Without the flow nothing is taken; with it each pattern's amount is its quota, as far as two copies go."""
+    docs = table(spark, small, "documents")
+    got = rows(M.mix_by_source(docs))
+    wants = {(r["source_size"], r["target"]) for r in got}
+    taken = {w: sum(r["taken"] for r in got if (r["source_size"], r["target"]) == w) for w in wants}
+    assert all(n == min(round(target), 2 * size) for (size, target), n in taken.items())
+    monkeypatch.setattr(M, "_amounts", lambda links, most: links.select("pattern", F.lit(0).cast("long").alias("amount")).distinct())
+    assert sum(r["taken"] for r in rows(M.mix_by_source(docs))) == 0
+
+
+def test_batches_of_components(spark, monkeypatch):
+    """Any number of batches gives the same amounts."""
+    data = [(i, [f"s{i % 40}"] if i % 3 else [f"s{i % 40}", f"s{(i + 1) % 40 // 2 * 2}"], i % 17) for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id long, members array<string>, n long")
+    took = []
+    for links in (5000, 7):
+        monkeypatch.setattr(M, "BATCH_LINKS", links)
+        took.append(sum(r["taken"] for r in rows(M.mix(docs, F.col("members"), F.col("n")))))
+    assert took[0] == took[1] > 0
+
+
 def test_ten_thousand_overlapping_patterns():
     """One component of 10,000 patterns over 200 sources: full quotas, and repeats only where a quota needs them."""
     rng = random.Random(3)
