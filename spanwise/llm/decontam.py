@@ -17,7 +17,7 @@ splits them.
 Defined results: null and empty texts have no words, no hits and the digest of the empty string; repeated rows give
 repeated results; rows that share a doc_id but not the text are judged apart; items without words match nothing; an item
 without an id hits words but is not counted; equal hashes select the leftmost place; an empty table of documents gives
-no rows, one of items no hits; a very long text is searched whole, up to 2**28 words; columns beside the ids and texts
+no rows, one of items no hits; a very long text is searched whole, one of more than 2**28 words fails the job; columns beside the ids and texts
 are ignored by the query and kept by the pipeline's stage, whatever their names.
 """
 
@@ -67,7 +67,8 @@ def selected(words: Column) -> Column:
         return F.transform(starts, lambda i: F.shiftleft(gram(i), POSITION_BITS).bitwiseOR(i.cast("long")))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) >= SPAN, _let(hashes, lambda h: _let(grams_of(h), winnow))).otherwise(empty)
+    too_long = F.raise_error(F.lit(f"a text of more than 2**{POSITION_BITS} words")).cast("array<long>")
+    return F.when(F.size(words) > 1 << POSITION_BITS, too_long).when(F.size(words) >= SPAN, _let(hashes, lambda h: _let(grams_of(h), winnow))).otherwise(empty)
 
 
 def _position(x: Column) -> Column:

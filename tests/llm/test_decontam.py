@@ -1,6 +1,8 @@
 import hashlib
 
+import pytest
 import regex
+from pyspark.sql import functions as F
 
 from spanwise.llm import decontam
 from spanwise.llm.common import table
@@ -91,3 +93,11 @@ def test_short_items_take_one_pass(spark, small):
     items = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in range(1, 13)], "item_id long, text string")
     plan = decontam.contamination(docs, items)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode(") == 1
+
+
+def test_positions_that_do_not_fit_fail(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "POSITION_BITS", 6)
+    words = lambda n: spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "text string").select(decontam.selected(decontam.words_of(F.col("text"))).alias("s"))
+    assert words(64).first()["s"]
+    with pytest.raises(Exception, match="more than 2"):
+        words(65).collect()
