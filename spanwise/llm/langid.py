@@ -15,8 +15,8 @@ most letters, its score the share of letters that it labels.
 
 Defined results: a null text or one without letters is ``und`` with score 0; documents with a null language aren't
 learned from; with nothing to learn from, every document is ``und``; equal shares go to the smallest name; repeated rows
-give repeated results; an empty table gives no rows; a very long text is labelled whole, at some 30 bytes a word; any
-number of languages is told apart; columns beside doc_id, text and lang are ignored here and kept by the pipeline's stage,
+give repeated results; an empty table gives no rows; a very long text is labelled whole, at 4 bytes for each language
+and different word and an eighth of a byte for each language and word; any number of languages is told apart; columns beside doc_id, text and lang are ignored here and kept by the pipeline's stage,
 whatever their names.
 """
 
@@ -34,6 +34,7 @@ from spanwise.functions.lineage import cut_lineage
 from spanwise.llm.common import bounded_batches, fresh, id_bucket
 
 SAMPLE, LEAST_COUNT, TRIGRAM_BITS = 1500, 3, 15
+BLOCK = 1 << 19  # words times languages whose scores are worked on at a time
 PATH_WORDS = 2_000_000  # words of the documents that are walked side by side
 SWITCH = 12.0  # in nats: a span of another language must gain this much to be worth leaving and coming back for
 STRENGTH, CLIP = 0.5, 6.0
@@ -76,13 +77,28 @@ class Model:
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word under each language, relative to its best one."""
-        if not words:
-            return np.zeros((0, len(self.languages)), np.float32)
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        step = max(1, BLOCK // len(self.languages)) if self.languages else 1
+        for i in range(0, len(words), step):
+            out[i : i + step] = self._of_block(words[i : i + step])
+        return out
+
+    def _of_block(self, words: list[str]) -> np.ndarray:
         slots, n, script = trigram_slots(words)
-        table = np.add.reduceat(self.trigrams[slots], np.cumsum(n) - n, axis=0) * np.float32(STRENGTH)
-        known = [(i, v) for i, v in enumerate(map(self.words.get, words)) if v is not None]
-        if known:
-            table[[i for i, _ in known]] = np.array([v for _, v in known])
+        table = np.zeros((len(words), len(self.languages)), np.float32)
+        ends, most, i = np.cumsum(n), max(1, BLOCK // max(1, len(self.languages))), 0
+        while i < len(words):  # words of at most ``most`` trigrams together, or one word in pieces
+            first = int(ends[i] - n[i])
+            j = max(i + 1, int(np.searchsorted(ends, first + most, side="right")))
+            if n[i] > most:
+                table[i] = sum(self.trigrams[slots[c : min(c + most, ends[i])]].sum(axis=0) for c in range(first, int(ends[i]), most))
+            else:
+                table[i:j] = np.add.reduceat(self.trigrams[slots[first : ends[j - 1]]], ends[i:j] - n[i:j] - first, axis=0)
+            i = j
+        table *= np.float32(STRENGTH)
+        for i, v in enumerate(map(self.words.get, words)):
+            if v is not None:
+                table[i] = v
         return np.clip(table - table.max(axis=1, keepdims=True), -CLIP, 0) + self.barred[script]
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
@@ -95,7 +111,7 @@ class Model:
         hard: list[tuple[int, np.ndarray]] = []
         for i, d in enumerate(words):
             ids = np.fromiter(map(distinct.__getitem__, d), np.int64, len(d))
-            labels.append(self._in_one(table[ids]))
+            labels.append(self._in_one(ids, table))
             if labels[-1] is None:
                 hard.append((i, ids))
         hard.sort(key=lambda x: -len(x[1]))
@@ -107,7 +123,7 @@ class Model:
                 labels[i] = path
         return list(zip(words, labels, strict=True))
 
-    def _in_one(self, scores: np.ndarray) -> np.ndarray | None:
+    def _in_one(self, ids: np.ndarray, table: np.ndarray) -> np.ndarray | None:
         """A path in a single language where that provably is the best one, else None.
 
         Of j spans of other languages, a path that visits the language pays for j changes at least; each must gain a
@@ -115,15 +131,24 @@ class Model:
         last one ends it: with other spans below a change, these two must gain a change together. (With j = 1 it is a
         single language, and no other has more.)
         """
-        best = int(scores.sum(axis=0).argmax()) if len(scores) else 0
-        ahead = np.zeros((len(scores) + 1, len(self.languages)))
-        np.cumsum(scores - scores[:, best : best + 1], axis=0, out=ahead[1:])
-        if len(scores):
-            span = (ahead[1:] - np.minimum.accumulate(ahead[:-1], axis=0)).max()
-            ends = ahead[1:].max() + (ahead[-1] - ahead[:-1]).max()
-            if max(span, ends) >= SWITCH:
-                return None
-        return np.full(len(scores), best, np.int32)
+        k = len(self.languages)
+        step = max(1, BLOCK // max(1, k))  # words at a time: sums and least sums so far are carried on
+        blocks = [slice(i, i + step) for i in range(0, len(ids), step)]
+        total = sum((table[ids[b]].sum(axis=0, dtype=np.float64) for b in blocks), np.zeros(k))
+        best = int(total.argmax()) if len(ids) else 0
+        so_far, least, most, span = np.zeros(k), np.zeros(k), -np.inf, -np.inf
+        for b in blocks:
+            scores = table[ids[b]]
+            ahead = np.empty((len(scores) + 1, k))
+            ahead[0] = so_far
+            np.subtract(scores, scores[:, best : best + 1], out=ahead[1:])
+            np.cumsum(ahead, axis=0, out=ahead)
+            low = np.minimum(np.minimum.accumulate(ahead[:-1], axis=0), least)
+            span, most = max(span, (ahead[1:] - low).max()), max(most, ahead[1:].max())
+            so_far, least = ahead[-1], low[-1]
+        if len(ids) and max(span, most + (so_far - least).max()) >= SWITCH:
+            return None
+        return np.full(len(ids), best, np.int32)
 
     def _paths(self, ids: list[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
         """Viterbi over documents sorted from long to short: at step t those with more than t words are a prefix.
@@ -134,13 +159,14 @@ class Model:
         k, lengths = len(self.languages), np.array([len(d) for d in ids])
         active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(lengths[0])]
         by_step = np.concatenate(ids)[np.argsort(np.concatenate([np.arange(n) for n in lengths]), kind="stable")]
-        value, came, at = np.zeros((len(ids), k), np.float32), [], 0
+        value, at = np.zeros((len(ids), k), np.float32), 0
+        bests, stays = np.zeros(len(by_step), np.int32), np.zeros((len(by_step), -(-k // 8)), np.uint8)
         for t, n in enumerate(active):
             if t:
                 best = value[:n].argmax(axis=1)
                 leave = value[np.arange(n), best][:, None] - np.float32(SWITCH)
                 stay = value[:n] >= leave
-                came.append((best.astype(np.int32), np.packbits(stay, axis=1)))
+                bests[at : at + n], stays[at : at + n] = best, np.packbits(stay, axis=1)
                 value[:n] = np.where(stay, value[:n], leave)
             value[:n] += table[by_step[at : at + n]]
             at += n
@@ -148,9 +174,10 @@ class Model:
         trail = np.zeros((lengths[0], len(ids)), np.int32)
         for t in range(lengths[0] - 1, -1, -1):
             n = active[t]
+            at -= n
             trail[t, :n] = state[:n]
             if t:
-                best, stay = came[t - 1]
+                best, stay = bests[at : at + n], stays[at : at + n]
                 stayed = stay[np.arange(n), state[:n] >> 3] >> (7 - (state[:n] & 7)) & 1
                 state[:n] = np.where(stayed == 1, state[:n], best)
         return [trail[:n, d].copy() for d, n in enumerate(lengths)]

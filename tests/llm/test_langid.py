@@ -1,6 +1,9 @@
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -33,6 +36,35 @@ def test_path_is_the_best_of_all(k, seed, documents):
         assert value(path) >= max(map(value, itertools.product(range(k), repeat=len(words)))) - 1e-3
 
 
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_pieces_give_the_same_paths(monkeypatch, block):
+    rng = random.Random(block)
+    texts = [" ".join(w for _ in range(rng.randint(0, 4)) for w in [rng.choice(["abc", "bad", "c", "dada", "e", "fghe", "h"])] * rng.randint(1, 15)) for _ in range(60)]
+    lengths = set()
+    for seed in range(4):
+        model = small_model(3, seed)
+        model.trigrams = np.random.default_rng(seed).normal(0, 1.5, model.trigrams.shape).astype(np.float32)
+        want = model.spans(texts)
+        with monkeypatch.context() as m:
+            m.setattr(L, "BLOCK", block)
+            got = model.spans(texts)
+        assert [(w, p.tolist()) for w, p in got] == [(w, p.tolist()) for w, p in want]
+        lengths |= {len(set(p.tolist())) for _, p in got}
+    assert len(lengths) > 2  # none, one and several languages
+
+
+def test_memory_of_a_long_text_under_many_languages():
+    k, rng = 300, random.Random(2)
+    names = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(20_000)})
+    model = L.Model([f"l{i:03d}" for i in range(k)], {"Latin": list(range(k))}, {}, np.random.default_rng(1).normal(0, 1, (1 << L.TRIGRAM_BITS, k)).astype(np.float32))
+    text = " ".join(rng.choice(names) for _ in range(30_000))
+    tracemalloc.start()
+    path = model.spans([text])[0][1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(path) == 30_000 and peak < 80e6
+
+
 def test_path_that_never_visits_the_best_total():
     words = {"a": np.array([0, -6, -2.9], np.float32), "b": np.array([-6, 0, -2.9], np.float32)}
     model = L.Model(["x", "y", "z"], {"Latin": [0, 1, 2]}, words, np.zeros((1 << L.TRIGRAM_BITS, 3), np.float32))
