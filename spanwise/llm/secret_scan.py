@@ -7,10 +7,10 @@ counts is the candidate's bytes over those of random strings of its length and a
 lower-case name isn't taken for a key nor a key of few characters for a name. What is shaped like a name (words and
 numbers between separators) has to be newer still.
 
-The dictionary is zstandard's own training over ``IDENTIFIERS`` and the words that at least ``COMMON`` different texts of
-a sample share, so that its matches and its letter frequencies are those of the corpus. The sample is the ``SAMPLE``
-documents or so that a hash of their text takes, and ``WORDS`` of its words at most are learned from: the only bounds.
-Words are letters only, so no key is learned however many copies hold it.
+The dictionary is zstandard's own training over ``IDENTIFIERS`` and the words that at least ``COMMON`` different texts
+share, so that its matches and its letter frequencies are those of the corpus. The words of every text are counted. The
+dictionary has ``DICTIONARY_BYTES``, so of the words in order of how many texts hold them those are taught that it has
+room for. Words are letters only, so no key is learned however many copies hold it.
 
 Candidates that stay incompressible and stand in a sensitive context (one of ``CONTEXT``
 within ``NEAR`` characters before them) become spans of kind ``novel``. A context reaches on over lines that directly
@@ -18,8 +18,8 @@ follow a novel one (a wrapped key), and between the markers of a private key eve
 separator ties to a context is measured from 6 characters on, and without digits where the place tells of a value.
 Spans found by pattern always stay.
 
-One pass over the rows without a shuffle, after a small one over the sample; the work for a text grows with its length,
-and candidates are few.
+One pass over the rows without a shuffle, after those that count words, in which only hashes, counts and the texts that
+have copies are moved; the work for a text grows with its length, and candidates are few.
 
 Defined results: null counts as the empty text, which has no spans; offsets are code points, ends exclusive; repeated
 rows give repeated results; an empty table gives no rows; a very long text is searched whole; spans that start alike are
@@ -30,17 +30,22 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 import string
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import bounded_batches
+from spanwise.functions.lineage import cut_lineage
+from spanwise.llm.common import BROADCAST_KEYS, bounded_batches, row_keys
 
 # The patterns of the three known kinds.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -53,7 +58,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*[0-9])(?=[0-9+/
 CONTEXT = re.compile(r"(?ai)passw|passphrase|pwd|secret|token|api[_-]?key|private|credential|bearer|authori[sz]ation|access[_-]?key|signature|client[_-]?id|connection[_-]?string|session|cookie|salt")
 NEAR, AROUND = 48, 256
 NOVEL, NAMELIKE = 0.87, 1.12  # added bytes over those of random strings: for candidates, for what is shaped like a name
-SAMPLE, WORDS, COMMON, DICTIONARY_BYTES = 4000, 20_000, 3, 16_384
+COMMON, DICTIONARY_BYTES = 3, 16_384
+WORD, LEAST_WORD = re.compile("[A-Za-z]{4,24}"), 4  # what counts as a word, its least length
 
 #: A separator and a value, where no call follows; NAMED must end at the separator.
 VALUE = re.compile(r"""(?::=|=>|[:=])[\x20\t]*(?:[Bb]earer[\x20\t]+)?(["'`]?)([A-Za-z0-9+/_.=-]{6,}+)(?![(\[])""")
@@ -81,23 +87,44 @@ PLAIN = frozenset(re.findall("[a-z]+", IDENTIFIERS))  # for values too short for
 
 
 def trained(words: list[str]) -> bytes:
-    """A dictionary of zstandard's training over the identifiers and further words, the same for the same words."""
+    """A dictionary of zstandard's training over the identifiers and further words, the same for the same words.
+
+    Every word is shown as often as any other, or once more.
+    """
     known, rng = IDENTIFIERS.split(), random.Random(1)
+    shown = itertools.chain.from_iterable(rng.sample(words, len(words)) for _ in itertools.count())
     samples = []
     for i in range(400):
-        mixed = rng.choices(known, k=10) + (rng.choices(words, k=30) if words else rng.choices(known, k=30))
+        mixed = rng.choices(known, k=10) + (list(itertools.islice(shown, 30)) if words else rng.choices(known, k=30))
         samples.append("".join(w + rng.choice(" \n._/-") for w in mixed).encode())
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8).as_bytes()
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE) -> bytes:
+def different_texts(docs: DataFrame) -> DataFrame:
+    """Each different text once. Texts whose hash no other row has stay where they are; only the others are moved."""
+    texts = docs.select("text", *row_keys(F.col("text")))
+    copied = cut_lineage(texts.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1"))
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_KEYS else copied
+    single = texts.join(copied, "k1", "left_anti")
+    return single.unionByName(texts.join(copied, "k1", "left_semi").dropDuplicates(["k1", "k2"])).select("text")
+
+
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n of each batch: how many of its texts hold the word."""
+    for batch in batches:
+        n: Counter[str] = Counter()
+        for text in batch.column("text").to_pylist():
+            n.update(set(WORD.findall(text or "")))
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
+
+
+def learned(docs: DataFrame) -> bytes:
     """The dictionary of a corpus. Words are counted once for each different text, so copies teach nothing twice."""
-    n = docs.count()
-    grain = 1 << 30
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(grain)) < (min(grain, grain * sample // n) if n else 0)).distinct()
-    words = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,24})"), F.lit(1)))).alias("word"))
-    common = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "word").limit(WORDS)
-    return trained([r["word"] for r in common.collect()])
+    counts = bounded_batches(different_texts(docs)).mapInArrow(counted_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    room = DICTIONARY_BYTES // (LEAST_WORD + 1)  # no more words fit, each with a separator
+    common = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "word").limit(room).collect()
+    ends = itertools.accumulate(len(r["word"]) + 1 for r in common)
+    return trained([r["word"] for r, end in zip(common, ends, strict=True) if end <= DICTIONARY_BYTES])
 
 
 class Novelty:

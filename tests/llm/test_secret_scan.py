@@ -156,3 +156,14 @@ def test_long_key_blocks_take_time_in_proportion_to_their_headers():
         return best
 
     assert seconds(8000) < 12 * seconds(2000) + 0.05
+
+
+def test_every_text_teaches_once(spark):
+    """Words that only the last few of many texts hold are learned, and as those of the texts without copies."""
+    rows = [(i, f"{'plain filler words' if i < 12_000 else 'quixotical zephyrine'} number {i}") for i in range(12_003)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = S.trained(sorted(["number", "plain", "filler", "words", "quixotical", "zephyrine"], key=lambda w: (-{"number": 12_003, "quixotical": 3, "zephyrine": 3}.get(w, 12_000), w)))
+    assert S.learned(docs) == want
+    copies = docs.unionByName(docs.where("doc_id >= 12000")).unionByName(docs.where("doc_id < 50"))
+    assert S.learned(copies) == want and S.different_texts(copies).count() == 12_004
+    assert S.learned(spark.createDataFrame([(i, "vermilion copies") for i in range(9)], "doc_id long, text string")) == S.trained([])
