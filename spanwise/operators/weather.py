@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwise.functions.lineage import cut_lineage
-from spanwise.functions.scalars import haversine_km
+from spanwise.functions.scalars import EARTH_KM, haversine_km
 from spanwise.operators.events import KEYS
 
 # Statistics of each weather column.
@@ -101,37 +105,55 @@ def _on_sphere(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
 
 
-def nearest_station(airports: DataFrame, stations: DataFrame, levels: tuple[int, ...] = (2, 4, 6, 8, 10)) -> DataFrame:
-    """airport, its nearest station and the distance; null without any station.
+_BITS = 20  # steps of an axis at the finest level, as a power of two: cubes of some 12 m
+_FEW = 6  # levels with at most some 20,000 cubes on the sphere, however many stations
+
+
+def nearest_station(airports: DataFrame, stations: DataFrame, levels: tuple[int, ...] = tuple(range(2, _BITS + 1, 2))) -> DataFrame:
+    """airport, its nearest station (the least of equally near ones) and the distance; null without any station.
 
-    Stations lie in cubes around the sphere, halved level by level (2**-9 of the radius, some 12 km, at the last). Each
-    airport goes down the cubes with it: of the cubes inside those that it still holds, it keeps the ones that may be
-    nearer than the farthest corner of the nearest one. Every step is an equi-join on a cube's number, and an airport
-    far from all stations keeps few cubes as a near one does, so nothing ever meets all stations.
+    Equal positions are searched for once, and stations at one position count as their least. Stations lie in cubes around
+    the sphere, halved level by level (2**-19 of the radius, some 12 m, at the last); each cube has a station that speaks
+    for it. A position goes down the cubes with it: of those inside the ones that it still holds, it keeps the ones that may
+    be nearer than the nearest station met so far. A cube with one station is done with, so the levels end where no
+    cube with several is held: their depth follows the stations, and a position holds few cubes at any density. Every
+    step is an equi-join on a cube's number. Rows without coordinates have no nearest station, nor are they one.
     """
     here = airports.select("airport", "latitude", "longitude")
-    axes = ("x", "y", "z")
-    point = here.select("*", *[c.alias(n) for n, c in zip(axes, _on_sphere(F.col("latitude"), F.col("longitude")), strict=True)])
+    known = lambda *names: reduce(and_, [F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) for n in names])
+    axes, at = ("x", "y", "z"), ("latitude", "longitude")
+    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, since positions grow many rows each from few bytes
+    points = here.where(known(*at)).select(*at).distinct().repartition(parts, *at)
+    points = points.select(*at, *[c.alias(n) for n, c in zip(axes, _on_sphere(F.col("latitude"), F.col("longitude")), strict=True)])
+
+    sites = stations.where(known("station_latitude", "station_longitude")).groupBy("station_latitude", "station_longitude").agg(F.min("station").alias("station"))
+    steps = [F.least(F.floor((c + 1) * 2.0 ** (_BITS - 1)), F.lit(2**_BITS - 1)).alias(f"i{n}") for n, c in zip(axes, _on_sphere(F.col("station_latitude"), F.col("station_longitude")), strict=True)]
+    placed = cut_lineage(sites.select("*", *steps))
 
     def cube(level: int) -> Column:
-        return F.concat_ws("/", *[F.floor((F.col(n) + 1) * 2.0 ** (level - 1)).cast("string") for n in axes])
+        x, y, z = (F.shiftright(f"i{n}", _BITS - level) for n in axes)
+        return (x * 2**level + y) * 2**level + z
 
-    placed = stations.select("station", "station_latitude", "station_longitude", *[c.alias(n) for n, c in zip(axes, _on_sphere(F.col("station_latitude"), F.col("station_longitude")), strict=True)])
-    placed = cut_lineage(placed.select("station", "station_latitude", "station_longitude", *[cube(level).alias(f"c{level}") for level in levels], *axes))
-    held, before = cut_lineage(point.withColumn("held", F.lit("0"))), None
+    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("station_latitude"), F.col("station_longitude"))
+    reach = F.pow(2 * F.sin(F.col("bound") / (2 * EARTH_KM)), 2) + 1e-12  # the square of the straight distance
+    held, before, found = points.withColumns({"held": F.lit(0).cast("long"), "bound": F.lit(math.pi * EARTH_KM + 1e-6)}), 0, []
     for level in levels:
         size = 2.0 ** (1 - level)
-        inner = placed.select(F.col(f"c{before}").alias("held") if before else F.lit("0").alias("held"), F.col(f"c{level}").alias("inner"), *[(F.floor((F.col(n) + 1) / size) * size - 1).alias(f"b{n}") for n in axes]).distinct()
+        inner = placed.groupBy(cube(before).alias("held"), cube(level).alias("inner"), *[(F.shiftright(f"i{n}", _BITS - level) * size - 1).alias(f"b{n}") for n in axes])
+        inner = inner.agg((F.count(F.lit(1)) > 1).alias("several"), F.min(F.struct("station", "station_latitude", "station_longitude")).alias("one")).select("held", "inner", *[f"b{n}" for n in axes], "several", "one.*")
         near = sum((F.pow(F.greatest(F.col(f"b{n}") - F.col(n), F.col(n) - F.col(f"b{n}") - size, F.lit(0.0)), 2) for n in axes), F.lit(0.0))
-        far = sum((F.pow(F.greatest(F.abs(F.col(n) - F.col(f"b{n}")), F.abs(F.col(n) - F.col(f"b{n}") - size)), 2) for n in axes), F.lit(0.0))
-        met = cut_lineage(held.join(inner, "held").select("airport", "latitude", "longitude", *axes, F.col("inner").alias("held"), near.alias("near"), far.alias("far")))
-        bound = met.groupBy("airport", "latitude", "longitude").agg(F.min("far").alias("bound"))
-        held = met.join(bound, ["airport", "latitude", "longitude"]).where(F.col("near") <= F.col("bound") + 1e-12).select("airport", "latitude", "longitude", *axes, "held").distinct()
-        before = level
-    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("station_latitude"), F.col("station_longitude"))
-    met = held.join(placed.withColumnRenamed(f"c{levels[-1]}", "held").drop(*axes), "held")
-    best = met.groupBy("airport", "latitude", "longitude").agg(F.min(F.struct(distance.alias("distance_km"), "station")).alias("b"))
-    return here.join(best, ["airport", "latitude", "longitude"], "left").select("airport", "b.station", "b.distance_km")
+        met = held.join(F.broadcast(inner) if level <= _FEW else inner, "held").withColumn("near", near).where(F.col("near") <= reach)
+        met = met.withColumn("distance_km", distance).withColumn("bound", F.least("bound", F.min("distance_km").over(Window.partitionBy(*at))))
+        met = met.withColumn("open", F.col("several") & (F.col("near") <= reach)).where(F.col("open") | (F.col("distance_km") <= F.col("bound")))
+        met = cut_lineage(met.select(*at, *axes, F.col("inner").alias("held"), "bound", "open", "distance_km", "station"))
+        found.append(met.where(F.col("distance_km") <= F.col("bound")).select(*at, "distance_km", "station"))
+        held, before = met.where("open").drop("open", "distance_km", "station"), level
+        if held.isEmpty():
+            break
+    else:
+        found.append(held.join(placed.withColumn("held", cube(before)), "held").select(*at, distance.alias("distance_km"), "station"))
+    best = reduce(DataFrame.unionByName, found).groupBy(*at).agg(F.min(F.struct("distance_km", "station")).alias("b"))
+    return here.join(best, list(at), "left").select("airport", "b.station", "b.distance_km")
 
 
 def load_coordinates(metadata: DataFrame) -> DataFrame:
