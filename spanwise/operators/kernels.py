@@ -17,7 +17,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +25,38 @@ TAPS, CHOSEN = 5, 2
 HIGH, LOW = 3, -2
 DILATIONS = (1, 2, 4, 8)
 KERNELS = list(itertools.combinations(range(TAPS), CHOSEN))
-ROWS = 2048  # sequences that are worked on at a time
+ROWS = 512  # sequences that are worked on at a time: few enough to stay in a core's cache
 
 
 def pooled(rows: np.ndarray, dilations: tuple[int, ...] = DILATIONS) -> np.ndarray:
     """For rows x places of counts: rows x dilations x kernels x (largest response, number above zero)."""
     n, places = rows.shape
+    largest = max(int(rows.max(initial=0)), -int(rows.min(initial=0)))
+    reach = (HIGH - LOW) * CHOSEN + abs(LOW) * TAPS  # no step of a response goes beyond this many times the largest count
+    kind = next((t for t in (np.int16, np.int32) if largest * reach <= np.iinfo(t).max), np.int64)
+    across = np.ascontiguousarray(rows.T, dtype=kind)  # places x rows: every step is over whole lines of rows
+    counted = np.int16 if places <= np.iinfo(np.int16).max else np.int64
     out = np.zeros((n, len(dilations), len(KERNELS), 2), dtype=np.int64)
     for i, d in enumerate(dilations if places else ()):
-        wide = np.pad(rows, ((0, 0), (d * (TAPS // 2), d * (TAPS // 2))))
-        taps = [wide[:, d * k : d * k + places] for k in range(TAPS)]
+        wide = np.pad(across, ((d * (TAPS // 2), d * (TAPS // 2)), (0, 0)))
+        taps = [wide[d * k : d * k + places] for k in range(TAPS)]
         low = LOW * sum(taps[1:], taps[0])
         for j, (a, b) in enumerate(KERNELS):
             response = (HIGH - LOW) * (taps[a] + taps[b]) + low  # a chosen tap adds the difference to the low weight that all have
-            out[:, i, j, 0], out[:, i, j, 1] = response.max(axis=1), (response > 0).sum(axis=1)
+            out[:, i, j, 0], out[:, i, j, 1] = response.max(axis=0), np.add.reduce(response > 0, axis=0, dtype=counted)
     return out
 
 
+def _numbers(sequence: np.ndarray | None) -> np.ndarray:
+    if sequence is None:
+        return np.zeros(0, np.int64)
+    given = np.asarray(sequence)
+    return given.astype(np.int64, copy=False) if given.dtype.kind == "i" else np.nan_to_num(given.astype(np.float64)).astype(np.int64)
+
+
 def _of_series(sequences: pd.Series, dilations: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """``pooled`` of sequences of any lengths, equal ones together, and their lengths."""
-    lists = [np.zeros(0, np.int64) if s is None else np.nan_to_num(np.asarray(s, dtype=np.float64)).astype(np.int64) for s in sequences]
+    lists = [_numbers(s) for s in sequences]
     lengths = np.array([len(x) for x in lists], dtype=np.int64)
     out = np.zeros((len(lists), len(dilations), len(KERNELS), 2), dtype=np.int64)
     for length in np.unique(lengths[lengths > 0]):
@@ -85,3 +97,13 @@ def with_kernels(df: DataFrame, channels: list[str], name: str = "kernels", dila
         return pd.Series(list(np.concatenate(parts, axis=1)))
 
     return df.withColumn(name, array_to_vector(features(*[F.col(c) for c in channels])))
+
+
+def without_channel(df: DataFrame, channel: str, channels: list[str], name: str = "kernels", dilations: tuple[int, ...] = DILATIONS) -> DataFrame:
+    """The rows with a channel's entries of the vector at zero, which is what ``with_kernels`` gives for a channel of zeros."""
+    width = len(feature_names([channel], dilations))
+    first = channels.index(channel) * width
+    all_entries = vector_to_array(name)
+    zeros = F.array_repeat(F.lit(0.0), width)
+    kept = F.concat(F.slice(all_entries, 1, first), zeros, F.slice(all_entries, first + width + 1, width * len(channels)))
+    return df.withColumn(name, array_to_vector(kept))

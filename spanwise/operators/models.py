@@ -244,11 +244,22 @@ def channel_ablation(score: Callable[[DataFrame], DataFrame], df: DataFrame, cha
     return {c: lost for c, lost, _ in ablated(score, df, channels)}
 
 
-def ablated(score: Callable[[DataFrame], DataFrame], df: DataFrame, channels: list[str]) -> list[tuple[str, float, float]]:
-    """(channel, AUC lost, AUC without it) for each channel; the scorer may be any fitted model."""
-    base = roc_auc(score(df)).first()["auc"]
-    left = [(c, roc_auc(score(df.withColumn(c, F.transform(c, lambda x: x * 0)))).first()["auc"]) for c in channels]
-    return [(c, base - auc, auc) for c, auc in left]
+def silenced(df: DataFrame, channel: str) -> DataFrame:
+    """The rows with an array column set to zeros."""
+    return df.withColumn(channel, F.transform(channel, lambda x: x * 0))
+
+
+def ablated(score: Callable[[DataFrame], DataFrame], df: DataFrame, channels: list[str], without: Callable[[DataFrame, str], DataFrame] = silenced) -> list[tuple[str, float, float]]:
+    """(channel, AUC lost, AUC without it) for each channel; the scorer may be any fitted model.
+
+    ``without`` gives the rows that lack a channel; where the scorer's inputs are derived from the channels at a cost, pass
+    derived rows and what a silent channel derives to. All variants go through one AUC.
+    """
+    variants = [df, *[without(df, c) for c in channels]]
+    scored = [score(v).select("target", "score", F.lit(i).alias("variant")) for i, v in enumerate(variants)]
+    aucs = {r["variant"]: r["auc"] for r in roc_auc(reduce(DataFrame.unionByName, scored), ("variant",)).collect()}
+    base, *left = (aucs.get(i, 0.5) for i in range(len(variants)))
+    return [(c, base - auc, auc) for c, auc in zip(channels, left, strict=True)]
 
 
 def tree_nodes(model: PipelineModel, columns: list[str]) -> DataFrame:

@@ -47,7 +47,7 @@ def _flown_hours(spark, d):
     hours = planned.select("airport_group", F.to_date("base_time").alias("date"), F.hour("base_time").alias("hour")).distinct()
     grid = cut_lineage(E.build_base_index(hours))
     found = O.compute_overlap_features(grid, flown).select(*KEYS, (F.col("overlap_minutes_ge2") > 0).cast("int").alias("target"))
-    return sequence_frame(grid, planned).join(found, KEYS)
+    return sequence_frame(grid.select(*KEYS, "interval_start").join(found, KEYS), planned, carried=("target",))
 
 
 def _kernel_rows(spark, d):
@@ -67,10 +67,9 @@ def cv_kernels(spark, d):
 @query
 def fitted_channel_ablation(spark, d):
     """The AUC that each of the three channels is worth to the fitted kernel model, and what is left without it."""
-    hours = cut_lineage(_flown_hours(spark, d))
-    shaped = lambda df: K.with_kernels(df, CHANNELS).select("*", *cyclical(F.col("hour"), 24, "hour"))
-    model = ML.logistic(KERNEL_COLUMNS, 20).fit(shaped(hours))
-    found = ML.ablated(lambda df: ML.positive_score(model.transform(shaped(df))), hours, CHANNELS)
+    rows = _kernel_rows(spark, d)
+    model = ML.logistic(KERNEL_COLUMNS, 20).fit(rows)
+    found = ML.ablated(lambda df: ML.positive_score(model.transform(df)), rows, CHANNELS, lambda df, c: K.without_channel(df, c, CHANNELS))
     return rounded(spark.createDataFrame(found, "channel string, lost double, auc double"))
 
 

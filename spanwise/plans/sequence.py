@@ -21,20 +21,23 @@ KEYS = E.KEYS
 CHANNELS = ["concurrency", "departures", "arrivals"]
 
 
-def sequence_frame(grid: DataFrame, events: DataFrame, before: int = 2) -> DataFrame:
-    """Keys with each channel's counts by minute: those of the ``before`` hours before it, then the hour's own.
+def sequence_frame(grid: DataFrame, events: DataFrame, before: int = 2, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Keys and ``carried`` columns with each channel's counts by minute: those of the ``before`` hours before it, then the hour's own.
 
     The hours before are hours of the clock, whether the grid has them or not, so sequences are built for them too and met
-    by (group, hour number): no window over a group, and gaps in a grid are zeros, not other hours.
+    by (group, hour number): no window over a group, and gaps in a grid are zeros, not other hours. An hour's arrays are
+    moved once to each hour that they count for, and meet the grid where they then lie.
     """
     found = O.minute_counters(E.with_operational_windows(events), by_movement=True)
-    arrays = found.select("airport_group", "hour_number", *[O.minute_array(F.col("runs"), a).alias(b) for a, b in (("c", "concurrency"), ("dep", "departures"), ("arr", "arrivals"))])
-    asked = grid.select(*KEYS, O.hour_number(F.col("interval_start")).alias("__own"))
-    wanted = asked.select(*KEYS, F.explode(F.sequence(F.lit(-before), F.lit(0))).alias("__at"), "__own").withColumn("hour_number", F.col("__own") + F.col("__at"))
-    met = wanted.join(arrays, ["airport_group", "hour_number"], "left")
-    zeros = F.array_repeat(F.lit(0).cast("long"), O.MINUTES)
-    parts = F.array_sort(F.collect_list(F.struct("__at", *[F.coalesce(c, zeros).alias(c) for c in CHANNELS])))  # as many as hours asked for
-    return met.groupBy(*KEYS).agg(parts.alias("__p")).select(*KEYS, *[F.flatten(F.col("__p")[c]).alias(c) for c in CHANNELS])
+    names = (("c", "concurrency"), ("dep", "departures"), ("arr", "arrivals"))
+    arrays = found.select("airport_group", "hour_number", *[O.minute_array(F.col("runs"), a).cast("array<int>").alias(b) for a, b in names])  # of an hour's movements, an int
+    dealt = arrays.select("airport_group", "hour_number", F.explode(F.sequence(F.lit(0), F.lit(before))).alias("__ago"), *CHANNELS)
+    near = dealt.groupBy("airport_group", (F.col("hour_number") + F.col("__ago")).alias("hour_number")).agg(F.collect_list(F.struct("__ago", *CHANNELS)).alias("__p"))  # as many as hours asked for
+    asked = grid.select(*KEYS, *carried, O.hour_number(F.col("interval_start")).alias("hour_number"))
+    met = asked.join(near, ["airport_group", "hour_number"], "left")
+    zeros = F.array_repeat(F.lit(0), O.MINUTES)
+    at = lambda i, c: F.coalesce(F.get(F.filter("__p", lambda x: x["__ago"] == i), F.lit(0))[c], zeros)
+    return met.select(*KEYS, *carried, *[F.concat(*[at(i, c) for i in range(before, -1, -1)]).cast("array<bigint>").alias(c) for c in CHANNELS])
 
 
 def run_sequence_job(spark: SparkSession, training: str, flights: str, inference: str, schedule: str, out: str, folds: int = 4, make: Callable[[list[str]], object] | None = None, threads: int = 2) -> dict:
