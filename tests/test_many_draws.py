@@ -1,11 +1,13 @@
 """Draws counted in numpy are those of the DataFrames, and what they leave behind doesn't grow with the flights."""
 
 import inspect
+import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanwise.functions.lineage import shared_folder
 from spanwise.operators import draws as D
 from spanwise.operators import sampling as S
 from spanwise.operators import simulate as MC
@@ -75,6 +77,16 @@ def test_settled_hours_leave_the_overlaps_as_they_are(spark):
         assert told(D.drawn_moments(some, held, [f"sim_{D.OVERLAPS}"], 40, 0, 40)) == want
 
 
+def test_prepared_sides_take_little_room(spark):
+    """What preparation writes to the shared folder is narrow for sides and doesn't grow with the history's movements."""
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    f = flights(spark).crossJoin(spark.range(400).select())
+    before = size()
+    sides, _ = MC.prepared_sides(f, f)
+    assert size() - before < 40 * sides.count()
+
+
 def test_adaptive_stop_runs_in_full(spark, small, monkeypatch):
     """The query leaves the number of simulations and the error at the operator's own."""
     given = {}
