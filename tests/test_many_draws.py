@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.lineage import shared_folder
 from spanwise.operators import draws as D
+from spanwise.operators import events as E
 from spanwise.operators import sampling as S
 from spanwise.operators import simulate as MC
 from spanwise.plans import queries as Q
@@ -99,3 +100,19 @@ def test_adaptive_stop_runs_in_full(spark, small, monkeypatch):
     monkeypatch.setattr(MC, "run_monte_carlo", run)
     Q.adaptive_stop(spark, small)
     assert set(given) <= {"base", "schedule", "history", "metrics"}
+
+
+def test_batches_drawn_together_are_those_drawn_one_by_one(spark, monkeypatch):
+    f = flights(spark)
+    grid = grid_of(spark)
+    run = lambda: sorted(map(str, MC.run_monte_carlo(grid, f.drop("cancelled", "atd", "ata"), f, 23, min_simulations=5, max_error=0.11, batch=5).collect()))
+    passes, drawn = [], MC.drawn_moments
+    monkeypatch.setattr(MC, "drawn_moments", lambda *args: passes.append(args[4:6]) or drawn(*args))
+    together = run()
+    assert passes == [(0, 5), (5, 23)]
+    monkeypatch.setattr(MC, "AHEAD", 1)
+    assert run() == together and len(passes) > 3
+
+
+def grid_of(spark):
+    return E.build_base_index(spark.createDataFrame([(g, (START + timedelta(hours=h)).date(), (START + timedelta(hours=h)).hour) for g in "XY" for h in range(9)], "airport_group string, date date, hour int"))
